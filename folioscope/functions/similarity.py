@@ -13,6 +13,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 TOKEN_WEIGHT = 0.95
 PARTIAL_WEIGHT = 0.9
@@ -103,7 +104,7 @@ def weighted_ratio(a: str, b: str) -> float:
     return max(best, partial_ratio(a, b) * weight, tokens * TOKEN_WEIGHT * weight)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def _fuzzy_best(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
     for query, label, text in batches:
         scores = [

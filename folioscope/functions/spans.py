@@ -8,12 +8,21 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from folioscope.functions import text as txt
 
-TERM_TYPE = "array<struct<token:string,char_start:int,char_end:int>>"
-HIGHLIGHT_TYPE = (
-    "array<struct<field:string,start:int,end:int,match_kind:string,source:string,score_contribution:double>>"
+TERM_TYPE = T.ArrayType(
+    T.StructType().add("token", T.StringType()).add("char_start", T.IntegerType()).add("char_end", T.IntegerType())
+)
+HIGHLIGHT_TYPE = T.ArrayType(
+    T.StructType()
+    .add("field", T.StringType())
+    .add("start", T.IntegerType())
+    .add("end", T.IntegerType())
+    .add("match_kind", T.StringType())
+    .add("source", T.StringType())
+    .add("score_contribution", T.DoubleType())
 )
 
 # Snippet size, highlight limits and weights.

@@ -11,6 +11,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from folioscope.functions import boxes
 from folioscope.functions import text as txt
@@ -43,7 +44,7 @@ def _common_length(a: list[str], b: list[str]) -> int:
     return best[-1]
 
 
-@F.pandas_udf("array<struct<size:int,score:double>>")
+@F.pandas_udf(T.ArrayType(T.StructType().add("size", T.IntegerType()).add("score", T.DoubleType())))
 def _window_scores(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
     """Scores of the windows that start at one word, for every allowed size."""
     for targets, windows in batches:

@@ -8,6 +8,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from folioscope.functions import boxes, ids
 from folioscope.functions import text as txt
@@ -370,7 +371,7 @@ def _flat(texts: list[str]) -> str:
     return " ".join(word for text in texts for word in text.split())
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def item_text(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
     """All text below the known keys of one item, in key order."""
     for items in batches:
@@ -391,7 +392,7 @@ def _result_strings(value: object) -> list[str]:
     return found
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def result_text(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
     """Plain text of a reader result: known keys first, then what is nested; one line per text."""
     for results in batches:
@@ -427,14 +428,14 @@ def _placed_items(value: object) -> list[dict]:
     return found
 
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(T.ArrayType(T.StringType()))
 def boxed_items(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
     """Every object with a box, at any depth, outer before inner."""
     for values in batches:
         yield pd.Series([[json.dumps(item) for item in _boxed_items(_load(value))] for value in values])
 
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(T.ArrayType(T.StringType()))
 def placed_items(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
     """Layout items of a page result that has no plain item list."""
     for values in batches:
