@@ -6,6 +6,8 @@ a rectangle is ``struct<left, top, width, height: double>``.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -24,6 +26,11 @@ RAW_BOX_JSON = (
 )
 
 
+def bind(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value computed once, however often it is used."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def make_box(left: Column, top: Column, right: Column, bottom: Column, origin: Column | str = TOP_LEFT) -> Column:
     origin = F.lit(origin) if isinstance(origin, str) else origin
     built = F.struct(
@@ -180,16 +187,21 @@ def normalize(
     sh = F.coalesce(none if source_height is None else source_height, height)
     tag = F.lit(None).cast("int") if orientation is None else orientation
     turn = F.lit(0) if degrees is None else degrees
-    upright = orient(rectangle(box, sh), sw, sh, tag)
     bw = F.coalesce(none if base_width is None else base_width, oriented_width(sw, sh, tag))
     bh = F.coalesce(none if base_height is None else base_height, oriented_height(sw, sh, tag))
-    turned = rotate(upright, bw, bh, turn)
-    return F.struct(
-        percent(turned["left"], width).alias("left_pct"),
-        percent(turned["top"], height).alias("top_pct"),
-        percent(turned["width"], width).alias("width_pct"),
-        percent(turned["height"], height).alias("height_pct"),
-    )
+
+    def as_percent(rect: Column) -> Column:
+        return F.struct(
+            percent(rect["left"], width).alias("left_pct"),
+            percent(rect["top"], height).alias("top_pct"),
+            percent(rect["width"], width).alias("width_pct"),
+            percent(rect["height"], height).alias("height_pct"),
+        )
+
+    def turned(upright: Column) -> Column:
+        return bind(rotate(upright, bw, bh, turn), as_percent)
+
+    return bind(rectangle(box, sh), lambda flat: bind(orient(flat, sw, sh, tag), turned))
 
 
 def union_box(box: Column) -> Column:

@@ -9,13 +9,13 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from folioscope.functions import boxes
 from folioscope.functions import text as txt
-from folioscope.functions.grouping import blocked_row_number, first_per_group, top_per_group
+from folioscope.functions.grouping import blocked_row_number, first_per_group
 
 # Windows of n-1 to n+2 words, the length penalty, the least scores.
 SHORT_TARGET = 3
@@ -33,15 +33,21 @@ SCOPE = ["file_hash", "page_no", "scope"]
 ELEMENT = [*SCOPE, "source_ref"]
 
 
-def _common_length(a: list[str], b: list[str]) -> int:
-    best = [0] * (len(b) + 1)
-    for word in a:
-        diagonal = 0
-        for j, other in enumerate(b, start=1):
-            above = best[j]
-            best[j] = diagonal + 1 if word == other else max(above, best[j - 1])
-            diagonal = above
-    return best[-1]
+def _prefix_overlaps(target: list[str], window: list[str]) -> list[int]:
+    """Longest common subsequence of the text with every prefix of the window.
+
+    Bit-parallel: one machine-integer step per window word.
+    """
+    masks: dict[str, int] = {}
+    for i, word in enumerate(target):
+        masks[word] = masks.get(word, 0) | (1 << i)
+    full = (1 << len(target)) - 1
+    row, found = full, []
+    for word in window:
+        hit = row & masks.get(word, 0)
+        row = ((row + hit) | (row - hit)) & full
+        found.append(len(target) - row.bit_count())
+    return found
 
 
 @F.pandas_udf(T.ArrayType(T.StructType().add("size", T.IntegerType()).add("score", T.DoubleType())))
@@ -50,14 +56,11 @@ def _window_scores(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[p
     for targets, windows in batches:
         rows = []
         for target, window in zip(targets, windows):
-            target, window = list(target), list(window)
             n = len(target)
-            found = []
-            for size in sorted({max(1, n - 1), n, n + 1, n + 2}):
-                if size <= len(window):
-                    shared = _common_length(target, window[:size]) / n
-                    found.append({"size": size, "score": max(0.0, shared - abs(size - n) / n * LENGTH_PENALTY)})
-            rows.append(found)
+            shared = _prefix_overlaps(list(target), list(window))
+            sizes = [s for s in sorted({max(1, n - 1), n, n + 1, n + 2}) if s <= len(shared)]
+            scores = [max(0.0, shared[s - 1] / n - abs(s - n) / n * LENGTH_PENALTY) for s in sizes]
+            rows.append([{"size": s, "score": score} for s, score in zip(sizes, scores)])
         yield pd.Series(rows)
 
 
@@ -65,6 +68,11 @@ def _least_score(n: Column) -> Column:
     return F.when(n <= SHORT_TARGET, F.lit(LEAST_SHORT)).otherwise(F.lit(LEAST_LONG))
 
 
+def _may_miss() -> Column:
+    """How many of its n words a text may lack in a good window."""
+    return (F.col("n") - F.ceil(_least_score(F.col("n")) * F.col("n") - 1e-9)).cast("int")
+
+
 def _seeds(targets: DataFrame, words: DataFrame) -> DataFrame:
     """The rarest words of each text: so many that a good window has one of them.
 
@@ -74,9 +82,9 @@ def _seeds(targets: DataFrame, words: DataFrame) -> DataFrame:
     counts = words.groupBy(*SCOPE, "word").agg(F.count("*").alias("_df"))
     spread = targets.select(*ELEMENT, "n", F.posexplode("tokens").alias("at", "word"))
     rated = spread.join(counts, [*SCOPE, "word"], "left").withColumn("_df", F.coalesce("_df", F.lit(0)))
-    ranked = top_per_group(rated, ELEMENT, [F.col("_df"), F.col("at")], 1 << 30, "_rank")
-    enough = F.col("n") - F.ceil(_least_score(F.col("n")) * F.col("n") - 1e-9) + 1
-    return ranked.filter((F.col("_rank") <= enough) & (F.col("_df") > 0)).select(*ELEMENT, "n", "at", "word")
+    rarest = Window.partitionBy(*ELEMENT).orderBy("_df", "at")
+    ranked = rated.withColumn("_rank", F.row_number().over(rarest))
+    return ranked.filter((F.col("_rank") <= _may_miss() + 1) & (F.col("_df") > 0)).select(*ELEMENT, "n", "at", "word")
 
 
 def align(targets: DataFrame, words: DataFrame) -> DataFrame:
@@ -88,10 +96,12 @@ def align(targets: DataFrame, words: DataFrame) -> DataFrame:
     sized = targets.withColumn("n", F.size("tokens")).filter(F.col("n") > 0)
     seeds = _seeds(sized, words)
     hits = seeds.join(words.select(*SCOPE, "word", "word_no"), [*SCOPE, "word"])
-    # A shared word lies at most two places further on in the window than in
-    # the text, or earlier by the words the window lacks.
-    earliest = F.greatest(F.lit(1), F.col("word_no") - F.col("n") - 1)
-    starts = hits.select(*ELEMENT, "n", F.explode(F.sequence(earliest, F.col("word_no"))).alias("start")).distinct()
+    # In a good window the seed keeps its place in the text up to the words
+    # that may be missing and the two words a window may be longer.
+    first = F.col("word_no") - F.col("at")
+    earliest = F.greatest(F.lit(1), first - _may_miss() - 2)
+    latest = first + _may_miss()
+    starts = hits.filter(latest >= 1).select(*ELEMENT, "n", F.explode(F.sequence(earliest, latest)).alias("start")).distinct()
     reach = F.sequence(F.col("start"), F.col("start") + F.col("n") + 1)
     covered = starts.select(*ELEMENT, "start", F.explode(reach).alias("word_no")).join(words, [*SCOPE, "word_no"])
     items = F.array_sort(F.collect_list(F.struct("word_no", "word", "box")))

@@ -188,9 +188,8 @@ def report_lines(report: DataFrame) -> DataFrame:
         F.col("page_count").cast("string"),
         F.col("text_chars").cast("string"),
         dash(F.col("profile_name")),
-        dash(F.format_string("%.2f", "elapsed_seconds")),
+        dash(F.when(F.col("elapsed_seconds").isNotNull(), F.format_string("%.2f", "elapsed_seconds"))),
         dash(F.col("agreement")),
         dash(collapse_spaces(F.nullif("error", F.lit("")))),
     )
-    number = F.when(F.col("elapsed_seconds").isNull(), F.regexp_replace(line, "\tnull\t", "\t-\t")).otherwise(line)
-    return report.select("file_hash", "annotation_engine", number.alias("line"))
+    return report.select("file_hash", "annotation_engine", line.alias("line"))

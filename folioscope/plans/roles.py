@@ -169,7 +169,7 @@ view("reader_rows", "SELECT file_hash, row_no, string_agg(text, ' ' ORDER BY n)
 view(
     "elements",
     """
-    SELECT file_hash, source_ref, NULL AS parent_ref, label, text, text AS context_text, page_no, l, t, r, b FROM reader_texts
+    SELECT file_hash, source_ref, CAST(NULL AS VARCHAR) AS parent_ref, label, text, text AS context_text, page_no, l, t, r, b FROM reader_texts
     UNION ALL
     SELECT file_hash, '#/tables/0', NULL, 'table', text, text, 1, 0.0, 100.0, 50.0, 40.0 FROM reader_tables
     UNION ALL
@@ -303,7 +303,7 @@ view(
     UNION ALL
     SELECT file_hash, page_no, 'infinity_markdown', CASE WHEN length(text) % 2 = 0 THEN '## ' || text ELSE 'N/A' END FROM turns
     UNION ALL
-    SELECT file_hash, page_no, 'markitdown_cu', upper(text) FROM turns WHERE role = 'assistant'
+    SELECT file_hash, page_no, 'markitdown_cu', '# ' || text FROM turns WHERE role = 'assistant'
     """,
 )
 
@@ -313,7 +313,7 @@ def page_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = turns(spark, sf_dir)
     even = F.length("text") % 2 == 0
     gaps = F.when(even, F.concat(F.lit("## "), "text")).otherwise("N/A")
-    some = F.when(F.col("role") == "assistant", F.upper("text"))
+    some = F.when(F.col("role") == "assistant", F.concat(F.lit("# "), "text"))
     made = F.array(
         F.struct(F.lit("markitdown").alias("engine"), F.col("text").alias("body")),
         F.struct(F.lit("infinity_markdown").alias("engine"), gaps.alias("body")),
