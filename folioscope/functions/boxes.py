@@ -162,11 +162,11 @@ def rotate(rect: Column, width: Column, height: Column, degrees: Column) -> Colu
 
 def percent(value: Column, total: Column) -> Column:
     bounded = F.greatest(F.lit(0.0), F.least(F.lit(100.0), value / total * 100.0))
-    return F.when(total <= 0, F.lit(0.0)).otherwise(bounded)
+    return F.when(total <= 0, F.lit(0.0)).when(value.isNotNull(), bounded)
 
 
 def clamp(value: Column, low: float, high: float) -> Column:
-    return F.greatest(F.lit(low), F.least(F.lit(high), value))
+    return F.when(value.isNotNull(), F.greatest(F.lit(low), F.least(F.lit(high), value)))
 
 
 def normalize(

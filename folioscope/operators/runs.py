@@ -37,7 +37,9 @@ def micros(timestamp: Column) -> Column:
 
 
 def elapsed_ms(start: Column, end: Column) -> Column:
-    return F.greatest(F.lit(0.0), (micros(end) - micros(start)) / 1000.0)
+    """Never negative; NULL when either end is missing (``greatest`` skips NULLs)."""
+    took = (micros(end) - micros(start)) / 1000.0
+    return F.when(took.isNotNull(), F.greatest(F.lit(0.0), took))
 
 
 def page_pair(df_file: str = "file_hash", page: str = "page_no") -> Column:
