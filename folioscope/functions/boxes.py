@@ -32,6 +32,7 @@ def bind(value: Column, use: Callable[[Column], Column]) -> Column:
 
 
 def make_box(left: Column, top: Column, right: Column, bottom: Column, origin: Column | str = TOP_LEFT) -> Column:
+    """A box, or NULL when a side is missing."""
     origin = F.lit(origin) if isinstance(origin, str) else origin
     built = F.struct(
         left.cast("double").alias("left"),
@@ -40,8 +41,8 @@ def make_box(left: Column, top: Column, right: Column, bottom: Column, origin: C
         bottom.cast("double").alias("bottom"),
         origin.alias("coord_origin"),
     )
-    complete = left.isNotNull() & top.isNotNull() & right.isNotNull() & bottom.isNotNull()
-    return F.when(complete, built)
+    missing = lambda s: s["left"].isNull() | s["top"].isNull() | s["right"].isNull() | s["bottom"].isNull()
+    return bind(built, lambda s: F.when(~missing(s), s))
 
 
 def box_from_json(raw: Column) -> Column:
@@ -58,40 +59,54 @@ def box_from_list(values: Column) -> Column:
 
 
 def _scaled(box: Column, x: Column, y: Column) -> Column:
-    return make_box(box["left"] * x, box["top"] * y, box["right"] * x, box["bottom"] * y)
+    return F.struct(
+        (box["left"] * x).alias("left"),
+        (box["top"] * y).alias("top"),
+        (box["right"] * x).alias("right"),
+        (box["bottom"] * y).alias("bottom"),
+        F.lit(TOP_LEFT).alias("coord_origin"),
+    )
+
+
+def _divided(box: Column, scale: float, width: Column, height: Column) -> Column:
+    side = lambda name, total: (box[name] / F.lit(scale) * total).alias(name)
+    return F.struct(
+        side("left", width), side("top", height), side("right", width), side("bottom", height),
+        F.lit(TOP_LEFT).alias("coord_origin"),
+    )
 
 
 def autoscale(box: Column, width: Column, height: Column) -> Column:
     """Unit, per-mille or page coordinates, told apart by the largest value."""
-    largest = F.greatest(*[F.abs(box[side]) for side in SIDES])
-    part = lambda side, total, scale: box[side] / F.lit(scale) * total
-    scaled = lambda s: make_box(
-        part("left", width, s), part("top", height, s), part("right", width, s), part("bottom", height, s)
-    )
-    has_page = width.isNotNull() & height.isNotNull() & box.isNotNull()
-    return F.when(
-        has_page,
-        F.when(largest <= 1.0, scaled(1.0))
-        .when(largest <= NORMALIZED_SCALE, scaled(NORMALIZED_SCALE))
-        .otherwise(_scaled(box, F.lit(1.0), F.lit(1.0))),
-    )
+
+    def scaled(b: Column) -> Column:
+        largest = F.greatest(*[F.abs(b[side]) for side in SIDES])
+        return (
+            F.when(b.isNull(), F.lit(None))
+            .when(largest <= 1.0, _divided(b, 1.0, width, height))
+            .when(largest <= NORMALIZED_SCALE, _divided(b, NORMALIZED_SCALE, width, height))
+            .otherwise(_scaled(b, F.lit(1.0), F.lit(1.0)))
+        )
+
+    return F.when(width.isNotNull() & height.isNotNull(), bind(box, scaled))
 
 
 def autoscale_strict(box: Column, width: Column, height: Column) -> Column:
     """As ``autoscale``, but an empty or inverted box is rejected."""
-    return F.when((box["right"] > box["left"]) & (box["bottom"] > box["top"]), autoscale(box, width, height))
+    proper = lambda b: F.when((b["right"] > b["left"]) & (b["bottom"] > b["top"]), autoscale(b, width, height))
+    return bind(box, proper)
 
 
 def rescale(box: Column, source_width: Column, source_height: Column, width: Column, height: Column) -> Column:
     """From source page size to target page size."""
-    known = box.isNotNull() & source_width.isNotNull() & source_height.isNotNull() & width.isNotNull() & height.isNotNull()
-    sized = (source_width > 0) & (source_height > 0)
-    return F.when(
-        known,
-        F.when(sized, _scaled(box, width / source_width, height / source_height)).otherwise(
-            _scaled(box, F.lit(1.0), F.lit(1.0))
-        ),
-    )
+
+    def moved(b: Column) -> Column:
+        sized = (source_width > 0) & (source_height > 0)
+        stretched = _scaled(b, width / source_width, height / source_height)
+        return F.when(b.isNotNull(), F.when(sized, stretched).otherwise(_scaled(b, F.lit(1.0), F.lit(1.0))))
+
+    known = source_width.isNotNull() & source_height.isNotNull() & width.isNotNull() & height.isNotNull()
+    return F.when(known, bind(box, moved))
 
 
 def display_box(
