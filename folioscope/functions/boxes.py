@@ -6,11 +6,10 @@ a rectangle is ``struct<left, top, width, height: double>``.
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from folioscope.functions.binding import bind
 from folioscope.functions.casts import to_float
 
 TOP_LEFT = "TOPLEFT"
@@ -26,11 +25,6 @@ RAW_BOX_JSON = (
 )
 
 
-def bind(value: Column, use: Callable[[Column], Column]) -> Column:
-    """``use(value)`` with the value computed once, however often it is used."""
-    return F.element_at(F.transform(F.array(value), use), 1)
-
-
 def make_box(left: Column, top: Column, right: Column, bottom: Column, origin: Column | str = TOP_LEFT) -> Column:
     """A box, or NULL when a side is missing."""
     origin = F.lit(origin) if isinstance(origin, str) else origin

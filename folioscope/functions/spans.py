@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from folioscope.functions import text as txt
+from folioscope.functions.binding import bind
 
 TERM_TYPE = T.ArrayType(
     T.StructType().add("token", T.StringType()).add("char_start", T.IntegerType()).add("char_end", T.IntegerType())
@@ -139,11 +140,14 @@ def phrase_spans(query: Column, text: Column) -> Column:
 
 def first_hit(query: Column, text: Column) -> Column:
     """0-based position of the phrase, else of the earliest query token, else 0."""
-    lowered = F.lower(text)
-    whole = F.instr(lowered, query) - 1
-    places = F.transform(txt.query_tokens(query), lambda token: F.instr(lowered, token) - 1)
-    nearest = F.array_min(F.filter(places, lambda place: place >= 0))
-    return F.when(whole >= 0, whole).otherwise(F.coalesce(nearest, F.lit(0)))
+
+    def position(lowered: Column) -> Column:
+        whole = F.instr(lowered, query) - 1
+        places = F.transform(txt.query_tokens(query), lambda token: F.instr(lowered, token) - 1)
+        nearest = F.array_min(F.filter(places, lambda place: place >= 0))
+        return F.when(whole >= 0, whole).otherwise(F.coalesce(nearest, F.lit(0)))
+
+    return bind(F.lower(text), position)
 
 
 def snippet(query: Column, text: Column, size: int = SNIPPET_CHARS) -> Column:

@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from folioscope.functions.binding import bind
+
 # The characters that count as white space at the ends of a text.
 SPACE_CHARS = (
     " \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0\u1680"
@@ -134,9 +136,12 @@ def chunk_windows(text: Column, max_chars: int = 4000, overlap_chars: int = 400)
     """
     if max_chars <= overlap_chars:
         raise ValueError("max_chars must be greater than overlap_chars.")
-    body = normalized_lines(text)
     step = max_chars - overlap_chars
-    windows = F.greatest(F.lit(1), F.ceil((F.length(body) - overlap_chars) / F.lit(step))).cast("int")
-    starts = F.sequence(F.lit(0), windows - 1)
-    pieces = F.transform(starts, lambda i: strip(F.substring(body, i * step + 1, F.lit(max_chars))))
-    return F.filter(pieces, lambda piece: piece != "")
+
+    def windows(body: Column) -> Column:
+        count = F.greatest(F.lit(1), F.ceil((F.length(body) - overlap_chars) / F.lit(step))).cast("int")
+        starts = F.sequence(F.lit(0), count - 1)
+        pieces = F.transform(starts, lambda i: strip(F.substring(body, i * step + 1, F.lit(max_chars))))
+        return F.filter(pieces, lambda piece: piece != "")
+
+    return bind(normalized_lines(text), windows)
