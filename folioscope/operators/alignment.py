@@ -16,6 +16,7 @@ from pyspark.sql import types as T
 from folioscope.functions import boxes
 from folioscope.functions import text as txt
 from folioscope.functions.grouping import blocked_row_number, first_per_group
+from folioscope.functions.rows import explode_rows
 
 # Windows of n-1 to n+2 words, the length penalty, the least scores.
 SHORT_TARGET = 3
@@ -135,9 +136,8 @@ def _numbered(words: DataFrame, order: list[Column]) -> DataFrame:
 
 def page_words(tokens: DataFrame) -> DataFrame:
     """Page words split into evidence tokens, numbered over the page."""
-    spread = tokens.select(
-        "file_hash", "page_no", "place", "box", F.posexplode(txt.evidence_tokens(F.col("text"))).alias("part", "word")
-    ).withColumn("scope", F.lit(""))
+    keep = ["file_hash", "page_no", "place", "box"]
+    spread = explode_rows(tokens, keep, txt.evidence_tokens(F.col("text")), "word", "part").withColumn("scope", F.lit(""))
     return _numbered(spread, [F.col("place"), F.col("part")])
 
 

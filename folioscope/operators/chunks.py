@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from folioscope.functions import ids
 from folioscope.functions import text as txt
 from folioscope.functions.grouping import blocked_row_number, blocked_running_sum, null_safe_on, ordered_concat
+from folioscope.functions.rows import explode_rows
 
 CHAR_CHUNKER = "char-v1"
 PACK_CHUNKER = "packed-v1"
@@ -19,8 +20,8 @@ PACK_CHUNKER = "packed-v1"
 
 def character_chunks(files: DataFrame, max_chars: int = 4000, overlap_chars: int = 400) -> DataFrame:
     """Chunk table from plain text; the index counts the chunks that are kept."""
-    pieces = files.select("file_hash", F.posexplode(txt.chunk_windows(F.col("text"), max_chars, overlap_chars)))
-    return _chunk_rows(pieces.withColumnsRenamed({"pos": "chunk_index", "col": "text"}), F.lit(CHAR_CHUNKER))
+    windows = txt.chunk_windows(F.col("text"), max_chars, overlap_chars)
+    return _chunk_rows(explode_rows(files, ["file_hash"], windows, "text", "chunk_index"), F.lit(CHAR_CHUNKER))
 
 
 def _chunk_rows(pieces: DataFrame, chunker: Column) -> DataFrame:
@@ -106,9 +107,8 @@ def budget_parts(text: Column, max_tokens: int = 1200) -> Column:
 
 def split_oversized(chunks: DataFrame, max_tokens: int = 1200) -> DataFrame:
     """Adds part_index and is_split; parts of one text keep their order."""
-    parts = chunks.withColumn("_parts", budget_parts(F.col("text"), max_tokens))
-    exploded = parts.select("*", F.posexplode("_parts").alias("part_index", "part_text"))
-    return exploded.withColumn("is_split", F.length("part_text") != F.length("text")).drop("_parts")
+    exploded = explode_rows(chunks, ["*"], budget_parts(F.col("text"), max_tokens), "part_text", "part_index")
+    return exploded.withColumn("is_split", F.length("part_text") != F.length("text"))
 
 
 def pack_elements(

@@ -14,6 +14,7 @@ from folioscope.functions import boxes, ids
 from folioscope.functions import text as txt
 from folioscope.functions.casts import to_float, to_int
 from folioscope.functions.grouping import first_per_group, ordered_concat
+from folioscope.functions.rows import explode_rows
 
 PROV_JSON = f"array<struct<page_no:string,bbox:{boxes.RAW_BOX_JSON}>>"
 LAYOUT_JSON = (
@@ -52,7 +53,7 @@ def _filled(value: Column, otherwise: Column | None = None) -> Column:
 
 def text_elements(layouts: DataFrame) -> DataFrame:
     """One row per text item and place on a page."""
-    items = layouts.select("file_hash", F.posexplode("layout.texts").alias("item_no", "item"))
+    items = explode_rows(layouts, ["file_hash"], "layout.texts", "item", "item_no")
     named = items.select(
         "file_hash",
         "item_no",
@@ -76,7 +77,7 @@ def text_elements(layouts: DataFrame) -> DataFrame:
 
 
 def _tables(layouts: DataFrame) -> DataFrame:
-    tables = layouts.select("file_hash", F.posexplode("layout.tables").alias("table_no", "item"))
+    tables = explode_rows(layouts, ["file_hash"], "layout.tables", "item", "table_no")
     pages = F.transform("item.prov", lambda prov: to_int(prov["page_no"]))
     boxed = F.filter("item.prov", lambda prov: prov["bbox"].isNotNull())
     return tables.select(
@@ -163,10 +164,10 @@ def layout_pages(layouts: DataFrame) -> DataFrame:
     keyed_type = "map<string,struct<page_no:string,size:struct<width:string,height:string>>>"
     listed_type = "array<struct<dimensions:struct<width:string,height:string>>>"
     is_list = F.startswith(F.ltrim(pages), F.lit("["))
-    keyed = layouts.filter(~is_list).select(
-        "file_hash", F.posexplode(F.map_values(F.from_json(pages, keyed_type))).alias("at", "page")
-    )
-    listed = layouts.filter(is_list).select("file_hash", F.posexplode(F.from_json(pages, listed_type)).alias("at", "page"))
+    keyed_pages = F.when(~is_list, F.map_values(F.from_json(pages, keyed_type)))
+    keyed = explode_rows(layouts, ["file_hash"], keyed_pages, "page", "at")
+    listed_pages = F.when(is_list, F.from_json(pages, listed_type))
+    listed = explode_rows(layouts, ["file_hash"], listed_pages, "page", "at")
     number = to_int(F.col("page.page_no"))
     by_key = keyed.select(
         "file_hash",
@@ -197,7 +198,7 @@ def variant_object(value: Column, name: str) -> Column:
 def content_pages(raw: DataFrame, output: str = "output_json") -> DataFrame:
     """Page sizes of the content-list reader: middle_json.pdf_info[].page_size."""
     middle = variant_object(F.try_parse_json(F.col(output)), "middle_json")
-    entries = raw.select("file_hash", F.posexplode(variant_array(middle, "$.pdf_info")).alias("at", "page"))
+    entries = explode_rows(raw, ["file_hash"], variant_array(middle, "$.pdf_info"), "page", "at")
     index = to_int(F.try_variant_get("page", "$.page_idx", "string"))
     return entries.select(
         "file_hash",
@@ -210,11 +211,8 @@ def content_pages(raw: DataFrame, output: str = "output_json") -> DataFrame:
 def explode_layout_pages(raw: DataFrame, output: str = "output_json") -> DataFrame:
     """Pages of the per-page layout reader, with number and size."""
     data = F.try_parse_json(F.col(output))
-    pages = raw.select(
-        "file_hash",
-        F.try_variant_get(data, "$.model", "string").alias("model"),
-        F.posexplode(variant_array(data, "$.pages")).alias("at", "page"),
-    )
+    model = F.try_variant_get(data, "$.model", "string").alias("model")
+    pages = explode_rows(raw, ["file_hash", model], variant_array(data, "$.pages"), "page", "at")
     number = to_int(F.try_variant_get("page", "$.page_no", "string"))
     return pages.select(
         "file_hash",
@@ -251,9 +249,8 @@ def document_pages(ranked_sources: list[DataFrame]) -> DataFrame:
 
 def chunk_items(chunks: DataFrame, metadata: str = "metadata_json") -> DataFrame:
     parsed = chunks.withColumn("_meta", F.from_json(F.col(metadata), ITEM_JSON))
-    return parsed.select(
-        "file_hash", "chunk_id", "chunk_index", F.posexplode("_meta.docling_meta.doc_items").alias("item_no", "item")
-    )
+    keep = ["file_hash", "chunk_id", "chunk_index"]
+    return explode_rows(parsed, keep, "_meta.docling_meta.doc_items", "item", "item_no")
 
 
 def elements_by_item_ref(elements: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from folioscope.functions import text as txt
 from folioscope.functions.grouping import first_per_group, ordered_concat
+from folioscope.functions.rows import explode_rows
 from folioscope.operators import elements as el
 
 # Generators in order of trust, their labels, and the reader order for fallbacks.
@@ -44,9 +45,7 @@ def split_page_sections(documents: DataFrame, text: str = "text") -> DataFrame:
     Text before the first marker is dropped; sections of the same page are
     joined in order.
     """
-    exploded = documents.select(
-        "file_hash", F.posexplode(_sections(F.col(text), SECTION_MARKER)).alias("section_no", "section")
-    ).select("file_hash", "section_no", F.col("section.page_no").alias("page_no"), F.col("section.content").alias("content"))
+    exploded = explode_rows(documents, ["file_hash"], _sections(F.col(text), SECTION_MARKER), "section", "section_no").select("file_hash", "section_no", F.col("section.page_no").alias("page_no"), F.col("section.content").alias("content"))
     filled = exploded.withColumn("content", F.when(F.col("content") != "", F.col("content")))
     return ordered_concat(filled, ["file_hash", "page_no"], "section_no", "content", "\n\n", "markdown_text").withColumn(
         "markdown_text", txt.strip(F.col("markdown_text"))
@@ -121,7 +120,7 @@ def comment_pages(documents: DataFrame, text: str = "text") -> DataFrame:
     first = F.array(F.struct(F.lit(1).alias("page_no"), lead.alias("content")))
     marked = F.size(sections) > 0
     everything = F.when(marked & (lead != ""), F.concat(first, sections)).when(marked, sections)
-    exploded = documents.select("file_hash", F.posexplode(everything).alias("at", "s"))
+    exploded = explode_rows(documents, ["file_hash"], everything, "s", "at")
     return exploded.groupBy(F.col("file_hash"), F.col("s.page_no").alias("page_no")).agg(
         F.max_by("s.content", "at").alias("page_text")
     )
@@ -129,7 +128,7 @@ def comment_pages(documents: DataFrame, text: str = "text") -> DataFrame:
 
 def layout_page_text(layouts: DataFrame) -> DataFrame:
     """Texts of the layout reader joined per page, page of the first place."""
-    items = layouts.select("file_hash", F.posexplode("layout.texts").alias("item_no", "item"))
+    items = explode_rows(layouts, ["file_hash"], "layout.texts", "item", "item_no")
     text = F.when(F.coalesce("item.text", F.lit("")) != "", F.col("item.text")).otherwise(F.col("item.orig"))
     page = F.try_element_at(F.col("item.prov"), F.lit(1))["page_no"].try_cast("int")
     used = items.select("file_hash", "item_no", page.alias("page_no"), text.alias("text"))
@@ -140,7 +139,8 @@ def layout_page_text(layouts: DataFrame) -> DataFrame:
 def content_page_text(raw: DataFrame, output: str = "output_json") -> DataFrame:
     """Texts of the content-list reader joined per page."""
     data = F.try_parse_json(F.col(output))
-    items = raw.select("file_hash", F.posexplode(F.try_variant_get(data, "$.content_list", "array<variant>")).alias("item_no", "item"))
+    listed = F.try_variant_get(data, "$.content_list", "array<variant>")
+    items = explode_rows(raw, ["file_hash"], listed, "item", "item_no")
     member = lambda name: F.try_variant_get("item", f"$.{name}", "string")
     text = F.when(F.coalesce(member("text"), F.lit("")) != "", member("text")).otherwise(member("content"))
     page = F.try_variant_get("item", "$.page_idx", "int") + 1

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from folioscope.functions import boxes, ids, kinds
 from folioscope.functions import text as txt
 from folioscope.functions.casts import to_int
+from folioscope.functions.rows import explode_rows
 from folioscope.operators import elements as el
 
 CONTENT_LABEL = "mineru_region"
@@ -132,7 +133,7 @@ def _content_list(raw: DataFrame, output: str) -> DataFrame:
     inner = F.flatten(F.transform("_items", lambda item: F.try_variant_get(item, "$", "array<variant>")))
     items = raw.select("file_hash", F.try_variant_get(data, "$.backend", "string").alias("model"), listed.alias("_items"))
     flat = items.withColumn("_items", F.when(nested, inner).otherwise(F.col("_items")))
-    return flat.select("file_hash", "model", F.posexplode("_items").alias("item_no", "item"))
+    return explode_rows(flat, ["file_hash", "model"], "_items", "item", "item_no")
 
 
 def _with_sizes(items: DataFrame, source_pages: DataFrame, target_pages: DataFrame) -> DataFrame:
@@ -171,15 +172,12 @@ def content_regions(
     done = from_list.select("file_hash").distinct()
     data = F.try_parse_json(F.col(output))
     middle = el.variant_object(data, "middle_json")
-    rest = raw.join(done, "file_hash", "left_anti").select(
-        "file_hash",
-        F.try_variant_get(data, "$.backend", "string").alias("model"),
-        F.posexplode(F.try_variant_get(middle, "$.pdf_info", "array<variant>")).alias("at", "page"),
-    )
+    model = F.try_variant_get(data, "$.backend", "string").alias("model")
+    page_list = F.try_variant_get(middle, "$.pdf_info", "array<variant>")
+    rest = explode_rows(raw.join(done, "file_hash", "left_anti"), ["file_hash", model], page_list, "page", "at")
     page_index = F.coalesce(to_int(F.try_variant_get("page", "$.page_idx", "string")), F.col("at"))
-    walked = rest.select(
-        "file_hash", "model", (page_index + 1).alias("page_no"), F.posexplode(el.boxed_items(F.to_json("page"))).alias("item_no", "_json")
-    )
+    numbered_pages = ["file_hash", "model", (page_index + 1).alias("page_no")]
+    walked = explode_rows(rest, numbered_pages, el.boxed_items(F.to_json("page")), "_json", "item_no")
     items = walked.select(
         "file_hash", "model", F.parse_json("_json").alias("item"), "page_no",
         F.concat_ws(":", F.lit("mineru:middle"), F.col("page_no").cast("string"), F.col("item_no").cast("string")).alias("source_ref"),
@@ -212,10 +210,9 @@ def layout_page_regions(
     plain = with_result.withColumn("_items", listed)
     base = ["file_hash", "model", "page_no", "width", "height"]
     objects = F.filter("_items", lambda item: F.startswith(F.schema_of_variant(item), F.lit("OBJECT")))
-    simple = plain.filter(F.col("_items").isNotNull()).select(*base, F.posexplode(objects).alias("item_no", "item"))
-    nested = plain.filter(F.col("_items").isNull()).select(
-        *base, F.posexplode(el.placed_items(F.to_json("_result"))).alias("item_no", "_json")
-    )
+    simple = explode_rows(plain, base, objects, "item", "item_no")
+    unlisted = F.when(F.col("_items").isNull(), F.to_json("_result"))
+    nested = explode_rows(plain, base, el.placed_items(unlisted), "_json", "item_no")
     items = simple.unionByName(nested.withColumn("item", F.parse_json("_json")).drop("_json"))
     box = boxes.box_from_list(F.coalesce(*[_non_empty(_item_box(key)) for key in el.ITEM_BOX_KEYS]))
     label = F.coalesce(*[_filled(_item_member(key)) for key in ("category", "type", "label", "region_kind")], F.lit(LAYOUT_LABEL))

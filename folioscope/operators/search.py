@@ -16,6 +16,7 @@ from folioscope.functions import kinds, similarity, spans
 from folioscope.functions import text as txt
 from folioscope.functions.casts import clamp_limit
 from folioscope.functions.grouping import first_per_group, salted_join, top_per_group
+from folioscope.functions.rows import explode_rows
 
 # Limits and the base score of each kind of hit.
 MAX_LIMIT = 100
@@ -65,7 +66,7 @@ def document_lengths(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
 def build_postings(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     """The inverted index: (document, token) with frequency and document length."""
     tokens = docs.select(F.col(doc_id), txt.term_tokens(F.col(text)).alias("_tokens"))
-    exploded = tokens.select(doc_id, F.size("_tokens").alias("doc_length"), F.explode("_tokens").alias("token"))
+    exploded = explode_rows(tokens, [doc_id, F.size("_tokens").alias("doc_length")], "_tokens", "token")
     return exploded.groupBy(doc_id, "token", "doc_length").agg(F.count("*").alias("tf"))
 
 
@@ -105,9 +106,9 @@ def bm25_scores(
     vocabulary = wanted.select("token").distinct()
     if index_path is None:
         tokens = docs.select(F.col(doc_id), txt.term_tokens(F.col(text)).alias("_tokens"))
-        unique = tokens.select(F.explode(F.array_distinct("_tokens")).alias("token"))
+        unique = explode_rows(tokens, [], F.array_distinct("_tokens"), "token")
         frequencies = unique.join(vocabulary, "token").groupBy("token").agg(F.count("*").alias("df"))
-        exploded = tokens.select(doc_id, F.size("_tokens").alias("doc_length"), F.explode("_tokens").alias("token"))
+        exploded = explode_rows(tokens, [doc_id, F.size("_tokens").alias("doc_length")], "_tokens", "token")
         postings = exploded.join(vocabulary, "token").groupBy(doc_id, "token", "doc_length").agg(F.count("*").alias("tf"))
         corpus = corpus_size(document_lengths(docs, doc_id, text))
     else:
@@ -163,13 +164,13 @@ def match_queries(texts: DataFrame, queries: DataFrame, key: str, haystack: str)
     no literal character to look for and matches nothing.
     """
     lowered = texts.select(key, F.lower(F.col(haystack)).alias("_hay"))
-    words = lowered.select(key, F.explode(F.array_distinct(F.split("_hay", txt.SPACE_RUN))).alias("_word"))
+    words = explode_rows(lowered, [key], F.array_distinct(F.split("_hay", txt.SPACE_RUN)), "_word")
     anchors = _anchors(queries)
     closed = anchors.filter("closed").select("query_id", F.col("piece").alias("_word"))
     opened = anchors.filter("NOT closed").withColumn("_gram", F.substring("piece", 1, GRAM))
     vocabulary = words.select("_word").distinct()
     sizes = F.array(*[_grams(F.col("_word"), size) for size in range(1, GRAM + 1)])
-    grams = vocabulary.select("_word", F.explode(F.flatten(sizes)).alias("_gram"))
+    grams = explode_rows(vocabulary, ["_word"], F.flatten(sizes), "_gram")
     fragments = grams.join(opened, "_gram").filter(F.contains("_word", "piece")).select("query_id", "_word")
     targets = closed.unionByName(fragments)
     candidates = salted_join(words, targets, ["_word"], [key]).select("query_id", key).distinct()

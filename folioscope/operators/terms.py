@@ -6,13 +6,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from folioscope.functions import ids, kinds
+from folioscope.functions.rows import explode_rows
 from folioscope.functions.spans import term_spans
 
 
 def build_terms(regions: DataFrame) -> DataFrame:
     """One row per word of every shown region; the box is that of the region."""
     shown = regions.filter(kinds.is_active_engine(F.col("annotation_engine")) & F.col("raw_bbox").isNotNull())
-    spans = shown.withColumn("_term", F.explode(term_spans(F.col("text"))))
+    spans = explode_rows(shown, ["*"], term_spans(F.col("text")), "_term")
     return spans.select(
         ids.term_id(F.col("region_id"), F.col("_term.char_start")).alias("document_term_id"),
         "file_hash",
