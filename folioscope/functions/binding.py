@@ -14,4 +14,4 @@ def bind(value: Column, use: Callable[[Column], Column]) -> Column:
     Without it an expression that is named several times, or inside the body
     of an array function, is evaluated again each time.
     """
-    return F.element_at(F.transform(F.array(value), use), 1)
+    return F.element_at(F.transform(F.array(value), lambda item: use(item)), 1)
