@@ -106,3 +106,22 @@ def salted_join(
     copies = F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))
     right = small.withColumn("_salt", copies)
     return left.join(right, [*on, "_salt"], how).drop("_salt")
+
+
+BROADCAST_ROWS = 100_000
+
+
+def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """Broadcast behind a check of the row count; a larger side is joined by shuffle.
+
+    Counting stops one row above the limit.  Meant for narrow rows.
+    """
+    is_small = df.limit(max_rows + 1).count() <= max_rows
+    return F.broadcast(df) if is_small else df
+
+
+def lookup_join(big: DataFrame, side: DataFrame, on: Sequence[str], salt_from: Sequence[str]) -> DataFrame:
+    """Inner join with a side that is mostly small: broadcast, else a salted shuffle."""
+    if side.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+        return big.join(F.broadcast(side), list(on))
+    return salted_join(big, side, on, salt_from)

@@ -17,6 +17,7 @@ from folioscope.functions import boxes
 from folioscope.functions import text as txt
 from folioscope.functions.grouping import blocked_row_number, first_per_group
 from folioscope.functions.rows import explode_rows
+from folioscope.session import cut_lineage
 
 # Windows of n-1 to n+2 words, the length penalty, the least scores.
 SHORT_TARGET = 3
@@ -25,6 +26,7 @@ LEAST_LONG = 0.72
 LENGTH_PENALTY = 0.12
 BAND_TOLERANCE = 8.0
 BAND_STEP = 32.0
+START_BLOCK = 64
 
 ROW_LABEL = "mistral_ocr_table_row"
 CELL_LABEL = "mistral_ocr_table_cell"
@@ -51,17 +53,29 @@ def _prefix_overlaps(target: list[str], window: list[str]) -> list[int]:
     return found
 
 
-@F.pandas_udf(T.ArrayType(T.StructType().add("size", T.IntegerType()).add("score", T.DoubleType())))
-def _window_scores(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-    """Scores of the windows that start at one word, for every allowed size."""
-    for targets, windows in batches:
+_GOOD_WINDOWS = T.ArrayType(
+    T.StructType().add("at", T.IntegerType()).add("size", T.IntegerType()).add("score", T.DoubleType())
+)
+
+
+@F.pandas_udf(_GOOD_WINDOWS)
+def _good_windows(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+    """Windows of a stretch of words that are good enough, from the given starts."""
+    for targets, stretches, starts in batches:
         rows = []
-        for target, window in zip(targets, windows):
-            n = len(target)
-            shared = _prefix_overlaps(list(target), list(window))
-            sizes = [s for s in sorted({max(1, n - 1), n, n + 1, n + 2}) if s <= len(shared)]
-            scores = [max(0.0, shared[s - 1] / n - abs(s - n) / n * LENGTH_PENALTY) for s in sizes]
-            rows.append([{"size": s, "score": score} for s, score in zip(sizes, scores)])
+        for target, words, offsets in zip(targets, stretches, starts):
+            n, target, words = len(target), list(target), list(words)
+            sizes = sorted({max(1, n - 1), n, n + 1, n + 2})
+            least = LEAST_SHORT if n <= SHORT_TARGET else LEAST_LONG
+            found = []
+            for at in offsets:
+                shared = _prefix_overlaps(target, words[at : at + n + 2])
+                for size in sizes:
+                    if size <= len(shared):
+                        score = max(0.0, shared[size - 1] / n - abs(size - n) / n * LENGTH_PENALTY)
+                        if score >= least:
+                            found.append({"at": at, "size": size, "score": score})
+            rows.append(found)
         yield pd.Series(rows)
 
 
@@ -103,20 +117,30 @@ def align(targets: DataFrame, words: DataFrame) -> DataFrame:
     earliest = F.greatest(F.lit(1), first - _may_miss() - 2)
     latest = first + _may_miss()
     starts = hits.filter(latest >= 1).select(*ELEMENT, "n", F.explode(F.sequence(earliest, latest)).alias("start")).distinct()
-    reach = F.sequence(F.col("start"), F.col("start") + F.col("n") + 1)
-    covered = starts.select(*ELEMENT, "start", F.explode(reach).alias("word_no")).join(words, [*SCOPE, "word_no"])
+    # Starts are taken in blocks, so that a word is read once per block and
+    # text instead of once per window.
+    low = F.greatest(F.col("_block") * START_BLOCK, F.lit(1))
+    blocks = starts.groupBy(*ELEMENT, "n", F.floor(F.col("start") / START_BLOCK).cast("int").alias("_block")).agg(
+        F.collect_set("start").alias("_starts")
+    )
+    reach = F.sequence(low, F.col("_block") * START_BLOCK + START_BLOCK + F.col("n") + 1)
+    covered = explode_rows(blocks, [*ELEMENT, "_block"], reach, "word_no").join(words, [*SCOPE, "word_no"])
     items = F.array_sort(F.collect_list(F.struct("word_no", "word", "box")))
-    windows = covered.groupBy(*ELEMENT, "start").agg(items.alias("_items"))
-    joined = windows.join(sized.select(*ELEMENT, "n", "tokens", "estimate"), ELEMENT)
-    scored = joined.withColumn("_scores", _window_scores(F.col("tokens"), F.transform("_items", lambda i: i["word"])))
-    each = scored.select(*ELEMENT, "n", "estimate", "start", "_items", F.explode("_scores").alias("_s"))
-    good = each.filter(F.col("_s.score") >= _least_score(F.col("n")))
-    used = F.slice("_items", F.lit(1), F.col("_s.size"))
+    stretches = covered.groupBy(*ELEMENT, "_block").agg(items.alias("_items"))
+    joined = stretches.join(blocks, [*ELEMENT, "_block"]).join(sized.select(*ELEMENT, "tokens", "estimate"), ELEMENT)
+    first_no = F.element_at("_items", 1)["word_no"]
+    offsets = F.transform("_starts", lambda start: (start - first_no).cast("int"))
+    scored = joined.withColumn("_good", _good_windows(F.col("tokens"), F.transform("_items", lambda i: i["word"]), offsets))
+    each = explode_rows(scored, [*ELEMENT, "estimate", "_items"], "_good", "_g")
+    used = F.slice("_items", F.col("_g.at") + 1, F.col("_g.size"))
     side = lambda name: F.transform(used, lambda item: item["box"][name])
     box = boxes.make_box(
         F.array_min(side("left")), F.array_min(side("top")), F.array_max(side("right")), F.array_max(side("bottom"))
     )
-    boxed = good.select(*ELEMENT, "estimate", "start", F.col("_s.size").alias("size"), F.col("_s.score").alias("score"), box.alias("raw_bbox"))
+    boxed = each.select(
+        *ELEMENT, "estimate", (first_no + F.col("_g.at")).alias("start"), F.col("_g.size").alias("size"),
+        F.col("_g.score").alias("score"), box.alias("raw_bbox"),
+    )
     guess = F.col("estimate").isNotNull()
     # Without an estimate the first window of the smallest size wins among equals.
     order = [
@@ -154,28 +178,35 @@ def _band_words(words: DataFrame, rows: DataFrame) -> DataFrame:
     return _numbered(unique, [F.col("place"), F.col("part")])
 
 
+def _align_cells(cells: DataFrame, rows: DataFrame, words: DataFrame) -> DataFrame:
+    """Cells within the band of their row; cells of no known row anywhere on the page."""
+    owner = rows.select("file_hash", "page_no", F.col("source_ref").alias("parent_ref"), F.lit(True).alias("_has_row"))
+    scoped = cells.join(owner, ["file_hash", "page_no", "parent_ref"], "left").withColumn(
+        "scope", F.when(F.col("_has_row"), F.col("parent_ref")).otherwise(F.lit(""))
+    )
+    in_row = align(scoped.filter("_has_row"), _band_words(words, rows))
+    return in_row.unionByName(align(scoped.filter("_has_row IS NULL"), words))
+
+
 def align_elements(elements: DataFrame, tokens: DataFrame) -> DataFrame:
     """Boxes of reader elements: rows and loose texts on the page, cells in their row, tables around their parts.
 
     ``elements``: file_hash, page_no, source_ref, parent_ref, label, text, estimate.
     ``tokens``: file_hash, page_no, place, text, box.
     """
-    words = page_words(tokens)
+    # Page words and placed texts are used several times each and are cut off.
+    words = cut_lineage(page_words(tokens))
     tokenized = elements.withColumn("tokens", txt.evidence_tokens(F.col("text")))
     on_page = tokenized.filter(~F.col("label").isin(CELL_LABEL, TABLE_LABEL)).withColumn("scope", F.lit(""))
     found = align(on_page, words)
     keys = ["file_hash", "page_no", "source_ref"]
-    placed = found.select(*keys, "score", "raw_bbox")
-    is_row = on_page.filter(F.col("label") == ROW_LABEL).select(*keys)
-    rows = placed.join(is_row, keys, "left_semi")
+    placed = cut_lineage(found.select(*keys, "score", "raw_bbox"))
     cells = tokenized.filter(F.col("label") == CELL_LABEL)
-    owner = rows.select("file_hash", "page_no", F.col("source_ref").alias("parent_ref"), F.lit(True).alias("_has_row"))
-    scoped = cells.join(owner, ["file_hash", "page_no", "parent_ref"], "left").withColumn(
-        "scope", F.when(F.col("_has_row"), F.col("parent_ref")).otherwise(F.lit(""))
-    )
-    in_row = align(scoped.filter("_has_row"), _band_words(words, rows))
-    loose = align(scoped.filter("_has_row IS NULL"), words)
-    parts = placed.unionByName(in_row.select(*keys, "score", "raw_bbox")).unionByName(loose.select(*keys, "score", "raw_bbox"))
+    parts = placed
+    if not cells.isEmpty():
+        is_row = on_page.filter(F.col("label") == ROW_LABEL).select(*keys)
+        rows = placed.join(is_row, keys, "left_semi")
+        parts = cut_lineage(placed.unionByName(_align_cells(cells, rows, words).select(*keys, "score", "raw_bbox")))
     owners = F.split("source_ref", "/")
     tables = elements.filter(F.col("label") == TABLE_LABEL).select("file_hash", "source_ref").distinct()
     prefixes = F.transform(F.sequence(F.lit(1), F.size(owners) - 1), lambda n: F.array_join(F.slice(owners, F.lit(1), n), "/"))

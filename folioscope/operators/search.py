@@ -15,8 +15,9 @@ from pyspark.sql import functions as F
 from folioscope.functions import kinds, similarity, spans
 from folioscope.functions import text as txt
 from folioscope.functions.casts import clamp_limit
-from folioscope.functions.grouping import first_per_group, salted_join, top_per_group
+from folioscope.functions.grouping import broadcast_if_small, first_per_group, lookup_join, salted_join, top_per_group
 from folioscope.functions.rows import explode_rows
+from folioscope.session import cut_lineage
 
 # Limits and the base score of each kind of hit.
 MAX_LIMIT = 100
@@ -103,7 +104,7 @@ def bm25_scores(
     some query asks for go on; frequencies need no shuffle of documents.
     """
     wanted = query_terms(queries)
-    vocabulary = wanted.select("token").distinct()
+    vocabulary = broadcast_if_small(wanted.select("token").distinct())
     if index_path is None:
         tokens = docs.select(F.col(doc_id), txt.term_tokens(F.col(text)).alias("_tokens"))
         unique = explode_rows(tokens, [], F.array_distinct("_tokens"), "token")
@@ -113,15 +114,18 @@ def bm25_scores(
         corpus = corpus_size(document_lengths(docs, doc_id, text))
     else:
         spark = docs.sparkSession
-        postings = spark.read.parquet(f"{index_path}/postings").drop("bucket")
+        postings = spark.read.parquet(f"{index_path}/postings").drop("bucket").join(vocabulary, "token")
         frequencies = spark.read.parquet(f"{index_path}/vocabulary").join(vocabulary, "token")
         corpus = spark.read.parquet(f"{index_path}/corpus")
     n_docs = corpus.select("n_docs").scalar()
     avg_length = corpus.select("avg_length").scalar()
     idf = F.log(1.0 + (n_docs - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weights = wanted.join(frequencies, "token").select("query_id", "token", idf.alias("idf"))
+    # Frequencies are cut off here: they are one row per asked token, and both
+    # the size check and the join need them.
+    weights = cut_lineage(wanted.join(frequencies, "token").select("query_id", "token", "df"))
+    rated = weights.select("query_id", "token", idf.alias("idf"))
     norm = F.col("tf") + BM25_K1 * (1.0 - BM25_B + BM25_B * F.col("doc_length") / avg_length)
-    hits = salted_join(postings, weights, ["token"], [doc_id])
+    hits = lookup_join(postings, rated, ["token"], [doc_id])
     part = F.col("idf") * F.col("tf") * (BM25_K1 + 1.0) / norm
     return hits.groupBy("query_id", doc_id).agg(F.sum(part).alias("bm25"))
 
@@ -129,32 +133,47 @@ def bm25_scores(
 # --- plain text --------------------------------------------------------------
 
 
-def _anchors(queries: DataFrame) -> DataFrame:
-    """One anchor per query: the longest word its hits must contain.
+WHOLE, START, END, INSIDE = "=", "^", "$", "*"
 
-    A word is closed (must appear whole) when a blank stands on both sides of
-    it inside the query and it has no wildcard; otherwise only a fragment of a
-    word of the text is certain.
-    """
-    words = queries.select("query_id", F.posexplode(F.split("query", " ")).alias("at", "word"))
-    last = F.col("_count") - 1
-    counted = words.join(
-        queries.select("query_id", F.size(F.split("query", " ")).alias("_count")), "query_id"
-    )
-    wild = F.col("word").rlike("[%_]")
-    fragment = F.explode(F.split("word", "[%_]"))
-    pieces = counted.select(
-        "query_id",
-        fragment.alias("piece"),
-        ((F.col("at") > 0) & (F.col("at") < last) & ~wild).alias("closed"),
-    ).filter(F.col("piece") != "")
-    order = [F.col("closed").desc(), F.length("piece").desc(), F.col("piece")]
-    return first_per_group(pieces, ["query_id"], order)
 
+def _anchors(queries: DataFrame) -> DataFrame:
+    """One anchor per query: the longest piece of a word its hits must contain.
 
-def _grams(word: Column, size: int) -> Column:
+    A blank beside a word of the query is also in the text, so that side of
+    the word is fixed: words between blanks appear whole, the first word of a
+    query ends a word of the text, the last one starts one.  A wildcard leaves
+    its side open.  ``probe`` is what is looked up: the word, or up to three
+    letters of its fixed side.
+    """
+    parts = F.split("query", " ")
+    words = explode_rows(queries, ["query_id", F.size(parts).alias("_words")], parts, "word", "_place")
+    pieces = explode_rows(
+        words, ["query_id", "_words", "_place", F.size(F.split("word", "[%_]", -1)).alias("_pieces")],
+        F.split("word", "[%_]", -1), "piece", "_part",
+    )
+    from_start = (F.col("_part") == 0) & (F.col("_place") > 0)
+    to_end = (F.col("_part") == F.col("_pieces") - 1) & (F.col("_place") < F.col("_words") - 1)
+    kind = F.when(from_start & to_end, WHOLE).when(from_start, START).when(to_end, END).otherwise(INSIDE)
+    rated = pieces.withColumn("kind", kind).filter(F.col("piece") != "")
+    order = [F.instr(F.lit("=^$*"), F.col("kind")), F.length("piece").desc(), F.col("piece")]
+    best = first_per_group(rated, ["query_id"], order)
+    size = F.least(F.length("piece"), F.lit(GRAM))
+    letters = F.when(F.col("kind") == END, F.right("piece", size)).otherwise(F.left("piece", size))
+    keyed = best.withColumn("size", F.when(F.col("kind") == WHOLE, F.lit(0)).otherwise(size))
+    looked_up = F.concat("kind", F.when(F.col("kind") == WHOLE, F.col("piece")).otherwise(letters))
+    return keyed.select("query_id", "piece", "kind", "size", looked_up.alias("probe"))
+
+
+def _probes(word: Column, kind: str, size: int) -> Column:
+    """What a word of the text can be looked up by, for one kind of anchor."""
+    if kind == WHOLE:
+        return F.array(F.concat(F.lit(WHOLE), word))
+    if kind == START:
+        return F.array(F.concat(F.lit(START), F.left(word, F.lit(size))))
+    if kind == END:
+        return F.array(F.concat(F.lit(END), F.right(word, F.lit(size))))
     starts = F.sequence(F.lit(1), F.greatest(F.length(word) - (size - 1), F.lit(1)))
-    return F.array_distinct(F.transform(starts, lambda i: F.substring(word, i, F.lit(size))))
+    return F.array_distinct(F.transform(starts, lambda i: F.concat(F.lit(INSIDE), F.substring(word, i, F.lit(size)))))
 
 
 def match_queries(texts: DataFrame, queries: DataFrame, key: str, haystack: str) -> DataFrame:
@@ -162,22 +181,32 @@ def match_queries(texts: DataFrame, queries: DataFrame, key: str, haystack: str)
 
     ``%`` and ``_`` in a query are wildcards.  A query of wildcards only has
     no literal character to look for and matches nothing.
+
+    The texts are read twice and never shuffled while the asked queries and
+    their candidates are few: first for the words, then to check the
+    candidates.  Many of either are joined by shuffle instead.
     """
+    anchors = cut_lineage(_anchors(queries))
+    # At most ten (kind, size) pairs exist.
+    needed = sorted((row["kind"], row["size"]) for row in anchors.select("kind", "size").distinct().collect())
     lowered = texts.select(key, F.lower(F.col(haystack)).alias("_hay"))
+    if not needed:
+        return lowered.select(F.lit(None).cast(queries.schema["query_id"].dataType).alias("query_id"), key).filter(F.lit(False))
     words = explode_rows(lowered, [key], F.array_distinct(F.split("_hay", txt.SPACE_RUN)), "_word")
-    anchors = _anchors(queries)
-    closed = anchors.filter("closed").select("query_id", F.col("piece").alias("_word"))
-    opened = anchors.filter("NOT closed").withColumn("_gram", F.substring("piece", 1, GRAM))
-    vocabulary = words.select("_word").distinct()
-    sizes = F.array(*[_grams(F.col("_word"), size) for size in range(1, GRAM + 1)])
-    grams = explode_rows(vocabulary, ["_word"], F.flatten(sizes), "_gram")
-    fragments = grams.join(opened, "_gram").filter(F.contains("_word", "piece")).select("query_id", "_word")
-    targets = closed.unionByName(fragments)
-    candidates = salted_join(words, targets, ["_word"], [key]).select("query_id", key).distinct()
+    probes = F.flatten(F.array(*[_probes(F.col("_word"), kind, size) for kind, size in needed]))
+    probed = explode_rows(words, [key, "_word"], probes, "probe")
+    met = lookup_join(probed, anchors, ["probe"], [key])
+    fits = (
+        F.when(F.col("kind") == WHOLE, F.lit(True))
+        .when(F.col("kind") == START, F.startswith("_word", "piece"))
+        .when(F.col("kind") == END, F.endswith("_word", "piece"))
+        .otherwise(F.contains("_word", "piece"))
+    )
+    candidates = cut_lineage(met.filter(fits).select("query_id", key).distinct().join(queries, "query_id"))
     pattern = F.concat(F.lit("%"), F.col("query"), F.lit("%"))
     wild = F.col("query").rlike("[%_]")
     found = F.when(wild, txt.like_literal(F.col("_hay"), pattern)).otherwise(F.contains("_hay", "query"))
-    return candidates.join(queries, "query_id").join(lowered, key).filter(found).select("query_id", key)
+    return lookup_join(lowered, candidates, [key], [key]).filter(found).select("query_id", key)
 
 
 # --- the five collectors -----------------------------------------------------
@@ -307,7 +336,7 @@ def scan_hits(entities: DataFrame, queries: DataFrame, limit: int | None = DEFAU
     variant = F.when(F.col("source_type") == "file", F.col("order_3"))
     keyed = entities.withColumn("_key", F.concat_ws("|", "rank_source", "source_id", variant))
     pairs = match_queries(keyed, queries, "_key", "haystack")
-    hits = pairs.join(keyed, "_key")
+    hits = lookup_join(keyed, cut_lineage(pairs), ["_key"], ["_key"])
     order = [F.col("order_1").asc_nulls_last(), F.col("order_2").asc_nulls_last(), F.col("order_3")]
     if limit is None:
         return hits.drop("_key")

@@ -14,6 +14,7 @@ from folioscope.operators import markdown as md
 from folioscope.operators import regions as rg
 from folioscope.plans import roles
 from folioscope.plans.registry import query, view
+from folioscope.sources.keyed import stage_table
 
 
 def layouts(spark: SparkSession, sf: str) -> DataFrame:
@@ -24,6 +25,11 @@ def document_elements(spark: SparkSession, sf: str) -> DataFrame:
     return el.layout_elements(layouts(spark, sf))
 
 
+def stored_elements(spark: SparkSession, sf: str) -> DataFrame:
+    """Elements written once, so that reader JSON is not parsed again by every use."""
+    return stage_table(document_elements(spark, sf), "elements")
+
+
 def flat_box(box: str = "raw_bbox") -> list[Column]:
     return [F.round(f"{box}.{side}", 4).alias(side[0]) for side in boxes.SIDES]
 
@@ -94,7 +100,7 @@ view("linked_slots", "SELECT file_hash, unnest(range(max(i) // 4 + 2)) AS chunk_
 
 @query("chunk_evidence", "SELECT file_hash, CAST(chunk_index AS INTEGER) AS chunk_index, source_ref, CAST(page_no AS INTEGER) AS page_no, text FROM evidence")
 def chunk_evidence(spark: SparkSession, sf: str) -> DataFrame:
-    found = el.item_evidence(linked_chunks(spark, sf), document_elements(spark, sf))
+    found = el.item_evidence(linked_chunks(spark, sf), stored_elements(spark, sf))
     return found.select("file_hash", "chunk_index", "source_ref", "page_no", "text")
 
 
@@ -110,7 +116,7 @@ def chunk_evidence(spark: SparkSession, sf: str) -> DataFrame:
 def chunk_evidence_fallback(spark: SparkSession, sf: str) -> DataFrame:
     """Chunks whose items no element stands for: the items' own places serve."""
     chunk_rows = linked_chunks(spark, sf)
-    found = el.chunk_evidence(chunk_rows, document_elements(spark, sf))
+    found = el.chunk_evidence(chunk_rows, stored_elements(spark, sf))
     own = found.filter(F.contains("source_ref", F.lit(":prov:")) & ~F.startswith("source_ref", F.lit("#/tables")))
     return own.groupBy("file_hash", "chunk_index").agg(F.count("*").alias("n_places"))
 
@@ -128,7 +134,7 @@ view("layout_region_rows", REGION_SQL)
 
 def layout_regions_of(spark: SparkSession, sf: str) -> DataFrame:
     parsed = layouts(spark, sf)
-    elements = el.layout_elements(parsed)
+    elements = stored_elements(spark, sf)
     evidence = el.item_evidence(linked_chunks(spark, sf), elements)
     return rg.layout_regions(elements, el.layout_pages(parsed), evidence)
 
