@@ -13,6 +13,7 @@ from folioscope.functions import ids
 from folioscope.functions import text as txt
 from folioscope.functions.grouping import blocked_row_number, blocked_running_sum, null_safe_on, ordered_concat
 from folioscope.functions.rows import explode_rows
+from folioscope.functions.text import TOKENS_PER_WORD
 
 CHAR_CHUNKER = "char-v1"
 PACK_CHUNKER = "packed-v1"
@@ -45,7 +46,7 @@ class _Parcel:
 
     def fits(self, chars: int, words: int, budget: int) -> bool:
         joined = self.chars + chars + (1 if self.pieces else 0)
-        return max(1, math.ceil(joined / 4), math.ceil((self.words + words) * txt.TOKENS_PER_WORD)) <= budget
+        return max(1, math.ceil(joined / 4), math.ceil((self.words + words) * TOKENS_PER_WORD)) <= budget
 
     def add(self, piece: str, words: int) -> None:
         self.chars += len(piece) + (1 if self.pieces else 0)
