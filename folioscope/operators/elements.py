@@ -6,7 +6,7 @@ import json
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -101,48 +101,49 @@ def table_elements(layouts: DataFrame, *, first_row_alone: bool = False) -> Data
     """Tables and their cells; a cell's context is the text of its row.
 
     ``first_row_alone`` keeps the older behaviour in which cells of row 0
-    have only their own text as context.
+    have only their own text as context.  Tables and cells come out of one
+    pass over the parsed output, numbered -1 for the table itself.
     """
     tables = _tables(layouts)
-    whole = F.array_join(F.transform("cells", element_text), " ")
-    table_rows_out = tables.filter(F.col("raw_bbox").isNotNull()).select(
-        "file_hash",
-        F.col("table_ref").alias("source_ref"),
-        F.lit(None).cast("string").alias("parent_ref"),
-        "label",
-        F.coalesce(whole, F.lit("")).alias("text"),
-        F.coalesce(whole, F.lit("")).alias("context_text"),
-        "page_no",
-        "raw_bbox",
+    whole = F.coalesce(F.array_join(F.transform("cells", element_text), " "), F.lit(""))
+    itself = F.struct(
+        F.lit(-1).alias("cell_no"), whole.alias("text"), F.lit(None).cast("int").alias("row_no"), F.col("raw_bbox").alias("raw_bbox")
     )
-    cells = tables.select(
-        "file_hash", "table_no", "table_ref", "page_no", F.posexplode("cells").alias("cell_no", "cell")
-    ).select(
-        "file_hash",
-        "table_no",
-        "table_ref",
-        "page_no",
-        "cell_no",
-        element_text(F.col("cell")).alias("text"),
-        to_int(F.col("cell.start_row_offset_idx")).alias("row_no"),
-        boxes.box_from_json(F.col("cell.bbox")).alias("raw_bbox"),
-    )
-    joined = cells.filter((F.col("text") != "") & F.col("raw_bbox").isNotNull()).join(
-        table_rows(cells), ["file_hash", "table_no", "row_no"], "left"
+
+    def part(cell: Column, number: Column) -> Column:
+        return F.struct(
+            number.alias("cell_no"),
+            element_text(cell).alias("text"),
+            to_int(cell["start_row_offset_idx"]).alias("row_no"),
+            boxes.box_from_json(cell["bbox"]).alias("raw_bbox"),
+        )
+
+    inside = F.transform("cells", part)
+    everything = F.when(F.col("cells").isNotNull(), F.concat(F.array(itself), inside)).otherwise(F.array(itself))
+    parts = explode_rows(tables, ["file_hash", "table_no", "table_ref", "label", "page_no"], everything, "part").select(
+        "file_hash", "table_no", "table_ref", "label", "page_no", "part.*"
     )
-    alone = (F.col("row_no") == 0) if first_row_alone else F.lit(False)
-    context = F.when(alone, F.col("text")).otherwise(F.coalesce("row_text", "text"))
-    cell_rows = joined.select(
+    # Cells without a row number have no row; each is a group of its own.
+    apart = F.when(F.col("row_no").isNull(), F.col("cell_no"))
+    of_row = Window.partitionBy("file_hash", "table_no", "row_no", apart).orderBy("cell_no")
+    whole_row = of_row.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    row_text = F.array_join(F.collect_list(F.when(F.col("text") != "", F.col("text"))).over(whole_row), " ")
+    is_table = F.col("cell_no") < 0
+    alone = F.col("row_no").isNull() | ((F.col("row_no") == 0) if first_row_alone else F.lit(False))
+    context = F.when(alone, F.col("text")).otherwise(row_text)
+    numbered = parts.withColumn("context_text", context)
+    kept = numbered.filter(F.col("raw_bbox").isNotNull() & (is_table | (F.col("text") != "")))
+    cell_ref = F.concat(F.col("table_ref"), F.lit("/cells/"), F.col("cell_no").cast("string"))
+    return kept.select(
         "file_hash",
-        F.concat(F.col("table_ref"), F.lit("/cells/"), F.col("cell_no").cast("string")).alias("source_ref"),
-        F.col("table_ref").alias("parent_ref"),
-        F.lit("table_cell").alias("label"),
+        F.when(is_table, F.col("table_ref")).otherwise(cell_ref).alias("source_ref"),
+        F.when(~is_table, F.col("table_ref")).alias("parent_ref"),
+        F.when(is_table, F.col("label")).otherwise(F.lit("table_cell")).alias("label"),
         "text",
-        context.alias("context_text"),
+        "context_text",
         "page_no",
         "raw_bbox",
     )
-    return table_rows_out.unionByName(cell_rows)
 
 
 def layout_elements(layouts: DataFrame, *, first_row_alone: bool = False) -> DataFrame:

@@ -646,3 +646,15 @@ def stream_completed_spans(spark: SparkSession, sf: str) -> DataFrame:
     ends = event_stream(spark, sf).select(RUN, "span_id", F.timestamp_micros(F.unix_micros("started_at") + took).alias("ended_at"), "status")
     rows = jobs.run_to_table(jobs.complete_spans(starts, ends), "spans", "append")
     return rows.select("span_id", RUN, F.round("duration_ms", 3).alias("duration_ms"))
+
+
+@query("stream_new_files", "SELECT file_hash, CAST(count(*) AS BIGINT) AS path_count FROM locations GROUP BY 1")
+def stream_new_files(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents arriving as files: each path once within the watermark, then counted per content."""
+    schema = roles.table(spark, sf, "documents").schema
+    arriving = jobs.parquet_stream(spark, f"{sf}/documents.parquet", schema).select(
+        ids.content_hash(F.col("text")).alias("file_hash"), roles.doc_path().alias("path"),
+        F.timestamp_seconds(F.lit(roles.EPOCH) + F.col("doc_id")).alias("modified_at"),
+    )
+    fresh = arriving.withWatermark("modified_at", "1 hour").dropDuplicatesWithinWatermark(["file_hash", "path"])
+    return jobs.run_to_table(fresh, "new-files").groupBy("file_hash").agg(F.count("*").alias("path_count"))
