@@ -136,6 +136,7 @@ class Words:
 
 def gram_hashes(words: np.ndarray, size: int) -> np.ndarray:
     """Hash of each run of ``size`` neighbouring word hashes, texts not regarded."""
+    size = int(size)
     count = len(words) - size + 1
     if count <= 0:
         return np.zeros(0, U64)

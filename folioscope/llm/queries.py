@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioscope.llm import suffix_dedup
+from folioscope.llm import lsh_forest, suffix_dedup
 from folioscope.llm.registry import query
 from folioscope.llm.shared import table
 
@@ -30,3 +30,24 @@ FROM d LEFT JOIN lists USING (doc_id)
 def suffix_dedup_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bytes of the documents that an earlier document has are removed."""
     return suffix_dedup.digest(suffix_dedup.remove_repeats(table(spark, sf_dir, "documents")))
+
+
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+_NEAR_SQL = f"""
+WITH RECURSIVE d AS MATERIALIZED (SELECT doc_id, regexp_extract_all({_LOWER}, '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+s AS MATERIALIZED (SELECT DISTINCT doc_id, array_to_string(CASE WHEN len(w) < 3 THEN w ELSE list_slice(w, i, i + 2) END, ' ') AS g
+      FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 2, 1) + 1)) AS i FROM d WHERE len(w) > 0)),
+n AS MATERIALIZED (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+links AS MATERIALIZED (SELECT a, b FROM (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM s x JOIN s y ON x.g = y.g AND x.doc_id <> y.doc_id GROUP BY ALL)
+          JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b WHERE 100 * c >= 85 * (na.n + nb.n - c)),
+reach AS (SELECT doc_id AS node, doc_id AS to_id FROM documents UNION SELECT reach.node, links.b FROM reach JOIN links ON reach.to_id = links.a)
+SELECT doc_id, coalesce(n.n, 0) AS n_shingles, component_id, doc_id = component_id AS kept
+FROM documents LEFT JOIN n USING (doc_id) JOIN (SELECT node AS doc_id, min(to_id) AS component_id FROM reach GROUP BY node) USING (doc_id)
+"""
+
+
+@query("op6_minhash_near_dedup", _NEAR_SQL)
+def near_duplicates_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that are nearly equal, by component."""
+    return lsh_forest.near_duplicates(table(spark, sf_dir, "documents"))
