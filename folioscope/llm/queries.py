@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioscope.llm import lsh_forest, suffix_dedup
+from folioscope.llm import lsh_forest, suffix_dedup, winnowing
 from folioscope.llm.registry import query
 from folioscope.llm.shared import table
 
@@ -51,3 +51,28 @@ FROM documents LEFT JOIN n USING (doc_id) JOIN (SELECT node AS doc_id, min(to_id
 def near_duplicates_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents that are nearly equal, by component."""
     return lsh_forest.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+_WORDS = "[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
+
+_LEAKS_SQL = f"""
+WITH d AS MATERIALIZED (SELECT doc_id, regexp_extract_all({_LOWER}, '{_WORDS}') AS w FROM documents),
+b AS (SELECT item_id, regexp_extract_all({_LOWER}, '{_WORDS}') AS w FROM benchmark),
+bw AS MATERIALIZED (SELECT DISTINCT item_id, least(len(w), 10) AS n, array_to_string(list_slice(w, i, i + 9), ' ') AS g
+       FROM (SELECT item_id, w, unnest(range(1, greatest(len(w) - 9, 1) + 1)) AS i FROM b WHERE len(w) > 0)),
+ns AS (SELECT DISTINCT n FROM bw),
+dw AS (SELECT doc_id, n, i, array_to_string(list_slice(w, i, i + n - 1), ' ') AS g
+       FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM d, ns WHERE len(w) >= n)),
+hits AS MATERIALIZED (SELECT doc_id, i, dw.n, item_id FROM dw JOIN bw ON dw.g = bw.g AND dw.n = bw.n),
+words AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS p FROM hits) GROUP BY doc_id),
+items AS (SELECT doc_id, list(DISTINCT CAST(item_id AS VARCHAR)) AS ids FROM hits GROUP BY doc_id)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, CAST(coalesce(len(ids), 0) AS BIGINT) AS n_items,
+       sha256(coalesce(array_to_string(list_sort(ids), ','), '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)
+"""
+
+
+@query("op8_winnowing_decontamination", _LEAKS_SQL)
+def contamination_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of the documents that stand in benchmark items."""
+    return winnowing.digest(winnowing.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
