@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from folioscope.llm.arrays import U64, flat, mix, powers, prefix_hashes
+from folioscope.llm.arrays import U64, flat, mix, portions, powers, prefix_hashes
 from folioscope.llm.shared import BATCH_BYTES, batch_count, in_batches
 from folioscope.llm.suffix_sort import Suffixes
 
@@ -54,22 +54,32 @@ class Runs:
     def __init__(self, data: np.ndarray, offsets: np.ndarray, length: int, anchor: int):
         width = length - anchor + 1
         parts = []
-        for low in range(0, max(len(data) - length + 1, 0), _REACH):
-            high = min(low + _REACH, len(data) - length + 1)
-            parts.append(self._part(data[low : high + length - 1], offsets - low, high - low, length, anchor, width, low))
+        # Cuts depend on the documents alone, so that every pass finds the same runs whatever the order of rows.
+        for low, high in portions(offsets, _REACH):
+            begin, end = int(offsets[low]), int(offsets[high])
+            if end - begin <= _REACH:
+                parts.append(self._part(data[begin:end], offsets[low : high + 1] - begin, length, anchor, width, begin))
+                continue
+            for at in range(begin, end - length + 1, _REACH):
+                stop = min(at + _REACH + length - 1, end)
+                parts.append(self._part(data[at:stop], np.array([0, stop - at]), length, anchor, width, at))
+        parts = [p for p in parts if p is not None]
         names = ("first", "last", "place", "anchor", "content")
         for name, kind, at in zip(names, (np.int64, np.int64, np.int64, U64, U64), range(5), strict=True):
             setattr(self, name, np.concatenate([p[at] for p in parts]) if parts else np.zeros(0, kind))
         self.doc = np.searchsorted(offsets, self.first, side="right") - 1
 
     @staticmethod
-    def _part(data, offsets, windows, length, anchor, width, shift):
+    def _part(data, offsets, length, anchor, width, shift):
+        windows = len(data) - length + 1
+        if windows <= 0:
+            return None
         prefix, undo = prefix_hashes(data), powers(len(data) + 1, inverse=True)
         grams = mix((prefix[anchor:] - prefix[:-anchor]) * undo[: len(data) - anchor + 1])
         keys = (grams >> _PLACE_BITS << _PLACE_BITS) | np.arange(len(grams), dtype=U64)
         at = (_sliding_least(keys, width)[:windows] & U64((1 << 22) - 1)).astype(np.int64)
         # windows that cross the end of a document count as their own, unusable run
-        ends = np.clip(offsets[1:], 0, windows + length)
+        ends = offsets[1:]
         begins = np.clip(np.maximum(offsets[:-1], offsets[1:] - length + 1), 0, windows)
         crossing = np.zeros(windows + 1, np.int64)
         filled = offsets[1:] > offsets[:-1]
