@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioscope.llm import lsh_forest, suffix_dedup, winnowing
+from folioscope.llm import cube, lm_scoring, lsh_forest, ppm, quality, set_join, suffix_dedup, top_k, weak_labels, winnowing
 from folioscope.llm.registry import query
-from folioscope.llm.shared import table
+from folioscope.llm.shared import held_out, table
 
 _REPEATS_SQL = """
 WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
@@ -76,3 +76,62 @@ FROM d LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)
 def contamination_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of the documents that stand in benchmark items."""
     return winnowing.digest(winnowing.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
+
+
+@query("op2_quality_boosted_trees")
+def quality_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chance of good quality of every document, from trees fitted on the learning rows."""
+    docs = table(spark, sf_dir, "documents")
+    scored = quality.score(docs, quality.train(docs, table(spark, sf_dir, "labels")))
+    doc_id = F.col("row.doc_id")
+    return scored.select(doc_id.alias("doc_id"), held_out(doc_id).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
+@query("op3_language_ppm")
+def language_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document."""
+    docs = table(spark, sf_dir, "documents")
+    doc_id = F.col("row.doc_id")
+    return ppm.identify(docs, ppm.train(docs)).select(doc_id.alias("doc_id"), held_out(doc_id).alias("held_out"), "lang_pred", "score", "bits")
+
+
+@query("op4_cube_mixing")
+def mixing_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many words of every document the mix takes."""
+    return cube.digest(cube.mix(table(spark, sf_dir, "documents")))
+
+
+_SEARCH_SQL = """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(64 * CAST(x AS DOUBLE))) AS e FROM embeddings
+           WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+p AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.e, c.e) AS BIGINT) AS score FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 20 = 0)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM p) WHERE rank <= 20
+"""
+
+
+@query("op5_exact_top_k", _SEARCH_SQL)
+def search_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The twenty nearest vectors of every twentieth one."""
+    return top_k.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, 20)
+
+
+@query("op7_cross_entropy_difference")
+def lm_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How much more a document is like the good ones than like all."""
+    good = table(spark, sf_dir, "labels").filter("quality = 1").select("doc_id")
+    return lm_scoring.cross_entropy_difference(table(spark, sf_dir, "documents"), good).select(F.col("row.doc_id").alias("doc_id"), "n_tokens", "target_loss", "background_loss", "score")
+
+
+@query("op9_weak_toxicity")
+def toxicity_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chance of a toxic text of every document."""
+    docs = table(spark, sf_dir, "documents")
+    scored = weak_labels.score(docs, weak_labels.train(docs, table(spark, sf_dir, "labels")))
+    doc_id = F.col("row.doc_id")
+    return scored.select(doc_id.alias("doc_id"), held_out(doc_id).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"), "votes")
+
+
+@query("op10_license_set_join")
+def license_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """License phrases and license blocks of every document."""
+    return set_join.digest(set_join.license_blocks(table(spark, sf_dir, "documents")))
