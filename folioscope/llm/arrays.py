@@ -123,14 +123,16 @@ class Words:
     def __len__(self) -> int:
         return len(self.start)
 
-    def hashes(self) -> np.ndarray:
-        """64-bit hash of every word in lower case (A-Z only)."""
+    def hashes(self, first: int | None = None) -> np.ndarray:
+        """64-bit hash of every word in lower case (A-Z only), or of its ``first`` bytes."""
         if not len(self):
             return np.zeros(0, U64)
         length = self.end - self.start
         begin = np.cumsum(length) - length
         place = np.arange(int(length.sum())) - np.repeat(begin, length)
         values = (LOWER[self.data[self.inside]].astype(U64) + U64(1)) * powers(int(length.max()))[place]
+        if first is not None:
+            values[place >= first] = 0
         return mix(np.add.reduceat(values, begin))
 
 

@@ -27,7 +27,7 @@ from folioscope.session import cut_lineage
 SKETCH = 32
 SMALL_REGION = 256
 TILE = 512
-BROADCAST_NODES = 1_000_000
+BROADCAST_TILES = 1_000_000
 
 
 def _odd(count: int, seed: int) -> np.ndarray:
@@ -287,7 +287,8 @@ def near_duplicates(
     counted = classes.groupBy("node").agg(F.max("n_shingles").alias("n_shingles"))
     clustered = cut_lineage(clusters.join(counted, "node"))
     tiles = cut_lineage(_tiles(clustered, part, of))
-    side = F.broadcast(tiles) if tiles.count() <= BROADCAST_NODES else tiles
+    entries = tiles.agg(F.sum(F.size("tiles"))).first()[0] or 0
+    side = F.broadcast(tiles) if entries <= BROADCAST_TILES else tiles
     wanted = given.withColumnRenamed("doc_id", "node").join(side, "node")
     sets = wanted.mapInArrow(_sets(shingle), "node long, tiles array<struct<component:bigint,tile:string>>, members binary")
     spread = sets.select("node", "members", F.explode("tiles").alias("t")).select("node", "members", "t.component", "t.tile")

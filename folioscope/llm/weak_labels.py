@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from folioscope.llm.arrays import ALNUM, U64, Words, gram_hashes, per_text, text_portions
 from folioscope.llm.samples import labelled_sample, sampled_texts
 from folioscope.llm.set_join import word_hashes
+from folioscope.session import cut_lineage
 
 #: Lexicon voters: words of abuse by kind.
 LEXICONS: dict[str, tuple[str, ...]] = {
@@ -28,15 +29,17 @@ LEXICONS: dict[str, tuple[str, ...]] = {
     "contempt": ("pathetic", "worthless", "disgusting", "despicable", "repulsive"),
     "stupidity": ("stupid", "dumb", "brainless", "stupidity", "idiotic", "moronic"),
     "filth": ("scum", "trash", "garbage", "filth", "vermin", "scumbag"),
-    "threats": ("kill", "die", "destroy", "hate"),
 }
 #: Pattern voters: one of the first words followed by one of the second.
 PATTERNS: dict[str, tuple[tuple[str, ...], tuple[str, ...]]] = {
     "addressed": (("you", "such", "absolute", "utter", "complete"), ("idiot", "moron", "loser", "fool", "clown", "scum", "trash", "stupid", "pathetic", "worthless", "disgusting")),
-    "repeated": (("so", "very", "really", "are"), ("stupid", "pathetic", "disgusting", "worthless", "dumb")),
+    "threats": (("kill", "hurt", "hate"), ("yourself", "you", "them")),
+    "strengthened": (("so", "very", "really", "are"), ("stupid", "pathetic", "disgusting", "worthless", "dumb")),
 }
 MINED_VOTERS = 4
-MINED_WORDS = 80
+MINED_WORDS = 200
+#: Lengths of stems in characters.
+STEMS = (4, 5, 6)
 
 
 @dataclass
@@ -47,14 +50,19 @@ class Voters:
 
     def __post_init__(self) -> None:
         self.lists = [*LEXICONS.values(), *self.mined]
-        words = sorted({w for one in self.lists for w in one})
-        hashes = word_hashes(words) if words else np.zeros(0, U64)
-        order = np.argsort(hashes)
-        self.words, self.known = [words[i] for i in order], hashes[order]
+        self.words = sorted({w for one in self.lists for w in one})
         where = {w: i for i, w in enumerate(self.words)}
         self.member = np.zeros((len(self.words), len(self.lists)), np.int64)
         for at, one in enumerate(self.lists):
             self.member[[where[w] for w in one], at] = 1
+        # whole words, and stems by their length in bytes: sorted hashes and the words they stand for
+        self.known: dict[int | None, tuple[np.ndarray, np.ndarray]] = {}
+        kinds = {w: len(w[:-1].encode()) if w.endswith("*") else None for w in self.words}
+        for kind in set(kinds.values()):
+            own = [w for w in self.words if kinds[w] == kind]
+            hashes = word_hashes([w.rstrip("*") for w in own])
+            order = np.argsort(hashes)
+            self.known[kind] = hashes[order], np.array([where[own[i]] for i in order])
         self.pairs = [np.sort(np.array([gram_hashes(word_hashes([a, b]), 2)[0] for a in left for b in right], U64)) for left, right in PATTERNS.values()]
         self.votes = len(self.lists) + len(self.pairs) + 1
         self.features = self.votes + len(self.words) + 2
@@ -65,10 +73,11 @@ class Voters:
         words = Words(data, offsets, ALNUM)
         hashes, count = words.hashes(), np.diff(words.bounds)
         found = np.zeros((rows, len(self.words)))
-        if len(hashes) and len(self.known):
-            at = np.minimum(np.searchsorted(self.known, hashes), len(self.known) - 1)
-            hit = np.flatnonzero(self.known[at] == hashes)
-            np.add.at(found, (words.text[hit], at[hit]), 1)
+        for kind, (known, number) in self.known.items() if len(hashes) else ():
+            own = hashes if kind is None else words.hashes(kind)
+            at = np.minimum(np.searchsorted(known, own), len(known) - 1)
+            hit = np.flatnonzero(known[at] == own)
+            np.add.at(found, (words.text[hit], number[at[hit]]), 1)
         by_list = found @ self.member
         votes = [by_list > 0]
         grams = gram_hashes(hashes, 2)
@@ -85,17 +94,30 @@ class Voters:
 
 
 def mine(texts: DataFrame, most: int = MINED_WORDS) -> list[list[str]]:
-    """Words of at least a twentieth of the toxic texts, and twenty times as common there as in clean ones."""
-    letters = F.lower(F.col("body").cast("string"))
+    """Words and stems (``stem*``) of a fiftieth of the toxic texts, twenty times as common there as in clean ones.
+
+    Texts whose words have the same smallest hash count once, so that copies
+    of one text make none of its words typical.  A word whose stem is chosen is
+    left out.
+    """
+    letters = F.translate(F.col("body").cast("string"), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     words = F.array_distinct(F.regexp_extract_all(letters, F.lit(r"([^\x00-\x2F\x3A-\x60\x7B-\x7F]+)"), F.lit(1)))
-    totals = texts.agg(F.sum("label").alias("toxic"), F.sum(1 - F.col("label")).alias("clean")).first()
+    read = texts.select("label", words.alias("words")).withColumn("least", F.array_min(F.transform("words", lambda w: F.xxhash64(w))))
+    stems = [F.transform(F.filter("words", lambda w, n=n: F.length(w) > n), lambda w, n=n: F.concat(F.substring(w, 1, n), F.lit("*"))) for n in STEMS]
+    once = read.groupBy("label", "least").agg(F.min("words").alias("words")).select("label", F.array_distinct(F.concat("words", *stems)).alias("words"))
+    once = cut_lineage(once)
+    totals = once.agg(F.sum("label").alias("toxic"), F.sum(1 - F.col("label")).alias("clean")).first()
     toxic, clean = int(totals["toxic"] or 0), int(totals["clean"] or 0)
     if not toxic or not clean:
         return [[] for _ in range(MINED_VOTERS)]
-    counted = texts.select("label", F.explode(words).alias("word")).groupBy("word").agg(F.sum("label").alias("toxic"), F.sum(1 - F.col("label")).alias("clean"))
+    counted = once.select("label", F.explode("words").alias("word")).groupBy("word").agg(F.sum("label").alias("toxic"), F.sum(1 - F.col("label")).alias("clean"))
     rate, other = F.col("toxic") / F.lit(float(toxic)), (F.col("clean") + 1) / F.lit(clean + 1.0)
-    best = counted.filter((F.col("toxic") >= 5) & (rate >= 0.05) & (rate >= 20 * other)).orderBy(F.col("toxic").desc(), "word").limit(most)
-    found = [r["word"] for r in best.collect()]
+    best = counted.filter((F.col("toxic") >= 5) & (rate >= 0.02) & (rate >= 20 * other)).orderBy(F.col("toxic").desc(), F.length("word"), "word").limit(most)
+    found: list[str] = []
+    for row in best.collect():
+        word = row["word"]
+        if not any(word.rstrip("*").startswith(stem[:-1]) for stem in found if stem.endswith("*")):
+            found.append(word)
     return [found[at::MINED_VOTERS] for at in range(MINED_VOTERS)]
 
 
@@ -177,7 +199,7 @@ def _look(voters: Voters):
     return run
 
 
-def train(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", rows: int = 20_000) -> Model:
+def train(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", rows: int = 12_000) -> Model:
     """Voters, label model and classifier from at most ``rows`` labelled documents.
 
     Labels choose the mined words, give the share of toxic texts and, as one
