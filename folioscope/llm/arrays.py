@@ -90,6 +90,22 @@ def prefix_hashes(data: np.ndarray) -> np.ndarray:
     return out
 
 
+def _nullable(kind: pa.DataType) -> pa.DataType:
+    if pa.types.is_struct(kind):
+        return pa.struct([pa.field(f.name, _nullable(f.type)) for f in kind])
+    if pa.types.is_list(kind):
+        return pa.list_(_nullable(kind.value_type))
+    if pa.types.is_map(kind):
+        return pa.map_(_nullable(kind.key_type), _nullable(kind.item_type))
+    return kind
+
+
+def loose(column):
+    """The column with fields that may be NULL, as the declared result types have them."""
+    kind = _nullable(column.type)
+    return column if column.type.equals(kind, check_metadata=False) and str(column.type) == str(kind) else column.cast(kind)
+
+
 def _table(keep) -> np.ndarray:
     return np.array([bool(keep(code)) for code in range(256)])
 

@@ -17,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from folioscope.llm.arrays import loose
+
 WEIGHTS = (5.0, 2.0, 1.0)
 MOST = 3.0
 BLOCK = 4000
@@ -127,7 +129,8 @@ def _flight(last: bool):
             mine = np.concatenate([np.delete(mine, at := largest(chance[mine], size[mine])), mine[at]])
             settled = fly(chance[mine], size[mine], luck[mine], RESERVE)
             chance[mine] = land(settled, size[mine]) if last else settled
-        return table.set_column(table.schema.get_field_index("chance"), "chance", pa.array(chance))
+        table = table.set_column(table.schema.get_field_index("chance"), "chance", pa.array(chance))
+        return table.set_column(table.schema.get_field_index("row"), "row", loose(table.column("row")))
 
     return run
 

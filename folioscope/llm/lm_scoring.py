@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioscope.llm.arrays import U64, flat, mix, per_text, portions
+from folioscope.llm.arrays import U64, flat, loose, mix, per_text, portions
 from folioscope.llm.shared import BATCH_BYTES, batch_count, in_batches
 from folioscope.llm.suffix_dedup import _packed, _table, _unpacked
 from folioscope.session import cut_lineage
@@ -146,7 +146,7 @@ def _score(key, docs: pa.Table, answers: pa.Table) -> pa.Table:
     each = total / np.maximum(size, 1)[:, None]
     # a value does not depend on the order in which rows met
     columns = [pa.array(size), pa.array(each[:, 1]), pa.array(each[:, 0]), pa.array(each[:, 0] - each[:, 1])]
-    return pa.Table.from_arrays([docs.column("row"), *columns], ["row", "n_tokens", "target_loss", "background_loss", "score"])
+    return pa.Table.from_arrays([loose(docs.column("row")), *columns], ["row", "n_tokens", "target_loss", "background_loss", "score"])
 
 
 def cross_entropy_difference(

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioscope.llm.arrays import LOWER, per_text, text_portions
+from folioscope.llm.arrays import LOWER, loose, per_text, text_portions
 from folioscope.llm.samples import few_per_key
 from folioscope.llm.shared import learns_from
 
@@ -150,7 +150,7 @@ def _predict(model: Model):
                 else:
                     named, chance, bits = ["und"] * rows, np.zeros(rows), np.zeros(rows)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("row").slice(low, rows), pa.array(named, pa.string()), pa.array(np.where(letters & bool(model.names), chance, 0.0)), pa.array(bits)], ["row", "lang_pred", "score", "bits"]
+                    [loose(batch.column("row")).slice(low, rows), pa.array(named, pa.string()), pa.array(np.where(letters & bool(model.names), chance, 0.0)), pa.array(bits)], ["row", "lang_pred", "score", "bits"]
                 )
 
     return run

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioscope.llm.arrays import SPACED, Words, per_text, text_portions
+from folioscope.llm.arrays import SPACED, Words, loose, per_text, text_portions
 from folioscope.llm.boosting import Forest, fit
 from folioscope.llm.samples import labelled_sample, sampled_texts
 
@@ -111,7 +111,7 @@ def _scores(forest: Forest):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for low, high, data, offsets in text_portions(batch.column("body")):
-                yield pa.RecordBatch.from_arrays([batch.column("row").slice(low, high - low), pa.array(forest.score(statistics(data, offsets)))], ["row", "score"])
+                yield pa.RecordBatch.from_arrays([loose(batch.column("row")).slice(low, high - low), pa.array(forest.score(statistics(data, offsets)))], ["row", "score"])
 
     return run
 

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioscope.llm.arrays import ALNUM, U64, Words, flat, gram_hashes, text_portions
+from folioscope.llm.arrays import ALNUM, U64, Words, flat, gram_hashes, loose, text_portions
 
 #: Wordings of common licenses, by label.
 TEMPLATES: dict[str, Sequence[str]] = {
@@ -144,7 +144,7 @@ def _matches(templates: list[Template], phrases: list[tuple[str, np.ndarray]]):
                         for first, last, share in t.blocks(place[own], token[own]):
                             blocks[text].append({"label": t.label, "first": first, "last": last, "share": share})
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("row").slice(low, rows), pa.array(np.diff(words.bounds)), pa.array(places, pa.list_(_PLACE)), pa.array(blocks, pa.list_(_BLOCK))],
+                    [loose(batch.column("row")).slice(low, rows), pa.array(np.diff(words.bounds)), pa.array(places, pa.list_(_PLACE)), pa.array(blocks, pa.list_(_BLOCK))],
                     ["row", "n_words", "places", "blocks"],
                 )
 

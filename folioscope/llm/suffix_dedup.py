@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from folioscope.llm.arrays import U64, flat, mix, portions, powers, prefix_hashes
+from folioscope.llm.arrays import U64, flat, loose, mix, portions, powers, prefix_hashes
 from folioscope.llm.shared import BATCH_BYTES, batch_count, in_batches
 from folioscope.llm.suffix_sort import Suffixes
 
@@ -324,7 +324,7 @@ class _Method:
         left = np.concatenate(([0], np.cumsum(~covered)))[offsets]
         kept = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(offsets) - 1, [None, pa.py_buffer(left.astype(np.int64).tobytes()), pa.py_buffer(data[~covered].tobytes())])
         names = ["row", "removed", "kept"]
-        return pa.Table.from_arrays([table.column("row"), spans, kept.cast(pa.binary())], names)
+        return pa.Table.from_arrays([loose(table.column("row")), spans, kept.cast(pa.binary())], names)
 
 
 class _Bytes:

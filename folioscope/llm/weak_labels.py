@@ -15,10 +15,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from folioscope.llm.arrays import ALNUM, U64, Words, gram_hashes, per_text, text_portions
+from folioscope.llm.arrays import ALNUM, U64, Words, gram_hashes, loose, per_text, text_portions
 from folioscope.llm.samples import labelled_sample, sampled_texts
 from folioscope.llm.set_join import word_hashes
 from folioscope.session import cut_lineage
@@ -93,17 +93,22 @@ class Voters:
         return np.concatenate([np.concatenate(votes, axis=1), found > 0, np.log1p(lexicon)[:, None], np.minimum(20 * density, 2.0)[:, None]], axis=1).astype(np.float64)
 
 
+def _stems(length: int) -> Column:
+    longer = F.filter("words", lambda w: F.length(w) > length)
+    return F.transform(longer, lambda w: F.concat(F.substring(w, 1, length), F.lit("*")))
+
+
 def mine(texts: DataFrame, most: int = MINED_WORDS) -> list[list[str]]:
     """Words and stems (``stem*``) of a fiftieth of the toxic texts, twenty times as common there as in clean ones.
 
     Texts whose words have the same smallest hash count once, so that copies
     of one text make none of its words typical.  A word whose stem is chosen is
-    left out.
+    left out, as is a stem that is found with one chosen word only.
     """
     letters = F.translate(F.col("body").cast("string"), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     words = F.array_distinct(F.regexp_extract_all(letters, F.lit(r"([^\x00-\x2F\x3A-\x60\x7B-\x7F]+)"), F.lit(1)))
     read = texts.select("label", words.alias("words")).withColumn("least", F.array_min(F.transform("words", lambda w: F.xxhash64(w))))
-    stems = [F.transform(F.filter("words", lambda w, n=n: F.length(w) > n), lambda w, n=n: F.concat(F.substring(w, 1, n), F.lit("*"))) for n in STEMS]
+    stems = [_stems(n) for n in STEMS]
     once = read.groupBy("label", "least").agg(F.min("words").alias("words")).select("label", F.array_distinct(F.concat("words", *stems)).alias("words"))
     once = cut_lineage(once)
     totals = once.agg(F.sum("label").alias("toxic"), F.sum(1 - F.col("label")).alias("clean")).first()
@@ -112,13 +117,15 @@ def mine(texts: DataFrame, most: int = MINED_WORDS) -> list[list[str]]:
         return [[] for _ in range(MINED_VOTERS)]
     counted = once.select("label", F.explode("words").alias("word")).groupBy("word").agg(F.sum("label").alias("toxic"), F.sum(1 - F.col("label")).alias("clean"))
     rate, other = F.col("toxic") / F.lit(float(toxic)), (F.col("clean") + 1) / F.lit(clean + 1.0)
-    best = counted.filter((F.col("toxic") >= 5) & (rate >= 0.02) & (rate >= 20 * other)).orderBy(F.col("toxic").desc(), F.length("word"), "word").limit(most)
-    found: list[str] = []
+    best = counted.filter((F.col("toxic") >= 5) & (rate >= 0.02) & (rate >= 20 * other)).orderBy(F.col("toxic").desc(), F.col("word").endswith("*"), F.length("word").desc(), "word").limit(most)
+    found: dict[str, int] = {}
     for row in best.collect():
-        word = row["word"]
-        if not any(word.rstrip("*").startswith(stem[:-1]) for stem in found if stem.endswith("*")):
-            found.append(word)
-    return [found[at::MINED_VOTERS] for at in range(MINED_VOTERS)]
+        stem = row["word"].rstrip("*")
+        covered = any(stem.startswith(known[:-1]) for known in found if known.endswith("*"))
+        adds_nothing = any(known.startswith(stem) and n == row["toxic"] for known, n in found.items())
+        if not covered and not (adds_nothing and row["word"].endswith("*")):
+            found[row["word"]] = row["toxic"]
+    return [list(found)[at::MINED_VOTERS] for at in range(MINED_VOTERS)]
 
 
 @dataclass
@@ -231,7 +238,7 @@ def _scores(model: Model):
             for low, high, data, offsets in text_portions(batch.column("body")):
                 found = model.voters.look(data, offsets)
                 votes = found[:, : model.voters.votes].sum(axis=1).astype(np.int64)
-                yield pa.RecordBatch.from_arrays([batch.column("row").slice(low, high - low), pa.array(model.score(found)), pa.array(votes)], ["row", "score", "votes"])
+                yield pa.RecordBatch.from_arrays([loose(batch.column("row")).slice(low, high - low), pa.array(model.score(found)), pa.array(votes)], ["row", "score", "votes"])
 
     return run
 

@@ -23,7 +23,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioscope.llm.arrays import ALNUM, U64, Words, gram_hashes, text_portions
+from folioscope.llm.arrays import ALNUM, U64, Words, gram_hashes, loose, text_portions
 
 FILTER_BITS = 1 << 23
 FILTER_HASHES = 4
@@ -165,7 +165,7 @@ def _doc_prints(window: int, gram: int, shared, lengths: list[int]):
                     fields=list(_HIT),
                 )
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("row").slice(low, high - low), pa.array(found.count.astype(np.int64)), pa.ListArray.from_arrays(pa.array(bounds), hits)],
+                    [loose(batch.column("row")).slice(low, high - low), pa.array(found.count.astype(np.int64)), pa.ListArray.from_arrays(pa.array(bounds), hits)],
                     ["row", "n_words", "hits"],
                 )
 
@@ -203,7 +203,7 @@ def _extend(gram: int, window: int):
             ids = batch.column("item_ids")
             yield pa.RecordBatch.from_arrays(
                 [
-                    batch.column("row"),
+                    loose(batch.column("row")),
                     batch.column("n_words"),
                     pc.if_else(pa.array(good), ids, pa.scalar(None, ids.type)),
                     pa.array(low, mask=missed),
