@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -346,95 +346,117 @@ ITEM_BOX_KEYS = ("bbox", "box", "box_2d", "bounding_box")
 ITEM_LIST_KEYS = ("elements", "layout", "regions", "items", "blocks")
 
 
-def _load(value: str | None) -> object:
-    try:
-        return json.loads(value) if value else None
-    except ValueError:
-        return None
-
-
-def _children(value: object) -> list:
-    if isinstance(value, dict):
-        return list(value.values())
-    return value if isinstance(value, list) else []
+class _Nodes:
+    """A JSON value as rows in document order: value, key in its object, parent row, row behind the last descendant.
 
+    One loop with a stack makes the rows, so depth is no limit.  With
+    ``open_strings`` a string that holds JSON counts as that JSON.
+    """
 
-def _strings(value: object) -> list[str]:
-    if isinstance(value, str):
-        return [value]
-    return [text for child in _children(value) for text in _strings(child)]
+    def __init__(self, text: str | None, open_strings: bool = False):
+        self.value: list[object] = []
+        self.key: list[str | None] = []
+        self.parent: list[int] = []
+        waiting: list[tuple[object, str | None, int]] = [(_parsed(text), None, -1)]
+        while waiting:
+            value, key, parent = waiting.pop()
+            if open_strings and isinstance(value, str):
+                value = _parsed(value)
+            here = len(self.value)
+            self.value.append(value)
+            self.key.append(key)
+            self.parent.append(parent)
+            named = value.items() if isinstance(value, dict) else ((None, v) for v in value) if isinstance(value, list) else ()
+            waiting.extend((child, name, here) for name, child in reversed(list(named)))
+        self.behind = list(range(1, len(self.value) + 1))
+        for row in range(len(self.value) - 1, 0, -1):
+            above = self.parent[row]
+            self.behind[above] = max(self.behind[above], self.behind[row])
+
+    def rows(self, kind: type, first: int = 0, behind: int | None = None) -> list[int]:
+        end = len(self.value) if behind is None else behind
+        return [row for row in range(first, end) if isinstance(self.value[row], kind)]
+
+
+def _parsed(text: str | None) -> object:
+    try:
+        return json.loads(text) if text else None
+    except (ValueError, RecursionError):
+        return None
 
 
-def _flat(texts: list[str]) -> str:
-    return " ".join(word for text in texts for word in text.split())
+def _one_line(texts: Iterable[object]) -> str:
+    return " ".join(" ".join(texts).split())
+
+
+def _texts_by_key(nodes: _Nodes) -> list[str]:
+    """Strings below the known keys of the outermost object, key by key."""
+    tops = {nodes.key[row]: row for row in range(len(nodes.value)) if nodes.parent[row] == 0}
+    known = [tops[key] for key in ITEM_TEXT_KEYS if key in tops]
+    return [nodes.value[at] for row in known for at in nodes.rows(str, row, nodes.behind[row])]
+
+
+def _result_lines(nodes: _Nodes) -> list[str]:
+    """Strings of lists and of known keys; those of an object come before what lies deeper in it."""
+    rank = {key: at for at, key in enumerate(RESULT_TEXT_KEYS)}
+    place: list[tuple] = []
+    for row, (key, parent) in enumerate(zip(nodes.key, nodes.parent, strict=True)):
+        is_known = isinstance(nodes.value[row], str) and key in rank
+        place.append((*(place[parent] if parent >= 0 else ()), (0, rank[key]) if is_known else (1, row)))
+    shown = [row for row in nodes.rows(str) if nodes.key[row] is None or nodes.key[row] in rank]
+    lines = (" ".join(nodes.value[row].split()) for row in sorted(shown, key=place.__getitem__))
+    return [line for line in lines if line]
+
+
+def _with_bbox(nodes: _Nodes) -> list[object]:
+    return [nodes.value[row] for row in nodes.rows(dict) if isinstance(nodes.value[row].get("bbox"), list)]
+
+
+def _outermost_items(nodes: _Nodes) -> list[object]:
+    """Items of the first list key of an object, or objects with a box; nothing is looked for inside what is found."""
+    found: list[object] = []
+    free = 0
+    for row in nodes.rows(dict):
+        if row < free:
+            continue
+        item = nodes.value[row]
+        box = next((item[key] for key in ITEM_BOX_KEYS if item.get(key)), None)
+        boxed = isinstance(box, list) and len(box) >= 4
+        lists = [item[key] for key in ITEM_LIST_KEYS if isinstance(item.get(key), list)]
+        in_list = nodes.parent[row] >= 0 and isinstance(nodes.value[nodes.parent[row]], list)
+        if boxed and (in_list or not lists):
+            found.append(item)
+        elif lists:
+            found += [child for child in lists[0] if isinstance(child, dict)]
+        else:
+            continue
+        free = nodes.behind[row]
+    return found
 
 
 @F.pandas_udf(T.StringType())
 def item_text(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
     """All text below the known keys of one item, in key order."""
     for items in batches:
-        loaded = (_load(item) for item in items)
-        yield pd.Series([_flat([s for key in ITEM_TEXT_KEYS for s in _strings((i or {}).get(key))]) for i in loaded])
-
-
-def _result_strings(value: object) -> list[str]:
-    found: list[str] = []
-    if isinstance(value, str):
-        found.append(value)
-    elif isinstance(value, dict):
-        found += [value[key] for key in RESULT_TEXT_KEYS if isinstance(value.get(key), str)]
-        nested = [child for child in value.values() if isinstance(child, (dict, list))]
-        found += [s for child in nested for s in _result_strings(child)]
-    else:
-        found += [s for child in _children(value) for s in _result_strings(child)]
-    return found
+        yield pd.Series([_one_line(_texts_by_key(_Nodes(item))) for item in items])
 
 
 @F.pandas_udf(T.StringType())
 def result_text(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    """Plain text of a reader result: known keys first, then what is nested; one line per text."""
+    """Plain text of a reader result, one line per text."""
     for results in batches:
-        rows = (_result_strings(_load(result)) for result in results)
-        yield pd.Series(["\n".join(flat for s in texts if (flat := " ".join(s.split()))) for texts in rows])
-
-
-def _boxed_items(value: object) -> Iterator[dict]:
-    if isinstance(value, dict) and isinstance(value.get("bbox"), list):
-        yield value
-    for child in _children(value):
-        yield from _boxed_items(child)
-
-
-def _has_box(value: dict) -> bool:
-    box = next((value[key] for key in ITEM_BOX_KEYS if value.get(key)), None)
-    return isinstance(box, list) and len(box) >= 4
-
-
-def _placed_items(value: object) -> list[dict]:
-    if isinstance(value, str):
-        value = _load(value)
-    if isinstance(value, dict):
-        listed = next((value[key] for key in ITEM_LIST_KEYS if isinstance(value.get(key), list)), None)
-        if listed is not None:
-            return [item for item in listed if isinstance(item, dict)]
-        if _has_box(value):
-            return [value]
-        return [item for child in value.values() for item in _placed_items(child)]
-    found: list[dict] = []
-    for child in value if isinstance(value, list) else []:
-        found += [child] if isinstance(child, dict) and _has_box(child) else _placed_items(child)
-    return found
+        yield pd.Series(["\n".join(_result_lines(_Nodes(result))) for result in results])
 
 
 @F.pandas_udf(T.ArrayType(T.StringType()))
 def boxed_items(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
     """Every object with a box, at any depth, outer before inner."""
     for values in batches:
-        yield pd.Series([[json.dumps(item) for item in _boxed_items(_load(value))] for value in values])
+        yield pd.Series([[json.dumps(item) for item in _with_bbox(_Nodes(value))] for value in values])
 
 
 @F.pandas_udf(T.ArrayType(T.StringType()))
 def placed_items(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
     """Layout items of a page result that has no plain item list."""
     for values in batches:
-        yield pd.Series([[json.dumps(item) for item in _placed_items(_load(value))] for value in values])
+        yield pd.Series([[json.dumps(item) for item in _outermost_items(_Nodes(value, open_strings=True))] for value in values])
