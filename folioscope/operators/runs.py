@@ -7,7 +7,8 @@ summed: limits apply to the lists that are returned only.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import math
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -19,11 +20,9 @@ from folioscope.functions.grouping import blocked_row_number, top_per_group
 from folioscope.session import cut_lineage
 from folioscope.sources.files import base_name
 
-# Statuses, phase order and the limits of returned lists.
+# Statuses, phase order and thresholds.
 TERMINAL = ("ok", "error", "skipped")
 PHASE_ORDER = ("orientation", "artifact", "annotation", "markdown")
-MAX_RUNS = 200
-MAX_ANALYTICS_ROWS = 50
 FAILED_SHARE_LIMIT = 0.2
 FAILED_CALL_STEP = "lmstudio_chat_completion"
 MIN_BAR_PERCENT = 0.35
@@ -119,9 +118,10 @@ def run_list(runs: DataFrame, spans: DataFrame) -> DataFrame:
     )
 
 
-def newest_runs(run_rows: DataFrame, limit: int = 50) -> DataFrame:
-    size = max(1, min(limit, MAX_RUNS))
-    return run_rows.orderBy(F.col("started_at").desc(), F.col(RUN).desc()).limit(size)
+def newest_runs(run_rows: DataFrame, limit: int | None = None) -> DataFrame:
+    """All runs, newest first, or as many as are asked for."""
+    ordered = run_rows.orderBy(F.col("started_at").desc(), F.col(RUN).desc())
+    return ordered if limit is None else ordered.limit(max(1, limit))
 
 
 def latest_run(runs: DataFrame) -> DataFrame:
@@ -224,6 +224,11 @@ def progress_tree(units: DataFrame) -> DataFrame:
 # --- breakdowns --------------------------------------------------------------
 
 
+def unit_source_path() -> Column:
+    noted = variant_text(F.try_parse_json("metadata_json"), "$.source_path")
+    return F.coalesce(F.when(F.col("source_path") != "", F.col("source_path")), noted)
+
+
 def unit_file_label() -> Column:
     noted = variant_text(F.try_parse_json("metadata_json"), "$.source_path")
     filled = lambda value: F.when(value != "", value)
@@ -256,25 +261,61 @@ def breakdown(units: DataFrame, key: Column, label: Column | None = None, limit:
     return top_per_group(rows, [RUN], [F.col("duration_ms").desc(), F.col("id")], limit)
 
 
-def five_breakdowns(units: DataFrame, limit: int | None = MAX_ANALYTICS_ROWS) -> DataFrame:
-    """Phase, engine, model, file and page breakdowns in one table."""
-    joined = lambda *names: F.concat_ws(":", *names)
-    with_file = units.filter(F.coalesce("file_hash", F.lit("")) != "")
-    with_page = with_file.filter(F.coalesce("page_no", F.lit(0)) != 0)
+def five_breakdowns(units: DataFrame, limit: int | None = None) -> DataFrame:
+    """Phase, engine, model, file and page breakdowns in one table, from one pass over the units.
+
+    ``metadata`` names file and page of those two kinds; a file's has the
+    number of its phases.
+    """
+    in_file = F.coalesce("file_hash", F.lit("")) != ""
+    on_page = in_file & (F.coalesce("page_no", F.lit(0)) != 0)
+    entry = lambda kind, key, label: F.struct(F.lit(kind).alias("kind"), key.alias("id"), label.alias("label"))
+    pair = lambda mark, *names: F.concat_ws(mark, *names)
     page_key = F.concat_ws(":", "file_hash", F.col("page_no").cast("string"))
-    parts = [
-        ("phase", units, F.col("phase"), None),
-        ("engine", units, joined("phase", "engine"), F.concat_ws(" / ", "phase", "engine")),
-        ("model", units, joined("provider", "model"), F.concat_ws(" / ", "provider", "model")),
-        ("file", with_file, F.col("file_hash"), unit_file_label()),
-        ("page", with_page, page_key, unit_page_label()),
-    ]
-    result: DataFrame | None = None
-    for name, rows, key, label in parts:
-        part = breakdown(rows, key, label, limit).withColumn("kind", F.lit(name))
-        result = part if result is None else result.unionByName(part)
-    assert result is not None
-    return result
+    entries = F.array(
+        entry("phase", F.col("phase"), F.col("phase")),
+        entry("engine", pair(":", "phase", "engine"), pair(" / ", "phase", "engine")),
+        entry("model", pair(":", "provider", "model"), pair(" / ", "provider", "model")),
+        F.when(in_file, entry("file", F.col("file_hash"), unit_file_label())),
+        F.when(on_page, entry("page", page_key, unit_page_label())),
+    )
+    took = F.coalesce("duration_ms", F.lit(0.0))
+    narrow = units.select(
+        RUN, "status", "file_hash", "page_no", "phase", "filename", unit_source_path().alias("source_path"),
+        took.alias("_took"), F.explode(F.filter(entries, lambda e: e.isNotNull())).alias("_entry"),
+    )
+    grouped = narrow.groupBy(RUN, "_entry.kind", "_entry.id").agg(
+        F.min("_entry.label").alias("label"),
+        F.sum("_took").alias("duration_ms"),
+        F.count("*").alias("unit_count"),
+        F.count(F.when(F.col("status") == "error", 1)).alias("error_count"),
+        F.countDistinct("file_hash").alias("file_count"),
+        F.countDistinct(page_pair()).alias("page_count"),
+        F.max("_took").alias("max_duration_ms"),
+        F.countDistinct("phase").alias("_phases"),
+        F.min("file_hash").alias("_file"),
+        F.min("page_no").alias("_page"),
+        F.min("filename").alias("_filename"),
+        F.min("source_path").alias("_source"),
+    )
+    totals = grouped.groupBy(RUN, "kind").agg(F.sum("duration_ms").alias("_total"))
+    share = F.when(F.col("_total") != 0, F.col("duration_ms") / F.col("_total") * 100.0).otherwise(0.0)
+    facts = F.map_filter(
+        F.create_map(
+            F.lit("file_hash"), F.col("_file"),
+            F.lit("filename"), F.col("_filename"),
+            F.lit("source_path"), F.col("_source"),
+            F.lit("phase_count"), F.when(F.col("kind") == "file", F.col("_phases").cast("string")),
+            F.lit("page_no"), F.when(F.col("kind") == "page", F.col("_page").cast("string")),
+        ),
+        lambda _key, value: value.isNotNull(),
+    )
+    metadata = F.when(F.col("kind").isin("file", "page"), facts).otherwise(F.create_map().cast("map<string,string>"))
+    rows = grouped.join(totals, [RUN, "kind"]).withColumns({"share_percent": share, "metadata": metadata})
+    rows = rows.drop("_total", "_phases", "_file", "_page", "_filename", "_source")
+    if limit is None:
+        return rows
+    return top_per_group(rows, [RUN, "kind"], [F.col("duration_ms").desc(), F.col("id")], limit)
 
 
 def error_breakdown(spans: DataFrame, run_durations: DataFrame, limit: int | None = None) -> DataFrame:
@@ -337,9 +378,10 @@ def analytics_summary(
     )
 
 
-def slowest(rows: DataFrame, tie: str, limit: int = MAX_ANALYTICS_ROWS) -> DataFrame:
+def slowest(rows: DataFrame, tie: str, limit: int) -> DataFrame:
+    """The ``limit`` longest rows of each run."""
     order = [F.coalesce("duration_ms", F.lit(0.0)).desc(), F.col(tie)]
-    return top_per_group(rows, [RUN], order, max(1, min(limit, MAX_ANALYTICS_ROWS)))
+    return top_per_group(rows, [RUN], order, max(1, limit))
 
 
 def recommendations(summary: DataFrame) -> DataFrame:
@@ -347,18 +389,15 @@ def recommendations(summary: DataFrame) -> DataFrame:
     share = F.col("failed_llm_duration_ms") / F.nullif("duration_ms", F.lit(0.0))
     costly = summary.filter(share > FAILED_SHARE_LIMIT).select(
         RUN, F.lit("failed-llm-cost").alias("id"), F.lit("high").alias("severity"),
-        F.lit("Failed model calls dominate useful work").alias("title"),
         F.col("failed_llm_duration_ms").alias("evidence"),
     )
     switching = summary.filter(F.col("model_lease_count") > 1).select(
         RUN, F.lit("model-switches").alias("id"), F.lit("medium").alias("severity"),
-        F.lit("The run used multiple model leases").alias("title"),
         F.col("model_lease_count").cast("double").alias("evidence"),
     )
     named = costly.unionByName(switching)
     quiet = summary.join(named.select(RUN).distinct(), RUN, "left_anti").select(
         RUN, F.lit("no-dominant-bottleneck").alias("id"), F.lit("info").alias("severity"),
-        F.lit("No single bottleneck crossed the built-in thresholds").alias("title"),
         F.lit(None).cast("double").alias("evidence"),
     )
     return named.unionByName(quiet)
@@ -382,9 +421,10 @@ def model_leases(leases: DataFrame) -> DataFrame:
 
 
 def analytics_bundle(
-    runs: DataFrame, units: DataFrame, spans: DataFrame, leases: DataFrame, limit: int = MAX_ANALYTICS_ROWS
+    runs: DataFrame, units: DataFrame, spans: DataFrame, leases: DataFrame, limit: int
 ) -> dict[str, DataFrame]:
-    size = max(1, min(limit, MAX_ANALYTICS_ROWS))
+    """All tables of the analytics page; ``limit`` rows of each list."""
+    size = max(1, limit)
     summary = analytics_summary(runs, units, spans, leases)
     return {
         "summary": summary,
@@ -400,51 +440,52 @@ def analytics_bundle(
 # --- span trees and timelines ------------------------------------------------
 
 
-def span_depths(spans: DataFrame, max_rounds: int = 24) -> DataFrame:
-    """Number of known ancestors of each span, by pointer jumping.
+def _climb(state: DataFrame, values: Sequence[str], lacking: Column, merge: Callable[[str], Column]) -> tuple[DataFrame, DataFrame]:
+    """Pointer jumping: rows that lack something look at their ancestor ``_up``, which then becomes its own ancestor.
 
-    Each round doubles the distance looked up, so the number of joins is the
-    logarithm of the depth; a span whose parent is missing has depth 0.
+    Each round doubles the distance, so the rounds are the logarithm of the
+    depth.  Rows that lack nothing, or have no ancestor left, stay out of the
+    join.  Returns the settled state, and the rows that a cycle keeps from
+    ending: after so many rounds their values are final too.
     """
+    state = cut_lineage(state)
+    open_ = F.col("_up").isNotNull() & lacking
+    rounds = math.ceil(math.log2(state.count() + 1)) + 1
+    while True:
+        waiting = state.filter(open_)
+        if rounds == 0 or waiting.isEmpty():
+            return state, waiting
+        above = state.select(RUN, F.col("span_id").alias("_up"), F.col("_up").alias("_next"), *[F.col(v).alias(f"_{v}") for v in values])
+        moved = waiting.join(above, [RUN, "_up"], "left").select(RUN, "span_id", F.col("_next").alias("_up"), *[merge(v).alias(v) for v in values])
+        state = cut_lineage(moved.unionByName(state.filter(~open_)))
+        rounds -= 1
+
+
+def span_depths(spans: DataFrame) -> DataFrame:
+    """Number of known ancestors of each span; one whose parent is missing has depth 0, one on or below a cycle NULL."""
     known = spans.select(RUN, "span_id", "parent_span_id")
-    parents = known.select(RUN, F.col("span_id").alias("parent_span_id"))
-    rooted = known.join(parents.withColumn("_known", F.lit(True)), [RUN, "parent_span_id"], "left")
-    jumps = rooted.select(
-        RUN,
-        "span_id",
-        F.when(F.col("_known"), F.col("parent_span_id")).alias("ancestor"),
-        F.when(F.col("_known"), F.lit(1)).otherwise(F.lit(0)).cast("long").alias("depth"),
+    parents = known.filter(F.col("parent_span_id").isNotNull()).join(
+        known.select(RUN, F.col("span_id").alias("parent_span_id")), [RUN, "parent_span_id"], "left_semi"
     )
-    for _ in range(max_rounds):
-        jumps = cut_lineage(jumps)
-        if jumps.filter(F.col("ancestor").isNotNull()).isEmpty():
-            break
-        above = jumps.select(
-            RUN, F.col("span_id").alias("ancestor"), F.col("ancestor").alias("_next"), F.col("depth").alias("_more")
-        )
-        jumps = jumps.join(above, [RUN, "ancestor"], "left").select(
-            RUN, "span_id", F.col("_next").alias("ancestor"), (F.col("depth") + F.coalesce("_more", F.lit(0))).alias("depth")
-        )
-    return jumps.select(RUN, "span_id", "depth")
-
-
-def inherit_from_parents(spans: DataFrame, columns: Sequence[str], max_rounds: int = 24) -> DataFrame:
-    """Fill missing values from the nearest ancestor that has them, by pointer jumping."""
-    state = spans.select(RUN, "span_id", F.col("parent_span_id").alias("_up"), *columns)
-    for _ in range(max_rounds):
-        state = cut_lineage(state)
-        lacking = F.lit(False)
-        for name in columns:
-            lacking = lacking | F.col(name).isNull()
-        if state.filter(lacking & F.col("_up").isNotNull()).isEmpty():
-            break
-        above = state.select(
-            RUN, F.col("span_id").alias("_up"), F.col("_up").alias("_next"), *[F.col(n).alias(f"_{n}") for n in columns]
-        )
-        filled = [F.coalesce(name, f"_{name}").alias(name) for name in columns]
-        state = state.join(above, [RUN, "_up"], "left").select(RUN, "span_id", F.col("_next").alias("_up"), *filled)
-    rest = spans.drop(*columns)
-    return rest.join(state.drop("_up"), [RUN, "span_id"])
+    first = parents.select(RUN, "span_id", F.col("parent_span_id").alias("_up"), F.lit(1).cast("long").alias("depth"))
+    others = known.join(first.select(RUN, "span_id"), [RUN, "span_id"], "left_anti")
+    roots = others.select(RUN, "span_id", F.lit(None).cast("string").alias("_up"), F.lit(0).cast("long").alias("depth"))
+    state, cyclic = _climb(
+        first.unionByName(roots), ["depth"], F.lit(True), lambda _: F.col("depth") + F.coalesce("_depth", F.lit(0))
+    )
+    endless = cyclic.select(RUN, "span_id", F.lit(True).alias("_endless"))
+    joined = state.join(endless, [RUN, "span_id"], "left")
+    return joined.select(RUN, "span_id", F.when(F.col("_endless").isNull(), F.col("depth")).alias("depth"))
+
+
+def inherit_from_parents(spans: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Fill missing values from the nearest ancestor that has them."""
+    first = spans.select(RUN, "span_id", F.col("parent_span_id").alias("_up"), *columns)
+    lacking = F.lit(False)
+    for name in columns:
+        lacking = lacking | F.col(name).isNull()
+    state, _ = _climb(first, columns, lacking, lambda name: F.coalesce(name, f"_{name}"))
+    return spans.drop(*columns).join(state.drop("_up"), [RUN, "span_id"])
 
 
 def timeline(spans: DataFrame, depths: DataFrame) -> DataFrame:
@@ -465,20 +506,20 @@ def timeline(spans: DataFrame, depths: DataFrame) -> DataFrame:
     return rows.join(depths, [RUN, "span_id"])
 
 
-def visible_timeline(rows: DataFrame, collapsed: DataFrame, max_rounds: int = 24) -> DataFrame:
+def visible_timeline(rows: DataFrame, collapsed: DataFrame) -> DataFrame:
     """Rows below no collapsed span."""
     closed = collapsed.select(RUN, "span_id").withColumn("_closed", F.lit(True))
     marked = rows.join(closed, [RUN, "span_id"], "left")
-    state = marked.select(RUN, "span_id", F.col("parent_span_id").alias("_up"), F.coalesce("_closed", F.lit(False)).alias("_hides"), F.lit(False).alias("_hidden"))
-    for _ in range(max_rounds):
-        state = cut_lineage(state)
-        if state.filter(F.col("_up").isNotNull()).isEmpty():
-            break
-        above = state.select(RUN, F.col("span_id").alias("_up"), F.col("_up").alias("_next"), (F.col("_hides") | F.col("_hidden")).alias("_above"))
-        state = state.join(above, [RUN, "_up"], "left").select(
-            RUN, "span_id", F.col("_next").alias("_up"), "_hides", (F.col("_hidden") | F.coalesce("_above", F.lit(False))).alias("_hidden")
-        )
-    return rows.join(state.filter(~F.col("_hidden")).select(RUN, "span_id"), [RUN, "span_id"])
+    first = marked.select(
+        RUN, "span_id", F.col("parent_span_id").alias("_up"), F.coalesce("_closed", F.lit(False)).alias("hides"), F.lit(False).alias("hidden")
+    )
+
+    def merge(name: str) -> Column:
+        above = F.coalesce(F.col("_hides") | F.col("_hidden"), F.lit(False))
+        return F.col("hides") if name == "hides" else F.col("hidden") | above
+
+    state, _ = _climb(first, ["hides", "hidden"], ~F.col("hidden"), merge)
+    return rows.join(state.filter(~F.col("hidden")).select(RUN, "span_id"), [RUN, "span_id"])
 
 
 def first_errors(spans: DataFrame) -> DataFrame:

@@ -172,7 +172,7 @@ def progress_tree(spark: SparkSession, sf: str) -> DataFrame:
     """,
 )
 def five_breakdowns(spark: SparkSession, sf: str) -> DataFrame:
-    rows = runs.five_breakdowns(named_units(spark, sf))
+    rows = runs.five_breakdowns(named_units(spark, sf), 50)
     return rows.select(
         RUN, "kind", "id", "label", *rounded("duration_ms"), "unit_count", "error_count", "file_count", "page_count", *rounded("max_duration_ms", "share_percent")
     )

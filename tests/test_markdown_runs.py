@@ -162,10 +162,19 @@ def test_depths_inheritance_and_collapse(spark):
 
 def test_deep_chain_needs_few_rounds(spark):
     chain = spark.range(300).select(F.lit(1).alias("ingest_run_id"), F.col("id").cast("string").alias("span_id"), F.when(F.col("id") > 0, (F.col("id") - 1).cast("string")).alias("parent_span_id"))
-    rows = {int(r["span_id"]): r["depth"] for r in runs.span_depths(chain, max_rounds=12).collect()}
+    rows = {int(r["span_id"]): r["depth"] for r in runs.span_depths(chain).collect()}
     assert rows == {i: i for i in range(300)}
 
 
+def test_cycles_end(spark):
+    rows = [(1, "a", "b"), (1, "b", "a"), (1, "c", "a"), (1, "d", "d"), (1, "e", None), (1, "f", "e")]
+    df = spark.createDataFrame(rows, "ingest_run_id long, span_id string, parent_span_id string")
+    assert {r["span_id"]: r["depth"] for r in runs.span_depths(df).collect()} == {"a": None, "b": None, "c": None, "d": None, "e": 0, "f": 1}
+    valued = df.withColumn("file_hash", F.when(F.col("span_id").isin("b", "e"), F.col("span_id")))
+    assert {r["span_id"]: r["file_hash"] for r in runs.inherit_from_parents(valued, ["file_hash"]).collect()} == {"a": "b", "b": "b", "c": "b", "d": None, "e": "e", "f": "e"}
+    assert {r["span_id"] for r in runs.visible_timeline(df, df.filter("span_id = 'b'")).collect()} == {"d", "e", "f"}
+
+
 def units(spark):
     schema = "ingest_run_id long, work_unit_id long, file_hash string, page_no int, phase string, engine string, provider string, model string, status string, duration_ms double, metadata_json string"
     rows = [
