@@ -12,6 +12,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from folioscope.session import cut_lineage
+
 
 def top_per_group(df: DataFrame, keys: Sequence[str], order: Sequence[Column], k: int, rank: str = "rank") -> DataFrame:
     window = Window.partitionBy(*keys).orderBy(*order)
@@ -96,32 +98,48 @@ def ordered_concat(
 
 
 def salted_join(
-    big: DataFrame, small: DataFrame, on: Sequence[str], salt_from: Sequence[str], how: str = "inner", salts: int = 16
+    big: DataFrame, small: DataFrame, on: Sequence[str], salt_from: Sequence[str], how: str = "inner", salts: int | None = None
 ) -> DataFrame:
-    """Equi-join whose hot keys on the big side are split over ``salts`` partitions.
+    """Equi-join whose hot keys on the big side are split over ``salts`` partitions, a quarter of all by default.
 
-    The salt is a hash of row columns, so a recomputed task gives the same rows.
+    The salt is a hash of row columns, so a recomputed task gives the same
+    rows.  It must not depend on the keys alone, which would split nothing.
     """
+    if set(salt_from) <= set(on):
+        raise ValueError(f"a salt from {list(salt_from)} does not split the keys {list(on)}")
+    if salts is None:
+        salts = max(4, int(big.sparkSession.conf.get("spark.sql.shuffle.partitions")) // 4)
     left = big.withColumn("_salt", F.pmod(F.xxhash64(*salt_from), F.lit(salts)).cast("int"))
     copies = F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))
     right = small.withColumn("_salt", copies)
     return left.join(right, [*on, "_salt"], how).drop("_salt")
 
 
-BROADCAST_ROWS = 100_000
+BROADCAST_BYTES = 8 << 20
+
+
+def _is_small(df: DataFrame, max_bytes: int) -> bool:
+    """Whether the rows, written as JSON, take no more than ``max_bytes``."""
+    size = df.agg(F.sum(F.octet_length(F.to_json(F.struct("*"))))).first()[0]
+    return (size or 0) <= max_bytes
 
 
-def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Broadcast behind a check of the row count; a larger side is joined by shuffle.
+def broadcast_if_small(df: DataFrame, max_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """Broadcast behind a check of the size; a larger side is joined by shuffle.
 
-    Counting stops one row above the limit.  Meant for narrow rows.
+    The side is computed once: its lineage is cut before it is measured.
     """
-    is_small = df.limit(max_rows + 1).count() <= max_rows
-    return F.broadcast(df) if is_small else df
+    kept = cut_lineage(df)
+    return F.broadcast(kept) if _is_small(kept, max_bytes) else kept
 
 
-def lookup_join(big: DataFrame, side: DataFrame, on: Sequence[str], salt_from: Sequence[str]) -> DataFrame:
-    """Inner join with a side that is mostly small: broadcast, else a salted shuffle."""
-    if side.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+def lookup_join(big: DataFrame, side: DataFrame, on: Sequence[str], salt_from: Sequence[str] | None = None) -> DataFrame:
+    """Inner join with a side that is mostly small: broadcast, else by shuffle.
+
+    ``side`` should be cut off from its lineage, as it is measured first.
+    ``salt_from`` names columns that split hot keys of the big side; without it
+    the keys of the big side are unique.
+    """
+    if _is_small(side, BROADCAST_BYTES):
         return big.join(F.broadcast(side), list(on))
-    return salted_join(big, side, on, salt_from)
+    return big.join(side, list(on)) if salt_from is None else salted_join(big, side, on, salt_from)

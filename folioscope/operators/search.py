@@ -14,15 +14,11 @@ from pyspark.sql import functions as F
 
 from folioscope.functions import kinds, similarity, spans
 from folioscope.functions import text as txt
-from folioscope.functions.casts import clamp_limit
 from folioscope.functions.grouping import broadcast_if_small, first_per_group, lookup_join, salted_join, top_per_group
 from folioscope.functions.rows import explode_rows
 from folioscope.session import cut_lineage
 
-# Limits and the base score of each kind of hit.
-MAX_LIMIT = 100
-DEFAULT_LIMIT = 30
-COLLECT_FACTOR = 3
+# The base score of each kind of hit.
 INDEX_BASE = 100.0
 BASE_SCORES = {
     "document_chunks_scan": 62.0,
@@ -74,13 +70,14 @@ def build_postings(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
 def write_index(docs: DataFrame, path: str, doc_id: str = "chunk_id", text: str = "text", buckets: int = 64) -> None:
     """Materialise postings, document frequencies and corpus size under a path.
 
-    Postings are laid out by token hash, so a query reads few files.
+    Postings are laid out by token hash, so a query reads few files; a bucket
+    is written by several tasks, as many as the shuffle partitions allow.
     """
-    bucket = F.pmod(F.xxhash64("token"), F.lit(buckets)).cast("int")
-    salt = F.pmod(F.xxhash64(doc_id), F.lit(4)).cast("int")
-    postings = build_postings(docs, doc_id, text).withColumn("bucket", bucket)
+    width = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    salt = F.pmod(F.xxhash64(doc_id), F.lit(max(4, width // buckets))).cast("int")
+    postings = build_postings(docs, doc_id, text).withColumn("bucket", token_bucket(buckets))
     (
-        postings.repartition(buckets, "bucket", salt)
+        postings.repartition("bucket", salt)
         .sortWithinPartitions("bucket", "token")
         .write.mode("overwrite")
         .partitionBy("bucket")
@@ -88,7 +85,12 @@ def write_index(docs: DataFrame, path: str, doc_id: str = "chunk_id", text: str
     )
     stored = docs.sparkSession.read.parquet(f"{path}/postings")
     stored.groupBy("token").agg(F.count("*").alias("df")).write.mode("overwrite").parquet(f"{path}/vocabulary")
-    corpus_size(document_lengths(docs, doc_id, text)).write.mode("overwrite").parquet(f"{path}/corpus")
+    size = corpus_size(document_lengths(docs, doc_id, text)).withColumn("buckets", F.lit(buckets))
+    size.write.mode("overwrite").parquet(f"{path}/corpus")
+
+
+def token_bucket(buckets: int) -> Column:
+    return F.pmod(F.xxhash64("token"), F.lit(buckets)).cast("int")
 
 
 def corpus_size(lengths: DataFrame) -> DataFrame:
@@ -101,7 +103,8 @@ def bm25_scores(
     """query_id, document and BM25 score of every document with a query term.
 
     Without an index the tokens are taken from the text, and only those that
-    some query asks for go on; frequencies need no shuffle of documents.
+    some query asks for are shuffled.  With one, only the buckets of asked
+    tokens are read.
     """
     wanted = query_terms(queries)
     vocabulary = broadcast_if_small(wanted.select("token").distinct())
@@ -114,16 +117,17 @@ def bm25_scores(
         corpus = corpus_size(document_lengths(docs, doc_id, text))
     else:
         spark = docs.sparkSession
-        postings = spark.read.parquet(f"{index_path}/postings").drop("bucket").join(vocabulary, "token")
-        frequencies = spark.read.parquet(f"{index_path}/vocabulary").join(vocabulary, "token")
         corpus = spark.read.parquet(f"{index_path}/corpus")
+        placed = vocabulary.withColumn("bucket", token_bucket(corpus.first()["buckets"]))
+        postings = spark.read.parquet(f"{index_path}/postings").join(placed, ["bucket", "token"]).drop("bucket")
+        frequencies = spark.read.parquet(f"{index_path}/vocabulary").join(vocabulary, "token")
     n_docs = corpus.select("n_docs").scalar()
     avg_length = corpus.select("avg_length").scalar()
     idf = F.log(1.0 + (n_docs - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    # Frequencies are cut off here: they are one row per asked token, and both
-    # the size check and the join need them.
-    weights = cut_lineage(wanted.join(frequencies, "token").select("query_id", "token", "df"))
-    rated = weights.select("query_id", "token", idf.alias("idf"))
+    # Cut off here: one row per asked token, and both the size check and the
+    # join need them.
+    weights = wanted.join(frequencies, "token").select("query_id", "token", "df")
+    rated = cut_lineage(weights.select("query_id", "token", idf.alias("idf")))
     norm = F.col("tf") + BM25_K1 * (1.0 - BM25_B + BM25_B * F.col("doc_length") / avg_length)
     hits = lookup_join(postings, rated, ["token"], [doc_id])
     part = F.col("idf") * F.col("tf") * (BM25_K1 + 1.0) / norm
@@ -180,18 +184,24 @@ def match_queries(texts: DataFrame, queries: DataFrame, key: str, haystack: str)
     """(query_id, key) of every text whose lower-cased haystack contains the query.
 
     ``%`` and ``_`` in a query are wildcards.  A query of wildcards only has
-    no literal character to look for and matches nothing.
+    no literal character to look for and meets every text.  ``key`` is unique.
 
     The texts are read twice and never shuffled while the asked queries and
     their candidates are few: first for the words, then to check the
     candidates.  Many of either are joined by shuffle instead.
     """
-    anchors = cut_lineage(_anchors(queries))
+    asked = cut_lineage(queries.select("query_id", "query"))
+    anchors = cut_lineage(_anchors(asked))
     # At most ten (kind, size) pairs exist.
     needed = sorted((row["kind"], row["size"]) for row in anchors.select("kind", "size").distinct().collect())
     lowered = texts.select(key, F.lower(F.col(haystack)).alias("_hay"))
+    pattern = F.concat(F.lit("%"), F.col("query"), F.lit("%"))
+    wild = F.col("query").rlike("[%_]")
+    found = F.when(wild, txt.like_literal(F.col("_hay"), pattern)).otherwise(F.contains("_hay", "query"))
+    open_ = cut_lineage(asked.join(anchors.select("query_id"), "query_id", "left_anti").withColumn("_all", F.lit(1)))
+    everywhere = lookup_join(lowered.withColumn("_all", F.lit(1)), open_, ["_all"], [key]).filter(found).select("query_id", key)
     if not needed:
-        return lowered.select(F.lit(None).cast(queries.schema["query_id"].dataType).alias("query_id"), key).filter(F.lit(False))
+        return everywhere
     words = explode_rows(lowered, [key], F.array_distinct(F.split("_hay", txt.SPACE_RUN)), "_word")
     probes = F.flatten(F.array(*[_probes(F.col("_word"), kind, size) for kind, size in needed]))
     probed = explode_rows(words, [key, "_word"], probes, "probe")
@@ -202,11 +212,9 @@ def match_queries(texts: DataFrame, queries: DataFrame, key: str, haystack: str)
         .when(F.col("kind") == END, F.endswith("_word", "piece"))
         .otherwise(F.contains("_word", "piece"))
     )
-    candidates = cut_lineage(met.filter(fits).select("query_id", key).distinct().join(queries, "query_id"))
-    pattern = F.concat(F.lit("%"), F.col("query"), F.lit("%"))
-    wild = F.col("query").rlike("[%_]")
-    found = F.when(wild, txt.like_literal(F.col("_hay"), pattern)).otherwise(F.contains("_hay", "query"))
-    return lookup_join(lowered, candidates, [key], [key]).filter(found).select("query_id", key)
+    candidates = cut_lineage(met.filter(fits).select("query_id", key).distinct())
+    matched = lookup_join(lowered, candidates, [key]).join(asked, "query_id").filter(found).select("query_id", key)
+    return matched.unionByName(everywhere)
 
 
 # --- the five collectors -----------------------------------------------------
@@ -331,15 +339,15 @@ def file_entities(files: DataFrame, locations: DataFrame) -> DataFrame:
     )
 
 
-def scan_hits(entities: DataFrame, queries: DataFrame, limit: int | None = DEFAULT_LIMIT) -> DataFrame:
-    """The newest matching entities per query and collector, in scan order."""
+def scan_hits(entities: DataFrame, queries: DataFrame, limit: int | None = None) -> DataFrame:
+    """The matching entities per query and collector with their rank, newest first; ``limit`` of each if one is given."""
     variant = F.when(F.col("source_type") == "file", F.col("order_3"))
     keyed = entities.withColumn("_key", F.concat_ws("|", "rank_source", "source_id", variant))
     pairs = match_queries(keyed, queries, "_key", "haystack")
-    hits = lookup_join(keyed, cut_lineage(pairs), ["_key"], ["_key"])
+    hits = lookup_join(keyed, cut_lineage(pairs), ["_key"])
     order = [F.col("order_1").asc_nulls_last(), F.col("order_2").asc_nulls_last(), F.col("order_3")]
     if limit is None:
-        return hits.drop("_key")
+        return hits.withColumn("leg_rank", F.row_number().over(Window.partitionBy("query_id", "rank_source").orderBy(*order))).drop("_key")
     return top_per_group(hits, ["query_id", "rank_source"], order, limit, "leg_rank").drop("_key")
 
 
@@ -349,10 +357,12 @@ def with_scores(hits: DataFrame, queries: DataFrame) -> DataFrame:
     return joined.withColumn("score", similarity.match_score(F.col("query"), F.col("label"), F.col("score_text"), bases))
 
 
-def full_text_hits(chunk_hits: DataFrame, chunks: DataFrame, queries: DataFrame, limit: int, index_path: str | None = None) -> DataFrame:
-    """Best chunks per query by BM25, shaped like the scan hits."""
+def full_text_hits(chunk_hits: DataFrame, chunks: DataFrame, queries: DataFrame, limit: int | None = None, index_path: str | None = None) -> DataFrame:
+    """Best chunks per query by BM25, all if there is no limit, shaped like the scan hits."""
     scores = bm25_scores(chunks, queries, index_path=index_path)
-    best = top_per_group(scores, ["query_id"], [F.col("bm25").desc(), F.col("chunk_id")], limit, "leg_rank")
+    order = [F.col("bm25").desc(), F.col("chunk_id")]
+    ranked = scores.withColumn("leg_rank", F.row_number().over(Window.partitionBy("query_id").orderBy(*order)))
+    best = ranked if limit is None else ranked.filter(F.col("leg_rank") <= limit)
     shaped = best.join(chunk_hits, "chunk_id").join(queries, "query_id")
     return shaped.withColumn("rank_source", F.lit("full_text")).withColumn("score", F.col("bm25") + INDEX_BASE).drop("bm25")
 
@@ -377,14 +387,20 @@ def best_term(hits: DataFrame, queries: DataFrame, terms: DataFrame) -> DataFram
     )
 
 
-def merge_hits(hits: DataFrame, limit: int) -> DataFrame:
-    """Drop repeated sources in collector order, keep three times the limit, then rank."""
+def merge_hits(hits: DataFrame, limit: int, collect: int | None = None) -> DataFrame:
+    """Drop repeated sources in collector order, then rank all and keep ``limit``.
+
+    ``collect`` keeps so many per query, in collector order, before the rank;
+    without it a good hit of a late collector cannot be lost.
+    """
     ordinal = F.coalesce(*[F.when(F.col("rank_source") == name, F.lit(i)) for i, name in enumerate(COLLECTOR_ORDER)])
-    placed = hits.withColumn("_place", ordinal * F.lit(1_000_000) + F.col("leg_rank"))
-    unique = first_per_group(placed, ["query_id", "source_type", "source_id"], [F.col("_place")])
-    collected = top_per_group(unique, ["query_id"], [F.col("_place")], limit * COLLECT_FACTOR, "_collected")
+    place = [F.col("_ordinal"), F.col("leg_rank"), F.col("source_id")]
+    placed = hits.withColumn("_ordinal", ordinal)
+    unique = first_per_group(placed, ["query_id", "source_type", "source_id"], place)
+    if collect is not None:
+        unique = top_per_group(unique, ["query_id"], place, collect, "_collected").drop("_collected")
     final = [F.col("score").desc(), F.col("source_type"), F.col("label"), F.col("source_id")]
-    return top_per_group(collected, ["query_id"], final, limit, "position").drop("_place", "_collected")
+    return top_per_group(unique, ["query_id"], final, limit, "position").drop("_ordinal")
 
 
 def navigation(hits: DataFrame, queries: DataFrame, terms: DataFrame) -> DataFrame:
@@ -439,14 +455,21 @@ def with_snippets(hits: DataFrame) -> DataFrame:
 
 
 def search_global(
-    queries: DataFrame, tables: dict[str, DataFrame], limit: int = DEFAULT_LIMIT, index_path: str | None = None
+    queries: DataFrame,
+    tables: dict[str, DataFrame],
+    limit: int,
+    leg_limit: int | None = None,
+    collect: int | None = None,
+    index_path: str | None = None,
 ) -> DataFrame:
     """All five collectors for every query: merged, ranked, with route, snippet and highlights.
 
     ``tables`` holds files, file_locations, document_chunks, document_regions,
-    document_page_markdown and document_terms.
+    document_page_markdown and document_terms.  ``limit`` is the length of each
+    list.  ``leg_limit`` hits of a collector and ``collect`` of a query are
+    ranked, all by default.
     """
-    size = clamp_limit(limit, MAX_LIMIT)
+    size = max(1, limit)
     asked = prepare_queries(queries)
     chunks, files, regions = tables["document_chunks"], tables["files"], tables["document_regions"]
     chunk_rows = chunk_entities(chunks, files, regions)
@@ -458,9 +481,9 @@ def search_global(
     entities = chunk_rows
     for other in scanned:
         entities = entities.unionByName(other)
-    plain = with_scores(scan_hits(entities, asked, size), asked)
-    ranked = full_text_hits(chunk_rows, chunks, asked, size, index_path)
-    merged = merge_hits(ranked.unionByName(plain), size)
+    plain = with_scores(scan_hits(entities, asked, leg_limit), asked)
+    ranked = full_text_hits(chunk_rows, chunks, asked, leg_limit, index_path)
+    merged = merge_hits(ranked.unionByName(plain), size, collect)
     placed = navigation(merged, asked, tables["document_terms"])
     result_id = F.concat(
         F.when(F.col("source_type") == "document_chunk", F.lit("chunk:"))
