@@ -180,6 +180,16 @@ def _probes(word: Column, kind: str, size: int) -> Column:
     return F.array_distinct(F.transform(starts, lambda i: F.concat(F.lit(INSIDE), F.substring(word, i, F.lit(size)))))
 
 
+def _wildcards_only(lowered: DataFrame, asked: DataFrame, key: str) -> DataFrame:
+    """Queries without a literal character meet every text of as many characters as they have ``_``."""
+    open_ = cut_lineage(asked.select("query_id", F.length(F.regexp_replace("query", "[^_]", "")).alias("_least")))
+    counts = sorted(row["_least"] for row in open_.select("_least").distinct().collect())
+    if not counts:
+        return lowered.select(F.lit(None).cast(asked.schema["query_id"].dataType).alias("query_id"), key).filter(F.lit(False))
+    reached = F.filter(F.array(*[F.lit(n) for n in counts]), lambda n: n <= F.length("_hay"))
+    return lookup_join(lowered.select(key, F.explode(reached).alias("_least")), open_, ["_least"], [key]).select("query_id", key)
+
+
 def match_queries(texts: DataFrame, queries: DataFrame, key: str, haystack: str) -> DataFrame:
     """(query_id, key) of every text whose lower-cased haystack contains the query.
 
@@ -198,8 +208,7 @@ def match_queries(texts: DataFrame, queries: DataFrame, key: str, haystack: str)
     pattern = F.concat(F.lit("%"), F.col("query"), F.lit("%"))
     wild = F.col("query").rlike("[%_]")
     found = F.when(wild, txt.like_literal(F.col("_hay"), pattern)).otherwise(F.contains("_hay", "query"))
-    open_ = cut_lineage(asked.join(anchors.select("query_id"), "query_id", "left_anti").withColumn("_all", F.lit(1)))
-    everywhere = lookup_join(lowered.withColumn("_all", F.lit(1)), open_, ["_all"], [key]).filter(found).select("query_id", key)
+    everywhere = _wildcards_only(lowered, asked.join(anchors.select("query_id"), "query_id", "left_anti"), key)
     if not needed:
         return everywhere
     words = explode_rows(lowered, [key], F.array_distinct(F.split("_hay", txt.SPACE_RUN)), "_word")

@@ -441,7 +441,7 @@ def model_call_statistics(spark: SparkSession, sf: str) -> DataFrame:
 )
 def redacted_payloads(spark: SparkSession, sf: str) -> DataFrame:
     """Payloads with each whole text as inline image data."""
-    documents = roles.wide_table(spark, sf, "documents")
+    documents = roles.table(spark, sf, "documents")
     data = F.concat(F.lit("data:image/png;base64,"), F.base64(F.encode("text", "UTF-8")))
     payload = F.to_json(F.struct(data.alias("url"), F.length("text").alias("chars")))
     return documents.select("doc_id", F.md5(runs.redact_images(payload)).alias("payload_md5"))
@@ -454,7 +454,7 @@ def redacted_payloads(spark: SparkSession, sf: str) -> DataFrame:
 def bounded_attributes(spark: SparkSession, sf: str) -> DataFrame:
     attributes = F.create_map(F.lit("text"), "text", F.lit("lang"), "lang", F.lit("missing"), F.lit(None).cast("string"))
     kept = work.truncated_map(attributes, 500)
-    rows = roles.wide_table(spark, sf, "documents").select("doc_id", kept.alias("m"))
+    rows = roles.table(spark, sf, "documents").select("doc_id", kept.alias("m"))
     return rows.select("doc_id", F.length(F.col("m")["text"]).cast("long").alias("text_length"), F.size("m").cast("long").alias("n_keys"))
 
 
@@ -522,7 +522,7 @@ def _measure(rows: list[dict]) -> list[str]:
     "SELECT doc_id, CASE WHEN contains(text, '$$$') THEN 'error' ELSE 'ok' END AS status, CASE WHEN contains(text, '$$$') THEN 'ValueError' ELSE CAST(length(text) AS VARCHAR) END AS outcome FROM documents",
 )
 def annotate_pages(spark: SparkSession, sf: str) -> DataFrame:
-    documents = roles.wide_table(spark, sf, "documents").select("doc_id", "text")
+    documents = roles.table(spark, sf, "documents").select("doc_id", "text")
     rows = work.annotate(documents, _measure, batch_size=16)
     return rows.select("doc_id", "status", F.coalesce("result", "error_type").alias("outcome"))
 

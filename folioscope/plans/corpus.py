@@ -71,7 +71,7 @@ view(
 def reader_results(spark: SparkSession, sf: str) -> DataFrame:
     """Labelled documents as reader results: good quality is a good read."""
     labels = roles.table(spark, sf, "labels")
-    documents = roles.wide_table(spark, sf, "documents").select("doc_id", "text")
+    documents = roles.table(spark, sf, "documents").select("doc_id", "text")
     joined = labels.join(documents, "doc_id")
     return joined.select(
         ids.content_hash(F.col("text")).alias("file_hash"),
@@ -201,7 +201,7 @@ TOKENS_SQL = "CASE WHEN length({0}) = 0 THEN 0 ELSE greatest(1, ceil(length({0})
 )
 def text_measures(spark: SparkSession, sf: str) -> DataFrame:
     text = F.col("text")
-    return roles.wide_table(spark, sf, "documents").select(
+    return roles.table(spark, sf, "documents").select(
         "doc_id",
         txt.estimate_tokens(text).alias("tokens"),
         txt.output_tokens(text).alias("output_tokens"),
@@ -233,7 +233,7 @@ def query_cleaning(spark: SparkSession, sf: str) -> DataFrame:
 )
 def evidence_tokens(spark: SparkSession, sf: str) -> DataFrame:
     tokens = txt.evidence_tokens(F.col("text"))
-    rows = roles.wide_table(spark, sf, "documents").select("doc_id", tokens.alias("t"))
+    rows = roles.table(spark, sf, "documents").select("doc_id", tokens.alias("t"))
     return rows.select("doc_id", F.size("t").cast("long").alias("n_tokens"), F.md5(F.array_join("t", " ")).alias("tokens_md5"))
 
 
@@ -241,13 +241,13 @@ def evidence_tokens(spark: SparkSession, sf: str) -> DataFrame:
     "null_safe_casts",
     """
     SELECT doc_id, try_cast(trim(word) AS DOUBLE) AS as_float, CAST(trunc(try_cast(trim(word) AS DOUBLE)) AS INTEGER) AS as_int, coalesce(CAST(trunc(try_cast(trim(word) AS DOUBLE)) AS INTEGER), 0) AS or_zero
-    FROM (SELECT doc_id, CASE WHEN lang = 'en' THEN text[1:4] WHEN lang = 'fr' THEN ' ' || doc_id || ' ' ELSE doc_id || '.75' END AS word FROM documents)
+    FROM (SELECT doc_id, CASE WHEN lang = 'en' THEN split_part(text, ' ', 1) WHEN lang = 'fr' THEN ' ' || doc_id || ' ' ELSE doc_id || '.75' END AS word FROM documents)
     """,
 )
 def null_safe_casts(spark: SparkSession, sf: str) -> DataFrame:
     number = F.col("doc_id").cast("string")
-    word = F.when(F.col("lang") == "en", F.substring("text", 1, 4)).when(F.col("lang") == "fr", F.concat(F.lit(" "), number, F.lit(" "))).otherwise(F.concat(number, F.lit(".75")))
-    rows = roles.wide_table(spark, sf, "documents").select("doc_id", word.alias("word"))
+    word = F.when(F.col("lang") == "en", F.split_part("text", F.lit(" "), F.lit(1))).when(F.col("lang") == "fr", F.concat(F.lit(" "), number, F.lit(" "))).otherwise(F.concat(number, F.lit(".75")))
+    rows = roles.table(spark, sf, "documents").select("doc_id", word.alias("word"))
     value = F.col("word")
     return rows.select("doc_id", casts.to_float(value).alias("as_float"), casts.to_int(value).alias("as_int"), casts.int_or_zero(value).alias("or_zero"))
 

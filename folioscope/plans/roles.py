@@ -7,6 +7,8 @@ same mapping is written once as DataFrames and once as SQL views.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,6 +16,7 @@ from folioscope.functions import boxes, ids, kinds
 from folioscope.functions import text as txt
 from folioscope.operators.chunks import character_chunks
 from folioscope.plans.registry import view
+from folioscope.session import scratch_path
 from folioscope.sources import files as corpus
 
 EPOCH = 1704067200
@@ -25,13 +28,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def wide_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A table for text-heavy work: spread out if it lies in fewer files than there are cores."""
-    df = table(spark, sf_dir, name)
-    cores = spark.sparkContext.defaultParallelism
-    return df.repartition(cores) if len(df.inputFiles()) < cores else df
-
-
 def text_of(number: Column) -> Column:
     return number.cast("string")
 
@@ -57,14 +53,28 @@ view(
 )
 
 
-def sightings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document as a file seen once, at a time given by its number."""
-    docs = wide_table(spark, sf_dir, "documents")
+_STORED: dict[tuple[str, str, str], str] = {}
+
+
+def stored(spark: SparkSession, sf_dir: str, name: str, make: Callable[[], DataFrame]) -> DataFrame:
+    """A table derived from a folder, written once for each application to the shared scratch folder."""
+    place = (spark.sparkContext.applicationId, sf_dir, name)
+    if place not in _STORED:
+        path = scratch_path(spark, name)
+        make().write.parquet(path)
+        _STORED[place] = path
+    return spark.read.parquet(_STORED[place])
+
+
+def _described(spark: SparkSession, sf_dir: str) -> DataFrame:
     seen_at = F.timestamp_seconds(F.lit(EPOCH) + F.col("doc_id"))
-    described = corpus.from_text_table(
-        docs.withColumn("_path", doc_path()).withColumn("seen_at", seen_at), "text", F.col("_path"), seen_at
-    )
-    return described.withColumn("seen_at", F.col("modified_at"))
+    docs = table(spark, sf_dir, "documents").withColumns({"_path": doc_path(), "seen_at": seen_at})
+    return corpus.from_text_table(docs, "text", F.col("_path"), seen_at, ["seen_at", "doc_id"]).drop("text")
+
+
+def sightings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document as a file seen once, at a time given by its number; without the text."""
+    return stored(spark, sf_dir, "sightings", lambda: _described(spark, sf_dir))
 
 
 view(
@@ -88,9 +98,19 @@ def locations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One text per content, with the time it was first seen."""
-    seen = sightings(spark, sf_dir).select("file_hash", "text", "seen_at")
-    return seen.groupBy("file_hash").agg(F.min_by("text", "seen_at").alias("text"), F.min("seen_at").alias("created_at"))
+    """One text per content, with the time it was first seen.
+
+    The first sighting is found without the texts, which are then picked by
+    its number; no text goes through an aggregate.
+    """
+
+    def make() -> DataFrame:
+        seen = sightings(spark, sf_dir)
+        first = seen.groupBy("file_hash").agg(F.min("doc_id").alias("doc_id"), F.min("seen_at").alias("created_at"))
+        documents = table(spark, sf_dir, "documents").select("doc_id", "text")
+        return documents.join(first, "doc_id").select("file_hash", "text", "created_at").repartition("file_hash")
+
+    return stored(spark, sf_dir, "texts", make)
 
 
 view(
@@ -248,7 +268,7 @@ view(
 
 
 def turns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return wide_table(spark, sf_dir, "conversations").select(
+    return table(spark, sf_dir, "conversations").select(
         F.concat(F.lit("conv-"), text_of(F.col("conv_id"))).alias("file_hash"),
         F.col("turn"),
         (F.col("turn") + 1).cast("int").alias("page_no"),

@@ -534,7 +534,7 @@ def heading_sections(spark: SparkSession, sf: str) -> DataFrame:
         F.split("text", "\n"),
         lambda line, i: F.concat(F.lit("### Page "), (i % 3 + 1).cast("string"), F.lit("\n"), txt.collapse_spaces(line)),
     )
-    made = roles.wide_table(spark, sf, "documents").select(
+    made = roles.table(spark, sf, "documents").select(
         F.col("doc_id").alias("file_hash"), F.concat(F.lit("lead\n"), F.array_join(lines, "\n")).alias("text")
     )
     rows = md.split_page_sections(made)

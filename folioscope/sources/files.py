@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folioscope.functions import ids
+from folioscope.sources import listing
 
 # File types that readers and previews accept.
 PREVIEW_EXTENSIONS = (".pdf", ".png", ".jpg", ".jpeg", ".bmp", ".webp", ".tif", ".tiff", ".gif")
-PREVIEW_GLOB = "*.{pdf,png,jpg,jpeg,bmp,webp,tif,tiff,gif,PDF,PNG,JPG,JPEG,BMP,WEBP,TIF,TIFF,GIF}"
 
 
 def base_name(path: Column) -> Column:
@@ -27,11 +29,18 @@ def is_supported(ext: Column) -> Column:
 
 
 def scan_directory(spark: SparkSession, directory: str, *, supported_only: bool = False) -> DataFrame:
-    """One row per file below a directory, hashed where it lies."""
-    reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
-    if supported_only:
-        reader = reader.option("pathGlobFilter", PREVIEW_GLOB)
-    return describe_files(reader.load(directory))
+    """One row per file below a directory, whatever its name; links are left out.
+
+    Folders are listed and files hashed by tasks: a job for each level of
+    folders, then one that reads every file in blocks.
+    """
+    found = listing.list_files(spark, directory)
+    name = base_name(F.col("path"))
+    described = found.select(
+        "path", name.alias("filename"), extension(name).alias("extension"), F.col("length").alias("size_bytes"), F.timestamp_micros("modified_us").alias("modified_at")
+    )
+    kept = described.filter(is_supported(F.col("extension"))) if supported_only else described
+    return listing.with_hash(kept, "path", "file_hash")
 
 
 def describe_files(binary: DataFrame) -> DataFrame:
@@ -47,8 +56,8 @@ def describe_files(binary: DataFrame) -> DataFrame:
     )
 
 
-def from_text_table(documents: DataFrame, text: str, path: Column, modified_at: Column) -> DataFrame:
-    """Files whose text is already in a table; the text is the content."""
+def from_text_table(documents: DataFrame, text: str, path: Column, modified_at: Column, keep: Sequence[str] = ()) -> DataFrame:
+    """Files whose text is already in a table; the text is the content.  ``keep`` names more columns to keep."""
     name = base_name(path)
     return documents.select(
         ids.content_hash(F.col(text)).alias("file_hash"),
@@ -58,6 +67,7 @@ def from_text_table(documents: DataFrame, text: str, path: Column, modified_at:
         F.octet_length(F.col(text)).cast("long").alias("size_bytes"),
         modified_at.alias("modified_at"),
         F.col(text).alias("text"),
+        *keep,
     )
 
 

@@ -34,6 +34,22 @@ def test_scan_directory(spark, tmp_path):
     assert [r["filename"] for r in corpus.scan_directory(spark, str(tmp_path), supported_only=True).collect()] == ["a.PDF"]
 
 
+def test_scan_takes_every_name_and_no_link(spark, tmp_path):
+    (tmp_path / "_h" / ".deep").mkdir(parents=True)
+    for name in ("_x.pdf", ".x.pdf", "X.Pdf", "y.jpeg", "_h/z.PNG", "_h/.deep/q.txt", "a b%20c.pdf"):
+        (tmp_path / name).write_bytes(name.encode())
+    (tmp_path / "link.pdf").symlink_to(tmp_path / "X.Pdf")
+    (tmp_path / "folder-link").symlink_to(tmp_path / "_h")
+    for root in (str(tmp_path), f"file://{tmp_path}"):
+        rows = {r["filename"]: r["file_hash"] for r in corpus.scan_directory(spark, root).collect()}
+        assert set(rows) == {"_x.pdf", ".x.pdf", "X.Pdf", "y.jpeg", "z.PNG", "q.txt", "a b%20c.pdf"}
+        assert rows["z.PNG"] == hashlib.sha256(b"_h/z.PNG").hexdigest()
+        shown = {r["filename"] for r in corpus.scan_directory(spark, root, supported_only=True).collect()}
+        assert shown == set(rows) - {"q.txt"}
+    (tmp_path / "empty").mkdir()
+    assert corpus.scan_directory(spark, str(tmp_path / "empty")).count() == 0
+
+
 def test_upsert_is_idempotent_and_last_write_wins(spark):
     base = spark.createDataFrame([(1, "a"), (2, "b")], ["k", "v"])
     delta = spark.createDataFrame([(2, "x"), (3, "c"), (2, "y")], ["k", "v"])
