@@ -277,15 +277,61 @@ def element_packing(spark: SparkSession, sf: str) -> DataFrame:
     return ck.pack_elements(doc_lines(spark, sf), 300, block=64).select("file_hash", "ordinal", "tokens", "pack_no")
 
 
-@query("packed_chunks")
+def split_sql(source: str, budget: int) -> str:
+    """(file_hash, no, part_index, part_text, is_split) of the rows (file_hash, no, text) of a view.
+
+    A fold over lines and, where a line is above the budget, its words, carries
+    the open part and the closed ones.
+    """
+    size = "greatest(1, ceil(length({0}) / 4.0::DOUBLE), ceil(({1}) * 1.35::DOUBLE))".format
+    item = "{{'t': {t}, 'w': {w}, 'k': {k}, 'done': CAST([] AS VARCHAR[])}}".format
+    line = item(t="rtrim(x)", w="len(regexp_extract_all(x, '[^\\s]+'))", k="'line'")
+    word = item(t="y", w="1", k="CASE WHEN len(regexp_extract_all(x, '[^\\s]+')) = 1 THEN 'only' WHEN i = 1 THEN 'first' WHEN i = len(regexp_extract_all(x, '[^\\s]+')) THEN 'last' ELSE 'word' END")
+    closed = "CASE WHEN a.t = '' THEN a.done ELSE list_append(a.done, a.t) END"
+    joined = "a.t || CASE WHEN x.k = 'line' THEN chr(10) ELSE ' ' END || x.t"
+    fits = f"a.t <> '' AND x.k NOT IN ('first', 'only') AND {size(joined, 'a.w + x.w')} <= {budget}"
+    grown = f"CASE WHEN {fits} THEN {joined} ELSE ltrim(x.t) END"
+    done = f"CASE WHEN {fits} THEN a.done ELSE {closed} END"
+    step = (
+        f"CASE WHEN x.k IN ('last', 'only') THEN {{'t': '', 'w': 0, 'k': x.k, 'done': list_append({done}, {grown})}} "
+        f"ELSE {{'t': {grown}, 'w': CASE WHEN {fits} THEN a.w + x.w ELSE x.w END, 'k': x.k, 'done': {done}}} END"
+    )
+    return f"""
+    SELECT file_hash, no, text, CASE WHEN {TOKENS_SQL.format('text')} <= {budget} THEN [text] ELSE list_filter(list_append(r.done, r.t), lambda p: p <> '') END AS parts
+    FROM (SELECT file_hash, no, text, list_reduce(list_prepend({{'t': '', 'w': 0, 'k': 'start', 'done': CAST([] AS VARCHAR[])}}, items), lambda a, x: {step}) AS r
+      FROM (SELECT file_hash, no, text, flatten(list_transform(list_filter(string_split(text, chr(10)), lambda x: trim(x) <> ''), lambda x:
+              CASE WHEN {TOKENS_SQL.format('x')} <= {budget} THEN [{line}]
+              ELSE list_transform(regexp_extract_all(x, '[^\\s]+'), lambda y, i: {word}) END)) AS items
+            FROM {source}))
+    """
+
+
+view("whole_texts", "SELECT file_hash, 0 AS no, text FROM texts")
+view("pack_texts", f"SELECT file_hash, pack_no AS no, string_agg(raw_line, chr(10) ORDER BY ordinal) AS text FROM (SELECT p.*, l.raw_line FROM ({PACKED}) p JOIN doc_lines l ON l.file_hash = p.file_hash AND l.i = p.ordinal) GROUP BY 1, 2")
+
+
+@query(
+    "packed_chunks",
+    f"""
+    SELECT file_hash || ':' || n AS chunk_id, CAST(n AS INTEGER) AS chunk_index, CAST({TOKENS_SQL.format('part')} AS BIGINT) AS tokens, is_split, md5(part) AS text_md5
+    FROM (SELECT file_hash, part, length(part) <> length(text) AS is_split, row_number() OVER (PARTITION BY file_hash ORDER BY no, slot) - 1 AS n
+          FROM (SELECT file_hash, no, text, unnest(parts) AS part, generate_subscripts(parts, 1) AS slot FROM ({split_sql('pack_texts', 300)})))
+    """,
+)
 def packed_chunks(spark: SparkSession, sf: str) -> DataFrame:
-    """Packed chunks with oversized packs split; checked against brute force in the tests."""
+    """Packed chunks with oversized packs split."""
     return ck.packed_chunks(doc_lines(spark, sf), 300).select("chunk_id", "chunk_index", "tokens", "is_split", F.md5("text").alias("text_md5"))
 
 
-@query("budget_split")
+@query(
+    "budget_split",
+    f"""
+    SELECT file_hash, CAST(slot - 1 AS INTEGER) AS part_index, length(part) <> length(text) AS is_split, CAST({TOKENS_SQL.format('part')} AS BIGINT) AS tokens
+    FROM (SELECT file_hash, text, unnest(parts) AS part, generate_subscripts(parts, 1) AS slot FROM ({split_sql('whole_texts', 200)}))
+    """,
+)
 def budget_split(spark: SparkSession, sf: str) -> DataFrame:
-    """Whole texts split to a token budget; checked against brute force in the tests."""
+    """Whole texts split to a token budget."""
     parts = ck.split_oversized(roles.texts(spark, sf).select("file_hash", "text"), 200)
     return parts.select("file_hash", "part_index", "is_split", txt.estimate_tokens(F.col("part_text")).alias("tokens"))
 
