@@ -125,7 +125,8 @@ def phrase_spans(query: Column, text: Column) -> Column:
 
     The text between two occurrences is a gap; starts are running gap lengths.
     """
-    gaps = F.split(F.lower(text), F.concat(F.lit(r"\Q"), query, F.lit(r"\E")))
+    quoted = F.replace(query, F.lit(r"\E"), F.lit(r"\E\\E\Q"))
+    gaps = F.split(F.lower(text), F.concat(F.lit(r"\Q"), quoted, F.lit(r"\E")))
     lengths = F.transform(F.slice(gaps, F.lit(1), F.size(gaps) - 1), lambda g: F.length(g))
     start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int>>").alias("found"))
 

@@ -138,10 +138,17 @@ def chunk_windows(text: Column, max_chars: int = 4000, overlap_chars: int = 400)
         raise ValueError("max_chars must be greater than overlap_chars.")
     step = max_chars - overlap_chars
 
+    # The body is cut once into pieces of a step; a window is a piece and the beginning of what follows.
+    following = -(-overlap_chars // step)
+
+    def joined(pieces: Column, count: Column) -> Column:
+        numbers = F.sequence(F.lit(1), count)
+        whole = F.transform(numbers, lambda i: F.array_join(F.slice(pieces, i, F.lit(following + 1)), ""))
+        return F.filter(F.transform(whole, lambda text: strip(F.substring(text, 1, max_chars))), lambda piece: piece != "")
+
     def windows(body: Column) -> Column:
         count = F.greatest(F.lit(1), F.ceil((F.length(body) - overlap_chars) / F.lit(step))).cast("int")
-        starts = F.sequence(F.lit(0), count - 1)
-        pieces = F.transform(starts, lambda i: strip(F.substring(body, i * step + 1, F.lit(max_chars))))
-        return F.filter(pieces, lambda piece: piece != "")
+        cut = F.regexp_extract_all(body, F.lit(f"(?s).{{1,{step}}}"), F.lit(0))
+        return bind(cut, lambda pieces: joined(pieces, count))
 
     return bind(normalized_lines(text), windows)

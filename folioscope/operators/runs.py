@@ -604,7 +604,7 @@ def current_leases(log: DataFrame) -> DataFrame:
     return grouped.withColumn("duration_ms", F.timestamp_diff("MILLISECOND", "started_at", "finished_at"))
 
 
-IMAGE_URL = r'"data:image[^"]*"'
+IMAGE_URL = r'"data:image(?:[^"\\]|\\.)*"'
 IMAGE_MARK = '"[diagnostic attachment on filesystem]"'
 
 

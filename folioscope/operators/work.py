@@ -209,15 +209,19 @@ def _limited(value: Any, depth: int, chars: int, max_depth: int, items: int) ->
 
 
 def limited_json(payload: Column, chars: int = 2000, depth: int = 4, items: int = 100) -> Column:
-    """Nested attributes as JSON: bounded depth, list length and text length."""
+    """Nested attributes as JSON: bounded depth, list length and text length; bad JSON becomes NULL."""
     import json
 
+    def made(text: str | None) -> str | None:
+        try:
+            return None if text is None else json.dumps(_limited(json.loads(text), 0, chars, depth, items), ensure_ascii=False)
+        except (ValueError, RecursionError):
+            return None
+
     @F.pandas_udf("string")
     def limit(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in batches:
-            yield pd.Series(
-                [None if t is None else json.dumps(_limited(json.loads(t), 0, chars, depth, items), ensure_ascii=False) for t in texts]
-            )
+            yield pd.Series([made(t) for t in texts])
 
     return limit(payload)
 

@@ -75,7 +75,7 @@ def test_highlights():
 
 
 def test_phrase_spans_native_equals_python(spark):
-    rows = [("foo", "a FOO b foofoo"), ("a.b", "a.b axb A.B"), ("zz", "none")]
+    rows = [("foo", "a FOO b foofoo"), ("a.b", "a.b axb A.B"), ("zz", "none"), ("a\\e", "b A\\E a\\e")]
     df = spark.createDataFrame(rows, ["q", "t"]).select("q", "t", spans.phrase_spans(F.col("q"), F.col("t")).alias("s"))
     for r in df.collect():
         want = [m.span() for m in re.finditer(re.escape(r["q"]), r["t"].lower())]
