@@ -435,10 +435,10 @@ def flagship(spark: SparkSession, sf: str, hits: int = 10) -> DataFrame:
     )
 
 
-@query("chunk_text_matches", "SELECT query_id, chunk_id FROM asked, chunks WHERE contains(lower(text), query)")
+@query("chunk_text_matches", "SELECT query_id, chunk_id FROM asked_in_full, chunks WHERE contains(lower(text), query)")
 def chunk_text_matches(spark: SparkSession, sf: str) -> DataFrame:
     """All chunks that contain a query, found through anchor words instead of a cross join."""
-    asked = search.prepare_queries(roles.queries(spark, sf))
+    asked = search.prepare_queries(roles.queries_in_full(spark, sf))
     return search.match_queries(roles.chunks(spark, sf), asked, "chunk_id", "text")
 
 

@@ -156,6 +156,18 @@ def queries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.array_join(words, " ").alias("text"))
 
 
+view(
+    "asked_in_full",
+    "SELECT query_id, query FROM asked UNION ALL SELECT item_id + 1000000, lower(trim(regexp_replace(text, '\\s+', ' ', 'g'))) FROM benchmark",
+)
+
+
+def queries_in_full(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The short queries, and the whole of every benchmark text as one more query each."""
+    whole = table(spark, sf_dir, "benchmark").select((F.col("item_id") + 1_000_000).alias("query_id"), "text")
+    return queries(spark, sf_dir).unionByName(whole)
+
+
 # --- reader output -----------------------------------------------------------
 
 view(
