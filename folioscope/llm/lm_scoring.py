@@ -82,14 +82,16 @@ def _summed(rows: list[dict]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nd
 
 
 def _pairs(batches):
-    """Counts of the last two bytes of the n-grams."""
+    """Counts of the last two bytes of the n-grams, one row for each pair of a task."""
+    total = np.zeros((2, 1 << 16), np.int64)
     for batch in batches:
         for row in batch.to_pylist():
-            keys, _, background, target = _summed([row])
-            pairs, at = np.unique(keys & U64(0xFFFF), return_inverse=True)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(pairs.astype(np.int32)), pa.array(np.bincount(at, background, len(pairs)).astype(np.int64)), pa.array(np.bincount(at, target, len(pairs)).astype(np.int64))], ["pair", "background", "target"]
-            )
+            keys, _, *counts = _summed([row])
+            pair = (keys & U64(0xFFFF)).astype(np.int64)
+            for at, count in enumerate(counts):
+                total[at] += np.bincount(pair, count, 1 << 16).astype(np.int64)
+    some = np.flatnonzero(total[0])
+    yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(total[0][some]), pa.array(total[1][some])], ["pair", "background", "target"])
 
 
 def smoothed(counts: np.ndarray) -> np.ndarray:
