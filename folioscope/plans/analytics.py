@@ -567,8 +567,11 @@ def engine_identities(spark: SparkSession, sf: str) -> DataFrame:
 
 def event_stream(spark: SparkSession, sf: str) -> DataFrame:
     schema = roles.table(spark, sf, "events").schema
-    rows = jobs.parquet_stream(spark, f"{sf}/events.parquet", schema).withColumn("started_at", F.col("ts").cast("timestamp"))
-    return rows.select(
+    return _as_log(jobs.parquet_stream(spark, f"{sf}/events.parquet", schema))
+
+
+def _as_log(events: DataFrame) -> DataFrame:
+    return events.withColumn("started_at", F.col("ts").cast("timestamp")).select(
         F.dayofmonth("ts").cast("long").alias(RUN), F.col("event_id").alias("seq"), F.col("event_id").cast("string").alias("span_id"), "started_at",
         F.col("started_at").alias("ts"), F.col("event_type").alias("category"), F.col("value").alias("duration_ms"),
         F.concat(F.lit("file-"), F.col("user_id").cast("string")).alias("file_hash"),
@@ -623,12 +626,12 @@ def stream_live_units(spark: SparkSession, sf: str) -> DataFrame:
       SELECT 'file-' || user_id AS file_hash, min(us) AS session_start, max(us) + 3600000000 AS session_end, CAST(count(*) AS BIGINT) AS span_count, round(sum(value), 3) AS total_ms
       FROM (SELECT *, sum(CASE WHEN prev IS NULL OR us >= prev + 3600000000 THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY us, event_id) AS s FROM (
         SELECT *, epoch_us(ts) AS us, lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY epoch_us(ts), event_id) AS prev FROM events)) GROUP BY user_id, s)
-    WHERE session_end <= (SELECT max(epoch_us(ts)) - 600000000 FROM events)
     """,
 )
 def stream_sessions(spark: SparkSession, sf: str) -> DataFrame:
-    """Sessions that the watermark has closed."""
-    rows = jobs.run_to_table(jobs.activity_sessions(event_stream(spark, sf), "1 hour"), "sessions", "append")
+    """Sessions that the watermark has closed, and those open at the end of the input."""
+    closed = jobs.run_to_table(jobs.activity_sessions(event_stream(spark, sf), "1 hour"), "sessions", "append").drop("batch_id")
+    rows = closed.unionByName(jobs.still_open(_as_log(roles.table(spark, sf, "events")), "1 hour"))
     return rows.select(
         "file_hash", F.unix_micros("session_start").alias("session_start"), F.unix_micros("session_end").alias("session_end"),
         "span_count", F.round("duration_ms", 3).alias("total_ms"),

@@ -116,15 +116,29 @@ def error_rates(spans: DataFrame, width: str, slide: str | None = None, delay: s
 
 def activity_sessions(spans: DataFrame, gap: str, delay: str = "10 minutes") -> DataFrame:
     """Stretches of activity per file; a pause longer than the gap ends one."""
+    return _sessions(spans, gap, delay).drop("_newest")
+
+
+def _sessions(spans: DataFrame, gap: str, delay: str) -> DataFrame:
     session = F.session_window("started_at", gap)
     counted = spans.withWatermark("started_at", delay).groupBy(session.alias("s"), "file_hash").agg(
-        F.count("*").alias("span_count"), F.sum("duration_ms").alias("duration_ms")
+        F.count("*").alias("span_count"), F.sum("duration_ms").alias("duration_ms"), F.max("started_at").alias("_newest")
     )
     return counted.select(
-        F.col("s.start").alias("session_start"), F.col("s.end").alias("session_end"), "file_hash", "span_count", "duration_ms"
+        F.col("s.start").alias("session_start"), F.col("s.end").alias("session_end"), "file_hash", "span_count", "duration_ms", "_newest"
     )
 
 
+def still_open(spans: DataFrame, gap: str, delay: str = "10 minutes") -> DataFrame:
+    """The sessions that a stream over these rows has not closed at the end of its input.
+
+    ``spans`` is the same input as a batch; a flush after the last batch.
+    """
+    mark = spans.agg(F.max("started_at").alias("newest")).select(F.expr(f"newest - INTERVAL {delay}")).scalar()
+    # A filter on the window itself would be pushed below the merging of sessions and break them up.
+    return _sessions(spans, gap, delay).filter(F.col("_newest") + F.expr(f"INTERVAL {gap}") > mark).drop("_newest")
+
+
 # S5 -------------------------------------------------------------------------
 
 
