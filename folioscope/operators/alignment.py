@@ -116,13 +116,17 @@ def align(targets: DataFrame, words: DataFrame) -> DataFrame:
     first = F.col("word_no") - F.col("at")
     earliest = F.greatest(F.lit(1), first - _may_miss() - 2)
     latest = first + _may_miss()
-    starts = hits.filter(latest >= 1).select(*ELEMENT, "n", F.explode(F.sequence(earliest, latest)).alias("start")).distinct()
     # Starts are taken in blocks, so that a word is read once per block and
-    # text instead of once per window.
-    low = F.greatest(F.col("_block") * START_BLOCK, F.lit(1))
-    blocks = starts.groupBy(*ELEMENT, "n", F.floor(F.col("start") / START_BLOCK).cast("int").alias("_block")).agg(
-        F.collect_set("start").alias("_starts")
-    )
+    # text instead of once per window.  A hit stays one interval in each of the
+    # few blocks it reaches; single starts are made inside the row.
+    numbers = F.sequence(F.floor(earliest / START_BLOCK).cast("int"), F.floor(latest / START_BLOCK).cast("int"))
+    reached = hits.filter(latest >= 1).select(*ELEMENT, "n", earliest.alias("_from"), latest.alias("_to"), F.explode(numbers).alias("_block"))
+    opening = F.col("_block") * START_BLOCK
+    within = F.struct(F.greatest(F.col("_from"), opening).cast("int").alias("low"), F.least(F.col("_to"), opening + START_BLOCK - 1).cast("int").alias("high"))
+    intervals = reached.groupBy(*ELEMENT, "n", "_block").agg(F.collect_set(within).alias("_intervals"))
+    each_start = F.array_distinct(F.flatten(F.transform("_intervals", lambda x: F.sequence(x["low"], x["high"]))))
+    blocks = intervals.select(*ELEMENT, "n", "_block", each_start.alias("_starts"))
+    low = F.greatest(opening, F.lit(1))
     reach = F.sequence(low, F.col("_block") * START_BLOCK + START_BLOCK + F.col("n") + 1)
     covered = explode_rows(blocks, [*ELEMENT, "_block"], reach, "word_no").join(words, [*SCOPE, "word_no"])
     items = F.array_sort(F.collect_list(F.struct("word_no", "word", "box")))
