@@ -15,7 +15,7 @@ import pyarrow.compute as pc
 U64 = np.uint64
 BASE = U64(0x9E3779B97F4A7C15)
 _INVERSE = U64(pow(int(BASE), -1, 1 << 64))
-PORTION = 1 << 20
+PORTION = 1 << 19
 
 
 def one_chunk(column) -> pa.Array:

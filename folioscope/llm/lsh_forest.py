@@ -27,6 +27,7 @@ from folioscope.session import cut_lineage
 SKETCH = 32
 SMALL_REGION = 256
 TILE = 512
+TILE_SHINGLES = 1 << 19
 BROADCAST_TILES = 1_000_000
 
 
@@ -219,11 +220,13 @@ def _tiles(clustered: DataFrame, part: int, of: int) -> DataFrame:
     """(node, tiles): the tiles of bounded size in which a set meets all it may be linked with."""
     step = math.log(of / part) * (1 + 1e-9)  # rounding must not push sets two bands apart
     banded = clustered.withColumn("band", F.floor(F.log(F.col("n_shingles").cast("double")) / F.lit(step)).cast("int"))
-    sizes = banded.groupBy("component").agg(F.count("*").alias("size"))
-    bands = banded.groupBy("component", "band").agg(F.ceil(F.count("*") / F.lit(TILE)).cast("int").alias("parts"))
+    # tiles are bounded by sets and by the shingles in them
+    load = F.ceil(F.greatest(F.count("*") / F.lit(TILE), F.sum("n_shingles") / F.lit(TILE_SHINGLES))).cast("int")
+    sizes = banded.groupBy("component").agg(load.alias("size"))
+    bands = banded.groupBy("component", "band").agg(load.alias("parts"))
     sized = banded.join(sizes, "component")
-    whole = sized.filter(F.col("size") <= TILE).select("node", F.array(F.struct(F.col("component"), F.lit("").alias("tile"))).alias("tiles"))
-    big = sized.filter(F.col("size") > TILE)
+    whole = sized.filter(F.col("size") <= 1).select("node", F.array(F.struct(F.col("component"), F.lit("").alias("tile"))).alias("tiles"))
+    big = sized.filter(F.col("size") > 1)
     for shift, name in ((-1, "below"), (0, "parts"), (1, "above")):
         other = bands.select("component", (F.col("band") - shift).alias("band"), F.col("parts").alias(name))
         big = big.join(other, ["component", "band"], "left")

@@ -15,6 +15,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -129,11 +130,12 @@ def train(docs: DataFrame, lang_col: str = "lang", rows: int = 300) -> Model:
     return Model(names, trees, -np.log2(share / share.sum()) if len(names) else share)
 
 
-def _predict(model: Model):
+def _predict(model: Model, text_in_row: str | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         look_up = model.lengths()
         for batch in batches:
-            for low, high, data, offsets in text_portions(batch.column("body")):
+            texts = batch.column("body") if text_in_row is None else pc.struct_field(batch.column("row"), text_in_row)
+            for low, high, data, offsets in text_portions(texts):
                 rows = high - low
                 letters = np.asarray(batch.column("letters").slice(low, rows).to_pylist(), bool)
                 total = np.zeros((rows, len(model.names)))
@@ -164,6 +166,10 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text", carry: list[
     score 0, as is every text if nothing was learned.  Ties go to the first
     language by name.
     """
-    body = F.coalesce(F.col(text_col), F.lit(""))
-    own = docs.select(F.struct(*[F.col(c) for c in (carry or ["doc_id"])]).alias("row"), body.cast("binary").alias("body"), body.rlike(r"\p{L}").alias("letters"))
-    return own.mapInArrow(_predict(model), f"row {own.schema['row'].dataType.simpleString()}, lang_pred string, score double, bits double")
+    row = F.struct(*[F.col(c) for c in (carry or ["doc_id"])]).alias("row")
+    letters = F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False)).alias("letters")
+    # a carried text goes to the workers once
+    carried = text_col if text_col in (carry or []) else None
+    body = [] if carried else [F.col(text_col).cast("binary").alias("body")]
+    own = docs.select(row, *body, letters)
+    return own.mapInArrow(_predict(model, carried), f"row {own.schema['row'].dataType.simpleString()}, lang_pred string, score double, bits double")

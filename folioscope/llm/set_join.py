@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioscope.llm.arrays import ALNUM, U64, Words, flat, gram_hashes, loose, text_portions
+from folioscope.llm.arrays import ALNUM, U64, Words, flat, loose, text_portions
 
 #: Wordings of common licenses, by label.
 TEMPLATES: dict[str, Sequence[str]] = {

@@ -30,7 +30,7 @@ from folioscope.llm.shared import BATCH_BYTES, batch_count, in_batches
 from folioscope.llm.suffix_sort import Suffixes
 
 NO_ID = np.iinfo(np.int64).max
-_REACH = 1 << 20
+_REACH = 1 << 19
 _PLACE_BITS = U64(22)
 
 
