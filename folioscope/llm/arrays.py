@@ -6,6 +6,7 @@ portion is a portion of its own (or, where an operator says so, is cut).
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -48,10 +49,19 @@ def portions(offsets: np.ndarray, most: int = PORTION) -> Iterator[tuple[int, in
         low = high
 
 
+def give_back() -> None:
+    """Hand freed memory back to the system; an idle worker would keep it beside the next one."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def text_portions(column, most: int = PORTION) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     data, offsets = flat(column)
     for low, high in portions(offsets, most):
         yield low, high, data[offsets[low] : offsets[high]], offsets[low : high + 1] - offsets[low]
+    give_back()
 
 
 def _power_table(factor: np.uint64, count: int) -> np.ndarray:

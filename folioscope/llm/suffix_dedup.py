@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from folioscope.llm.arrays import U64, flat, loose, mix, portions, powers, prefix_hashes
+from folioscope.llm.arrays import U64, flat, give_back, loose, mix, portions, powers, prefix_hashes
 from folioscope.llm.shared import BATCH_BYTES, batch_count, in_batches
 from folioscope.llm.suffix_sort import Suffixes
 
@@ -378,11 +378,22 @@ def remove_repeats(
 
 
 def _two(function):
-    return lambda key, table: function(key, table)
+    # no type hints: Spark would read them as another kind of function
+    def run(key, table):
+        made = function(key, table)
+        give_back()
+        return made
+
+    return run
 
 
 def _three(function):
-    return lambda key, left, right: function(key, left, right)
+    def run(key, left, right):
+        made = function(key, left, right)
+        give_back()
+        return made
+
+    return run
 
 
 def digest(cleaned: DataFrame) -> DataFrame:
