@@ -550,7 +550,7 @@ def search_tables(spark: SparkSession, sf: str) -> dict[str, DataFrame]:
 @query("global_search")
 def global_search(spark: SparkSession, sf: str) -> DataFrame:
     """All collectors, merged and ranked, with fuzzy scores; checked against brute force in the tests."""
-    found = search.search_global(roles.queries(spark, sf), search_tables(spark, sf), 30, leg_limit=100)
+    found = search.search_global(roles.queries(spark, sf), search_tables(spark, sf), 30)
     return found.select(
         "query_id", "position", "result_id", "source_type", "label", "snippet", F.round("score", 4).alias("score"),
         "rank_source", "navigation_granularity", F.size("highlights").alias("n_highlights"), "page_no", "region_id",
