@@ -376,6 +376,19 @@ def full_text_hits(chunk_hits: DataFrame, chunks: DataFrame, queries: DataFrame,
     return shaped.withColumn("rank_source", F.lit("full_text")).withColumn("score", F.col("bm25") + INDEX_BASE).drop("bm25")
 
 
+def listed_full_text(chunk_hits: DataFrame, chunks: DataFrame, queries: DataFrame, size: int, index_path: str | None = None) -> DataFrame:
+    """The full-text hits that a list of ``size`` can show, in its order, found on narrow rows.
+
+    A chunk left out here is in no list through its scan hit either: that one
+    scores below INDEX_BASE, which each full-text hit exceeds.
+    """
+    scores = bm25_scores(chunks, queries, index_path=index_path).withColumn("score", F.col("bm25") + INDEX_BASE)
+    named = scores.join(chunk_hits.select("chunk_id", "label"), "chunk_id")
+    order = [F.col("score").desc(), F.col("label"), F.col("chunk_id")]
+    best = cut_lineage(top_per_group(named, ["query_id"], order, size, "leg_rank").drop("bm25", "label"))
+    return best.join(chunk_hits.drop("rank_source"), "chunk_id").join(queries, "query_id").withColumn("rank_source", F.lit("full_text"))
+
+
 def best_term(hits: DataFrame, queries: DataFrame, terms: DataFrame) -> DataFrame:
     """For each chunk hit the first of its words that the query asks for."""
     asked = queries.select("query_id", F.explode(F.array_distinct(txt.query_tokens(F.col("query")))).alias("normalized_text"))
@@ -487,11 +500,19 @@ def search_global(
         markdown_entities(tables["document_page_markdown"], files),
         file_entities(files, tables["file_locations"]),
     )
+    *others, named = scanned
     entities = chunk_rows
-    for other in scanned:
+    for other in others:
         entities = entities.unionByName(other)
-    plain = with_scores(scan_hits(entities, asked, leg_limit), asked)
-    ranked = full_text_hits(chunk_rows, chunks, asked, leg_limit, index_path)
+    if leg_limit is None and collect is None:
+        # Only a file can score as much as a full-text hit, so nothing else is looked for where those fill the list.
+        ranked = listed_full_text(chunk_rows, chunks, asked, size, index_path)
+        short = asked.join(ranked.filter(F.col("leg_rank") == size).select("query_id"), "query_id", "left_anti")
+        hits = scan_hits(entities, short).unionByName(scan_hits(named, asked))
+    else:
+        ranked = full_text_hits(chunk_rows, chunks, asked, leg_limit, index_path)
+        hits = scan_hits(entities.unionByName(named), asked, leg_limit)
+    plain = with_scores(hits, asked)
     merged = merge_hits(ranked.unionByName(plain), size, collect)
     placed = navigation(merged, asked, tables["document_terms"])
     result_id = F.concat(

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,11 +14,14 @@ from folioscope.operators import chunks as ck
 from folioscope.operators import documents as docs
 from folioscope.operators import search, terms
 from folioscope.plans import roles
-from folioscope.plans.registry import query, view
+from folioscope.plans.registry import query, query_variant, view
 from folioscope.sources import files as corpus
 from folioscope.sources import keyed, raw_layer
 
 
+Asks = Callable[[SparkSession, str], DataFrame]
+
+
 def seconds(column: Column) -> Column:
     return (F.unix_seconds(column) - roles.EPOCH).alias("x")
 
@@ -396,8 +401,8 @@ view(
 
 
 @query("full_text_scores", "SELECT query_id, chunk_id, round(score, 4) AS bm25 FROM bm25_rows")
-def full_text_scores(spark: SparkSession, sf: str) -> DataFrame:
-    asked = search.prepare_queries(roles.queries(spark, sf))
+def full_text_scores(spark: SparkSession, sf: str, asks: Asks = roles.queries) -> DataFrame:
+    asked = search.prepare_queries(asks(spark, sf))
     scores = search.bm25_scores(roles.chunks(spark, sf), asked)
     return scores.select("query_id", "chunk_id", F.round("bm25", 4).alias("bm25"))
 
@@ -418,14 +423,14 @@ SNIPPET_SQL = """
       FROM bm25_top b JOIN chunks USING (chunk_id) JOIN asked USING (query_id) WHERE rank <= 10))
     """,
 )
-def ranked_snippets(spark: SparkSession, sf: str) -> DataFrame:
+def ranked_snippets(spark: SparkSession, sf: str, asks: Asks = roles.queries) -> DataFrame:
     """The flagship: chunks, full-text rank and snippet, ten hits per query."""
-    return flagship(spark, sf)
+    return flagship(spark, sf, asks=asks)
 
 
-def flagship(spark: SparkSession, sf: str, hits: int = 10) -> DataFrame:
+def flagship(spark: SparkSession, sf: str, hits: int = 10, asks: Asks = roles.queries) -> DataFrame:
     chunks = roles.chunks(spark, sf)
-    asked = search.prepare_queries(roles.queries(spark, sf))
+    asked = search.prepare_queries(asks(spark, sf))
     scores = search.bm25_scores(chunks, asked)
     order = [F.round("bm25", 6).desc(), F.col("chunk_id")]
     best = search.top_per_group(scores, ["query_id"], order, hits, "position")
@@ -446,9 +451,9 @@ def chunk_text_matches(spark: SparkSession, sf: str) -> DataFrame:
     "wildcard_matches",
     "SELECT query_id, chunk_id FROM (SELECT query_id, replace(query, 'e', '_') AS query FROM asked), chunks WHERE lower(text) LIKE '%' || query || '%'",
 )
-def wildcard_matches(spark: SparkSession, sf: str) -> DataFrame:
+def wildcard_matches(spark: SparkSession, sf: str, asks: Asks = roles.queries) -> DataFrame:
     """Every letter e of a query as a one-character wildcard."""
-    asked = search.prepare_queries(roles.queries(spark, sf)).withColumn("query", F.replace("query", F.lit("e"), F.lit("_")))
+    asked = search.prepare_queries(asks(spark, sf)).withColumn("query", F.replace("query", F.lit("e"), F.lit("_")))
     return search.match_queries(roles.chunks(spark, sf), asked, "chunk_id", "text")
 
 
@@ -487,9 +492,9 @@ def scan_entities(spark: SparkSession, sf: str) -> DataFrame:
     FROM (SELECT *, row_number() OVER (PARTITION BY query_id, rank_source ORDER BY o1, o2, o3) AS leg_rank FROM scan_rows) WHERE leg_rank <= 30
     """,
 )
-def scan_collectors(spark: SparkSession, sf: str) -> DataFrame:
+def scan_collectors(spark: SparkSession, sf: str, asks: Asks = roles.queries) -> DataFrame:
     """Newest hits of the plain-text collectors; the score where the query occurs as typed."""
-    asked = search.prepare_queries(roles.queries(spark, sf))
+    asked = search.prepare_queries(asks(spark, sf))
     hits = search.scan_hits(scan_entities(spark, sf), asked, 30).join(asked, "query_id")
     base = F.coalesce(*[F.when(F.col("rank_source") == name, F.lit(value)) for name, value in search.BASE_SCORES.items()])
     return hits.select(
@@ -526,9 +531,9 @@ def file_scan_hits(spark: SparkSession, sf: str) -> DataFrame:
       JOIN term_rows USING (chunk_id) WHERE lower(token) = word) WHERE rn = 1
     """,
 )
-def chunk_best_term(spark: SparkSession, sf: str) -> DataFrame:
+def chunk_best_term(spark: SparkSession, sf: str, asks: Asks = roles.queries) -> DataFrame:
     """First word of each matching chunk that the query asks for."""
-    asked = search.prepare_queries(roles.queries(spark, sf))
+    asked = search.prepare_queries(asks(spark, sf))
     chunks = roles.region_chunks(spark, sf)
     hits = search.match_queries(chunks, asked, "chunk_id", "text").withColumn("source_type", F.lit("document_chunk"))
     found = search.best_term(hits, asked, terms.build_terms(roles.regions(spark, sf)))
@@ -550,7 +555,7 @@ def search_tables(spark: SparkSession, sf: str) -> dict[str, DataFrame]:
 @query("global_search")
 def global_search(spark: SparkSession, sf: str) -> DataFrame:
     """All collectors, merged and ranked, with fuzzy scores; checked against brute force in the tests."""
-    found = search.search_global(roles.queries(spark, sf), search_tables(spark, sf), 30)
+    found = search.search_global(roles.whole_queries(spark, sf), search_tables(spark, sf), 30)
     return found.select(
         "query_id", "position", "result_id", "source_type", "label", "snippet", F.round("score", 4).alias("score"),
         "rank_source", "navigation_granularity", F.size("highlights").alias("n_highlights"), "page_no", "region_id",
@@ -564,14 +569,43 @@ def global_search(spark: SparkSession, sf: str) -> DataFrame:
     FROM (SELECT query_id, query, chunk_id, lower(text) AS body FROM asked, chunks WHERE contains(lower(text), query))
     """,
 )
-def phrase_highlights(spark: SparkSession, sf: str) -> DataFrame:
-    asked = search.prepare_queries(roles.queries(spark, sf))
+def phrase_highlights(spark: SparkSession, sf: str, asks: Asks = roles.queries) -> DataFrame:
+    asked = search.prepare_queries(asks(spark, sf))
     chunks = roles.chunks(spark, sf)
     pairs = search.match_queries(chunks, asked, "chunk_id", "text").join(asked, "query_id").join(chunks.select("chunk_id", "text"), "chunk_id")
     found = pairs.withColumn("s", spans.phrase_spans(F.col("query"), F.col("text")))
     return found.select("query_id", "chunk_id", F.size("s").cast("long").alias("n_spans"), F.element_at("s", 1)["start"].cast("long").alias("first_start"))
 
 
+# --- whole benchmark texts ---------------------------------------------------
+
+
+def _ask_in_full(function: Callable[..., DataFrame]) -> None:
+    def whole(spark: SparkSession, sf: str) -> DataFrame:
+        return function(spark, sf, roles.whole_queries)
+
+    whole.__module__ = __name__
+    query_variant(f"{function.__name__}_in_full", whole, function.__name__, "asked", roles.WHOLE_TEXTS)
+
+
+for _function in (full_text_scores, ranked_snippets, wildcard_matches, scan_collectors, chunk_best_term, phrase_highlights):
+    _ask_in_full(_function)
+
+
+@query(
+    "word_lookup_in_full",
+    f"""
+    SELECT lower(token) AS normalized_text, file_hash, page_no, region_id, CAST(count(*) AS BIGINT) AS hits, CAST(min(char_start) AS INTEGER) AS first_start
+    FROM term_rows WHERE lower(token) IN (SELECT unnest(regexp_extract_all(lower(text), '{TERM_SQL}')) FROM benchmark) GROUP BY 1, 2, 3, 4
+    """,
+)
+def word_lookup_in_full(spark: SparkSession, sf: str) -> DataFrame:
+    """Every word of the benchmark texts."""
+    words = roles.table(spark, sf, "benchmark").select(F.explode(txt.term_tokens(F.col("text"))).alias("word"))
+    found = terms.regions_with_word(terms.build_terms(roles.regions(spark, sf)), words)
+    return found.withColumn("page_no", F.col("page_no").cast("long"))
+
+
 # --- documents and folders ---------------------------------------------------
 
 

@@ -168,6 +168,24 @@ def queries_in_full(spark: SparkSession, sf_dir: str) -> DataFrame:
     return queries(spark, sf_dir).unionByName(whole)
 
 
+WHOLE_TEXTS = """
+    SELECT item_id || ':' || kind AS query_id, query FROM (
+      SELECT item_id, 'whole' AS kind, lower(trim(regexp_replace(text, '\\s+', ' ', 'g'))) AS query FROM benchmark
+      UNION ALL
+      SELECT item_id, 'short', array_to_string(list_slice(string_split(whole, ' '), 1, 2), ' ')
+      FROM (SELECT item_id, lower(trim(regexp_replace(text, '\\s+', ' ', 'g'))) AS whole FROM benchmark) WHERE len(string_split(whole, ' ')) > 2)
+"""
+
+
+def whole_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every benchmark text as a query, and its first two words as one more; ids name the item and the kind."""
+    words = F.split(txt.collapse_spaces(F.col("text")), " ")
+    first = F.when(F.size(words) > 2, F.array_join(F.slice(words, 1, 2), " "))
+    kinds_ = F.array(F.struct(F.lit("whole").alias("kind"), F.col("text").alias("text")), F.struct(F.lit("short").alias("kind"), first.alias("text")))
+    rows = table(spark, sf_dir, "benchmark").select("item_id", F.inline(kinds_))
+    return rows.filter(F.col("text").isNotNull()).select(F.concat_ws(":", text_of(F.col("item_id")), "kind").alias("query_id"), "text")
+
+
 # --- reader output -----------------------------------------------------------
 
 view(

@@ -1,9 +1,13 @@
 """Queries do the whole job: nothing is left out before it could count."""
 
+import duckdb
 import pyarrow as pa
 import pyarrow.parquet as pq
+import pytest
 
 import __spark_entry__ as contract
+from folioscope.operators import search
+from folioscope.plans import corpus, roles
 
 
 def write(folder, name, rows):
@@ -18,3 +22,33 @@ def test_global_search_ranks_old_hits(spark, tmp_path):
     rows = contract.queries()["global_search"](spark, str(tmp_path)).orderBy("position").collect()
     assert len(rows) == 30
     assert rows[0]["source_type"] == "document_region" and rows[0]["page_no"] == 1 and rows[0]["score"] == 98.0
+
+
+def test_reduced_global_search_equals_the_full_rank(spark, sf):
+    """Lists made from the hits that can be in them are those made from all hits."""
+    tables, asked = corpus.search_tables(spark, sf), roles.queries(spark, sf)
+    shown = ["query_id", "position", "result_id", "score", "rank_source"]
+    short = search.search_global(asked, tables, 5).select(shown)
+    whole = search.search_global(asked, tables, 5, leg_limit=1_000_000).select(shown)
+    assert sorted(short.collect()) == sorted(whole.collect())
+
+
+def test_whole_texts_are_asked(spark, tmp_path):
+    write(tmp_path, "benchmark", [{"item_id": 1, "text": "One two  three"}, {"item_id": 1_000_001, "text": "four five"}, {"item_id": 2, "text": None}])
+    rows = search.prepare_queries(roles.whole_queries(spark, str(tmp_path))).collect()
+    assert sorted(map(tuple, rows)) == [("1000001:whole", "four five"), ("1:short", "one two"), ("1:whole", "one two three")]
+
+
+IN_FULL = ("full_text_scores", "ranked_snippets", "wildcard_matches", "scan_collectors", "chunk_best_term", "phrase_highlights", "word_lookup")
+
+
+@pytest.mark.parametrize("name", IN_FULL)
+def test_query_in_full_equals_its_sql(spark, sf, name):
+    from tools.check_queries import TABLES, compare
+
+    con = duckdb.connect()
+    for table in TABLES.split():
+        con.execute(f"CREATE VIEW {table} AS SELECT * FROM '{sf}/{table}.parquet'")
+    name = f"{name}_in_full"
+    message, good = compare(spark, con, name, contract.queries()[name], contract.oracle_sql()[name], sf)
+    assert good, message
