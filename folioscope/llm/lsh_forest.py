@@ -28,7 +28,6 @@ SKETCH = 32
 SMALL_REGION = 256
 TILE = 512
 TILE_SHINGLES = 1 << 19
-BROADCAST_TILES = 1_000_000
 
 
 def _odd(count: int, seed: int) -> np.ndarray:
@@ -290,9 +289,8 @@ def near_duplicates(
     counted = classes.groupBy("node").agg(F.max("n_shingles").alias("n_shingles"))
     clustered = cut_lineage(clusters.join(counted, "node"))
     tiles = cut_lineage(_tiles(clustered, part, of))
-    entries = tiles.agg(F.sum(F.size("tiles"))).first()[0] or 0
-    side = F.broadcast(tiles) if entries <= BROADCAST_TILES else tiles
-    wanted = given.withColumnRenamed("doc_id", "node").join(side, "node")
+    # Through a shuffle at every size: the hint keeps candidate components out of the driver.
+    wanted = given.withColumnRenamed("doc_id", "node").join(tiles.hint("shuffle_merge"), "node")
     sets = wanted.mapInArrow(_sets(shingle), "node long, tiles array<struct<component:bigint,tile:string>>, members binary")
     spread = sets.select("node", "members", F.explode("tiles").alias("t")).select("node", "members", "t.component", "t.tile")
     links = spread.groupBy("component", "tile").applyInArrow(lambda k, t: _confirm(part, of)(k, t), "a long, b long")

@@ -6,6 +6,7 @@ import pyarrow.parquet as pq
 import pytest
 
 import __spark_entry__ as contract
+from folioscope.llm import lsh_forest
 from folioscope.operators import search
 from folioscope.plans import corpus, roles
 
@@ -52,3 +53,13 @@ def test_query_in_full_equals_its_sql(spark, sf, name):
     name = f"{name}_in_full"
     message, good = compare(spark, con, name, contract.queries()[name], contract.oracle_sql()[name], sf)
     assert good, message
+
+
+def test_tiles_stay_out_of_the_driver(spark, monkeypatch):
+    def refuse(_):
+        raise AssertionError("tiles are gathered in the driver")
+
+    monkeypatch.setattr(lsh_forest.F, "broadcast", refuse)
+    rows = [(i, f"one two three four five six seven eight nine {i // 2}") for i in range(8)]
+    found = lsh_forest.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert {(r["doc_id"], r["component_id"]) for r in found.collect()} == {(i, i // 2 * 2) for i in range(8)}
