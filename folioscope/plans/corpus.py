@@ -622,10 +622,10 @@ def word_lookup_in_full(spark: SparkSession, sf: str) -> DataFrame:
     LEFT JOIN (SELECT file_hash, count(*) AS n FROM elements GROUP BY 1) g USING (file_hash)
     """,
 )
-def document_summaries(spark: SparkSession, sf: str) -> DataFrame:
+def document_summaries(spark: SparkSession, sf: str, whole_tables: bool = False) -> DataFrame:
     from folioscope.plans.structure import document_elements
 
-    regions = document_elements(spark, sf).withColumn("annotation_engine", F.lit(None).cast("string"))
+    regions = document_elements(spark, sf, whole_tables).withColumn("annotation_engine", F.lit(None).cast("string"))
     rows = docs.document_summaries(roles.files(spark, sf), roles.locations(spark, sf), raw_rows(spark, sf), roles.chunks(spark, sf), regions)
     return rows.select(
         "file_hash", "filename", "extension", "path", "docling_status", "mineru_status",
@@ -633,6 +633,9 @@ def document_summaries(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+query_variant("document_summaries_in_full", lambda spark, sf: document_summaries(spark, sf, True), "document_summaries", "elements", roles.WHOLE_ELEMENTS)
+
+
 view(
     "page_paths",
     """

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from folioscope.functions import boxes, ids, kinds
 from folioscope.functions import text as txt
+from folioscope.functions.binding import bind
 from folioscope.operators.chunks import character_chunks
 from folioscope.plans.registry import view
 from folioscope.session import scratch_path
@@ -234,8 +235,29 @@ def _json_box(left: Column, top: Column, right: Column, bottom: Column) -> Colum
     return F.struct(left.alias("l"), top.alias("t"), right.alias("r"), bottom.alias("b"), F.lit("BOTTOMLEFT").alias("coord_origin"))
 
 
-def reader_output(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Layout reader JSON per file, made inside each row from the lines of its text."""
+WHOLE_ROWS = """
+    SELECT file_hash, p, n // 4 AS row_no, string_agg(word, ' ' ORDER BY n) AS row_text FROM (
+      SELECT file_hash, p, unnest(string_split(text, ' ')) AS word, generate_subscripts(string_split(text, ' '), 1) - 1 AS n FROM (
+        SELECT file_hash, i // 10 AS p, string_agg(line, ' ' ORDER BY i) AS text FROM doc_lines WHERE line <> '' GROUP BY ALL)) GROUP BY ALL
+"""
+WHOLE_ELEMENTS = f"""
+    SELECT file_hash, source_ref, CAST(NULL AS VARCHAR) AS parent_ref, label, text, text AS context_text, page_no, l, t, r, b FROM reader_texts
+    UNION ALL
+    SELECT file_hash, '#/tables/' || (i // 10), NULL, 'table', string_agg(line, ' ' ORDER BY i), string_agg(line, ' ' ORDER BY i), i // 10 + 1, 0.0, 100.0, 50.0, 40.0
+    FROM doc_lines WHERE line <> '' GROUP BY file_hash, i // 10
+    UNION ALL
+    SELECT file_hash, '#/tables/' || p || '/cells/' || n, '#/tables/' || p, 'table_cell', word, row_text, p + 1,
+           10.0 * (n % 4), 100.0 - 5 * (n // 4), 10.0 * (n % 4) + 8, 96.0 - 5 * (n // 4)
+    FROM (SELECT *, row_no * 4 + k - 1 AS n FROM (
+      SELECT *, unnest(string_split(row_text, ' ')) AS word, generate_subscripts(string_split(row_text, ' '), 1) AS k FROM ({WHOLE_ROWS})))
+"""
+
+
+def reader_output(spark: SparkSession, sf_dir: str, whole_tables: bool = False) -> DataFrame:
+    """Layout reader JSON per file, made inside each row from the lines of its text.
+
+    The first line is a table; with ``whole_tables`` every page of ten lines is one.
+    """
     source = texts(spark, sf_dir)
     lines = F.split("text", "\n")
 
@@ -250,11 +272,14 @@ def reader_output(spark: SparkSession, sf_dir: str) -> DataFrame:
         return F.struct(word.alias("text"), box.alias("bbox"), F.floor(n / 4).cast("int").alias("start_row_offset_idx"))
 
     first_line = txt.collapse_spaces(F.element_at(lines, 1))
-    table_item = F.struct(
-        F.lit("#/tables/0").alias("self_ref"),
-        F.array(F.struct(F.lit(1).alias("page_no"), _json_box(F.lit(0.0), F.lit(100.0), F.lit(50.0), F.lit(40.0)).alias("bbox"))).alias("prov"),
-        F.struct(F.transform(F.split(first_line, " "), cell).alias("table_cells")).alias("data"),
-    )
+
+    def table_item(page: Column, words: Column) -> Column:
+        return F.struct(
+            F.concat(F.lit("#/tables/"), text_of(page - 1)).alias("self_ref"),
+            F.array(F.struct(page.alias("page_no"), _json_box(F.lit(0.0), F.lit(100.0), F.lit(50.0), F.lit(40.0)).alias("bbox"))).alias("prov"),
+            F.struct(F.transform(F.split(words, " "), cell).alias("table_cells")).alias("data"),
+        )
+
     numbers = F.sequence(F.lit(1), (F.floor((F.size(lines) - 1) / 10) + 1).cast("int"))
     pages = F.map_from_arrays(
         F.transform(numbers, text_of),
@@ -265,7 +290,18 @@ def reader_output(spark: SparkSession, sf_dir: str) -> DataFrame:
             ),
         ),
     )
-    output = F.to_json(F.struct(F.transform(lines, text_item).alias("texts"), F.when(first_line != "", F.array(table_item)).alias("tables"), pages.alias("pages")))
+    def page_words(all_lines: Column) -> Column:
+        def words_of(page: Column) -> Column:
+            words = txt.collapse_spaces(F.array_join(F.slice(all_lines, (page - 1) * 10 + 1, 10), " "))
+            return F.struct(page.alias("page"), words.alias("words"))
+
+        return F.filter(F.transform(numbers, words_of), lambda x: x["words"] != "")
+
+    if whole_tables:
+        tables = F.transform(bind(lines, page_words), lambda x: table_item(x["page"], x["words"]))
+    else:
+        tables = F.when(first_line != "", F.array(table_item(F.lit(1), first_line)))
+    output = F.to_json(F.struct(F.transform(lines, text_item).alias("texts"), tables.alias("tables"), pages.alias("pages")))
     return source.select(
         "file_hash",
         F.lit("docling").alias("annotation_engine"),

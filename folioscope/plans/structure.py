@@ -13,16 +13,16 @@ from folioscope.operators import elements as el
 from folioscope.operators import markdown as md
 from folioscope.operators import regions as rg
 from folioscope.plans import roles
-from folioscope.plans.registry import query, view
+from folioscope.plans.registry import query, query_variant, view
 from folioscope.sources.keyed import stage_table
 
 
-def layouts(spark: SparkSession, sf: str) -> DataFrame:
-    return el.parse_layout(roles.reader_output(spark, sf))
+def layouts(spark: SparkSession, sf: str, whole_tables: bool = False) -> DataFrame:
+    return el.parse_layout(roles.reader_output(spark, sf, whole_tables))
 
 
-def document_elements(spark: SparkSession, sf: str) -> DataFrame:
-    return el.layout_elements(layouts(spark, sf))
+def document_elements(spark: SparkSession, sf: str, whole_tables: bool = False) -> DataFrame:
+    return el.layout_elements(layouts(spark, sf, whole_tables))
 
 
 def stored_elements(spark: SparkSession, sf: str) -> DataFrame:
@@ -52,20 +52,25 @@ def text_elements(spark: SparkSession, sf: str) -> DataFrame:
     FROM elements WHERE label IN ('table', 'table_cell')
     """,
 )
-def table_elements(spark: SparkSession, sf: str) -> DataFrame:
-    return el.table_elements(layouts(spark, sf)).select(
+def table_elements(spark: SparkSession, sf: str, whole_tables: bool = False) -> DataFrame:
+    return el.table_elements(layouts(spark, sf, whole_tables)).select(
         "file_hash", "source_ref", "parent_ref", "label", "text", "context_text", "page_no", *flat_box()
     )
 
 
 @query("table_row_text", "SELECT file_hash, CAST(row_no AS INTEGER) AS row_no, row_text FROM reader_rows")
-def table_row_text(spark: SparkSession, sf: str) -> DataFrame:
-    tables = el.table_elements(layouts(spark, sf)).filter("label = 'table_cell'")
+def table_row_text(spark: SparkSession, sf: str, whole_tables: bool = False) -> DataFrame:
+    tables = el.table_elements(layouts(spark, sf, whole_tables)).filter("label = 'table_cell'")
     numbered = tables.withColumn("cell_no", F.regexp_extract("source_ref", r"(\d+)$", 1).cast("int"))
-    cells = numbered.select("file_hash", F.lit(0).alias("table_no"), F.floor(F.col("cell_no") / 4).cast("int").alias("row_no"), "cell_no", "text")
+    table_no = F.regexp_extract("source_ref", r"^#/tables/(\d+)", 1).cast("int")
+    cells = numbered.select("file_hash", table_no.alias("table_no"), F.floor(F.col("cell_no") / 4).cast("int").alias("row_no"), "cell_no", "text")
     return el.table_rows(cells).select("file_hash", "row_no", "row_text")
 
 
+query_variant("table_elements_in_full", lambda spark, sf: table_elements(spark, sf, True), "table_elements", "elements", roles.WHOLE_ELEMENTS)
+query_variant("table_row_text_in_full", lambda spark, sf: table_row_text(spark, sf, True), "table_row_text", "reader_rows", roles.WHOLE_ROWS)
+
+
 @query("layout_pages", "SELECT file_hash, CAST(page_no AS INTEGER) AS page_no, width, CAST(height AS DOUBLE) AS height FROM (SELECT file_hash, page_no, CAST(width AS DOUBLE) AS width, height FROM reader_pages)")
 def layout_pages(spark: SparkSession, sf: str) -> DataFrame:
     return el.layout_pages(layouts(spark, sf))

@@ -40,7 +40,7 @@ def test_whole_texts_are_asked(spark, tmp_path):
     assert sorted(map(tuple, rows)) == [("1000001:whole", "four five"), ("1:short", "one two"), ("1:whole", "one two three")]
 
 
-IN_FULL = ("full_text_scores", "ranked_snippets", "wildcard_matches", "scan_collectors", "chunk_best_term", "phrase_highlights", "word_lookup")
+IN_FULL = ("full_text_scores", "ranked_snippets", "wildcard_matches", "scan_collectors", "chunk_best_term", "phrase_highlights", "word_lookup", "table_elements", "table_row_text", "document_summaries")
 
 
 @pytest.mark.parametrize("name", IN_FULL)
