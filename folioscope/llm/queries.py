@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioscope.llm import cube, lm_scoring, lsh_forest, ppm, quality, set_join, suffix_dedup, top_k, weak_labels, winnowing
+from folioscope.llm import cube, lm_scoring, lsh_forest, periods, ppm, quality, segment_trees, set_join, suffix_dedup, top_k, weak_labels, winnowing
 from folioscope.llm.registry import query
 from folioscope.llm.shared import held_out, table
 
@@ -135,3 +135,39 @@ def toxicity_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 def license_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """License phrases and license blocks of every document."""
     return set_join.digest(set_join.license_blocks(table(spark, sf_dir, "documents")))
+
+
+_AUDIT_SQL = rf"""
+WITH d AS (SELECT row_number() OVER () AS k, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+       regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+each AS (SELECT k, lang, source, unnest(w) AS term FROM d),
+c AS MATERIALIZED (SELECT lang, source, term, count(*) AS n, count(DISTINCT k) AS docs FROM each GROUP BY ALL),
+l AS MATERIALIZED (SELECT lang, term, sum(n) AS overall FROM c GROUP BY ALL HAVING sum(docs) >= 10),
+v AS (SELECT lang, count(*) AS kinds, sum(overall) AS grand FROM l GROUP BY lang),
+g AS (SELECT lang, source, coalesce(sum(n) FILTER (WHERE l.term IS NOT NULL), 0) AS total
+      FROM (SELECT DISTINCT lang, source FROM d) LEFT JOIN c USING (lang, source) LEFT JOIN l USING (lang, term) GROUP BY ALL),
+p AS MATERIALIZED (SELECT g.lang, g.source, l.term, coalesce(n, 0) AS n, overall, grand, kinds,
+       1 + CAST(1000000000 * CAST(coalesce(n, 0) + 2 AS HUGEINT) // CAST(total + 2 * kinds AS HUGEINT) AS HUGEINT) AS p
+      FROM g JOIN l USING (lang) JOIN v USING (lang) LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = l.term),
+pairs AS (SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // (a.p + b.p)) AS value
+          FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+every AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, CAST(coalesce(value, 0) AS BIGINT) AS value
+          FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN pairs ON pairs.lang = a.lang AND pairs.source = a.source AND pairs.item = b.source
+          UNION ALL
+          SELECT lang, source, 'term', term, CAST((p - q) * (p - q) // (p + q) AS BIGINT)
+          FROM (SELECT *, 1 + CAST(1000000000 * CAST(overall + 2 AS HUGEINT) // CAST(grand + 2 * kinds AS HUGEINT) AS HUGEINT) AS q FROM p) WHERE n > 0 AND p > q),
+ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank FROM every)
+SELECT lang, source, part, item, value, rank FROM ranked WHERE part = 'pair' OR rank <= 10
+"""
+
+
+@query("op12_segment_tree_audit", _AUDIT_SQL)
+def divergence_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How far the sources of each language lie apart, and their marking terms."""
+    return segment_trees.audit(table(spark, sf_dir, "documents"))
+
+
+@query("op13_periodic_runs")
+def runs_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Periodic runs of words of every document, one document in ten made periodic."""
+    return periods.digest(periods.periodic_runs(periods.with_planted_periods(table(spark, sf_dir, "documents"))))
