@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioscope.llm import cube, lm_scoring, lsh_forest, periods, ppm, quality, segment_trees, set_join, suffix_dedup, top_k, weak_labels, winnowing
+from folioscope.llm import cube, imatch, lm_scoring, lsh_forest, periods, ppm, quality, segment_trees, set_join, suffix_dedup, top_k, weak_labels, winnowing
 from folioscope.llm.registry import query
 from folioscope.llm.shared import held_out, table
 
@@ -171,3 +171,38 @@ def divergence_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 def runs_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Periodic runs of words of every document, one document in ten made periodic."""
     return periods.digest(periods.periodic_runs(periods.with_planted_periods(table(spark, sf_dir, "documents"))))
+
+
+_PRINT_HASHES_SQL = """SELECT k, v, string_agg(h, '-' ORDER BY j) AS print FROM (
+  SELECT k, v, j, substr(md5(string_agg(term, ' ' ORDER BY term)), 1, 8) AS h
+  FROM (SELECT k, v, term, j, substr(parts, j, 1) AS place, max(substr(parts, j, 1)) OVER (PARTITION BY k, v, j) AS best FROM {terms}, js) WHERE place = best GROUP BY k, v, j) GROUP BY k, v"""
+_PRINTS_SQL = rf"""
+WITH d AS MATERIALIZED (SELECT doc_id, coalesce(text, '') AS t, row_number() OVER (ORDER BY doc_id) AS k, count(*) OVER () AS n FROM documents),
+js AS (SELECT unnest(range(1, {imatch.LEXICONS + 1})) AS j),
+e AS MATERIALIZED (SELECT a.doc_id, a.k, a.n, a.t, length(a.t) AS n_chars, left(a.t, length(a.t) - length(a.t) // 4) || left(b.t, length(a.t) // 4) AS edited
+      FROM d a JOIN d b ON b.k = a.k % a.n + 1),
+x AS (SELECT k, 0 AS v, t AS s FROM e UNION ALL SELECT k, 1, edited FROM e),
+w AS MATERIALIZED (SELECT DISTINCT k, v, unnest(regexp_extract_all(lower(s), '{_WORDS}')) AS term FROM x),
+p AS MATERIALIZED (SELECT term, sum(1 - v) AS docs, sha256(term) AS hashed FROM w GROUP BY term),
+l AS MATERIALIZED (SELECT term, docs >= {imatch.shares()[0]!r} * n AND docs <= {imatch.shares()[1]!r} * n AS inside,
+      array_to_string(list_transform(range(0, {imatch.LEXICONS}), lambda j: substr('0123456789abcdef', 17 - length(bin(CAST('0x' || substr(hashed, 4 * j + 1, 4) AS BIGINT))), 1)), '') AS parts
+      FROM p, (SELECT count(*) AS n FROM d)),
+m AS MATERIALIZED (SELECT k, v, term, parts, inside, max(CAST(inside AS INTEGER)) OVER (PARTITION BY k, v) AS found_any FROM w JOIN l USING (term)),
+used AS MATERIALIZED (SELECT k, v, term, parts FROM m WHERE inside OR found_any = 0),
+f AS ({_PRINT_HASHES_SQL.format(terms="used")}),
+every AS MATERIALIZED (SELECT x.k, x.v, coalesce(print, '=' || md5(s)) AS print FROM x LEFT JOIN f ON f.k = x.k AND f.v = x.v),
+r AS (SELECT e.doc_id, CAST(n_chars AS BIGINT) AS n_chars, sha256(edited) AS edited_sha256, a.print AS fingerprint, b.print AS edited_fingerprint, c.print AS next_print
+      FROM e JOIN every a ON a.k = e.k AND a.v = 0 JOIN every b ON b.k = e.k AND b.v = 1 JOIN every c ON c.k = e.k % e.n + 1 AND c.v = 0)
+SELECT doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint,
+  CASE WHEN fingerprint = edited_fingerprint THEN 1.0::DOUBLE WHEN length(fingerprint) <> length(edited_fingerprint) THEN 0.0::DOUBLE
+       ELSE len(list_filter(list_zip(string_split(fingerprint, '-'), string_split(edited_fingerprint, '-')), lambda q: q[1] = q[2]))::DOUBLE / len(string_split(fingerprint, '-')) END AS near_edited,
+  CASE WHEN fingerprint = next_print THEN 1.0::DOUBLE WHEN length(fingerprint) <> length(next_print) THEN 0.0::DOUBLE
+       ELSE len(list_filter(list_zip(string_split(fingerprint, '-'), string_split(next_print, '-')), lambda q: q[1] = q[2]))::DOUBLE / len(string_split(fingerprint, '-')) END AS near_next
+FROM r
+"""
+
+
+@query("op11_imatch_fingerprints", _PRINTS_SQL)
+def fingerprint_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every document and of its edited text."""
+    return imatch.audit_edits(table(spark, sf_dir, "documents"))
