@@ -8,7 +8,7 @@ from folioscope.llm.registry import ORACLES, QUERIES
 
 def test_every_operator_has_a_query():
     names = contract.queries()
-    assert {n.partition("_")[0] for n in QUERIES} == {f"op{n}" for n in range(1, 11)}
+    assert {n.partition("_")[0] for n in QUERIES} == {f"op{n}" for n in range(1, 14)}
     assert set(QUERIES) <= set(names) and "pipeline" in names and set(ORACLES) <= set(contract.oracle_sql())
 
 
