@@ -29,6 +29,7 @@ from folioscope.session import cut_lineage
 #: A term: letters of ASCII and everything outside it.
 _LETTERS = np.array([code >= 128 or chr(code).isalpha() for code in range(256)])
 PORTION_BYTES = 4 << 20
+HELD_ROWS = 1 << 20
 UNIT = 10**9
 #: Terms of a block and groups of a tile, on average; a task's arrays follow from both.
 BLOCK, TILE = 2048, 16
@@ -142,44 +143,71 @@ def _pricer(tops: int):
     return run
 
 
-def _count_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+_COUNTS = pa.schema([("lang", pa.string()), ("source", pa.string()), ("term", pa.binary()), ("count", pa.int64()), ("docs", pa.int64())])
+
+
+def _portion_counts(batch: pa.RecordBatch) -> Iterator[pa.Table]:
     """Occurrences and documents of every (group, term) of a portion of the texts."""
+    lang, source = batch.column("lang").dictionary_encode(), batch.column("source").dictionary_encode()
+    sources = max(len(source.dictionary), 1)
+    group = np.asarray(lang.indices, dtype=np.int64) * sources + np.asarray(source.indices)
+    for low, high, data, offsets in text_portions(batch.column("body"), PORTION_BYTES):
+        words = Words(data, offsets, _LETTERS)
+        if not len(words):
+            continue
+        bounds = np.concatenate(([0], np.cumsum(words.end - words.start))).astype(np.int64)
+        spelled = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(words), [None, pa.py_buffer(bounds), pa.py_buffer(LOWER[data[words.inside]])])
+        terms = spelled.dictionary_encode()
+        kinds, number = len(terms.dictionary), np.asarray(terms.indices, dtype=np.int64)
+        in_text, times = np.unique(words.text * kinds + number, return_counts=True)
+        owner = group[low:high][in_text // kinds] * kinds + in_text % kinds
+        keys, at = np.unique(owner, return_inverse=True)
+        count = np.zeros(len(keys), np.int64)
+        np.add.at(count, at, times)
+        named = keys // kinds
+        columns = [
+            lang.dictionary.take(pa.array(named // sources)),
+            source.dictionary.take(pa.array(named % sources)),
+            terms.dictionary.take(pa.array(keys % kinds)).cast(pa.binary()),
+            pa.array(count),
+            pa.array(np.bincount(at, minlength=len(keys))),
+        ]
+        yield pa.Table.from_arrays(columns, schema=_COUNTS)
+
+
+def _count_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Counts of a task, summed up as long as they stay within ``HELD_ROWS`` rows."""
+    held: list[pa.Table] = []
+    rows = 0
+
+    def summed() -> pa.Table:
+        made = pa.concat_tables(held).group_by(["lang", "source", "term"]).aggregate([("count", "sum"), ("docs", "sum")])
+        return made.select(["lang", "source", "term", "count_sum", "docs_sum"]).rename_columns(_COUNTS.names)
+
     for batch in batches:
-        lang, source = batch.column("lang").dictionary_encode(), batch.column("source").dictionary_encode()
-        sources = max(len(source.dictionary), 1)
-        group = np.asarray(lang.indices, dtype=np.int64) * sources + np.asarray(source.indices)
-        for low, high, data, offsets in text_portions(batch.column("body"), PORTION_BYTES):
-            words = Words(data, offsets, _LETTERS)
-            if not len(words):
-                continue
-            bounds = np.concatenate(([0], np.cumsum(words.end - words.start))).astype(np.int64)
-            spelled = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(words), [None, pa.py_buffer(bounds), pa.py_buffer(LOWER[data[words.inside]])])
-            terms = spelled.dictionary_encode()
-            kinds, number = len(terms.dictionary), np.asarray(terms.indices, dtype=np.int64)
-            in_text, times = np.unique(words.text * kinds + number, return_counts=True)
-            owner = group[low:high][in_text // kinds] * kinds + in_text % kinds
-            keys, at = np.unique(owner, return_inverse=True)
-            count = np.zeros(len(keys), np.int64)
-            np.add.at(count, at, times)
-            named = keys // kinds
-            yield pa.RecordBatch.from_arrays(
-                [
-                    lang.dictionary.take(pa.array(named // sources)),
-                    source.dictionary.take(pa.array(named % sources)),
-                    terms.dictionary.take(pa.array(keys % kinds)).cast(pa.binary()),
-                    pa.array(count),
-                    pa.array(np.bincount(at, minlength=len(keys))),
-                ],
-                ["lang", "source", "term", "count", "docs"],
-            )
+        for part in _portion_counts(batch):
+            held.append(part)
+            rows += part.num_rows
+            if rows > HELD_ROWS:
+                held = [summed()]
+                rows = held[0].num_rows
+                if 2 * rows > HELD_ROWS:
+                    yield from held.pop().to_batches(max_chunksize=1 << 16)
+                    rows = 0
+    if held:
+        yield from summed().to_batches(max_chunksize=1 << 16)
 
 
 def term_counts(docs: DataFrame, lang: Column, source: Column, text: Column) -> DataFrame:
-    """(lang, source, term, count, docs): occurrences of each term, and documents with it, in each group."""
+    """(lang, source, term, count, docs): occurrences of each term, and documents with it, in each group.
+
+    Tasks sum up before anything is sent; what they send is dealt out by
+    language and term, as the sums over a language need it next.
+    """
     given = docs.select(lang.alias("lang"), source.alias("source"), text.cast("binary").alias("body"))
     parts = given.mapInArrow(_count_terms, "lang string, source string, term binary, count long, docs long")
-    summed = parts.groupBy("lang", "source", "term").agg(F.sum("count").alias("count"), F.sum("docs").alias("docs"))
-    return summed.withColumn("term", F.col("term").cast("string"))
+    spelled = parts.select("lang", "source", F.col("term").cast("string").alias("term"), "count", "docs").repartition("lang", "term")
+    return spelled.groupBy("lang", "source", "term").agg(F.sum("count").alias("count"), F.sum("docs").alias("docs"))
 
 
 def audit(
@@ -205,9 +233,9 @@ def audit(
     """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     lang, source = (F.coalesce(F.col(c).cast("string"), F.lit("")) for c in (lang_col, source_col))
-    counted = term_counts(docs, lang, source, text)
-    known = counted.groupBy("lang", "term").agg(F.sum("count").alias("overall"), F.sum("docs").alias("docs")).filter(F.col("docs") >= least_docs).drop("docs")
-    kept = cut_lineage(counted.drop("docs").join(known, ["lang", "term"]))
+    of_lang = Window.partitionBy("lang", "term")
+    counted = term_counts(docs, lang, source, text).withColumns({"overall": F.sum("count").over(of_lang), "_docs": F.sum("docs").over(of_lang)})
+    kept = cut_lineage(counted.filter(F.col("_docs") >= least_docs).drop("docs", "_docs"))
     sizes = kept.groupBy("lang", "source").agg(F.sum("count").alias("amount"))
     groups = docs.select(lang.alias("lang"), source.alias("source")).distinct().join(sizes, ["lang", "source"], "left").fillna(0, ["amount"])
     vocabulary = kept.select("lang", "term").distinct().groupBy("lang").agg(F.count("*").alias("kinds"))
