@@ -40,19 +40,51 @@ def ratio(a: str, b: str) -> float:
     return 100.0 if total == 0 else 200.0 * _lcs(a, b) / total
 
 
-def _window_lcs(needle: str, text: str, width: int) -> np.ndarray:
-    """LCS of the needle with every window of ``width`` characters, all windows at once."""
-    chars = np.frombuffer(text.encode("utf-32-le"), dtype=np.uint32)
-    count = len(chars) - width + 1
-    previous = np.zeros((width + 1, count), dtype=np.int32)
-    for ch in needle:
-        same = chars == ord(ch)
-        current = np.zeros_like(previous)
-        for j in range(width):
-            step = np.where(same[j : j + count], previous[j] + 1, np.maximum(previous[j + 1], current[j]))
-            current[j + 1] = step
-        previous = current
-    return previous[width]
+def _strands(needle: np.ndarray, text: np.ndarray) -> np.ndarray:
+    """Where the braid of the two strings leaves the bottom: the entry of each column, text columns counted from 0.
+
+    Every cell of the alignment grid is a crossing of a row's and a column's
+    strand.  Two strands cross where the characters differ and they have not
+    crossed before, else they turn.  The cells of a diagonal do not depend on
+    each other, so a diagonal is one vector step; only the two borders are kept.
+    A column that a row's strand leaves by is negative.
+    """
+    n, m = len(needle), len(text)
+    rows, columns = np.arange(n), np.arange(n, n + m)
+    turned = needle[::-1].copy()
+    for d in range(n + m - 1):
+        low, high = max(0, d - m + 1), min(n - 1, d)
+        h, v = slice(n - 1 - high, n - low), slice(d - high, d - low + 1)
+        from_left, from_top = rows[h], columns[v]
+        turn = (turned[h] == text[v]) | (from_left > from_top)
+        rows[h], columns[v] = np.where(turn, from_top, from_left), np.where(turn, from_left, from_top)
+    return columns - n
+
+
+def _best_window(needle: str, text: str) -> float:
+    """Best ratio of the needle with a window of its own length, or a shorter one at either end of the text.
+
+    A window's longest common subsequence is its length less the strands that
+    enter and leave inside it, so one braid answers for all windows.  Memory
+    follows the sum of the two lengths.
+    """
+    a, b = (np.frombuffer(x.encode("utf-32-le", "surrogatepass"), np.uint32) for x in (needle, text))
+    n, m = len(a), len(b)
+    entry = _strands(a, b)
+    leave = np.flatnonzero(entry >= 0)
+    entry = entry[leave]
+    low, high = np.maximum(leave - n + 1, 0), np.minimum(entry, m - n)
+    inside = low <= high
+    change = np.bincount(low[inside], minlength=m + 2).astype(np.int64)
+    change[: m + 2] -= np.bincount(high[inside] + 1, minlength=m + 2)[: m + 2]
+    whole = n - int(np.cumsum(change)[: m - n + 1].min())
+    best = 200.0 * whole / (2 * n)
+    if n > 1:
+        cut = np.arange(1, n)
+        first = cut - np.searchsorted(leave, cut)
+        last = cut - (len(entry) - np.searchsorted(np.sort(entry), m - cut))
+        best = max(best, float((200.0 * np.maximum(first, last) / (n + cut)).max()))
+    return best
 
 
 def partial_ratio(a: str, b: str) -> float:
@@ -60,17 +92,7 @@ def partial_ratio(a: str, b: str) -> float:
     needle, text = (a, b) if len(a) <= len(b) else (b, a)
     if not needle:
         return 100.0 if not text else 0.0
-    if needle in text:
-        return 100.0
-    best = 0.0
-    size = len(needle)
-    if len(text) > size:
-        best = 200.0 * float(_window_lcs(needle, text, size).max()) / (2 * size)
-    else:
-        best = ratio(needle, text)
-    for cut in range(1, size):
-        best = max(best, ratio(needle, text[:cut]), ratio(needle, text[-cut:]))
-    return best
+    return 100.0 if needle in text else _best_window(needle, text)
 
 
 def _token_sort(a: str, b: str, measure) -> float:

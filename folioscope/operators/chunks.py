@@ -6,7 +6,7 @@ import math
 from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from folioscope.functions import ids
@@ -14,6 +14,7 @@ from folioscope.functions import text as txt
 from folioscope.functions.grouping import blocked_row_number, blocked_running_sum, null_safe_on, ordered_concat
 from folioscope.functions.rows import explode_rows
 from folioscope.functions.text import TOKENS_PER_WORD
+from folioscope.session import cut_lineage
 
 CHAR_CHUNKER = "char-v1"
 PACK_CHUNKER = "packed-v1"
@@ -128,9 +129,62 @@ def pack_elements(
     return running.withColumn("pack_no", F.floor((F.col("_upto") - F.col("tokens")) / max_tokens).cast("long")).drop("_upto")
 
 
-def packed_chunks(elements: DataFrame, max_tokens: int = 1200) -> DataFrame:
-    """Chunk table from ordered elements, with the refs of each chunk's elements."""
-    packed = pack_elements(elements, max_tokens)
+def _next_starts(sized: DataFrame, keys: Sequence[str], max_tokens: int) -> DataFrame:
+    """For each element the one that starts the next pack if a pack starts here: keys, ordinal, following.
+
+    ``_upto`` is the running token count.  The next pack starts at the first
+    element whose count passes that of this pack by more than the budget.
+    Counts are cut into ranges, so a file is looked through in many tasks; an
+    element whose range holds no such element takes the first of a later one.
+    """
+    alone = F.col("tokens") > max_tokens
+    passed = F.when(alone, F.col("_upto")).otherwise(F.col("_upto") - F.col("tokens") + max_tokens)
+    # where counts are equal, elements stand in their order, and a question behind all of them or behind its own
+    behind = F.when(alone, F.col("ordinal").cast("long")).otherwise(F.lit((1 << 63) - 1))
+    event = lambda asks, at, place: F.struct(F.lit(asks).alias("asks"), at.alias("at"), place.alias("place"))
+    pair = F.array(event(False, F.col("_upto"), F.col("ordinal").cast("long")), event(True, passed, behind))
+    ranged = sized.select(*keys, "ordinal", F.inline(pair)).withColumn("range", F.floor(F.col("at") / (8 * max_tokens)))
+    element = F.when(~F.col("asks"), F.struct("at", "ordinal"))
+    downwards = Window.partitionBy(*keys, "range").orderBy(F.desc("at"), F.desc("place"), F.desc("asks")).rowsBetween(Window.unboundedPreceding, 0)
+    inside = ranged.withColumn("_near", F.last(element, ignorenulls=True).over(downwards)).filter("asks")
+    firsts = ranged.groupBy(*keys, "range").agg(F.min(element).alias("_first"))
+    later = Window.partitionBy(*keys).orderBy(F.desc("range")).rowsBetween(Window.unboundedPreceding, -1)
+    beyond = firsts.select(*keys, "range", F.last("_first", ignorenulls=True).over(later).alias("_later"))
+    found = inside.alias("i").join(beyond.alias("b"), null_safe_on("i", "b", [*keys, "range"]))
+    return found.select(*[F.col(f"i.{k}") for k in keys], "ordinal", F.coalesce("_near.ordinal", "_later.ordinal").alias("following"))
+
+
+def greedy_packs(elements: DataFrame, max_tokens: int = 1200, block: int = 256, keys: Sequence[str] = ("file_hash",)) -> DataFrame:
+    """Elements in order, each pack filled as far as the budget goes before the next one starts.
+
+    Adds ``tokens`` and ``pack_no``.  Where a pack ends depends on where it
+    began, yet nothing is folded along a file: every element points to the start
+    of the pack after one that starts with it, and pointers are doubled (1, 2,
+    4, ... packs ahead) while the known starts are followed, so the number of
+    rounds grows with the logarithm of the packs of a file.  An element above
+    the budget is a pack of its own.
+    """
+    sized = elements.withColumn("tokens", txt.estimate_tokens(F.col("text")))
+    order, part = [F.col("ordinal")], F.floor(F.col("ordinal") / block)
+    running = blocked_running_sum(sized, keys, part, order, F.col("tokens"), "_upto")
+    counted = cut_lineage(running.select(*keys, "ordinal", "tokens", "_upto"))
+    jump = cut_lineage(_next_starts(counted, keys, max_tokens).filter("following IS NOT NULL"))
+    starts = counted.groupBy(*keys).agg(F.min("ordinal").alias("ordinal"))
+    same = lambda left, right, a, b: null_safe_on(left, right, keys) & (F.col(f"{left}.{a}") == F.col(f"{right}.{b}"))
+    while not jump.isEmpty():
+        reached = starts.alias("s").join(jump.alias("j"), same("s", "j", "ordinal", "ordinal"))
+        starts = cut_lineage(starts.unionByName(reached.select(*[F.col(f"s.{k}") for k in keys], F.col("j.following").alias("ordinal"))))
+        twice = jump.alias("a").join(jump.alias("b"), same("a", "b", "following", "ordinal"))
+        jump = cut_lineage(twice.select(*[F.col(f"a.{k}") for k in keys], "a.ordinal", "b.following"))
+    opened = starts.withColumn("_opens", F.lit(1)).alias("o")
+    marked = sized.alias("e").join(opened, same("e", "o", "ordinal", "ordinal"), "left").select("e.*", F.coalesce("o._opens", F.lit(0)).alias("_opens"))
+    numbered = blocked_running_sum(marked, keys, part, order, F.col("_opens"), "_no")
+    return numbered.withColumn("pack_no", (F.col("_no") - 1).cast("long")).drop("_no", "_opens")
+
+
+def packed_chunks(elements: DataFrame, max_tokens: int = 1200, greedy: bool = False) -> DataFrame:
+    """Chunk table from ordered elements, in slices of the token count or, if ``greedy``, in filled packs."""
+    packed = greedy_packs(elements, max_tokens) if greedy else pack_elements(elements, max_tokens)
     keys = ["file_hash", "pack_no"]
     texts = ordered_concat(packed, keys, "ordinal", "text", "\n", "text")
     split = split_oversized(texts, max_tokens)
@@ -168,7 +222,11 @@ def chunk_items(packed: DataFrame, chunks: DataFrame) -> DataFrame:
     )
 
 
-CHUNKERS: dict[str, Callable[..., DataFrame]] = {"chars": character_chunks, "packed": packed_chunks}
+def filled_chunks(elements: DataFrame, max_tokens: int = 1200) -> DataFrame:
+    return packed_chunks(elements, max_tokens, greedy=True)
+
+
+CHUNKERS: dict[str, Callable[..., DataFrame]] = {"chars": character_chunks, "packed": packed_chunks, "filled": filled_chunks}
 
 
 def build_chunks(kind: str, source: DataFrame, **options: int) -> DataFrame:

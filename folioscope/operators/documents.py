@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from folioscope.functions import kinds
 from folioscope.functions.grouping import top_per_group
 from folioscope.functions.text import collapse_spaces
+from folioscope.session import cut_lineage
 
 SUMMARY_ENGINES = ("docling", "mineru", "infinity")
 
@@ -82,16 +83,18 @@ def folder_stats(documents: DataFrame) -> DataFrame:
     depths = F.sequence(F.lit(1), F.size("folder_parts"))
     prefixes = F.transform(depths, lambda n: F.array_join(F.slice("folder_parts", F.lit(1), n), "/"))
     ready = (F.col("docling_status") == "ok") | (F.col("mineru_status") == "ok")
-    exploded = documents.withColumn("folder", F.explode(prefixes))
-    totals = exploded.groupBy("folder").agg(
+    sums = ("files", "size_bytes", "chunks", "regions", "ready_documents")
+    # files are summed by their own folder first, so only folders are copied to those above them
+    own = documents.groupBy("folder_parts", _extension_name()).agg(
         F.count("*").alias("files"),
         F.sum("size_bytes").alias("size_bytes"),
         F.sum("chunk_count").alias("chunks"),
         F.sum("region_count").alias("regions"),
         F.count(F.when(ready, 1)).alias("ready_documents"),
     )
-    names = exploded.select("folder").distinct()
-    parents = names.select(F.col("folder").alias("_child"), F.split("folder", "/").alias("_p"))
+    counted = cut_lineage(own.withColumn("folder", F.explode(prefixes)).groupBy("folder", "_ext").agg(*[F.sum(name).alias(name) for name in sums]))
+    totals = counted.groupBy("folder").agg(*[F.sum(name).alias(name) for name in sums])
+    parents = counted.select("folder").distinct().select(F.col("folder").alias("_child"), F.split("folder", "/").alias("_p"))
     above = parents.select(
         F.explode(
             F.transform(F.sequence(F.lit(1), F.greatest(F.size("_p") - 1, F.lit(1))), lambda n: F.array_join(F.slice("_p", F.lit(1), n), "/"))
@@ -102,19 +105,26 @@ def folder_stats(documents: DataFrame) -> DataFrame:
     return (
         totals.join(below, "folder", "left")
         .withColumn("folders", F.coalesce("folders", F.lit(0)))
-        .join(extension_summary(exploded, ["folder"]), "folder", "left")
+        .join(_extension_text(counted.withColumnRenamed("files", "_n"), ["folder"]), "folder", "left")
     )
 
 
-def extension_summary(documents: DataFrame, keys: list[str], top: int = 4) -> DataFrame:
-    """The most frequent extensions as text, such as '.pdf 12, .png 3'."""
+def _extension_name() -> Column:
     name = F.lower(F.trim(F.coalesce("extension", F.lit(""))))
-    counted = documents.withColumn("_ext", F.when(name != "", name).otherwise("(none)")).groupBy(*keys, "_ext").agg(F.count("*").alias("_n"))
+    return F.when(name != "", name).otherwise("(none)").alias("_ext")
+
+
+def _extension_text(counted: DataFrame, keys: list[str], top: int = 4) -> DataFrame:
     best = top_per_group(counted, keys, [F.col("_n").desc(), F.col("_ext")], top, "_rank")
     items = F.array_sort(F.collect_list(F.struct("_rank", F.concat_ws(" ", "_ext", F.col("_n").cast("string")).alias("t"))))
     return best.groupBy(*keys).agg(F.array_join(F.transform(items, lambda item: item["t"]), ", ").alias("extensions"))
 
 
+def extension_summary(documents: DataFrame, keys: list[str], top: int = 4) -> DataFrame:
+    """The most frequent extensions as text, such as '.pdf 12, .png 3'."""
+    return _extension_text(documents.groupBy(*keys, _extension_name()).agg(F.count("*").alias("_n")), keys, top)
+
+
 # --- reader comparison -------------------------------------------------------
 
 

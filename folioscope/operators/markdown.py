@@ -218,6 +218,23 @@ def markdown_with_mappings(page_markdown_rows: DataFrame, mappings: DataFrame) -
     return page_markdown_rows.join(mappings, list(PAGE_KEYS), "left")
 
 
+MAPPING_FIELDS = ("anchor_id", "region_id", "char_start", "char_end", "confidence", "markdown_excerpt", "metadata_json")
+
+
+def mapping_lists(mappings: DataFrame) -> DataFrame:
+    """All mappings of a page and generator as one list, by place, anchor and region; known generators only."""
+    known = mappings.filter(F.col("markdown_engine").isin(*GENERATORS))
+    entry = F.struct(F.struct("char_start", "anchor_id", "region_id").alias("_order"), F.struct(*MAPPING_FIELDS).alias("mapping"))
+    listed = known.groupBy(*PAGE_KEYS).agg(F.array_sort(F.collect_list(entry)).alias("_listed"))
+    return listed.select(*PAGE_KEYS, F.transform("_listed", lambda e: e["mapping"]).alias("mappings"))
+
+
+def markdown_with_mapping_lists(page_markdown_rows: DataFrame, mappings: DataFrame) -> DataFrame:
+    """Pages with the list of their mappings, empty where they have none."""
+    joined = page_markdown_rows.join(mapping_lists(mappings), list(PAGE_KEYS), "left")
+    return joined.withColumn("mappings", F.coalesce("mappings", F.array()))
+
+
 def page_counts(page_markdown_rows: DataFrame) -> DataFrame:
     active = page_markdown_rows.filter(F.col("markdown_engine").isin(*GENERATORS))
     return active.groupBy("file_hash", "markdown_engine").agg(F.count("*").alias("page_count"))

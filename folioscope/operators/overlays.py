@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from folioscope.functions import boxes, kinds
 from folioscope.functions import text as txt
 from folioscope.functions.grouping import grouped_median
+from folioscope.session import cut_lineage
 from folioscope.sources.keyed import upsert
 
 # Default styles.
@@ -254,6 +255,8 @@ def sideways_pages(regions: DataFrame, pages: DataFrame, overrides: DataFrame |
         rect["width"].alias("w"),
         rect["height"].alias("h"),
     ).filter((F.col("w") > 0) & (F.col("h") > 0))
+    # narrow, and used by the counts and three times by the medians
+    measured = cut_lineage(measured.drop("w", "h"))
     keys = ["file_hash", "page_no"]
     counts = measured.groupBy(*keys).agg(
         F.count("*").alias("eligible_box_count"),

@@ -107,18 +107,20 @@ def bm25_scores(
     tokens are read.
     """
     wanted = query_terms(queries)
-    vocabulary = broadcast_if_small(wanted.select("token").distinct())
+    vocabulary = cut_lineage(wanted.select("token").distinct())
     if index_path is None:
+        # One pass over the texts: an empty token stands for the text itself, also where it holds no asked word.
         tokens = docs.select(F.col(doc_id), txt.term_tokens(F.col(text)).alias("_tokens"))
-        unique = explode_rows(tokens, [], F.array_distinct("_tokens"), "token")
-        frequencies = unique.join(vocabulary, "token").groupBy("token").agg(F.count("*").alias("df"))
-        exploded = explode_rows(tokens, [doc_id, F.size("_tokens").alias("doc_length")], "_tokens", "token")
-        postings = exploded.join(vocabulary, "token").groupBy(doc_id, "token", "doc_length").agg(F.count("*").alias("tf"))
-        corpus = corpus_size(document_lengths(docs, doc_id, text))
+        exploded = explode_rows(tokens, [doc_id, F.size("_tokens").alias("doc_length")], F.array_append("_tokens", F.lit("")), "token")
+        known = broadcast_if_small(vocabulary.unionByName(vocabulary.sparkSession.createDataFrame([("",)], "token string")))
+        counted = cut_lineage(exploded.join(known, "token").groupBy(doc_id, "token", "doc_length").agg(F.count("*").alias("tf")))
+        postings = counted.filter(F.col("token") != "")
+        frequencies = postings.groupBy("token").agg(F.count("*").alias("df"))
+        corpus = corpus_size(counted.filter(F.col("token") == ""))
     else:
         spark = docs.sparkSession
         corpus = spark.read.parquet(f"{index_path}/corpus")
-        placed = vocabulary.withColumn("bucket", token_bucket(corpus.first()["buckets"]))
+        placed = broadcast_if_small(vocabulary.withColumn("bucket", token_bucket(corpus.first()["buckets"])))
         postings = spark.read.parquet(f"{index_path}/postings").join(placed, ["bucket", "token"]).drop("bucket")
         frequencies = spark.read.parquet(f"{index_path}/vocabulary").join(vocabulary, "token")
     n_docs = corpus.select("n_docs").scalar()
@@ -180,7 +182,7 @@ def _probes(word: Column, kind: str, size: int) -> Column:
     return F.array_distinct(F.transform(starts, lambda i: F.concat(F.lit(INSIDE), F.substring(word, i, F.lit(size)))))
 
 
-def _wildcards_only(lowered: DataFrame, asked: DataFrame, key: str) -> DataFrame:
+def wildcards_only(lowered: DataFrame, asked: DataFrame, key: str) -> DataFrame:
     """Queries without a literal character meet every text of as many characters as they have ``_``."""
     open_ = cut_lineage(asked.select("query_id", F.length(F.regexp_replace("query", "[^_]", "")).alias("_least")))
     counts = sorted(row["_least"] for row in open_.select("_least").distinct().collect())
@@ -208,7 +210,7 @@ def match_queries(texts: DataFrame, queries: DataFrame, key: str, haystack: str)
     pattern = F.concat(F.lit("%"), F.col("query"), F.lit("%"))
     wild = F.col("query").rlike("[%_]")
     found = F.when(wild, txt.like_literal(F.col("_hay"), pattern)).otherwise(F.contains("_hay", "query"))
-    everywhere = _wildcards_only(lowered, asked.join(anchors.select("query_id"), "query_id", "left_anti"), key)
+    everywhere = wildcards_only(lowered, asked.join(anchors.select("query_id"), "query_id", "left_anti"), key)
     if not needed:
         return everywhere
     words = explode_rows(lowered, [key], F.array_distinct(F.split("_hay", txt.SPACE_RUN)), "_word")
@@ -349,14 +351,18 @@ def file_entities(files: DataFrame, locations: DataFrame) -> DataFrame:
 
 
 def scan_hits(entities: DataFrame, queries: DataFrame, limit: int | None = None) -> DataFrame:
-    """The matching entities per query and collector with their rank, newest first; ``limit`` of each if one is given."""
+    """The matching entities per query and collector, newest first.
+
+    With a ``limit`` so many of each, and ``leg_rank`` numbers them; without one
+    nothing is numbered, as that would sort all hits of a query in one task.
+    """
     variant = F.when(F.col("source_type") == "file", F.col("order_3"))
     keyed = entities.withColumn("_key", F.concat_ws("|", "rank_source", "source_id", variant))
     pairs = match_queries(keyed, queries, "_key", "haystack")
     hits = lookup_join(keyed, cut_lineage(pairs), ["_key"])
     order = [F.col("order_1").asc_nulls_last(), F.col("order_2").asc_nulls_last(), F.col("order_3")]
     if limit is None:
-        return hits.withColumn("leg_rank", F.row_number().over(Window.partitionBy("query_id", "rank_source").orderBy(*order))).drop("_key")
+        return hits.withColumn("leg_rank", _null("int")).drop("_key")
     return top_per_group(hits, ["query_id", "rank_source"], order, limit, "leg_rank").drop("_key")
 
 
@@ -416,7 +422,8 @@ def merge_hits(hits: DataFrame, limit: int, collect: int | None = None) -> DataF
     without it a good hit of a late collector cannot be lost.
     """
     ordinal = F.coalesce(*[F.when(F.col("rank_source") == name, F.lit(i)) for i, name in enumerate(COLLECTOR_ORDER)])
-    place = [F.col("_ordinal"), F.col("leg_rank"), F.col("source_id")]
+    newest = [F.col(name).asc_nulls_last() for name in ("order_1", "order_2", "order_3") if name in hits.columns]
+    place = [F.col("_ordinal"), F.col("leg_rank"), *newest, F.col("source_id")]
     placed = hits.withColumn("_ordinal", ordinal)
     unique = first_per_group(placed, ["query_id", "source_type", "source_id"], place)
     if collect is not None:
@@ -512,8 +519,9 @@ def search_global(
     else:
         ranked = full_text_hits(chunk_rows, chunks, asked, leg_limit, index_path)
         hits = scan_hits(entities.unionByName(named), asked, leg_limit)
-    plain = with_scores(hits, asked)
-    merged = merge_hits(ranked.unionByName(plain), size, collect)
+    # what was only looked at to find and score a hit stays out of the ranking
+    plain = with_scores(hits, asked).drop("haystack", "score_text")
+    merged = merge_hits(ranked.drop("haystack", "score_text").unionByName(plain), size, collect)
     placed = navigation(merged, asked, tables["document_terms"])
     result_id = F.concat(
         F.when(F.col("source_type") == "document_chunk", F.lit("chunk:"))

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,16 +10,14 @@ from folioscope.functions import text as txt
 from folioscope.functions.grouping import first_per_group
 from folioscope.operators import chunks as ck
 from folioscope.operators import documents as docs
-from folioscope.operators import search, terms
+from folioscope.operators import block_index, gram_index, search, terms
 from folioscope.plans import roles
-from folioscope.plans.registry import query, query_variant, view
+from folioscope.plans.registry import query, view
+from folioscope.session import scratch_path
 from folioscope.sources import files as corpus
 from folioscope.sources import keyed, raw_layer
 
 
-Asks = Callable[[SparkSession, str], DataFrame]
-
-
 def seconds(column: Column) -> Column:
     return (F.unix_seconds(column) - roles.EPOCH).alias("x")
 
@@ -312,6 +308,24 @@ def split_sql(source: str, budget: int) -> str:
 
 
 view("whole_texts", "SELECT file_hash, 0 AS no, text FROM texts")
+view("line_tokens", """SELECT file_hash, i, tokens FROM (SELECT *, {} AS tokens FROM doc_lines)""".format(TOKENS_SQL.format("raw_line")))
+view(
+    "filled",
+    """
+    SELECT file_hash, i, tokens, tokens AS fill, 0 AS pack_no FROM line_tokens WHERE i = 0
+    UNION ALL
+    SELECT l.file_hash, l.i, l.tokens, CASE WHEN f.fill + l.tokens <= 300 THEN f.fill + l.tokens ELSE l.tokens END, f.pack_no + CASE WHEN f.fill + l.tokens <= 300 THEN 0 ELSE 1 END
+    FROM filled f JOIN line_tokens l ON l.file_hash = f.file_hash AND l.i = f.i + 1
+    """,
+)
+
+
+@query("greedy_packing", "SELECT file_hash, CAST(i AS INTEGER) AS ordinal, CAST(tokens AS BIGINT) AS tokens, CAST(pack_no AS BIGINT) AS pack_no FROM filled")
+def greedy_packing(spark: SparkSession, sf: str) -> DataFrame:
+    """The lines of each text in packs that are filled one after another."""
+    return ck.greedy_packs(doc_lines(spark, sf), 300, block=64).select("file_hash", "ordinal", "tokens", "pack_no")
+
+
 view("pack_texts", f"SELECT file_hash, pack_no AS no, string_agg(raw_line, chr(10) ORDER BY ordinal) AS text FROM (SELECT p.*, l.raw_line FROM ({PACKED}) p JOIN doc_lines l ON l.file_hash = p.file_hash AND l.i = p.ordinal) GROUP BY 1, 2")
 
 
@@ -371,13 +385,14 @@ def region_terms(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     "word_lookup",
-    """
+    f"""
     SELECT lower(token) AS normalized_text, file_hash, page_no, region_id, CAST(count(*) AS BIGINT) AS hits, CAST(min(char_start) AS INTEGER) AS first_start
-    FROM term_rows WHERE lower(token) IN (SELECT lower(string_split(query, ' ')[1]) FROM asked) GROUP BY 1, 2, 3, 4
+    FROM term_rows WHERE lower(token) IN (SELECT unnest(regexp_extract_all(lower(text), '{TERM_SQL}')) FROM benchmark) GROUP BY 1, 2, 3, 4
     """,
 )
 def word_lookup(spark: SparkSession, sf: str) -> DataFrame:
-    words = roles.queries(spark, sf).select(F.element_at(F.split("text", " "), 1).alias("word"))
+    """Every word of the benchmark texts."""
+    words = roles.table(spark, sf, "benchmark").select(F.explode(txt.term_tokens(F.col("text"))).alias("word"))
     found = terms.regions_with_word(terms.build_terms(roles.regions(spark, sf)), words)
     return found.withColumn("page_no", F.col("page_no").cast("long"))
 
@@ -401,12 +416,21 @@ view(
 
 
 @query("full_text_scores", "SELECT query_id, chunk_id, round(score, 4) AS bm25 FROM bm25_rows")
-def full_text_scores(spark: SparkSession, sf: str, asks: Asks = roles.queries) -> DataFrame:
-    asked = search.prepare_queries(asks(spark, sf))
+def full_text_scores(spark: SparkSession, sf: str) -> DataFrame:
+    asked = search.prepare_queries(roles.queries(spark, sf))
     scores = search.bm25_scores(roles.chunks(spark, sf), asked)
     return scores.select("query_id", "chunk_id", F.round("bm25", 4).alias("bm25"))
 
 
+@query("block_top_ten", "SELECT query_id, CAST(rank AS INTEGER) AS rank, chunk_id, round(score, 4) AS bm25 FROM bm25_top WHERE rank <= 10")
+def block_top_ten(spark: SparkSession, sf: str) -> DataFrame:
+    """The ten best chunks of each query from an index of blocks, most of which stay closed."""
+    path = scratch_path(spark, "blocks")
+    block_index.write_block_index(roles.chunks(spark, sf), path, block_docs=64)
+    found = block_index.top_hits(spark, path, search.prepare_queries(roles.queries(spark, sf)), 10)
+    return found.select("query_id", "rank", "chunk_id", F.round("bm25", 4).alias("bm25"))
+
+
 SNIPPET_SQL = """
     CASE WHEN length(text) <= 220 THEN text ELSE
       CASE WHEN trim(piece, chr(32) || chr(10)) <> '' THEN trim(piece, chr(32) || chr(10)) ELSE trim(substring(text, 1, 220), chr(32) || chr(10)) END END
@@ -423,14 +447,14 @@ SNIPPET_SQL = """
       FROM bm25_top b JOIN chunks USING (chunk_id) JOIN asked USING (query_id) WHERE rank <= 10))
     """,
 )
-def ranked_snippets(spark: SparkSession, sf: str, asks: Asks = roles.queries) -> DataFrame:
+def ranked_snippets(spark: SparkSession, sf: str) -> DataFrame:
     """The flagship: chunks, full-text rank and snippet, ten hits per query."""
-    return flagship(spark, sf, asks=asks)
+    return flagship(spark, sf)
 
 
-def flagship(spark: SparkSession, sf: str, hits: int = 10, asks: Asks = roles.queries) -> DataFrame:
+def flagship(spark: SparkSession, sf: str, hits: int = 10) -> DataFrame:
     chunks = roles.chunks(spark, sf)
-    asked = search.prepare_queries(asks(spark, sf))
+    asked = search.prepare_queries(roles.queries(spark, sf))
     scores = search.bm25_scores(chunks, asked)
     order = [F.round("bm25", 6).desc(), F.col("chunk_id")]
     best = search.top_per_group(scores, ["query_id"], order, hits, "position")
@@ -440,10 +464,10 @@ def flagship(spark: SparkSession, sf: str, hits: int = 10, asks: Asks = roles.qu
     )
 
 
-@query("chunk_text_matches", "SELECT query_id, chunk_id FROM asked_in_full, chunks WHERE contains(lower(text), query)")
+@query("chunk_text_matches", "SELECT query_id, chunk_id FROM asked, chunks WHERE contains(lower(text), query)")
 def chunk_text_matches(spark: SparkSession, sf: str) -> DataFrame:
     """All chunks that contain a query, found through anchor words instead of a cross join."""
-    asked = search.prepare_queries(roles.queries_in_full(spark, sf))
+    asked = search.prepare_queries(roles.queries(spark, sf))
     return search.match_queries(roles.chunks(spark, sf), asked, "chunk_id", "text")
 
 
@@ -451,9 +475,9 @@ def chunk_text_matches(spark: SparkSession, sf: str) -> DataFrame:
     "wildcard_matches",
     "SELECT query_id, chunk_id FROM (SELECT query_id, replace(query, 'e', '_') AS query FROM asked), chunks WHERE lower(text) LIKE '%' || query || '%'",
 )
-def wildcard_matches(spark: SparkSession, sf: str, asks: Asks = roles.queries) -> DataFrame:
+def wildcard_matches(spark: SparkSession, sf: str) -> DataFrame:
     """Every letter e of a query as a one-character wildcard."""
-    asked = search.prepare_queries(asks(spark, sf)).withColumn("query", F.replace("query", F.lit("e"), F.lit("_")))
+    asked = search.prepare_queries(roles.queries(spark, sf)).withColumn("query", F.replace("query", F.lit("e"), F.lit("_")))
     return search.match_queries(roles.chunks(spark, sf), asked, "chunk_id", "text")
 
 
@@ -485,6 +509,28 @@ def scan_entities(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+@query("indexed_text_matches", "SELECT query_id, chunk_id FROM asked, chunks WHERE contains(lower(text), query)")
+def indexed_text_matches(spark: SparkSession, sf: str) -> DataFrame:
+    """All chunks that contain a query, found through stored lists of letter groups."""
+    return _by_grams(spark, sf, search.prepare_queries(roles.queries(spark, sf)))
+
+
+@query(
+    "indexed_wildcard_matches",
+    "SELECT query_id, chunk_id FROM (SELECT query_id, replace(query, 'e', '_') AS query FROM asked), chunks WHERE lower(text) LIKE '%' || query || '%'",
+)
+def indexed_wildcard_matches(spark: SparkSession, sf: str) -> DataFrame:
+    """The same with a wildcard for every e."""
+    asked = search.prepare_queries(roles.queries(spark, sf))
+    return _by_grams(spark, sf, asked.withColumn("query", F.replace("query", F.lit("e"), F.lit("_"))))
+
+
+def _by_grams(spark: SparkSession, sf: str, asked: DataFrame) -> DataFrame:
+    path, chunks = scratch_path(spark, "grams"), roles.chunks(spark, sf)
+    gram_index.write_gram_index(chunks, path, "chunk_id", "text")
+    return gram_index.match_indexed(chunks, asked, path, "chunk_id", "text")
+
+
 @query(
     "scan_collectors",
     """
@@ -492,9 +538,9 @@ def scan_entities(spark: SparkSession, sf: str) -> DataFrame:
     FROM (SELECT *, row_number() OVER (PARTITION BY query_id, rank_source ORDER BY o1, o2, o3) AS leg_rank FROM scan_rows) WHERE leg_rank <= 30
     """,
 )
-def scan_collectors(spark: SparkSession, sf: str, asks: Asks = roles.queries) -> DataFrame:
+def scan_collectors(spark: SparkSession, sf: str) -> DataFrame:
     """Newest hits of the plain-text collectors; the score where the query occurs as typed."""
-    asked = search.prepare_queries(asks(spark, sf))
+    asked = search.prepare_queries(roles.queries(spark, sf))
     hits = search.scan_hits(scan_entities(spark, sf), asked, 30).join(asked, "query_id")
     base = F.coalesce(*[F.when(F.col("rank_source") == name, F.lit(value)) for name, value in search.BASE_SCORES.items()])
     return hits.select(
@@ -521,6 +567,38 @@ def file_scan_hits(spark: SparkSession, sf: str) -> DataFrame:
     return hits.groupBy(F.col("query_id").alias("file_query"), "file_hash").agg(F.max("score").alias("score"))
 
 
+@query(
+    "newest_file_hits",
+    """
+    SELECT query_id, CAST(place AS INTEGER) AS place, source_id, path FROM (
+      SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY last_doc DESC, filename || ' ' || path) AS place FROM (
+        SELECT DISTINCT '/' || source || '/' || lang || '/' AS query_id FROM documents),
+        (SELECT f.file_hash AS source_id, f.filename, l.path, f.last_doc, lower(f.filename || ' ' || f.file_hash || ' ' || l.path) AS hay FROM files f JOIN locations l ON l.file_hash = f.file_hash)
+      WHERE contains(hay, query_id)) WHERE place <= 5
+    """,
+)
+def newest_file_hits(spark: SparkSession, sf: str) -> DataFrame:
+    """The five newest files below each folder, with their place in the list."""
+    folder = F.concat(F.lit("/"), "source", F.lit("/"), "lang", F.lit("/"))
+    asked = search.prepare_queries(roles.table(spark, sf, "documents").select(folder.alias("query_id"), folder.alias("text")).distinct())
+    entities = search.file_entities(roles.files(spark, sf), roles.locations(spark, sf))
+    hits = search.scan_hits(entities, asked, 5)
+    return hits.select("query_id", F.col("leg_rank").alias("place"), "source_id", F.col("metadata")["path"].alias("path"))
+
+
+@query(
+    "raw_layer_slices",
+    "SELECT file_hash, annotation_engine, CASE annotation_engine WHEN 'mineru' THEN 'again' ELSE status END AS status FROM raw_rows WHERE annotation_engine <> 'mineru' OR status = 'ok'",
+)
+def raw_layer_slices(spark: SparkSession, sf: str) -> DataFrame:
+    """The stored reader layer after one engine's slice was written anew; the other slices stay."""
+    path = scratch_path(spark, "raw-layer")
+    rows = raw_rows(spark, sf).select("file_hash", "annotation_engine", "status")
+    raw_layer.write_raw_layer(rows, path)
+    raw_layer.write_raw_layer(rows.filter("annotation_engine = 'mineru' and status = 'ok'").withColumn("status", F.lit("again")), path)
+    return spark.read.parquet(path).select("file_hash", "annotation_engine", "status")
+
+
 @query(
     "chunk_best_term",
     """
@@ -531,9 +609,9 @@ def file_scan_hits(spark: SparkSession, sf: str) -> DataFrame:
       JOIN term_rows USING (chunk_id) WHERE lower(token) = word) WHERE rn = 1
     """,
 )
-def chunk_best_term(spark: SparkSession, sf: str, asks: Asks = roles.queries) -> DataFrame:
+def chunk_best_term(spark: SparkSession, sf: str) -> DataFrame:
     """First word of each matching chunk that the query asks for."""
-    asked = search.prepare_queries(asks(spark, sf))
+    asked = search.prepare_queries(roles.queries(spark, sf))
     chunks = roles.region_chunks(spark, sf)
     hits = search.match_queries(chunks, asked, "chunk_id", "text").withColumn("source_type", F.lit("document_chunk"))
     found = search.best_term(hits, asked, terms.build_terms(roles.regions(spark, sf)))
@@ -555,7 +633,7 @@ def search_tables(spark: SparkSession, sf: str) -> dict[str, DataFrame]:
 @query("global_search")
 def global_search(spark: SparkSession, sf: str) -> DataFrame:
     """All collectors, merged and ranked, with fuzzy scores; checked against brute force in the tests."""
-    found = search.search_global(roles.whole_queries(spark, sf), search_tables(spark, sf), 30)
+    found = search.search_global(roles.queries(spark, sf), search_tables(spark, sf), 30)
     return found.select(
         "query_id", "position", "result_id", "source_type", "label", "snippet", F.round("score", 4).alias("score"),
         "rank_source", "navigation_granularity", F.size("highlights").alias("n_highlights"), "page_no", "region_id",
@@ -569,43 +647,14 @@ def global_search(spark: SparkSession, sf: str) -> DataFrame:
     FROM (SELECT query_id, query, chunk_id, lower(text) AS body FROM asked, chunks WHERE contains(lower(text), query))
     """,
 )
-def phrase_highlights(spark: SparkSession, sf: str, asks: Asks = roles.queries) -> DataFrame:
-    asked = search.prepare_queries(asks(spark, sf))
+def phrase_highlights(spark: SparkSession, sf: str) -> DataFrame:
+    asked = search.prepare_queries(roles.queries(spark, sf))
     chunks = roles.chunks(spark, sf)
     pairs = search.match_queries(chunks, asked, "chunk_id", "text").join(asked, "query_id").join(chunks.select("chunk_id", "text"), "chunk_id")
     found = pairs.withColumn("s", spans.phrase_spans(F.col("query"), F.col("text")))
     return found.select("query_id", "chunk_id", F.size("s").cast("long").alias("n_spans"), F.element_at("s", 1)["start"].cast("long").alias("first_start"))
 
 
-# --- whole benchmark texts ---------------------------------------------------
-
-
-def _ask_in_full(function: Callable[..., DataFrame]) -> None:
-    def whole(spark: SparkSession, sf: str) -> DataFrame:
-        return function(spark, sf, roles.whole_queries)
-
-    whole.__module__ = __name__
-    query_variant(f"{function.__name__}_in_full", whole, function.__name__, "asked", roles.WHOLE_TEXTS)
-
-
-for _function in (full_text_scores, ranked_snippets, wildcard_matches, scan_collectors, chunk_best_term, phrase_highlights):
-    _ask_in_full(_function)
-
-
-@query(
-    "word_lookup_in_full",
-    f"""
-    SELECT lower(token) AS normalized_text, file_hash, page_no, region_id, CAST(count(*) AS BIGINT) AS hits, CAST(min(char_start) AS INTEGER) AS first_start
-    FROM term_rows WHERE lower(token) IN (SELECT unnest(regexp_extract_all(lower(text), '{TERM_SQL}')) FROM benchmark) GROUP BY 1, 2, 3, 4
-    """,
-)
-def word_lookup_in_full(spark: SparkSession, sf: str) -> DataFrame:
-    """Every word of the benchmark texts."""
-    words = roles.table(spark, sf, "benchmark").select(F.explode(txt.term_tokens(F.col("text"))).alias("word"))
-    found = terms.regions_with_word(terms.build_terms(roles.regions(spark, sf)), words)
-    return found.withColumn("page_no", F.col("page_no").cast("long"))
-
-
 # --- documents and folders ---------------------------------------------------
 
 
@@ -622,10 +671,10 @@ def word_lookup_in_full(spark: SparkSession, sf: str) -> DataFrame:
     LEFT JOIN (SELECT file_hash, count(*) AS n FROM elements GROUP BY 1) g USING (file_hash)
     """,
 )
-def document_summaries(spark: SparkSession, sf: str, whole_tables: bool = False) -> DataFrame:
+def document_summaries(spark: SparkSession, sf: str) -> DataFrame:
     from folioscope.plans.structure import document_elements
 
-    regions = document_elements(spark, sf, whole_tables).withColumn("annotation_engine", F.lit(None).cast("string"))
+    regions = document_elements(spark, sf).withColumn("annotation_engine", F.lit(None).cast("string"))
     rows = docs.document_summaries(roles.files(spark, sf), roles.locations(spark, sf), raw_rows(spark, sf), roles.chunks(spark, sf), regions)
     return rows.select(
         "file_hash", "filename", "extension", "path", "docling_status", "mineru_status",
@@ -633,9 +682,6 @@ def document_summaries(spark: SparkSession, sf: str, whole_tables: bool = False)
     )
 
 
-query_variant("document_summaries_in_full", lambda spark, sf: document_summaries(spark, sf, True), "document_summaries", "elements", roles.WHOLE_ELEMENTS)
-
-
 view(
     "page_paths",
     """

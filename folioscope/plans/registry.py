@@ -48,12 +48,3 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
         return function
 
     return keep
-
-
-def query_variant(name: str, function: Query, base: str, changed: str, body: str) -> None:
-    """Register a query whose SQL is that of ``base`` with other rows in one shared view."""
-    given = f"{changed} AS ({VIEWS[changed]})"
-    if given not in ORACLES[base]:
-        raise ValueError(f"the SQL of {base} does not use {changed}")
-    query(name)(function)
-    ORACLES[name] = ORACLES[base].replace(given, f"{changed} AS ({body.strip()})")

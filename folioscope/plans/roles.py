@@ -148,37 +148,19 @@ def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.join(source.select("file_hash", "created_at"), "file_hash")
 
 
-view("asked", "SELECT item_id AS query_id, array_to_string(list_slice(string_split(lower(trim(regexp_replace(text, '\\s+', ' ', 'g'))), ' '), 1, 2), ' ') AS query FROM benchmark")
-
-
-def queries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first two words of every benchmark text, as a query."""
-    words = F.slice(F.split(txt.collapse_spaces(F.col("text")), " "), 1, 2)
-    return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.array_join(words, " ").alias("text"))
-
-
 view(
-    "asked_in_full",
-    "SELECT query_id, query FROM asked UNION ALL SELECT item_id + 1000000, lower(trim(regexp_replace(text, '\\s+', ' ', 'g'))) FROM benchmark",
-)
-
-
-def queries_in_full(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The short queries, and the whole of every benchmark text as one more query each."""
-    whole = table(spark, sf_dir, "benchmark").select((F.col("item_id") + 1_000_000).alias("query_id"), "text")
-    return queries(spark, sf_dir).unionByName(whole)
-
-
-WHOLE_TEXTS = """
+    "asked",
+    """
     SELECT item_id || ':' || kind AS query_id, query FROM (
       SELECT item_id, 'whole' AS kind, lower(trim(regexp_replace(text, '\\s+', ' ', 'g'))) AS query FROM benchmark
       UNION ALL
       SELECT item_id, 'short', array_to_string(list_slice(string_split(whole, ' '), 1, 2), ' ')
       FROM (SELECT item_id, lower(trim(regexp_replace(text, '\\s+', ' ', 'g'))) AS whole FROM benchmark) WHERE len(string_split(whole, ' ')) > 2)
-"""
+    """,
+)
 
 
-def whole_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
+def queries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every benchmark text as a query, and its first two words as one more; ids name the item and the kind."""
     words = F.split(txt.collapse_spaces(F.col("text")), " ")
     first = F.when(F.size(words) > 2, F.array_join(F.slice(words, 1, 2), " "))
@@ -206,26 +188,25 @@ view(
     """,
 )
 view(
-    "reader_cells",
+    "reader_rows",
     """
-    SELECT file_hash, n, word AS text, n // 4 AS row_no,
-           10.0 * (n % 4) AS l, 100.0 - 5 * (n // 4) AS t, 10.0 * (n % 4) + 8 AS r, 96.0 - 5 * (n // 4) AS b
-    FROM (SELECT file_hash, unnest(string_split(line, ' ')) AS word, generate_subscripts(string_split(line, ' '), 1) - 1 AS n
-          FROM doc_lines WHERE i = 0)
-    WHERE word <> ''
+    SELECT file_hash, p, n // 4 AS row_no, string_agg(word, ' ' ORDER BY n) AS row_text FROM (
+      SELECT file_hash, p, unnest(string_split(text, ' ')) AS word, generate_subscripts(string_split(text, ' '), 1) - 1 AS n FROM (
+        SELECT file_hash, i // 10 AS p, string_agg(line, ' ' ORDER BY i) AS text FROM doc_lines WHERE line <> '' GROUP BY ALL)) GROUP BY ALL
     """,
 )
-view("reader_tables", "SELECT file_hash, string_agg(text, ' ' ORDER BY n) AS text FROM reader_cells GROUP BY file_hash")
-view("reader_rows", "SELECT file_hash, row_no, string_agg(text, ' ' ORDER BY n) AS row_text FROM reader_cells GROUP BY file_hash, row_no")
 view(
     "elements",
     """
     SELECT file_hash, source_ref, CAST(NULL AS VARCHAR) AS parent_ref, label, text, text AS context_text, page_no, l, t, r, b FROM reader_texts
     UNION ALL
-    SELECT file_hash, '#/tables/0', NULL, 'table', text, text, 1, 0.0, 100.0, 50.0, 40.0 FROM reader_tables
+    SELECT file_hash, '#/tables/' || (i // 10), NULL, 'table', string_agg(line, ' ' ORDER BY i), string_agg(line, ' ' ORDER BY i), i // 10 + 1, 0.0, 100.0, 50.0, 40.0
+    FROM doc_lines WHERE line <> '' GROUP BY file_hash, i // 10
     UNION ALL
-    SELECT c.file_hash, '#/tables/0/cells/' || n, '#/tables/0', 'table_cell', c.text, w.row_text, 1, l, t, r, b
-    FROM reader_cells c JOIN reader_rows w USING (file_hash, row_no)
+    SELECT file_hash, '#/tables/' || p || '/cells/' || n, '#/tables/' || p, 'table_cell', word, row_text, p + 1,
+           10.0 * (n % 4), 100.0 - 5 * (n // 4), 10.0 * (n % 4) + 8, 96.0 - 5 * (n // 4)
+    FROM (SELECT *, row_no * 4 + k - 1 AS n FROM (
+      SELECT *, unnest(string_split(row_text, ' ')) AS word, generate_subscripts(string_split(row_text, ' '), 1) AS k FROM reader_rows))
     """,
 )
 view("reader_pages", "SELECT file_hash, i AS page_no, 600.0 AS width, 800.0 + 10 * (i - 1) AS height FROM (SELECT file_hash, unnest(range(1, max(i) // 10 + 2)) AS i FROM doc_lines GROUP BY file_hash)")
@@ -235,29 +216,8 @@ def _json_box(left: Column, top: Column, right: Column, bottom: Column) -> Colum
     return F.struct(left.alias("l"), top.alias("t"), right.alias("r"), bottom.alias("b"), F.lit("BOTTOMLEFT").alias("coord_origin"))
 
 
-WHOLE_ROWS = """
-    SELECT file_hash, p, n // 4 AS row_no, string_agg(word, ' ' ORDER BY n) AS row_text FROM (
-      SELECT file_hash, p, unnest(string_split(text, ' ')) AS word, generate_subscripts(string_split(text, ' '), 1) - 1 AS n FROM (
-        SELECT file_hash, i // 10 AS p, string_agg(line, ' ' ORDER BY i) AS text FROM doc_lines WHERE line <> '' GROUP BY ALL)) GROUP BY ALL
-"""
-WHOLE_ELEMENTS = f"""
-    SELECT file_hash, source_ref, CAST(NULL AS VARCHAR) AS parent_ref, label, text, text AS context_text, page_no, l, t, r, b FROM reader_texts
-    UNION ALL
-    SELECT file_hash, '#/tables/' || (i // 10), NULL, 'table', string_agg(line, ' ' ORDER BY i), string_agg(line, ' ' ORDER BY i), i // 10 + 1, 0.0, 100.0, 50.0, 40.0
-    FROM doc_lines WHERE line <> '' GROUP BY file_hash, i // 10
-    UNION ALL
-    SELECT file_hash, '#/tables/' || p || '/cells/' || n, '#/tables/' || p, 'table_cell', word, row_text, p + 1,
-           10.0 * (n % 4), 100.0 - 5 * (n // 4), 10.0 * (n % 4) + 8, 96.0 - 5 * (n // 4)
-    FROM (SELECT *, row_no * 4 + k - 1 AS n FROM (
-      SELECT *, unnest(string_split(row_text, ' ')) AS word, generate_subscripts(string_split(row_text, ' '), 1) AS k FROM ({WHOLE_ROWS})))
-"""
-
-
-def reader_output(spark: SparkSession, sf_dir: str, whole_tables: bool = False) -> DataFrame:
-    """Layout reader JSON per file, made inside each row from the lines of its text.
-
-    The first line is a table; with ``whole_tables`` every page of ten lines is one.
-    """
+def reader_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Layout reader JSON per file, made inside each row from the lines of its text; every page of ten lines is a table too."""
     source = texts(spark, sf_dir)
     lines = F.split("text", "\n")
 
@@ -271,8 +231,6 @@ def reader_output(spark: SparkSession, sf_dir: str, whole_tables: bool = False)
         box = _json_box(F.lit(10.0) * (n % 4), F.lit(100.0) - 5 * F.floor(n / 4), F.lit(10.0) * (n % 4) + 8, F.lit(96.0) - 5 * F.floor(n / 4))
         return F.struct(word.alias("text"), box.alias("bbox"), F.floor(n / 4).cast("int").alias("start_row_offset_idx"))
 
-    first_line = txt.collapse_spaces(F.element_at(lines, 1))
-
     def table_item(page: Column, words: Column) -> Column:
         return F.struct(
             F.concat(F.lit("#/tables/"), text_of(page - 1)).alias("self_ref"),
@@ -297,10 +255,7 @@ def reader_output(spark: SparkSession, sf_dir: str, whole_tables: bool = False)
 
         return F.filter(F.transform(numbers, words_of), lambda x: x["words"] != "")
 
-    if whole_tables:
-        tables = F.transform(bind(lines, page_words), lambda x: table_item(x["page"], x["words"]))
-    else:
-        tables = F.when(first_line != "", F.array(table_item(F.lit(1), first_line)))
+    tables = F.transform(bind(lines, page_words), lambda x: table_item(x["page"], x["words"]))
     output = F.to_json(F.struct(F.transform(lines, text_item).alias("texts"), tables.alias("tables"), pages.alias("pages")))
     return source.select(
         "file_hash",

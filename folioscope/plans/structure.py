@@ -2,27 +2,27 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from folioscope.functions import boxes, ids, kinds
 from folioscope.functions import text as txt
 from folioscope.functions.grouping import grouped_median
-from folioscope.operators import alignment, chunks, documents, overlays
+from folioscope.operators import alignment, chunks, combined, documents, overlays
 from folioscope.operators import elements as el
 from folioscope.operators import markdown as md
 from folioscope.operators import regions as rg
 from folioscope.plans import roles
-from folioscope.plans.registry import query, query_variant, view
+from folioscope.plans.registry import query, view
 from folioscope.sources.keyed import stage_table
 
 
-def layouts(spark: SparkSession, sf: str, whole_tables: bool = False) -> DataFrame:
-    return el.parse_layout(roles.reader_output(spark, sf, whole_tables))
+def layouts(spark: SparkSession, sf: str) -> DataFrame:
+    return el.parse_layout(roles.reader_output(spark, sf))
 
 
-def document_elements(spark: SparkSession, sf: str, whole_tables: bool = False) -> DataFrame:
-    return el.layout_elements(layouts(spark, sf, whole_tables))
+def document_elements(spark: SparkSession, sf: str) -> DataFrame:
+    return el.layout_elements(layouts(spark, sf))
 
 
 def stored_elements(spark: SparkSession, sf: str) -> DataFrame:
@@ -52,32 +52,28 @@ def text_elements(spark: SparkSession, sf: str) -> DataFrame:
     FROM elements WHERE label IN ('table', 'table_cell')
     """,
 )
-def table_elements(spark: SparkSession, sf: str, whole_tables: bool = False) -> DataFrame:
-    return el.table_elements(layouts(spark, sf, whole_tables)).select(
+def table_elements(spark: SparkSession, sf: str) -> DataFrame:
+    return el.table_elements(layouts(spark, sf)).select(
         "file_hash", "source_ref", "parent_ref", "label", "text", "context_text", "page_no", *flat_box()
     )
 
 
 @query("table_row_text", "SELECT file_hash, CAST(row_no AS INTEGER) AS row_no, row_text FROM reader_rows")
-def table_row_text(spark: SparkSession, sf: str, whole_tables: bool = False) -> DataFrame:
-    tables = el.table_elements(layouts(spark, sf, whole_tables)).filter("label = 'table_cell'")
+def table_row_text(spark: SparkSession, sf: str) -> DataFrame:
+    tables = el.table_elements(layouts(spark, sf)).filter("label = 'table_cell'")
     numbered = tables.withColumn("cell_no", F.regexp_extract("source_ref", r"(\d+)$", 1).cast("int"))
     table_no = F.regexp_extract("source_ref", r"^#/tables/(\d+)", 1).cast("int")
     cells = numbered.select("file_hash", table_no.alias("table_no"), F.floor(F.col("cell_no") / 4).cast("int").alias("row_no"), "cell_no", "text")
     return el.table_rows(cells).select("file_hash", "row_no", "row_text")
 
 
-query_variant("table_elements_in_full", lambda spark, sf: table_elements(spark, sf, True), "table_elements", "elements", roles.WHOLE_ELEMENTS)
-query_variant("table_row_text_in_full", lambda spark, sf: table_row_text(spark, sf, True), "table_row_text", "reader_rows", roles.WHOLE_ROWS)
-
-
 @query("layout_pages", "SELECT file_hash, CAST(page_no AS INTEGER) AS page_no, width, CAST(height AS DOUBLE) AS height FROM (SELECT file_hash, page_no, CAST(width AS DOUBLE) AS width, height FROM reader_pages)")
 def layout_pages(spark: SparkSession, sf: str) -> DataFrame:
     return el.layout_pages(layouts(spark, sf))
 
 
 def linked_chunks(spark: SparkSession, sf: str) -> DataFrame:
-    """Four text items per chunk; chunk 0 also names the table, one more chunk names a picture no element stands for."""
+    """Four text items per chunk and the tables of the pages that begin there; one more chunk names a picture no element stands for."""
     lines = F.split("text", "\n")
     source = roles.texts(spark, sf).select("file_hash", "text", F.size(lines).alias("n"))
     slots = source.select("file_hash", "text", "n", F.explode(F.sequence(F.lit(0), F.floor((F.col("n") - 1) / 4).cast("int") + 1)).alias("chunk_index"))
@@ -88,7 +84,9 @@ def linked_chunks(spark: SparkSession, sf: str) -> DataFrame:
     numbers = F.sequence(slot * 4, F.greatest(slot * 4, F.least(slot * 4 + 3, F.col("n") - 1)))
     refs = F.transform(numbers, lambda i: item(F.concat(F.lit("#/texts/"), i.cast("string"))))
     picture = F.array(item(F.lit("#/pictures/0")))
-    items = F.when(slot * 4 >= F.col("n"), picture).when(slot == 0, F.concat(refs, F.array(item(F.lit("#/tables/0"))))).otherwise(refs)
+    begins = F.filter(F.sequence(F.lit(0), F.floor((F.col("n") - 1) / 10).cast("int")), lambda p: F.floor(p * 10 / 4) == slot)
+    tables = F.transform(begins, lambda p: item(F.concat(F.lit("#/tables/"), p.cast("string"))))
+    items = F.when(slot * 4 >= F.col("n"), picture).otherwise(F.concat(refs, tables))
     meta = F.to_json(F.struct(F.struct(items.alias("doc_items")).alias("docling_meta")))
     return slots.select(ids.chunk_id(F.col("file_hash"), slot).alias("chunk_id"), "file_hash", "chunk_index", "text", meta.alias("metadata_json"))
 
@@ -97,7 +95,7 @@ view(
     "evidence",
     """
     SELECT file_hash, i // 4 AS chunk_index, source_ref, page_no, l, t, r, b, label, text FROM reader_texts
-    UNION ALL SELECT file_hash, 0, source_ref, page_no, l, t, r, b, label, text FROM elements WHERE parent_ref = '#/tables/0'
+    UNION ALL SELECT file_hash, CAST(split_part(parent_ref, '/', 3) AS INTEGER) * 10 // 4, source_ref, page_no, l, t, r, b, label, text FROM elements WHERE parent_ref LIKE '#/tables/%'
     """,
 )
 view("linked_slots", "SELECT file_hash, unnest(range(max(i) // 4 + 2)) AS chunk_index FROM doc_lines GROUP BY file_hash")
@@ -138,8 +136,8 @@ view("layout_region_rows", REGION_SQL)
 
 
 def layout_regions_of(spark: SparkSession, sf: str) -> DataFrame:
-    parsed = layouts(spark, sf)
-    elements = stored_elements(spark, sf)
+    parsed = stage_table(layouts(spark, sf), "layouts")
+    elements = stage_table(el.layout_elements(parsed), "elements")
     evidence = el.item_evidence(linked_chunks(spark, sf), elements)
     return rg.layout_regions(elements, el.layout_pages(parsed), evidence)
 
@@ -480,6 +478,21 @@ def region_overlays(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+@query(
+    "overlay_list",
+    """
+    SELECT 'region:' || region_id AS overlay_id, CAST(row_number() OVER (PARTITION BY file_hash, page_no ORDER BY engine, turn, source_ref, region_id) AS INTEGER) AS place
+    FROM (SELECT *, coalesce(annotation_engine, 'docling') AS engine FROM region_rows)
+    """,
+)
+def overlay_list(spark: SparkSession, sf: str) -> DataFrame:
+    """Overlays of each page with their place in the list."""
+    rows = roles.regions(spark, sf).select("region_id", "file_hash", "page_no", kinds.engine_or_default(F.col("annotation_engine")).alias("annotation_engine"), "chunk_index", "source_ref")
+    listed = rows.withColumn("overlay_id", F.concat(F.lit("region:"), "region_id"))
+    place = F.row_number().over(Window.partitionBy("file_hash", "page_no").orderBy(*overlays.overlay_order()))
+    return listed.select("overlay_id", place.alias("place"))
+
+
 @query(
     "visible_overlays",
     "SELECT 'region:' || region_id AS overlay_id FROM region_rows WHERE label <> 'page_title' AND coalesce(annotation_engine, 'docling') <> 'mineru'",
@@ -725,6 +738,96 @@ def markdown_mappings(spark: SparkSession, sf: str) -> DataFrame:
     return joined.groupBy("file_hash", F.col("page_no").cast("long").alias("page_no")).agg(F.count("region_id").alias("n_mappings"))
 
 
+@query(
+    "markdown_mapping_lists",
+    """
+    SELECT p.file_hash, p.page_no, p.markdown_engine, CAST(count(region_id) AS BIGINT) AS n_mappings,
+      coalesce(string_agg('a' || i % 3 || '=' || region_id || '@' || i * 7 % 5, ' ' ORDER BY i * 7 % 5, 'a' || i % 3, region_id), '') AS listed
+    FROM page_md p LEFT JOIN region_rows r ON r.file_hash = p.file_hash AND r.page_no = p.page_no AND p.markdown_engine <> 'markitdown_cu' GROUP BY 1, 2, 3
+    """,
+)
+def markdown_mapping_lists(spark: SparkSession, sf: str) -> DataFrame:
+    """Pages of three generators, two of them with the regions of the page mapped into their text, in order."""
+    engine = F.explode(F.array(F.lit("markitdown"), F.lit("infinity_markdown"), F.lit("unheard_of"))).alias("markdown_engine")
+    start = (F.col("i") * 7 % 5).alias("char_start")
+    mappings = roles.regions(spark, sf).select(
+        "file_hash", "page_no", engine, F.concat(F.lit("a"), (F.col("i") % 3).cast("string")).alias("anchor_id"), "region_id", start, (F.col("i") * 7 % 5 + 3).alias("char_end"),
+        F.lit(0.5).alias("confidence"), F.lit(None).cast("string").alias("markdown_excerpt"), F.lit("{}").alias("metadata_json"),
+    )
+    rows = md.markdown_with_mapping_lists(roles.page_markdown(spark, sf), mappings)
+    shown = F.transform("mappings", lambda m: F.concat(m["anchor_id"], F.lit("="), m["region_id"], F.lit("@"), m["char_start"].cast("string")))
+    return rows.select("file_hash", F.col("page_no").cast("long").alias("page_no"), "markdown_engine", F.size("mappings").cast("long").alias("n_mappings"), F.array_join(shown, " ").alias("listed"))
+
+
+# --- combined reader output --------------------------------------------------
+
+
+def page_outputs(spark: SparkSession, sf: str) -> DataFrame:
+    """Each page of ten lines as the output of a reader that took it for page 1; the number also stands deep inside."""
+    lines = roles.texts(spark, sf).select("file_hash", F.posexplode(F.split("text", "\n")).alias("i", "line"))
+    i = F.col("i")
+    label = F.element_at(F.array(*[F.lit(x) for x in ("section_header", "text", "list_item", "page_footer")]), (i % 4 + 1).cast("int"))
+    box = roles._json_box(F.lit(40.0) + i % 7, F.lit(700.0) - 20 * (i % 10), F.lit(340.0) + i % 7, F.lit(688.0) - 20 * (i % 10))
+    prov = F.array(F.struct(F.lit(1).alias("page_no"), box.alias("bbox")))
+    item = F.struct(F.concat(F.lit("#/texts/"), i.cast("string")).alias("self_ref"), label.alias("label"), F.col("line").alias("text"), prov.alias("prov"))
+    grouped = lines.groupBy("file_hash", (F.floor(i / 10) + 1).cast("int").alias("page_no")).agg(F.array_sort(F.collect_list(F.struct("i", item.alias("item")))).alias("items"))
+    height = F.lit(800.0) + 10 * (F.col("page_no") - 1)
+    size = F.when(F.col("page_no") % 2 == 1, F.struct(F.lit(600.0).alias("width"), height.alias("height")))
+    record = F.create_map(F.lit("1"), F.struct(F.lit(1).alias("page_no"), size.alias("size")))
+    deep = F.struct(F.lit('"page_no": 1').alias("quoted"), F.array(F.struct(F.lit(1).alias("page_no"), F.lit("page_no").alias("name"))).alias("seen"))
+    output = F.to_json(F.struct(F.transform("items", lambda x: x["item"]).alias("texts"), record.alias("pages"), deep.alias("notes")))
+    text = F.array_join(F.transform("items", lambda x: x["item"]["text"]), " ")
+    return grouped.select(
+        "file_hash", F.lit("scan.pdf").alias("source"), "page_no", output.alias("output_json"), text.alias("text"), F.lit(600.0).alias("page_width"), height.alias("page_height"),
+        F.sha2(text.cast("binary"), 256).alias("image_sha256"),
+    )
+
+
+@query("combined_reader_output", f"SELECT file_hash, source_ref, label, text, CAST(page_no AS INTEGER) AS page_no, {BOX_SQL} FROM reader_texts")
+def combined_reader_output(spark: SparkSession, sf: str) -> DataFrame:
+    """Elements read from the combined output of single pages are those of the whole file."""
+    whole = el.parse_layout(combined.combined_layout(page_outputs(spark, sf)).select("file_hash", "output_json"))
+    return el.text_elements(whole).select("file_hash", "source_ref", "label", "text", "page_no", *flat_box())
+
+
+@query(
+    "combined_reader_pages",
+    """
+    SELECT file_hash, CAST(page_no AS INTEGER) AS page_no, width, CAST(height AS DOUBLE) AS height, n_pages, seen
+    FROM (SELECT file_hash, page_no, CAST(width AS DOUBLE) AS width, height, CAST(count(*) OVER (PARTITION BY file_hash) AS BIGINT) AS n_pages, CAST(page_no AS VARCHAR) AS seen FROM reader_pages)
+    """,
+)
+def combined_reader_pages(spark: SparkSession, sf: str) -> DataFrame:
+    """Page sizes from the combined output, and the number as it stands deep in each page's own output."""
+    whole = stage_table(combined.combined_layout(page_outputs(spark, sf)), "combined")
+    sizes = el.layout_pages(el.parse_layout(whole.select("file_hash", "output_json")))
+    outputs = F.from_json("output_json", "struct<normalized_page_outputs:array<struct<page_no:int,output:struct<notes:struct<seen:array<struct<page_no:string>>>>>>>")
+    listed = whole.select("file_hash", outputs.alias("o")).select("file_hash", F.size("o.normalized_page_outputs").cast("long").alias("n_pages"), F.explode("o.normalized_page_outputs").alias("p"))
+    deep = listed.select("file_hash", F.col("p.page_no").alias("page_no"), "n_pages", F.element_at("p.output.notes.seen", 1)["page_no"].alias("seen"))
+    return sizes.join(deep, ["file_hash", "page_no"])
+
+
+@query(
+    "combined_content_output",
+    """
+    SELECT conv AS file_hash, CAST(turn + 1 AS INTEGER) AS page_no, CAST(count(*) AS BIGINT) AS n_regions, CAST(1000 + turn AS DOUBLE) AS width
+    FROM (SELECT file_hash AS conv, turn, unnest(string_split(text, chr(10))) AS line FROM turns) GROUP BY conv, turn
+    """,
+)
+def combined_content_output(spark: SparkSession, sf: str) -> DataFrame:
+    """Turns as one-page outputs of the content-list reader, combined to one row a conversation."""
+    single = content_output(spark, sf).select(F.regexp_extract("file_hash", "^(.*):", 1).alias("conv"), F.regexp_extract("file_hash", r"(\d+)$", 1).cast("int").alias("turn"), "output_json")
+    pages = single.select(
+        F.col("conv").alias("file_hash"), F.lit("talk.pdf").alias("source"), (F.col("turn") + 1).alias("page_no"), "output_json", F.lit("").alias("text"),
+        (F.lit(1000.0) + F.col("turn")).alias("page_width"), F.lit(2000.0).alias("page_height"), F.lit(None).cast("string").alias("image_sha256"),
+    )
+    whole = stage_table(combined.combined_content(pages, "pipeline", "auto"), "combined-content")
+    regions = rg.content_regions(whole.select("file_hash", "output_json")).groupBy("file_hash", "page_no").agg(F.count("*").alias("n_regions"))
+    sizes = F.from_json("output_json", "struct<middle_json:struct<pdf_info:array<struct<page_idx:int,page_size:array<double>>>>>")["middle_json"]["pdf_info"]
+    widths = whole.select("file_hash", F.inline(sizes)).select("file_hash", (F.col("page_idx") + 1).alias("page_no"), F.element_at("page_size", 1).alias("width"))
+    return regions.join(widths, ["file_hash", "page_no"])
+
+
 # --- alignment ---------------------------------------------------------------
 
 
