@@ -276,25 +276,34 @@ def five_breakdowns(units: DataFrame, limit: int | None = None) -> DataFrame:
         entry("phase", F.col("phase"), F.col("phase")),
         entry("engine", pair(":", "phase", "engine"), pair(" / ", "phase", "engine")),
         entry("model", pair(":", "provider", "model"), pair(" / ", "provider", "model")),
-        F.when(in_file, entry("file", F.col("file_hash"), unit_file_label())),
-        F.when(on_page, entry("page", page_key, unit_page_label())),
+        F.when(in_file, entry("file", F.col("file_hash"), F.col("_file_label"))),
+        F.when(on_page, entry("page", page_key, F.concat("_file_label", F.lit(" · page "), F.col("page_no").cast("string")))),
     )
     took = F.coalesce("duration_ms", F.lit(0.0))
-    narrow = units.select(
-        RUN, "status", "file_hash", "page_no", "phase", "filename", unit_source_path().alias("source_path"),
-        took.alias("_took"), F.explode(F.filter(entries, lambda e: e.isNotNull())).alias("_entry"),
-    )
-    grouped = narrow.groupBy(RUN, "_entry.kind", "_entry.id").agg(
-        F.min("_entry.label").alias("label"),
+    sums = [F.sum("_took").alias("_took"), F.sum("_units").alias("_units"), F.sum("_errors").alias("_errors"), F.max("_longest").alias("_longest")]
+    facts_of = [F.min(name).alias(name) for name in ("_label", "filename", "source_path")]
+    # Distinct files, pages and phases are counted level by level, each on the sums of the one below, so a unit is
+    # not copied for every kind of count.
+    named = units.withColumns({"source_path": unit_source_path(), "_file_label": unit_file_label()})
+    same = named.groupBy(RUN, "phase", "engine", "provider", "model", "file_hash", "page_no", "filename", "source_path", "_file_label").agg(
+        F.sum(took).alias("_took"), F.count("*").alias("_units"), F.count(F.when(F.col("status") == "error", 1)).alias("_errors"), F.max(took).alias("_longest")
+    )
+    narrow = same.withColumn("_entry", F.explode(F.filter(entries, lambda e: e.isNotNull()))).withColumns({"kind": F.col("_entry.kind"), "id": F.col("_entry.id"), "_label": F.col("_entry.label")})
+    on_pages = narrow.groupBy(RUN, "kind", "id", "file_hash", "page_no").agg(*sums, *facts_of, F.collect_set("phase").alias("_phases"))
+    in_files = on_pages.groupBy(RUN, "kind", "id", "file_hash").agg(
+        *sums, *facts_of, F.count(page_pair()).alias("_pages"), F.array_distinct(F.flatten(F.collect_set("_phases"))).alias("_phases"), F.min("page_no").alias("_page")
+    )
+    grouped = in_files.groupBy(RUN, "kind", "id").agg(
+        F.min("_label").alias("label"),
         F.sum("_took").alias("duration_ms"),
-        F.count("*").alias("unit_count"),
-        F.count(F.when(F.col("status") == "error", 1)).alias("error_count"),
-        F.countDistinct("file_hash").alias("file_count"),
-        F.countDistinct(page_pair()).alias("page_count"),
-        F.max("_took").alias("max_duration_ms"),
-        F.countDistinct("phase").alias("_phases"),
+        F.sum("_units").alias("unit_count"),
+        F.sum("_errors").alias("error_count"),
+        F.count("file_hash").alias("file_count"),
+        F.sum("_pages").alias("page_count"),
+        F.max("_longest").alias("max_duration_ms"),
+        F.max(F.size("_phases")).alias("_phases"),
         F.min("file_hash").alias("_file"),
-        F.min("page_no").alias("_page"),
+        F.min("_page").alias("_page"),
         F.min("filename").alias("_filename"),
         F.min("source_path").alias("_source"),
     )
@@ -604,13 +613,43 @@ def current_leases(log: DataFrame) -> DataFrame:
     return grouped.withColumn("duration_ms", F.timestamp_diff("MILLISECOND", "started_at", "finished_at"))
 
 
-IMAGE_URL = r'"data:image(?:[^"\\]|\\.)*"'
+#: A JSON string's inside; possessive, so that a match takes one step for each escape and none back.
+_INSIDE = r'[^"\\]*+(?:\\.[^"\\]*+)*+'
+#: Everything up to the next inline image: text between strings, names, and other strings.
+_BEFORE = rf'(?:[^"]++|"(?!data:image){_INSIDE}"|"{_INSIDE}"(?=\s*+:))*+'
+IMAGE_URL = rf'\G({_BEFORE})"(data:image{_INSIDE})"'
 IMAGE_MARK = '"[diagnostic attachment on filesystem]"'
 
 
 def redact_images(payload: Column) -> Column:
-    """Payload JSON without inline image data."""
-    return F.regexp_replace(payload, IMAGE_URL, IMAGE_MARK)
+    """Payload JSON without inline image data.
+
+    Strings are read from the beginning, so a text that quotes an image, or a
+    name that looks like one, stays.
+    """
+    return F.regexp_replace(payload, IMAGE_URL, f"$1{IMAGE_MARK}")
+
+
+def image_attachments(rows: DataFrame, payload: str, keep: Sequence[str]) -> DataFrame:
+    """Facts of each inline image that ``redact_images`` takes out: position from 0, media type, sizes and hash.
+
+    ``data_url_chars`` counts the data URL without JSON escapes, ``bytes`` and
+    ``sha256`` are of the decoded image, NULL where its data is not base64; line
+    breaks in it do not count.
+    """
+    urls = F.regexp_extract_all(F.col(payload), F.lit(IMAGE_URL), F.lit(2))
+    url = F.from_json(F.concat(F.lit('["'), "_url", F.lit('"]')), "array<string>")[0]
+    listed = rows.select(*keep, F.posexplode(urls).alias("position", "_url")).withColumn("_url", url)
+    coded = F.when(F.col("_url").contains(","), F.regexp_replace(F.substring_index("_url", ",", -1), r"\s+", ""))
+    image = listed.withColumn("_image", F.try_to_binary(coded, F.lit("base64")))
+    return image.select(
+        *keep,
+        "position",
+        F.lower(F.regexp_extract("_url", "^data:([^;,]*+)", 1)).alias("media_type"),
+        F.length("_url").cast("long").alias("data_url_chars"),
+        F.octet_length("_image").cast("long").alias("bytes"),
+        F.when(F.col("_image").isNotNull(), F.sha2("_image", 256)).alias("sha256"),
+    )
 
 
 def call_log(events: DataFrame) -> DataFrame:

@@ -7,12 +7,14 @@ from collections.abc import Callable, Iterator, Sequence
 from typing import Any
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from folioscope.functions import ids
 from folioscope.functions.casts import to_float
+from folioscope.functions.grouping import blocked_row_number, lookup_join
 from folioscope.operators.markdown import markdown_complete
+from folioscope.session import cut_lineage
 from folioscope.sources.files import is_supported
 
 Reader = Callable[[list[dict[str, Any]]], Sequence[str]]
@@ -168,15 +170,31 @@ def annotate(pages: DataFrame, reader: Reader, batch_size: int = 1) -> DataFrame
     return pages.mapInPandas(run, f"{fields}, {ANNOTATION_FIELDS}")
 
 
-def grouped_by_model(units: DataFrame, partitions: int | None = None, salts: int = 8) -> DataFrame:
-    """Rows of the same model together, so that a model is loaded once per task.
+def placed_by_model(units: DataFrame, partitions: int) -> DataFrame:
+    """Adds ``partition``: units in order of their model, cut into so many pieces of equal size.
 
-    A busy model is spread over ``salts`` partitions instead of one.
+    A model's units stand together; one with more units than a piece goes on in
+    the next, so a model costs one load and one more for each cut it crosses.
+    Numbers within a model are counted by ranges of a hash of the unit, so a
+    busy model is not numbered in one task.
     """
-    salted = units.withColumn("_salt", F.pmod(F.xxhash64("work_key"), F.lit(salts)))
-    keys = [F.col("execution_key"), F.col("_salt")]
-    laid = salted.repartition(partitions, *keys) if partitions else salted.repartition(*keys)
-    return laid.sortWithinPartitions("execution_key", "work_key").drop("_salt")
+    key = F.coalesce("execution_key", F.lit(""))
+    hashed = units.withColumn("_model", key).withColumn("_hash", F.xxhash64("work_key"))
+    sizes = hashed.groupBy("_model").agg(F.count("*").alias("_size"))
+    before = Window.orderBy("_model").rowsBetween(Window.unboundedPreceding, -1)
+    whole = Window.partitionBy(F.lit(0))
+    starts = sizes.select("_model", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_start"), F.sum("_size").over(whole).alias("_total"))
+    numbered = blocked_row_number(hashed, ["_model"], F.shiftright("_hash", 52), [F.col("_hash"), F.col("work_key")], "_no")
+    placed = lookup_join(numbered, cut_lineage(starts), ["_model"], ["_hash"])
+    slot = F.floor((F.col("_start") + F.col("_no") - 1) * partitions / F.col("_total")).cast("int")
+    return placed.withColumn("partition", slot).drop("_model", "_hash", "_no", "_start", "_total")
+
+
+def grouped_by_model(units: DataFrame, partitions: int | None = None) -> DataFrame:
+    """Rows of the same model together, so that a task loads few models, and no task gets more rows than another."""
+    count = partitions or int(units.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    laid = placed_by_model(units, count).repartitionById(count, "partition")
+    return laid.sortWithinPartitions("execution_key", "work_key").drop("partition")
 
 
 def selected_pages(pages: DataFrame, wanted: DataFrame | None) -> DataFrame:

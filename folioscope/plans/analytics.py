@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import datetime as dt
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from folioscope.functions import ids, kinds
+from folioscope.functions.grouping import top_per_group
 from folioscope.operators import runs, work
 from folioscope.plans import corpus, roles
 from folioscope.plans.registry import query, view
-from folioscope.sources import keyed
-from folioscope.streaming import jobs
+from folioscope.session import scratch_path
+from folioscope.sources import files, keyed, listing
+from folioscope.streaming import ingest, jobs
 
 RUN = runs.RUN
 
@@ -447,6 +451,25 @@ def redacted_payloads(spark: SparkSession, sf: str) -> DataFrame:
     return documents.select("doc_id", F.md5(runs.redact_images(payload)).alias("payload_md5"))
 
 
+@query(
+    "payload_attachments",
+    """
+    SELECT doc_id, CAST(position AS INTEGER) AS position, CASE position WHEN 0 THEN 'image/png' ELSE 'image/jpeg' END AS media_type,
+      CAST((CASE position WHEN 0 THEN 22 ELSE 23 END) + 4 * ((size + 2) // 3) + 2 * ((greatest(4 * ((size + 2) // 3), 1) - 1) // 76) AS BIGINT) AS data_url_chars, CAST(size AS BIGINT) AS bytes, sha256
+    FROM (SELECT doc_id, 0 AS position, octet_length(encode(text)) AS size, sha256(text) AS sha256 FROM documents WHERE text IS NOT NULL
+      UNION ALL SELECT doc_id, 1, octet_length(encode(source || text)), sha256(source || text) FROM documents WHERE text IS NOT NULL)
+    """,
+)
+def payload_attachments(spark: SparkSession, sf: str) -> DataFrame:
+    """Payloads with two inline images in lines of 76 characters, between them the text as it is; one row for each image."""
+    documents = roles.table(spark, sf, "documents").filter("text IS NOT NULL")
+    url = lambda kind, body: F.concat(F.lit(f"data:image/{kind};base64,"), F.base64(F.encode(body, "UTF-8")))
+    block = lambda value: F.struct(F.lit("image_url").alias("type"), F.struct(value.alias("url")).alias("image_url"))
+    first, second = block(url("png", F.col("text"))), block(url("jpeg", F.concat("source", "text")))
+    payload = F.to_json(F.struct(first.alias("one"), F.concat(F.lit('say "data:image/png" '), "text").alias("content"), F.array(second).alias("more")))
+    return runs.image_attachments(documents.select("doc_id", payload.alias("payload")), "payload", ["doc_id"])
+
+
 @query(
     "bounded_attributes",
     "SELECT doc_id, CAST(CASE WHEN length(text) > 500 THEN 515 ELSE length(text) END AS BIGINT) AS text_length, CAST(2 AS BIGINT) AS n_keys FROM documents",
@@ -458,6 +481,79 @@ def bounded_attributes(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select("doc_id", F.length(F.col("m")["text"]).cast("long").alias("text_length"), F.size("m").cast("long").alias("n_keys"))
 
 
+@query(
+    "limited_attributes",
+    """
+    SELECT doc_id, CAST(CASE WHEN length(text) > 2000 THEN 2015 ELSE length(text) END AS BIGINT) AS text_length, CAST(least(100, len(words)) AS BIGINT) AS n_items,
+      words[least(100, len(words))] AS last_item, '{''d'': [1, 2]}' AS deep, false AS has_null
+    FROM (SELECT *, string_split(text, ' ') AS words FROM documents WHERE text IS NOT NULL)
+    """,
+)
+def limited_attributes(spark: SparkSession, sf: str) -> DataFrame:
+    """Nested attributes with a long text, a long list, an object below the depth limit and a NULL member."""
+    documents = roles.table(spark, sf, "documents").filter("text IS NOT NULL")
+    below = F.struct(F.struct(F.struct(F.struct(F.array(F.lit(1), F.lit(2)).alias("d")).alias("c")).alias("b")).alias("a"))
+    nothing = F.lit(None).cast("string")
+    payload = F.to_json(F.struct("text", F.split("text", " ").alias("items"), below.alias("deep"), nothing.alias("gone")), {"ignoreNullFields": "false"})
+    kept = documents.select("doc_id", F.from_json(work.limited_json(payload), "text string, items array<string>, deep struct<a:struct<b:struct<c:string>>>, gone string").alias("k"), work.limited_json(payload).alias("json"))
+    return kept.select(
+        "doc_id", F.length("k.text").cast("long").alias("text_length"), F.size("k.items").cast("long").alias("n_items"), F.element_at("k.items", -1).alias("last_item"),
+        F.col("k.deep.a.b.c").alias("deep"), F.contains("json", F.lit('"gone"')).alias("has_null"),
+    )
+
+
+@query(
+    "analytics_page",
+    """
+    SELECT ingest_run_id, part, place, id, round(amount, 3) AS amount FROM (
+      SELECT ingest_run_id, 'summary' AS part, CAST(1 AS INTEGER) AS place, 'duration' AS id, duration_ms AS amount FROM run_summary
+      UNION ALL SELECT ingest_run_id, kind, CAST(rank AS INTEGER), id, d FROM (
+        SELECT *, row_number() OVER (PARTITION BY ingest_run_id, kind ORDER BY round(d, 6) DESC, id) AS rank FROM (
+          SELECT ingest_run_id, kind, id, sum(coalesce(duration_ms, 0)) AS d
+          FROM (SELECT *, unnest(['phase', 'engine', 'model', 'file', 'page']) AS kind, unnest([phase, phase || ':' || engine, provider || ':' || model, file_hash, file_hash || ':' || page_no]) AS id FROM unit_rows)
+          WHERE id IS NOT NULL GROUP BY 1, 2, 3)) WHERE rank <= 5
+      UNION ALL SELECT ingest_run_id, 'slow unit', CAST(rank AS INTEGER), CAST(work_unit_id AS VARCHAR), duration_ms FROM (
+        SELECT *, row_number() OVER (PARTITION BY ingest_run_id ORDER BY coalesce(duration_ms, 0) DESC, work_unit_id) AS rank FROM unit_rows) WHERE rank <= 5
+      UNION ALL SELECT ingest_run_id, 'slow span', CAST(rank AS INTEGER), span_id, duration_ms FROM (
+        SELECT *, row_number() OVER (PARTITION BY ingest_run_id ORDER BY coalesce(duration_ms, 0) DESC, span_id) AS rank FROM span_rows) WHERE rank <= 5
+      UNION ALL SELECT ingest_run_id, 'advice', 1, 'failed-llm-cost', NULL FROM run_summary WHERE failed_llm_duration_ms / nullif(duration_ms, 0) > 0.2
+      UNION ALL SELECT ingest_run_id, 'advice', 1, 'model-switches', NULL FROM run_summary WHERE model_lease_count > 1
+      UNION ALL SELECT ingest_run_id, 'advice', 1, 'no-dominant-bottleneck', NULL FROM run_summary WHERE NOT coalesce(failed_llm_duration_ms / nullif(duration_ms, 0) > 0.2, false) AND model_lease_count <= 1)
+    """,
+)
+def analytics_page(spark: SparkSession, sf: str) -> DataFrame:
+    """All tables of the analytics page, five rows of each list, with the place of each row."""
+    found = runs.analytics_bundle(roles.runs(spark, sf), named_units(spark, sf), roles.spans(spark, sf), roles.leases(spark, sf), 5)
+
+    def rows(name: str, part: Column, place: Column, key: Column, amount: Column) -> DataFrame:
+        shown = amount.cast("double").alias("amount")
+        return found[name].select(RUN, part.alias("part"), place.cast("int").alias("place"), key.cast("string").alias("id"), F.round(shown, 3).alias("amount"))
+
+    one, ranked = F.lit(1), F.col("rank")
+    # the list is numbered again by the order it is shown in
+    place = F.row_number().over(Window.partitionBy(RUN, "kind").orderBy(F.round("duration_ms", 6).desc(), "id"))
+    parts = [
+        rows("summary", F.lit("summary"), one, F.lit("duration"), F.col("duration_ms")),
+        rows("breakdowns", F.col("kind"), place, F.col("id"), F.col("duration_ms")),
+        rows("slow_work_units", F.lit("slow unit"), ranked, F.col("work_unit_id"), F.col("duration_ms")),
+        rows("slow_spans", F.lit("slow span"), ranked, F.col("span_id"), F.col("duration_ms")),
+        rows("recommendations", F.lit("advice"), one, F.col("id"), F.lit(None)),
+    ]
+    whole = parts[0]
+    for part in parts[1:]:
+        whole = whole.unionByName(part)
+    return whole
+
+
+@query(
+    "span_list",
+    "SELECT ingest_run_id, CAST(place AS INTEGER) AS place, span_id FROM (SELECT *, row_number() OVER (PARTITION BY ingest_run_id ORDER BY ts_us, duration_ms DESC, span_id) AS place FROM span_rows) WHERE place <= 25",
+)
+def span_list(spark: SparkSession, sf: str) -> DataFrame:
+    """The first spans of each run, with their place in the trace list."""
+    return top_per_group(roles.spans(spark, sf), [RUN], runs.span_order(), 25, "place").select(RUN, "place", "span_id")
+
+
 # --- work plan ---------------------------------------------------------------
 
 
@@ -482,18 +578,21 @@ def pending_engines(spark: SparkSession, sf: str) -> DataFrame:
     "work_plan",
     """
     SELECT phase || ':' || engine || ':' || file_hash AS work_key, phase, engine, CASE engine WHEN 'docling' THEN 'local:docling' WHEN 'mineru' THEN 'local:mineru:pipeline' WHEN 'infinity' THEN 'local:infinity:pipeline:parser' WHEN 'preview_cache' THEN 'local:preview_cache' ELSE 'local:markitdown' END AS execution_key
-    FROM (SELECT file_hash, 'annotation' AS phase, engine FROM pending_pairs
+    FROM (SELECT file_hash, 'annotation' AS phase, engine FROM pending_pairs WHERE engine IN ('docling', 'mineru')
       UNION ALL SELECT file_hash, 'artifact', 'preview_cache' FROM files WHERE extension <> '.txt' AND file_hash NOT IN (SELECT file_hash FROM raw_rows WHERE status = 'ok')
-      UNION ALL SELECT DISTINCT file_hash, 'markdown', 'markitdown' FROM engine_pairs)
+      UNION ALL SELECT file_hash, 'markdown', 'markitdown' FROM files WHERE extension <> '.txt'
+        AND (file_hash IN (SELECT file_hash FROM pending_pairs WHERE engine IN ('docling', 'mineru')) OR file_hash IN (SELECT file_hash FROM reader_pages WHERE page_no % 3 = 0)))
     """,
 )
 def work_plan(spark: SparkSession, sf: str) -> DataFrame:
-    """A plan with three readers and one generator; files read well have a preview, none has Markdown yet."""
+    """A plan with two readers and one generator over the pages of ten lines; every third page lacks Markdown."""
     given = plan_inputs(spark, sf)
-    pages = given["files"].select("file_hash", F.lit(1).alias("page_no"))
-    no_markdown = pages.limit(0).select("file_hash", "page_no", F.lit("").alias("markdown_engine"), F.lit("").alias("markdown_text"))
+    count = F.floor((F.size(F.split("text", "\n")) - 1) / 10).cast("int") + 1
+    pages = roles.texts(spark, sf).select("file_hash", F.explode(F.sequence(F.lit(1), count)).alias("page_no"))
+    made = F.concat(F.lit("# Page "), F.col("page_no").cast("string"), F.lit(" of "), "file_hash")
+    written = pages.filter("page_no % 3 <> 0").select("file_hash", "page_no", F.lit("markitdown").alias("markdown_engine"), made.alias("markdown_text"))
     cached = given["raw"].filter("status = 'ok'").select("file_hash")
-    plan = work.work_plan(1, given["files"], ["docling", "mineru", "infinity"], ["markitdown"], given["raw"], given["chunks"], pages, no_markdown, cached)
+    plan = work.work_plan(1, given["files"], ["docling", "mineru"], ["markitdown"], given["raw"], given["chunks"], pages, written, cached)
     return plan.select("work_key", "phase", "engine", "execution_key")
 
 
@@ -527,10 +626,22 @@ def annotate_pages(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select("doc_id", "status", F.coalesce("result", "error_type").alias("outcome"))
 
 
-@query("grouped_by_model", "SELECT 'local:' || engine AS execution_key, CAST(count(*) AS BIGINT) AS n FROM unit_rows GROUP BY 1")
+@query(
+    "grouped_by_model",
+    """
+    SELECT slot AS partition, execution_key, CAST(count(*) AS BIGINT) AS n, CAST(dense_rank() OVER (PARTITION BY slot ORDER BY execution_key) AS INTEGER) AS run
+    FROM (SELECT execution_key, CAST(floor((row_number() OVER (ORDER BY execution_key) - 1) * 7 / count(*) OVER ()) AS INTEGER) AS slot FROM (SELECT 'local:' || engine AS execution_key FROM unit_rows))
+    GROUP BY 1, 2
+    """,
+)
 def grouped_by_model(spark: SparkSession, sf: str) -> DataFrame:
-    laid = work.grouped_by_model(roles.work_units(spark, sf))
-    return laid.groupBy("execution_key").agg(F.count("*").alias("n"))
+    """Runs of equal models in each of seven partitions, in the order in which their tasks meet them."""
+    laid = work.grouped_by_model(roles.work_units(spark, sf), 7)
+    met = laid.select("execution_key", F.spark_partition_id().alias("partition"), (F.monotonically_increasing_id() % (1 << 33)).alias("_at"))
+    runs_ = met.groupBy("partition", "execution_key").agg(F.count("*").alias("n"), F.min("_at").alias("_first"), F.max("_at").alias("_last"))
+    together = runs_.filter(F.col("_last") - F.col("_first") + 1 == F.col("n"))
+    order = Window.partitionBy("partition").orderBy("_first")
+    return together.select("partition", "execution_key", "n", F.row_number().over(order).alias("run"))
 
 
 @query("selected_pages", "SELECT t.file_hash, t.page_no FROM turns t JOIN labels l ON t.file_hash = 'conv-' || l.doc_id AND t.page_no = l.quality + 1")
@@ -661,3 +772,141 @@ def stream_new_files(spark: SparkSession, sf: str) -> DataFrame:
     )
     fresh = arriving.withWatermark("modified_at", "1 hour").dropDuplicatesWithinWatermark(["file_hash", "path"])
     return jobs.run_to_table(fresh, "new-files").groupBy("file_hash").agg(F.count("*").alias("path_count"))
+
+
+# --- streams of many batches -------------------------------------------------
+
+#: Arrivals of four days each; for the late form one event in seventeen is held up by up to 99 hours.
+ARRIVAL_HOURS = 96
+view("arrived", "SELECT *, epoch_us(ts) AS us, epoch_us(ts) // 3600000000 // 96 AS arrival FROM events")
+view("arrived_late", "SELECT *, epoch_us(ts) AS us, (epoch_us(ts) // 3600000000 + CASE WHEN event_id % 17 = 0 THEN event_id % 100 ELSE 0 END) // 96 AS arrival FROM events")
+
+
+def arrivals(spark: SparkSession, sf: str, held_up: Column | None = None) -> DataFrame:
+    """The log with the number of the batch each row arrives in."""
+    hour = F.expr("unix_micros(started_at) div 3600000000")
+    late = F.lit(0) if held_up is None else held_up
+    return _as_log(roles.table(spark, sf, "events")).withColumn("arrival", F.floor((hour + late) / ARRIVAL_HOURS))
+
+
+@query(
+    "stream_late_rows",
+    """
+    SELECT start_s AS window_start, category, CAST(count(*) FILTER (WHERE NOT late) AS BIGINT) AS span_count,
+      CAST(count(*) FILTER (WHERE NOT late AND category = 'error') AS BIGINT) AS error_count, CAST(count(*) FILTER (WHERE late) AS BIGINT) AS late_count
+    FROM (SELECT us // 3600000000 * 3600 AS start_s, event_type AS category, coalesce((us // 3600000000 + 1) * 3600000000 <= newest - 7200000000, false) AS late
+      FROM arrived_late JOIN (SELECT arrival, max(max(us)) OVER (ORDER BY arrival ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS newest FROM arrived_late GROUP BY arrival) USING (arrival))
+    GROUP BY 1, 2
+    """,
+)
+def stream_late_rows(spark: SparkSession, sf: str) -> DataFrame:
+    """Hourly error rates over several batches, with the rows that came more than two hours after their window."""
+    held_up = F.when(F.col("seq") % 17 == 0, F.col("seq") % 100).otherwise(0)
+    state, target = scratch_path(spark, "late-state"), scratch_path(spark, "late-out")
+    jobs.replay(arrivals(spark, sf, held_up), "arrival", "late", lambda log: jobs.error_rates_with_late(log, "1 hour", dt.timedelta(hours=2), state, target))
+    rows = jobs.rates_with_late(spark, target)
+    return rows.select(F.unix_seconds("window_start").alias("window_start"), "category", "span_count", "error_count", "late_count")
+
+
+@query(
+    "stream_units_with_end",
+    """
+    SELECT work_key, min(us) AS opened_us, arg_max(status, (us, event_id)) AS status, CAST(count(*) FILTER (WHERE status = 'running') AS BIGINT) AS attempt_count,
+      max(us) FILTER (WHERE status = 'running') AS started_us, CASE WHEN arg_max(status, (us, event_id)) = 'running' THEN NULL ELSE max(us) END AS finished_us
+    FROM (SELECT *, sum(CASE WHEN before IS NULL OR us > before + CASE was WHEN 'running' THEN 12 ELSE 1 END * 3600000000 THEN 1 ELSE 0 END) OVER (PARTITION BY work_key ORDER BY us, event_id) AS life
+      FROM (SELECT *, lag(us) OVER w AS before, lag(status) OVER w AS was
+        FROM (SELECT event_id, us, 'file-' || user_id AS work_key, CASE WHEN event_type = 'error' THEN 'error' WHEN value < 10 THEN 'running' ELSE 'ok' END AS status FROM arrived)
+        WINDOW w AS (PARTITION BY work_key ORDER BY us, event_id)))
+    GROUP BY work_key, life
+    """,
+)
+def stream_units_with_end(spark: SparkSession, sf: str) -> DataFrame:
+    """Units that are forgotten an hour after they ended, or after twelve hours without news; every life of each."""
+    state, target = scratch_path(spark, "units-state"), scratch_path(spark, "units-out")
+    tables: list[DataFrame] = []
+
+    def run(log: DataFrame) -> None:
+        units = log.select(F.lit(1).cast("long").alias(RUN), F.col("file_hash").alias("work_key"), "ts", "seq", "status")
+        live = jobs.live_units_with_end(units, dt.timedelta(hours=12), dt.timedelta(hours=1))
+        tables.append(jobs.run_to_table(live, "units", "update", state, target))
+
+    jobs.replay(arrivals(spark, sf), "arrival", "units", run)
+    rows = jobs.latest_updates(tables[-1], ["work_key", "opened_at"])
+    return rows.select("work_key", us("opened_at").alias("opened_us"), "status", "attempt_count", us("started_at").alias("started_us"), us("finished_at").alias("finished_us"))
+
+
+@query(
+    "stream_unfinished_spans",
+    """
+    SELECT CAST(event_id AS VARCHAR) AS span_id, CASE WHEN event_id % 11 < 2 THEN 'unfinished' WHEN event_type = 'error' THEN 'error' WHEN value < 10 THEN 'running' ELSE 'ok' END AS status,
+      CASE WHEN event_id % 11 < 2 THEN NULL ELSE round(CAST(round(value * 10000) AS BIGINT) / 1000.0, 3) END AS duration_ms
+    FROM events
+    """,
+)
+def stream_unfinished_spans(spark: SparkSession, sf: str) -> DataFrame:
+    """Starts and ends over several batches: one span in eleven has no end, one ends after more than the longest time."""
+    took = F.when(F.col("seq") % 11 == 1, F.lit(7_200_000_000)).otherwise(F.round(F.col("duration_ms") * 10000).cast("long"))
+    log = arrivals(spark, sf).withColumn("ended_at", F.when(F.col("seq") % 11 > 0, F.timestamp_micros(F.unix_micros("started_at") + took)))
+    kinds_ = F.explode(F.array(F.lit("start"), F.lit("end"))).alias("kind")
+    records = log.select(RUN, "span_id", "category", "started_at", "ended_at", "status", kinds_).filter("kind = 'start' OR ended_at IS NOT NULL")
+    at = F.when(F.col("kind") == "start", F.col("started_at")).otherwise(F.col("ended_at"))
+    records = records.withColumn("arrival", F.floor(F.unix_micros(at) / 3_600_000_000 / ARRIVAL_HOURS))
+    state, target = scratch_path(spark, "unfinished-state"), scratch_path(spark, "unfinished-out")
+    tables: list[DataFrame] = []
+
+    def run(stream: DataFrame) -> None:
+        starts = stream.filter("kind = 'start'").select(RUN, "span_id", "category", "started_at")
+        ends = stream.filter("kind = 'end'").select(RUN, "span_id", "ended_at", "status")
+        tables.append(jobs.run_to_table(jobs.complete_spans(starts, ends, unfinished=True), "unfinished", "append", state, target))
+
+    jobs.replay(records, "arrival", "unfinished", run)
+    came_out = tables[-1].drop("batch_id")
+    rows = came_out.unionByName(jobs.still_waiting(log.select(RUN, "span_id", "category", "started_at"), came_out))
+    return rows.select("span_id", F.coalesce("status", F.lit("unfinished")).alias("status"), F.round("duration_ms", 3).alias("duration_ms"))
+
+
+view("inbox_names", "SELECT doc_id, coalesce(text, '') AS text, CASE doc_id % 7 WHEN 0 THEN '.' || doc_id || '.txt' WHEN 1 THEN '_' || doc_id || '.pdf' ELSE doc_id || '.txt' END AS name FROM documents WHERE doc_id IS NOT NULL")
+view(
+    "inbox_scans",
+    """
+    SELECT 1 AS scan, name, sha256(text) AS file_hash, 'new' AS status, true AS read FROM inbox_names
+    UNION ALL SELECT 2, CASE doc_id % 5 WHEN 1 THEN 'moved-' || doc_id || '.txt' ELSE name END, CASE doc_id % 5 WHEN 0 THEN sha256(text || '!') ELSE sha256(text) END,
+      CASE doc_id % 5 WHEN 0 THEN 'changed' WHEN 1 THEN 'moved' ELSE 'unchanged' END, doc_id % 5 < 2 FROM inbox_names
+    """,
+)
+
+
+@query(
+    "stream_ingest",
+    """
+    SELECT scan, name, file_hash, status, read, first_scan, last_scan, path_count FROM inbox_scans
+    JOIN (SELECT file_hash, min(scan) AS first_scan, max(scan) AS last_scan, CAST(count(DISTINCT name) AS BIGINT) AS path_count FROM inbox_scans GROUP BY 1) USING (file_hash)
+    """,
+)
+def stream_ingest(spark: SparkSession, sf: str) -> DataFrame:
+    """Every text as a file, scanned twice; in between one file in five changes and one gets another name.
+
+    One row for each file of each scan, with what the store knows of its content.
+    """
+    root = scratch_path(spark, "ingest")
+    inbox, store, state = f"{root}/inbox", f"{root}/store", f"{root}/state"
+    key = F.col("doc_id").cast("string")
+    name = F.when(F.col("doc_id") % 7 == 0, F.concat(F.lit("."), key, F.lit(".txt"))).when(F.col("doc_id") % 7 == 1, F.concat(F.lit("_"), key, F.lit(".pdf"))).otherwise(F.concat(key, F.lit(".txt")))
+    at = lambda shown: F.concat(F.lit(f"{root}/files/"), shown)
+    texts = roles.table(spark, sf, "documents").filter("doc_id IS NOT NULL").select("doc_id", F.coalesce("text", F.lit("")).alias("body"), name.alias("name"))
+    listing.put_files(texts.select(at(F.col("name")).alias("path"), "body"))
+    ingest.announce(spark, f"{root}/files", inbox, dt.datetime(2024, 1, 1))
+    ingest.ingest(spark, inbox, store, state)
+
+    changed = texts.filter("doc_id % 5 = 0").select(at(F.col("name")).alias("path"), F.concat("body", F.lit("!")).alias("body"))
+    moved = texts.filter("doc_id % 5 = 1")
+    listing.put_files(changed.unionByName(moved.select(at(F.concat(F.lit("moved-"), key, F.lit(".txt"))).alias("path"), "body")))
+    listing.put_files(moved.select(at(F.col("name")).alias("path"), F.lit(None).cast("binary").alias("body")))
+    ingest.announce(spark, f"{root}/files", inbox, dt.datetime(2024, 1, 2))
+    ingest.ingest(spark, inbox, store, state)
+
+    paths = ingest.stored_locations(spark, store).groupBy("file_hash").agg(F.count_distinct("path").alias("path_count"))
+    day = lambda seen: F.dayofmonth(seen).cast("int")
+    known = ingest.stored_files(spark, store).select("file_hash", day("first_seen_at").alias("first_scan"), day("last_seen_at").alias("last_scan"))
+    log = ingest.ingest_log(spark, store).select(day("scanned_at").alias("scan"), files.base_name(F.col("path")).alias("name"), "file_hash", "status", "read")
+    return log.join(known, "file_hash").join(paths, "file_hash")

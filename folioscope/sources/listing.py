@@ -98,3 +98,39 @@ def _hash(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
 def with_hash(files: DataFrame, path: str, name: str) -> DataFrame:
     """Adds the SHA-256 of each file; files are dealt out anew, as some folders hold most of them."""
     return files.repartition(path).withColumn(name, _hash(F.col(path)))
+
+
+def _put(path: str, body: bytes | None) -> None:
+    own = _local(path)
+    if own is not None:
+        if body is None:
+            os.remove(own)
+            return
+        os.makedirs(os.path.dirname(own), exist_ok=True)
+        with open(own, "wb") as out:
+            out.write(body)
+        return
+    store, inside = fs.FileSystem.from_uri(path)
+    if body is None:
+        store.delete_file(inside)
+        return
+    store.create_dir(os.path.dirname(inside), recursive=True)
+    with store.open_output_stream(inside) as out:
+        out.write(body)
+
+
+def _put_all(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for batch in batches:
+        for path, body in zip(batch["path"], batch["body"], strict=True):
+            _put(path, None if body is None else bytes(body))
+        yield batch[["path"]]
+
+
+def put_files(files: DataFrame) -> None:
+    """Write a file for each row (path, body), by tasks; a NULL body removes the file.
+
+    A repeated task writes the same bytes again; removing is not repeatable, so
+    files are removed by a call of their own, once.
+    """
+    rows = files.select("path", F.col("body").cast("binary").alias("body"))
+    rows.mapInPandas(_put_all, "path string").write.format("noop").mode("overwrite").save()

@@ -6,10 +6,14 @@ it to the end of the available input and returns the written table.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
+from datetime import datetime, timedelta, timezone
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from folioscope.functions.grouping import first_per_group
 from folioscope.session import scratch_path
@@ -26,11 +30,12 @@ def parquet_stream(spark: SparkSession, path: str, schema: object, files_per_bat
     return reader.parquet(folder)
 
 
-def run_to_table(stream: DataFrame, label: str, mode: str = "append", checkpoint: str | None = None, target: str | None = None) -> DataFrame:
+def run_to_table(stream: DataFrame, label: str, mode: str = "append", checkpoint: str | None = None, target: str | None = None, kept_rows: list[int] | None = None) -> DataFrame:
     """Process all available input into a parquet table with the batch number of each row.
 
     Files of a batch go to their own folder and are overwritten when a batch
-    is repeated, so a restart leaves no doubled rows.
+    is repeated, so a restart leaves no doubled rows.  ``kept_rows`` is given the
+    number of rows that the state holds at the end.
     """
     spark = stream.sparkSession
     out = target or scratch_path(spark, f"{label}-out")
@@ -40,17 +45,9 @@ def run_to_table(stream: DataFrame, label: str, mode: str = "append", checkpoint
         rows = batch.withColumn("_written", F.lit(True))
         rows.write.mode("overwrite").parquet(f"{out}/batch_id={batch_id}")
 
-    query = (
-        stream.writeStream.outputMode(mode)
-        .option("checkpointLocation", state)
-        .foreachBatch(store)
-        .trigger(availableNow=True)
-        .start()
-    )
-    query.awaitTermination()
-    failure = query.exception()
-    if failure is not None:
-        raise failure
+    query = _drive(stream.writeStream.outputMode(mode).foreachBatch(store), state)
+    if kept_rows is not None and query.lastProgress is not None:
+        kept_rows.append(sum(operator.numRowsTotal for operator in query.lastProgress.stateOperators))
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in stream.schema.fields]
     schema = ", ".join([*fields, "_written boolean", "batch_id bigint"])
     return spark.read.schema(schema).option("basePath", out).parquet(out).filter("_written").drop("_written")
@@ -61,6 +58,31 @@ def latest_updates(table: DataFrame, keys: Sequence[str]) -> DataFrame:
     return first_per_group(table, keys, [F.col("batch_id").desc()]).drop("batch_id")
 
 
+def replay(rows: DataFrame, arrival: str, label: str, run: Callable[[DataFrame], object]) -> None:
+    """Let rows arrive in the order of an integer column: the files of each arrival, then ``run`` on the stream of them.
+
+    ``run`` is called once for each arrival with the stream of the same folder,
+    so a query with a checkpoint meets one micro-batch each time, and restarts
+    in between.
+    """
+    spark = rows.sparkSession
+    staged, inbox = scratch_path(spark, f"{label}-staged"), scratch_path(spark, f"{label}-inbox")
+    rows.write.partitionBy(arrival).parquet(staged)
+    staged_rows = spark.read.schema(rows.schema).parquet(staged)
+    for found in staged_rows.select(arrival).distinct().orderBy(arrival).toLocalIterator():
+        staged_rows.filter(F.col(arrival) == found[0]).write.mode("append").parquet(inbox)
+        run(spark.readStream.schema(staged_rows.schema).parquet(inbox))
+
+
+def _drive(writer: DataStreamWriter, checkpoint: str) -> StreamingQuery:
+    query = writer.option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    query.awaitTermination()
+    failure = query.exception()
+    if failure is not None:
+        raise failure
+    return query
+
+
 # S1 -------------------------------------------------------------------------
 
 
@@ -72,13 +94,7 @@ def incremental_files(binary_stream: DataFrame, delay: str = "1 hour") -> DataFr
 
 def incremental_upsert(stream: DataFrame, merge: Callable[[DataFrame, int], None], checkpoint: str) -> None:
     """Hand every micro-batch to a keyed merge until the input is used up."""
-    query = (
-        stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    )
-    query.awaitTermination()
-    failure = query.exception()
-    if failure is not None:
-        raise failure
+    _drive(stream.writeStream.foreachBatch(merge), checkpoint)
 
 
 # S2 -------------------------------------------------------------------------
@@ -97,6 +113,60 @@ def live_units(log: DataFrame) -> DataFrame:
     )
 
 
+_UNIT_STATE = "opened_at timestamp, started_at timestamp, finished_at timestamp, status string, attempts long, newest timestamp, seq long"
+_UNIT_ROW = "ingest_run_id long, work_key string, opened_at timestamp, status string, attempt_count long, started_at timestamp, finished_at timestamp, seen_at timestamp"
+
+
+def _unit_updater(idle: timedelta, linger: timedelta) -> Callable:
+    """One call for each unit with news, or whose time is up; the state is one small tuple a unit."""
+
+    def lives_on(state: tuple) -> datetime:
+        return state[5] + (linger if state[3] in TERMINAL else idle)
+
+    def update(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        news = pd.concat(list(batches)).sort_values(["ts", "seq"])
+        known = tuple(state.get) if state.exists else None
+        shown = []
+        for ts, seq, status in zip(news["ts"], news["seq"], news["status"], strict=True):
+            at = ts.to_pydatetime()
+            if known is not None and at > lives_on(known):
+                shown.append(known)
+                known = None
+            opened, started, finished, last, attempts, newest, number = known or (at, None, None, None, 0, None, None)
+            if status == "running":
+                started, attempts = max(started or at, at), attempts + 1
+            if newest is None or (at, int(seq)) >= (newest, number):
+                last, newest, number = status, at, int(seq)
+                finished = at if status in TERMINAL else None
+            known = (min(opened, at), started, finished, last, attempts, newest, number)
+        state.update(known)
+        state.setTimeoutTimestamp(int(lives_on(known).replace(tzinfo=timezone.utc).timestamp() * 1000) + 1)
+        shown.append(known)
+        rows = [(*key, opened, status, attempts, started, finished, newest) for opened, started, finished, status, attempts, newest, _ in shown]
+        yield pd.DataFrame(rows, columns=["ingest_run_id", "work_key", "opened_at", "status", "attempt_count", "started_at", "finished_at", "seen_at"])
+
+    return update
+
+
+def live_units_with_end(log: DataFrame, idle: timedelta, linger: timedelta, delay: str = "10 minutes") -> DataFrame:
+    """Current state of each unit, forgotten some time after it ended; run in update mode.
+
+    A unit is forgotten ``linger`` after a terminal status and ``idle`` after
+    any other; rows that come later open it anew, with attempts counted from
+    nothing, whether the state was dropped by then or not.  So the number of
+    units kept follows what is at work, not what was ever seen.  Rows older than
+    the watermark (the newest time less ``delay``) are left out.  Rows without a
+    time have no place in the log and are left out too.
+    """
+    known = log.select("ingest_run_id", "work_key", "ts", "seq", "status").filter(F.col("ts").isNotNull()).withWatermark("ts", delay)
+    return known.groupBy("ingest_run_id", "work_key").applyInPandasWithState(
+        _unit_updater(idle, linger), _UNIT_ROW, _UNIT_STATE, "update", GroupStateTimeout.EventTimeTimeout
+    )
+
+
 # S3 -------------------------------------------------------------------------
 
 
@@ -111,6 +181,42 @@ def error_rates(spans: DataFrame, width: str, slide: str | None = None, delay: s
     )
 
 
+def error_rates_with_late(spans: DataFrame, width: str, delay: timedelta, checkpoint: str, target: str) -> None:
+    """Count a stream into windows and, beside them, what came too late for them.
+
+    A window is closed once the newest time of earlier batches lies ``delay`` or
+    more past its end; rows of a closed window count as late.  A batch adds one
+    row for each window and category it touches to ``target/parts`` and the
+    newest time so far to ``target/marks``, under its number; a repeated batch
+    overwrites both.  ``rates_with_late`` reads the sums.
+    """
+    spark = spans.sparkSession
+
+    def store(batch: DataFrame, batch_id: int) -> None:
+        marks = f"{target}/marks"
+        known = spark.read.schema("newest timestamp").parquet(f"{marks}/batch_id={batch_id - 1}").first() if batch_id else None
+        newest = known["newest"] if known else None
+        closed = F.lit(False) if newest is None else F.col("w.end") <= F.lit(newest - delay)
+        counted = batch.groupBy(F.window("started_at", width).alias("w"), "category").agg(
+            F.count("*").alias("rows"), F.count(F.when(F.col("status") == "error", 1)).alias("errors"), F.max("started_at").alias("newest")
+        )
+        parts = f"{target}/parts/batch_id={batch_id}"
+        counted.select(F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), "category", "rows", "errors", "newest", closed.alias("late")).write.mode("overwrite").parquet(parts)
+        reached = spark.read.parquet(parts).agg(F.greatest(F.max("newest"), F.lit(newest).cast("timestamp")).alias("newest"))
+        reached.coalesce(1).write.mode("overwrite").parquet(f"{marks}/batch_id={batch_id}")
+
+    _drive(spans.writeStream.foreachBatch(store), checkpoint)
+
+
+def rates_with_late(spark: SparkSession, target: str) -> DataFrame:
+    """Spans and failures of each window and category in time, and the number of late spans."""
+    parts = spark.read.option("basePath", f"{target}/parts").parquet(f"{target}/parts")
+    in_time = lambda value: F.sum(F.when(F.col("late"), 0).otherwise(F.col(value)))
+    return parts.groupBy("window_start", "window_end", "category").agg(
+        in_time("rows").alias("span_count"), in_time("errors").alias("error_count"), F.sum(F.when(F.col("late"), F.col("rows")).otherwise(0)).alias("late_count")
+    )
+
+
 # S4 -------------------------------------------------------------------------
 
 
@@ -142,14 +248,26 @@ def still_open(spans: DataFrame, gap: str, delay: str = "10 minutes") -> DataFra
 # S5 -------------------------------------------------------------------------
 
 
-def complete_spans(starts: DataFrame, ends: DataFrame, delay: str = "10 minutes", longest: str = "1 hour") -> DataFrame:
-    """Start and end records joined; both sides forget what is older than delay and longest span."""
+def complete_spans(starts: DataFrame, ends: DataFrame, delay: str = "10 minutes", longest: str = "1 hour", unfinished: bool = False) -> DataFrame:
+    """Start and end records joined; both sides forget what is older than delay and longest span.
+
+    With ``unfinished``, a start that met no end within ``longest`` comes out
+    without end, status and duration when the watermark has passed it; what is
+    still waiting at the end of the input is told by ``still_waiting``.
+    """
     left = starts.withWatermark("started_at", delay).alias("s")
     right = ends.withWatermark("ended_at", delay).alias("e")
     within = F.expr(f"e.ended_at >= s.started_at AND e.ended_at <= s.started_at + INTERVAL {longest}")
     same = (F.col("s.span_id") == F.col("e.span_id")) & (F.col("s.ingest_run_id") == F.col("e.ingest_run_id"))
-    joined = left.join(right, same & within)
+    joined = left.join(right, same & within, "leftOuter" if unfinished else "inner")
     took = (F.unix_micros("ended_at") - F.unix_micros("started_at")) / 1000.0
     return joined.select(
         "s.ingest_run_id", "s.span_id", "s.category", "started_at", "ended_at", "e.status", took.alias("duration_ms")
     )
+
+
+def still_waiting(starts: DataFrame, came_out: DataFrame) -> DataFrame:
+    """Starts (as a batch) that a stream with ``unfinished`` has neither joined nor given up."""
+    waiting = starts.join(came_out, ["ingest_run_id", "span_id"], "left_anti")
+    none = lambda kind, name: F.lit(None).cast(kind).alias(name)
+    return waiting.select("ingest_run_id", "span_id", "category", "started_at", none("timestamp", "ended_at"), none("string", "status"), none("double", "duration_ms"))
