@@ -548,6 +548,26 @@ def scan_collectors(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+@query(
+    "hit_routes",
+    """
+    SELECT query_id, rank_source, source_id, CAST(leg_rank AS INTEGER) AS leg_rank, granularity, file, page, overlay, overlays, view, highlight FROM (
+      SELECT s.query_id, s.rank_source, s.source_id, row_number() OVER (PARTITION BY s.query_id, s.rank_source ORDER BY o1, o2, o3) AS leg_rank,
+        CASE WHEN g.region_id IS NULL THEN 'record' ELSE 'region' END AS granularity, coalesce(g.file_hash, split_part(s.source_id, ':', 1)) AS file,
+        CAST(coalesce(g.page_no, CAST(split_part(s.source_id, ':', 2) AS BIGINT)) AS VARCHAR) AS page, 'region:' || g.region_id AS overlay,
+        CASE WHEN g.region_id IS NOT NULL THEN 'selected' END AS overlays, CASE WHEN g.region_id IS NULL THEN 'split' END AS view, s.query AS highlight
+      FROM scan_rows s LEFT JOIN region_rows g ON g.region_id = s.source_id WHERE s.rank_source <> 'document_chunks_scan') WHERE leg_rank <= 5
+    """,
+)
+def hit_routes(spark: SparkSession, sf: str) -> DataFrame:
+    """Where the first region and page hits of each query lead."""
+    asked = search.prepare_queries(roles.queries(spark, sf))
+    hits = search.scan_hits(scan_entities(spark, sf).filter("source_type IN ('document_region', 'page_markdown')"), asked, 5)
+    placed = search.navigation(hits.join(asked, "query_id"), asked, terms.build_terms(roles.regions(spark, sf)))
+    route = lambda name: F.col("route")[name].alias(name)
+    return placed.select("query_id", "rank_source", "source_id", "leg_rank", "granularity", *[route(name) for name in ("file", "page", "overlay", "overlays", "view", "highlight")])
+
+
 @query(
     "file_scan_hits",
     """

@@ -124,6 +124,33 @@ def chunk_evidence_fallback(spark: SparkSession, sf: str) -> DataFrame:
     return own.groupBy("file_hash", "chunk_index").agg(F.count("*").alias("n_places"))
 
 
+@query(
+    "page_provider_evidence",
+    """
+    SELECT chunk, source_ref, label, text, page_no, l FROM (
+      SELECT file_hash || ':' || turn AS chunk, 'mistral-element-' || i AS source_ref, 'mistral_ocr_element' AS label, trim(line) AS text, CAST(page_no AS INTEGER) AS page_no, CAST(i AS DOUBLE) AS l
+      FROM (SELECT file_hash, turn, page_no, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS i FROM turns WHERE turn % 3 = 0) WHERE trim(line) <> ''
+      UNION ALL
+      SELECT file_hash || ':' || turn, 'mistral-page-' || page_no, 'mistral_ocr_page', NULL, CAST(page_no AS INTEGER), 5.0 FROM turns WHERE turn % 3 = 1)
+    """,
+)
+def page_provider_evidence(spark: SparkSession, sf: str) -> DataFrame:
+    """Evidence from the metadata of the page-level provider: its elements, its pages where it has none, nothing beside items."""
+    page = F.col("page_no")
+    box = lambda left: roles._json_box(left, F.lit(2.0), F.lit(9.0), F.lit(1.0))
+    line = lambda text, i: F.struct(text.alias("text"), page.alias("page_no"), box(i.cast("double")).alias("bbox"))
+    made = F.to_json(F.struct(F.transform(F.split("text", "\n"), line).alias("mistral_elements"), F.array(F.struct(page.alias("page_no"), box(F.lit(7.0)).alias("bbox"))).alias("mistral_pages")))
+    paged = F.to_json(F.struct(F.array(F.struct(page.alias("page_no"), box(F.lit(5.0)).alias("bbox"))).alias("mistral_pages")))
+    itemed = F.to_json(F.struct(F.struct(F.array().cast("array<string>").alias("doc_items")).alias("docling_meta"), F.array(F.struct(page.alias("page_no"), box(F.lit(5.0)).alias("bbox"))).alias("mistral_pages")))
+    turn = F.col("turn")
+    chunk = F.concat_ws(":", "file_hash", turn.cast("string"))
+    metadata = F.when(turn % 3 == 0, made).when(turn % 3 == 1, paged).otherwise(itemed)
+    chunk_rows = roles.turns(spark, sf).select("file_hash", chunk.alias("chunk_id"), turn.cast("int").alias("chunk_index"), "text", metadata.alias("metadata_json"))
+    found = el.page_item_fallback(chunk_rows)
+    text = F.when(F.col("label") == "mistral_ocr_element", F.col("text"))
+    return found.select(F.col("chunk_id").alias("chunk"), "source_ref", "label", text.alias("text"), "page_no", F.col("raw_bbox.left").alias("l"))
+
+
 REGION_SQL = f"""
     SELECT substring(sha256(concat_ws('|', e.file_hash, 'docling', e.source_ref, e.page_no, CAST(e.l * 1000 AS BIGINT), CAST(e.t * 1000 AS BIGINT), CAST(e.r * 1000 AS BIGINT), CAST(e.b * 1000 AS BIGINT))), 1, 32) AS region_id,
            e.file_hash, e.source_ref, CAST(e.page_no AS INTEGER) AS page_no, CAST(v.chunk_index AS INTEGER) AS chunk_index,
@@ -180,6 +207,25 @@ def content_output(spark: SparkSession, sf: str, *, listed: bool = True) -> Data
 CONTENT_KIND_SQL = "CASE kind WHEN 'title' THEN 'title' WHEN 'interline_equation' THEN 'formula' WHEN 'table_footnote' THEN 'table' WHEN 'page_number' THEN 'page_number' ELSE 'text' END"
 
 
+@query(
+    "display_boxes",
+    """
+    SELECT file_hash || ':' || turn AS file_hash, CAST(i AS INTEGER) AS i, CAST(CASE turn % 3 WHEN 0 THEN x0 * 0.6 ELSE 1.0 END AS DOUBLE) AS l, CAST(CASE turn % 3 WHEN 0 THEN y0 * 0.4 ELSE 2.0 END AS DOUBLE) AS t,
+      CAST(CASE turn % 3 WHEN 0 THEN x1 * 0.6 ELSE 3.0 END AS DOUBLE) AS r, CAST(CASE turn % 3 WHEN 0 THEN y1 * 0.4 ELSE 4.0 END AS DOUBLE) AS b
+    FROM content_items
+    """,
+)
+def display_boxes(spark: SparkSession, sf: str) -> DataFrame:
+    """Boxes drawn again from the stored reader item: scaled to the page shown, else as stored (no known source, no known size)."""
+    lines = roles.turns(spark, sf).select("file_hash", "turn", F.posexplode(F.split("text", "\n")).alias("i", "line"))
+    i, third = F.col("i"), F.col("turn") % 3
+    item = boxes.make_box(F.lit(100.0) + i, F.lit(20.0) * i, F.lit(500.0) + i, F.lit(20.0) * i + 15, boxes.TOP_LEFT)
+    stored = boxes.make_box(F.lit(1.0), F.lit(2.0), F.lit(3.0), F.lit(4.0), boxes.TOP_LEFT)
+    shown = boxes.display_box(F.when(third != 1, F.lit("middle_json")), item, stored, F.when(third == 0, F.lit(1000.0)), F.lit(2000.0), F.lit(600.0), F.lit(800.0))
+    rows = lines.select(F.concat_ws(":", "file_hash", F.col("turn").cast("string")).alias("file_hash"), "i", shown.alias("box"))
+    return rows.select("file_hash", "i", *flat_box("box"))
+
+
 @query(
     "content_regions",
     f"""
