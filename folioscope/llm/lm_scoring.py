@@ -166,8 +166,8 @@ def cross_entropy_difference(
     """
     batches = batch_count(docs, F.col(text_col), batch_bytes)
     given = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("binary"), F.lit(b"")).alias("body"), F.struct(*[F.col(c) for c in (carry or [id_col])]).alias("row"))
-    by_batch = in_batches(given, F.col("id"), batches).groupBy("batch")
-    wanted = in_batches(target_ids.select(F.col(target_ids.columns[0]).cast("long").alias("id")).filter("id is not null"), F.col("id"), batches)
+    by_batch = in_batches(given, F.col("id"), F.col("body"), batches).groupBy("batch")
+    wanted = in_batches(target_ids.select(F.col(target_ids.columns[0]).cast("long").alias("id")).filter("id is not null"), F.col("id"), F.lit(b""), batches)
     send = _send(batches)
     sent = cut_lineage(by_batch.cogroup(wanted.groupBy("batch")).applyInArrow(lambda key, left, right: send(key, left, right), _SENT_TYPE))
     counted = sent.mapInArrow(_pairs, "pair int, background long, target long").groupBy("pair").agg(F.sum("background").alias("background"), F.sum("target").alias("target"))

@@ -22,9 +22,13 @@ def batch_count(df: DataFrame, text: Column, batch_bytes: int = BATCH_BYTES) ->
     return max(shuffle_width(df), -(-int(total) // batch_bytes))
 
 
-def in_batches(df: DataFrame, key: Column, batches: int) -> DataFrame:
-    """Adds ``batch``, a function of the key alone, so that a repeated task meets the same rows."""
-    return df.withColumn("batch", F.pmod(F.xxhash64(key), F.lit(batches)).cast("int"))
+def in_batches(df: DataFrame, key: Column, text: Column, batches: int) -> DataFrame:
+    """Adds ``batch``, a function of the key, so that a repeated task meets the same rows.
+
+    Rows without key are dealt out by their text, as all of them in one batch
+    would be a group without bound.
+    """
+    return df.withColumn("batch", F.pmod(F.when(key.isNotNull(), F.xxhash64(key)).otherwise(F.xxhash64(text)), F.lit(batches)).cast("int"))
 
 
 def learns_from(doc_id: Column) -> Column:

@@ -14,7 +14,11 @@ document with a smaller id is removed.  The work is spread as follows.
    document of each window.
 3. The batch marks the bytes of windows that a smaller document has.
 
-A batch is a function of the document id, so an answer finds its way back to
+An anchor with many different surroundings (a line that a third of all documents
+hold) would fill one bucket with entries.  Such runs are cut into windows, each
+of which is an entry of its own and goes to the bucket that its hash names.
+
+A batch is a function of the document, so an answer finds its way back to
 the rows it is about, and a group of copies costs one entry for each batch.
 """
 
@@ -22,6 +26,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -31,6 +36,8 @@ from folioscope.llm.suffix_sort import Suffixes
 
 NO_ID = np.iinfo(np.int64).max
 _REACH = 1 << 19
+#: An anchor with more different surroundings than this is dealt out window by window.
+HOT = 10_000
 _PLACE_BITS = U64(22)
 
 
@@ -102,6 +109,26 @@ class Runs:
         for name in ("first", "last", "place", "anchor", "content", "doc"):
             setattr(self, name, getattr(self, name)[chosen])
 
+    def split(self, chosen: np.ndarray, data: np.ndarray, length: int) -> None:
+        """Cut the chosen runs into windows, each with an anchor made of its own bytes."""
+        if not chosen.any():
+            return
+        windows = (self.last - self.first + 1)[chosen]
+        begin = np.cumsum(windows) - windows
+        first = np.repeat(self.first[chosen] - begin, windows) + np.arange(int(windows.sum()))
+        prefix = prefix_hashes(data)
+        content = mix((prefix[first + length] - prefix[first]) * powers(len(data) + 1, inverse=True)[first])
+        made = {
+            "first": first,
+            "last": first,
+            "place": np.repeat((self.first + self.place)[chosen], windows) - first,
+            "anchor": mix(content ^ np.repeat(self.anchor[chosen], windows)),
+            "content": content,
+            "doc": np.repeat(self.doc[chosen], windows),
+        }
+        for name, value in made.items():
+            setattr(self, name, np.concatenate((getattr(self, name)[~chosen], value)))
+
     def bucket(self, buckets: int) -> np.ndarray:
         return (self.anchor % U64(buckets)).astype(np.int64)
 
@@ -129,8 +156,8 @@ def _table(schema: pa.Schema, rows: list[tuple]) -> pa.Table:
     return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
 
 
-_ANCHORS = pa.schema([("bucket", pa.int32()), ("batch", pa.int32()), ("residues", pa.binary()), ("shared", pa.binary())])
-_FLAGS = pa.schema([("batch", pa.int32()), ("bucket", pa.int32()), ("residues", pa.binary())])
+_ANCHORS = pa.schema([("bucket", pa.int32()), ("batch", pa.int32()), ("residues", pa.binary()), ("shared", pa.binary()), ("entries", pa.binary())])
+_FLAGS = pa.schema([("batch", pa.int32()), ("bucket", pa.int32()), ("residues", pa.binary()), ("hot", pa.binary())])
 _ENTRIES = pa.schema(
     [("bucket", pa.int32()), ("batch", pa.int32()), ("count", pa.int32()), ("residues", pa.binary()), ("places", pa.binary()), ("lengths", pa.binary()), ("ids", pa.binary()), ("bytes", pa.int64()), ("body", pa.binary())]
 )
@@ -142,8 +169,8 @@ _ANSWERS = pa.schema(
 class _Method:
     """The worker side: what a batch sends and what a bucket answers."""
 
-    def __init__(self, length: int, anchor: int, buckets: int):
-        self.length, self.anchor, self.buckets = length, anchor, buckets
+    def __init__(self, length: int, anchor: int, buckets: int, hot: int):
+        self.length, self.anchor, self.buckets, self.hot = length, anchor, buckets, hot
 
     def runs(self, table: pa.Table) -> tuple[Runs, np.ndarray, np.ndarray, np.ndarray]:
         data, offsets = flat(table.column("body"))
@@ -162,9 +189,15 @@ class _Method:
             first = np.flatnonzero(new)
             last = np.append(first[1:], len(order)) - 1
             shared = o[first] != o[last]
+            anchor = np.cumsum(new) - 1
+            around = runs.content[order]
+            by_content = np.lexsort((around, anchor))
+            a, c = anchor[by_content], around[by_content]
+            other = np.append(True, (a[1:] != a[:-1]) | (c[1:] != c[:-1]))
+            entries = np.bincount(a[other], minlength=len(first)).astype(np.uint32)
             cuts = np.append(np.flatnonzero(np.diff(b[first], prepend=-1)), len(first))
             for low, high in zip(cuts[:-1], cuts[1:], strict=True):
-                rows.append((int(b[first[low]]), key[0].as_py(), r[first[low:high]].tobytes(), np.packbits(shared[low:high]).tobytes()))
+                rows.append((int(b[first[low]]), key[0].as_py(), r[first[low:high]].tobytes(), np.packbits(shared[low:high]).tobytes(), entries[low:high].tobytes()))
         return _table(_ANCHORS, rows)
 
     def find_shared(self, key, table: pa.Table) -> pa.Table:
@@ -173,21 +206,29 @@ class _Method:
         every = np.concatenate(lists)
         _, number, count = np.unique(every, return_inverse=True, return_counts=True)
         wanted = (count > 1) | (np.bincount(number, weights=shared, minlength=len(count)) > 0)
-        flagged, at, rows = wanted[number], 0, []
+        entries = np.concatenate([np.frombuffer(x, np.uint32) for x in table.column("entries").to_pylist()])
+        crowded = np.bincount(number, weights=entries, minlength=len(count)) > self.hot
+        flagged, hot, at, rows = wanted[number], crowded[number], 0, []
         for batch, values in zip(table.column("batch").to_pylist(), lists, strict=True):
-            found = values[flagged[at : at + len(values)]]
-            at += len(values)
+            mine = flagged[at : at + len(values)]
+            found = values[mine]
             if len(found):
-                rows.append((batch, key[0].as_py(), found.tobytes()))
+                rows.append((batch, key[0].as_py(), found.tobytes(), np.packbits(hot[at : at + len(values)][mine]).tobytes()))
+            at += len(values)
         return _table(_FLAGS, rows)
 
-    def _known(self, runs: Runs, answers: pa.Table) -> np.ndarray:
-        """Runs whose anchor is among the answered ones of its bucket."""
-        pairs = [np.frombuffer(x, np.uint32).astype(U64) | U64(b) << U64(32) for b, x in zip(answers.column("bucket").to_pylist(), answers.column("residues").to_pylist(), strict=True)]
-        if not pairs or not len(runs.first):
-            return np.zeros(len(runs.first), bool)
+    def choose(self, runs: Runs, data: np.ndarray, flags: pa.Table) -> None:
+        """Leave the runs whose anchor is flagged, those of hot anchors cut into windows."""
+        lists = [np.frombuffer(x, np.uint32) for x in flags.column("residues").to_pylist()]
+        if not lists or not len(runs.first):
+            runs.keep(np.zeros(len(runs.first), bool))
+            return
+        pairs = np.concatenate([x.astype(U64) | U64(b) << U64(32) for b, x in zip(flags.column("bucket").to_pylist(), lists, strict=True)])
+        hot = np.concatenate([np.unpackbits(np.frombuffer(h, np.uint8))[: len(x)] for h, x in zip(flags.column("hot").to_pylist(), lists, strict=True)])
         mine = runs.residue().astype(U64) | runs.bucket(self.buckets).astype(U64) << U64(32)
-        return np.isin(mine, np.concatenate(pairs))
+        known = np.isin(mine, pairs)
+        runs.keep(known)
+        runs.split(np.isin(mine[known], pairs[hot == 1]), data, self.length)
 
     def entries(self, runs: Runs, data: np.ndarray):
         """Order of the runs and the number of the entry each belongs to: equal surroundings are one entry."""
@@ -207,7 +248,7 @@ class _Method:
         if not table.num_rows or not flags.num_rows:
             return _table(_ENTRIES, [])
         runs, data, _, ids = self.runs(table)
-        runs.keep(self._known(runs, flags))
+        self.choose(runs, data, flags)
         order, number, length = self.entries(runs, data)
         if not len(order):
             return _table(_ENTRIES, [])
@@ -276,14 +317,15 @@ class _Method:
             at += count
         return _table(_ANSWERS, out)
 
-    def remove(self, key, table: pa.Table, answers: pa.Table) -> pa.Table:
+    def remove(self, key, table: pa.Table, told: pa.Table) -> pa.Table:
         data, offsets = flat(table.column("body"))
         covered = np.zeros(len(data), bool)
-        if answers.num_rows and table.num_rows:
+        if told.num_rows and table.num_rows:
             runs, _, _, ids = self.runs(table)
-            runs.keep(self._known(runs, answers))
+            flagged = pc.less(told.column("count"), 0)
+            self.choose(runs, data, told.filter(flagged).rename_columns(["hot" if n == "least" else n for n in told.column_names]))
             order, number, _ = self.entries(runs, data)
-            by_bucket = sorted(answers.to_pylist(), key=lambda x: x["bucket"])
+            by_bucket = sorted(told.filter(pc.invert(flagged)).to_pylist(), key=lambda x: x["bucket"])
             least = np.concatenate([_unpacked(x["least"], x["count"], np.int64) for x in by_bucket])
             each = np.concatenate([_unpacked(x["each"], x["windows"], np.int64) for x in by_bucket])
             listed = least == -1
@@ -354,17 +396,18 @@ def remove_repeats(
     one another alone.  An empty table gives an empty result.
     """
     method_batches = batch_count(docs, F.col(text_col), batch_bytes)
-    method = _Method(length, anchor, method_batches)
+    method = _Method(length, anchor, method_batches, HOT)
     given = docs.select(
         F.col(id_col).cast("long").alias("id"),
         F.coalesce(F.col(text_col).cast("binary"), F.lit(b"")).alias("body"),
         F.struct(*[F.col(c) for c in (carry or [id_col])]).alias("row"),
     )
-    batched = in_batches(given, F.col("id"), method_batches)
+    # by id and text: rows of one id need the same precedence, not the same batch
+    batched = in_batches(given, F.xxhash64("id", "body"), F.col("body"), method_batches)
     row_type = given.schema["row"].dataType.simpleString()
     by_batch = batched.groupBy("batch")
-    anchors = by_batch.applyInArrow(_two(method.send_anchors), "bucket int, batch int, residues binary, shared binary")
-    flags = anchors.groupBy("bucket").applyInArrow(_two(method.find_shared), "batch int, bucket int, residues binary")
+    anchors = by_batch.applyInArrow(_two(method.send_anchors), "bucket int, batch int, residues binary, shared binary, entries binary")
+    flags = anchors.groupBy("bucket").applyInArrow(_two(method.find_shared), "batch int, bucket int, residues binary, hot binary")
     entries = by_batch.cogroup(flags.groupBy("batch")).applyInArrow(
         _three(method.send_entries),
         "bucket int, batch int, count int, residues binary, places binary, lengths binary, ids binary, bytes long, body binary",
@@ -372,7 +415,10 @@ def remove_repeats(
     answers = entries.groupBy("bucket").applyInArrow(
         _two(method.answer), "batch int, bucket int, count int, residues binary, least binary, windows long, each binary"
     )
-    return by_batch.cogroup(answers.groupBy("batch")).applyInArrow(
+    # a batch has to choose the same runs again, so it is told the flags beside the answers, as rows with a count below 0
+    none, empty = F.lit(0).cast("long"), F.lit(b"")
+    again = flags.select("batch", "bucket", F.lit(-1).alias("count"), "residues", F.col("hot").alias("least"), none.alias("windows"), empty.alias("each"))
+    return by_batch.cogroup(answers.unionByName(again).groupBy("batch")).applyInArrow(
         _three(method.remove), f"row {row_type}, removed array<struct<start:bigint,end:bigint>>, kept binary"
     )
 
