@@ -876,10 +876,43 @@ def combined_content_output(spark: SparkSession, sf: str) -> DataFrame:
 
 # --- alignment ---------------------------------------------------------------
 
+#: Evidence tokens of a text, in SQL.
+EVIDENCE_SQL = "list_filter(list_transform(regexp_extract_all({}, '" + txt.EVIDENCE_TOKEN.replace("'", "''") + "', 1), lambda x: lower(trim(x, '._'))), lambda x: x <> '')"
 
-@query("text_alignment")
+
+view(
+    "page_tokens",
+    f"""
+    SELECT file_hash, page_no, word, place, row_number() OVER (PARTITION BY file_hash, page_no ORDER BY place, part) AS word_no
+    FROM (SELECT file_hash, page_no, place, unnest(tokens) AS word, generate_subscripts(tokens, 1) AS part FROM (
+      SELECT file_hash, page_no, place, {EVIDENCE_SQL.format("text")} AS tokens FROM (
+        SELECT file_hash, page_no, unnest(words) AS text, generate_subscripts(words, 1) - 1 AS place
+        FROM (SELECT *, string_split(trim(regexp_replace(text, '\\s+', ' ', 'g')), ' ') AS words FROM turns))))
+    """,
+)
+view("page_token_lists", "SELECT file_hash, page_no, list(word ORDER BY word_no) AS words FROM page_tokens GROUP BY 1, 2")
+view(
+    "line_places",
+    f"""
+    SELECT l.file_hash, l.page_no, l.source_ref, len(l.tokens) AS n, min(w.word_no) AS start
+    FROM (SELECT *, {EVIDENCE_SQL.format("text")} AS tokens FROM region_rows) l
+    JOIN page_tokens w ON w.file_hash = l.file_hash AND w.page_no = l.page_no AND w.word = l.tokens[1]
+    JOIN page_token_lists p ON p.file_hash = l.file_hash AND p.page_no = l.page_no
+    WHERE list_slice(p.words, w.word_no, w.word_no + len(l.tokens) - 1) = l.tokens GROUP BY ALL
+    """,
+)
+
+
+@query(
+    "text_alignment",
+    """
+    SELECT p.file_hash, CAST(p.page_no AS INTEGER) AS page_no, source_ref, 1.0::DOUBLE AS score, CAST(min(place % 12 * 50) AS DOUBLE) AS l, CAST(min(place // 12 * 14) AS DOUBLE) AS t,
+      CAST(max(place % 12 * 50 + 45) AS DOUBLE) AS r, CAST(max(place // 12 * 14 + 10) AS DOUBLE) AS b
+    FROM line_places p JOIN page_tokens w ON w.file_hash = p.file_hash AND w.page_no = p.page_no AND w.word_no BETWEEN start AND start + n - 1 GROUP BY 1, 2, 3
+    """,
+)
 def text_alignment(spark: SparkSession, sf: str) -> DataFrame:
-    """Lines of a turn placed among the words of that turn; checked against brute force in the tests."""
+    """Lines of a turn placed among the words of that turn, each whole; worse matches are compared with brute force in the tests."""
     pages = roles.turns(spark, sf)
     words = pages.select("file_hash", "page_no", F.posexplode(F.split(txt.collapse_spaces(F.col("text")), " ")).alias("place", "text"))
     x, y = (F.col("place") % 12) * 50.0, F.floor(F.col("place") / 12) * 14.0

@@ -89,7 +89,7 @@ def test_entry_runs(spark):
 def test_registry_is_consistent():
     names, sql = set(contract.queries()), set(contract.oracle_sql())
     assert sql <= names and len(names) >= 120
-    assert set(QUERIES) - sql == {"global_search", "text_alignment"}
+    assert set(QUERIES) - sql == {"global_search"}
 
 
 @pytest.mark.parametrize("name", SAMPLE)
