@@ -548,6 +548,27 @@ def scan_collectors(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+@query(
+    "merged_hits",
+    """
+    SELECT query_id, CAST(position AS INTEGER) AS position, rank_source, source_id, score FROM (
+      SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, source_type, label, source_id) AS position FROM (
+        SELECT query_id, rank_source, source_id, label, CAST(base + 20.0 AS DOUBLE) AS score,
+          CASE rank_source WHEN 'document_regions_scan' THEN 'document_region' WHEN 'page_markdown_scan' THEN 'page_markdown' ELSE 'document_chunk' END AS source_type
+        FROM (SELECT *, row_number() OVER (PARTITION BY query_id, rank_source ORDER BY o1, o2, o3) AS leg_rank FROM scan_rows) WHERE leg_rank <= 30 AND contains(score_text, query)))
+    WHERE position <= 10
+    """,
+)
+def merged_hits(spark: SparkSession, sf: str) -> DataFrame:
+    """Ten hits of each query from all collectors, with their place; those that hold the query as typed, met twice each."""
+    asked = search.prepare_queries(roles.queries(spark, sf))
+    hits = search.scan_hits(scan_entities(spark, sf), asked, 30).join(asked, "query_id").filter(F.contains("score_text", "query"))
+    base = F.coalesce(*[F.when(F.col("rank_source") == name, F.lit(value)) for name, value in search.BASE_SCORES.items()])
+    scored = hits.withColumn("score", base + 20.0)
+    again = scored.withColumn("rank_source", F.lit("files_scan")).withColumn("score", F.lit(0.0))
+    return search.merge_hits(scored.unionByName(again), 10).select("query_id", "position", "rank_source", "source_id", "score")
+
+
 @query(
     "hit_routes",
     """
