@@ -290,7 +290,10 @@ def near_duplicates(
     clustered = cut_lineage(clusters.join(counted, "node"))
     tiles = cut_lineage(_tiles(clustered, part, of))
     # Through a shuffle at every size: the hint keeps candidate components out of the driver.
-    wanted = given.withColumnRenamed("doc_id", "node").join(tiles.hint("shuffle_merge"), "node")
+    met = given.withColumnRenamed("doc_id", "node").join(tiles.hint("shuffle_merge"), "node")
+    # A repeated row is one set of a tile, as tiles are sized by distinct ones; the rows of a node are together here.
+    marked = met.withColumns({"_a": F.xxhash64("body"), "_b": F.xxhash64("body", F.lit(23))})
+    wanted = marked.groupBy("node", "_a", "_b").agg(F.first("tiles").alias("tiles"), F.first("body").alias("body"))
     sets = wanted.mapInArrow(_sets(shingle), "node long, tiles array<struct<component:bigint,tile:string>>, members binary")
     spread = sets.select("node", "members", F.explode("tiles").alias("t")).select("node", "members", "t.component", "t.tile")
     links = spread.groupBy("component", "tile").applyInArrow(lambda k, t: _confirm(part, of)(k, t), "a long, b long")

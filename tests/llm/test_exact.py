@@ -11,6 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from folioscope.llm import components, cube, lm_scoring, lsh_forest, set_join, suffix_dedup, top_k, winnowing
+from folioscope.llm.shared import in_batches
 from folioscope.llm.suffix_sort import Suffixes
 from tests.llm.odd import SCHEMA, frame, lower, rows
 
@@ -36,8 +37,7 @@ def test_suffixes_are_sorted_like_strings():
     assert len(set(zip(number.tolist(), map(piece, range(300)), strict=True))) == len(set(map(piece, range(300)))) == len(set(number.tolist()))
 
 
-def test_repeats_are_removed(spark):
-    given = rows()
+def without_repeats(given):
     first = {}
     key = lambda i: math.inf if i is None else i
     for i, text, *_ in given:
@@ -55,10 +55,41 @@ def test_repeats_are_removed(spark):
         spans = int(np.sum(gone[:-1] & ~np.concatenate(([False], gone[:-2])))) if len(body) else 0
         kept = bytes(b for b, g in zip(body, gone, strict=False) if not g)
         want.append((i, len(body), int(gone.sum()), spans, hashlib.sha256(kept).hexdigest()))
-    assert got(suffix_dedup.digest(suffix_dedup.remove_repeats(frame(spark), batch_bytes=2000))) == sorted(want, key=repr)
+    return sorted(want, key=repr)
+
+
+@pytest.mark.parametrize("hot", [10_000, 3, 0])
+def test_repeats_are_removed(spark, monkeypatch, hot):
+    monkeypatch.setattr(suffix_dedup, "HOT", hot)
+    assert got(suffix_dedup.digest(suffix_dedup.remove_repeats(frame(spark), batch_bytes=2000))) == without_repeats(rows())
     assert suffix_dedup.remove_repeats(frame(spark, []), carry=["doc_id", "row"]).count() == 0
 
 
+def test_a_common_line_fills_no_bucket(spark, monkeypatch):
+    """One line in a third of the rows, half of the rows without id, one id many times."""
+    rng = random.Random(12)
+    words = [f"{rng.randrange(10**6)}" for _ in range(3000)]
+    line = "this very line stands in a third of all the documents of the corpus, word for word"
+    given = []
+    for k in range(900):
+        own = [" ".join(rng.choice(words) for _ in range(12)) for _ in range(2)]
+        i = None if k % 2 else 7 if k % 5 == 0 else k
+        given.append((i, " ".join([own[0], *([line] if k % 3 == 0 else []), own[1]]), *[None] * 8))
+    monkeypatch.setattr(suffix_dedup, "HOT", 20)
+    filled = spark.sparkContext.accumulator(0)
+    plain = suffix_dedup._Method.answer
+
+    def counted(self, key, table):
+        if sum(table.column("count").to_pylist()) > 1500:
+            filled.add(1)
+        return plain(self, key, table)
+
+    monkeypatch.setattr(suffix_dedup._Method, "answer", counted)
+    found = suffix_dedup.remove_repeats(frame(spark, given), batch_bytes=4000)
+    assert got(suffix_dedup.digest(found)) == without_repeats(given)
+    assert filled.value == 0
+
+
 def test_long_text_is_cut_without_loss(spark, monkeypatch):
     monkeypatch.setattr(suffix_dedup, "_REACH", 256)
     rng = random.Random(3)
@@ -334,3 +365,34 @@ def test_tiles_stay_out_of_the_driver(spark, monkeypatch):
     rows = [(i, f"one two three four five six seven eight nine {i // 2}") for i in range(8)]
     found = lsh_forest.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"))
     assert {(r["doc_id"], r["component_id"]) for r in found.collect()} == {(i, i // 2 * 2) for i in range(8)}
+
+
+def test_a_row_that_stands_many_times_is_one_set_of_a_tile(spark, monkeypatch):
+    sizes = spark.sparkContext.accumulator(0)
+    plain = lsh_forest._confirm
+
+    def counting(part, of):
+        run = plain(part, of)
+
+        def counted(key, table):
+            if table.num_rows > 4:
+                sizes.add(1)
+            return run(key, table)
+
+        return counted
+
+    monkeypatch.setattr(lsh_forest, "_confirm", counting)
+    text = " ".join(f"w{k}" for k in range(60))
+    given = [(5, text)] * 3000 + [(6, text + " end"), (4, "other words here")]
+    found = lsh_forest.near_duplicates(spark.createDataFrame(given, "doc_id long, text string").repartition(3))
+    assert {(r["doc_id"], r["component_id"]) for r in found.collect()} == {(5, 5), (6, 5), (4, 4)} and found.count() == 3002
+    assert sizes.value == 0
+
+
+def test_rows_without_id_are_many_batches(spark):
+    given = spark.range(5000).select(F.lit(None).cast("long").alias("id"), F.concat(F.lit("text "), F.col("id").cast("string")).alias("body"))
+    sizes = [r["count"] for r in in_batches(given, F.col("id"), F.col("body"), 64).groupBy("batch").count().collect()]
+    assert len(sizes) == 64 and max(sizes) < 200
+    repeated = given.withColumn("id", F.lit(7))
+    sizes = [r["count"] for r in in_batches(repeated, F.xxhash64("id", "body"), F.col("body"), 64).groupBy("batch").count().collect()]
+    assert len(sizes) == 64 and max(sizes) < 200
