@@ -10,6 +10,7 @@ from collections.abc import Callable, Iterator, Sequence
 from datetime import datetime, timedelta, timezone
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
@@ -23,11 +24,12 @@ TERMINAL = ("ok", "error", "skipped")
 
 
 def parquet_stream(spark: SparkSession, path: str, schema: object, files_per_batch: int | None = None) -> DataFrame:
-    folder, _, name = path.rpartition("/")
-    reader = spark.readStream.schema(schema).option("pathGlobFilter", name)
+    """Stream of a table that is one file or a folder of files."""
+    reader = spark.readStream.schema(schema)
     if files_per_batch:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
-    return reader.parquet(folder)
+    # A pattern that only the name itself fits: a stream takes no single file by its path.
+    return reader.parquet(f"{path[:-1]}[{path[-1]}]")
 
 
 def run_to_table(stream: DataFrame, label: str, mode: str = "append", checkpoint: str | None = None, target: str | None = None, kept_rows: list[int] | None = None) -> DataFrame:
@@ -50,7 +52,13 @@ def run_to_table(stream: DataFrame, label: str, mode: str = "append", checkpoint
         kept_rows.append(sum(operator.numRowsTotal for operator in query.lastProgress.stateOperators))
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in stream.schema.fields]
     schema = ", ".join([*fields, "_written boolean", "batch_id bigint"])
-    return spark.read.schema(schema).option("basePath", out).parquet(out).filter("_written").drop("_written")
+    try:
+        table = spark.read.schema(schema).option("basePath", out).parquet(out)
+    except AnalysisException as missing:
+        if missing.getCondition() != "PATH_NOT_FOUND":
+            raise
+        table = spark.createDataFrame([], schema)  # there was no input, so no batch
+    return table.filter("_written").drop("_written")
 
 
 def latest_updates(table: DataFrame, keys: Sequence[str]) -> DataFrame:

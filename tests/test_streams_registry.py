@@ -113,3 +113,16 @@ def test_filters_reach_the_scan(spark, sf):
     plan = runs.filter_rows(events, run_id=5).select("value")._jdf.queryExecution().executedPlan().toString()
     assert "PushedFilters: [IsNotNull(event_id), EqualTo(event_id,5)]" in plan
     assert "ReadSchema: struct<event_id:bigint,value:double>" in plan
+
+
+def test_a_stream_reads_a_table_that_is_a_folder(spark, tmp_path):
+    """Large tables are folders of files; an empty one gives no batch, and no rows."""
+    rows = [(1, "one text", "en", "web", 8), (2, "one text", "en", "web", 8)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    for name, made in (("full", rows), ("none", [])):
+        spark.createDataFrame(made, schema).repartition(2).write.parquet(str(tmp_path / name / "documents.parquet"))
+    found = contract.queries()["stream_new_files"](spark, str(tmp_path / "full")).collect()
+    assert [row["path_count"] for row in found] == [2]
+    stream = jobs.parquet_stream(spark, str(tmp_path / "none" / "documents.parquet"), schema)
+    (tmp_path / "none" / "documents.parquet" / "_SUCCESS").touch()
+    assert jobs.run_to_table(stream.filter("doc_id > 5"), "none").count() == 0
