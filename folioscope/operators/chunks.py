@@ -20,13 +20,13 @@ CHAR_CHUNKER = "char-v1"
 PACK_CHUNKER = "packed-v1"
 
 
-def character_chunks(files: DataFrame, max_chars: int = 4000, overlap_chars: int = 400) -> DataFrame:
-    """Chunk table from plain text; the index counts the chunks that are kept."""
+def character_chunks(files: DataFrame, max_chars: int = 4000, overlap_chars: int = 400, keep: Sequence[str] = ()) -> DataFrame:
+    """Chunk table from plain text; the index counts the chunks that are kept. ``keep`` names columns of the file that its chunks carry."""
     windows = txt.chunk_windows(F.col("text"), max_chars, overlap_chars)
-    return _chunk_rows(explode_rows(files, ["file_hash"], windows, "text", "chunk_index"), F.lit(CHAR_CHUNKER))
+    return _chunk_rows(explode_rows(files, ["file_hash", *keep], windows, "text", "chunk_index"), F.lit(CHAR_CHUNKER), keep)
 
 
-def _chunk_rows(pieces: DataFrame, chunker: Column) -> DataFrame:
+def _chunk_rows(pieces: DataFrame, chunker: Column, keep: Sequence[str] = ()) -> DataFrame:
     return pieces.select(
         ids.chunk_id(F.col("file_hash"), F.col("chunk_index")).alias("chunk_id"),
         "file_hash",
@@ -34,6 +34,7 @@ def _chunk_rows(pieces: DataFrame, chunker: Column) -> DataFrame:
         "text",
         F.length("text").alias("char_count"),
         F.to_json(F.struct(chunker.alias("chunker"))).alias("metadata_json"),
+        *keep,
     )
 
 

@@ -7,13 +7,13 @@ from pyspark.sql import functions as F
 
 from folioscope.functions import casts, ids, kinds, spans
 from folioscope.functions import text as txt
-from folioscope.functions.grouping import first_per_group
+from folioscope.functions.grouping import first_per_group, lookup_join
 from folioscope.operators import chunks as ck
 from folioscope.operators import documents as docs
 from folioscope.operators import block_index, gram_index, search, terms
 from folioscope.plans import roles
 from folioscope.plans.registry import query, view
-from folioscope.session import scratch_path
+from folioscope.session import cut_lineage, scratch_path
 from folioscope.sources import files as corpus
 from folioscope.sources import keyed, raw_layer
 
@@ -458,7 +458,7 @@ def flagship(spark: SparkSession, sf: str, hits: int = 10) -> DataFrame:
     scores = search.bm25_scores(chunks, asked)
     order = [F.round("bm25", 6).desc(), F.col("chunk_id")]
     best = search.top_per_group(scores, ["query_id"], order, hits, "position")
-    shown = best.join(chunks.select("chunk_id", "text"), "chunk_id").join(asked, "query_id")
+    shown = lookup_join(chunks.select("chunk_id", "text"), cut_lineage(best), ["chunk_id"]).join(asked, "query_id")
     return shown.select(
         "query_id", "position", "chunk_id", F.round("bm25", 4).alias("score"), spans.snippet(F.col("query"), F.col("text")).alias("snippet")
     )

@@ -157,3 +157,12 @@ def test_merge_drops_repeats_and_keeps_collector_order(spark):
     got = search.merge_hits(df, 2).orderBy("position").collect()
     assert [(r["source_id"], r["score"]) for r in got] == [("f", 102.0), ("c1", 101.0)]
     assert [r["source_id"] for r in search.merge_hits(df, 1).collect()] == ["f"]
+
+
+def test_scores_are_added_up_where_the_text_is(spark):
+    """No row of a query and document is shuffled; only texts are dealt out."""
+    docs = spark.createDataFrame([("a", "one two two"), ("b", "two three"), ("c", None), ("d", "")], "chunk_id string, text string")
+    asked = spark.createDataFrame([("q", "one two"), ("r", "three")], "query_id string, query string")
+    scores = search.bm25_scores(docs, asked)
+    assert "hashpartitioning(query_id" not in scores._jdf.queryExecution().executedPlan().toString()
+    assert sorted((row["query_id"], row["chunk_id"]) for row in scores.collect()) == [("q", "a"), ("q", "b"), ("r", "b")]
