@@ -3,9 +3,11 @@
 import json
 import math
 import random
+import re
 
 from pyspark.sql import functions as F
 
+import __spark_entry__ as contract
 from folioscope.functions import boxes
 from folioscope.functions import text as txt
 from folioscope.functions.grouping import blocked_row_number, grouped_median
@@ -248,3 +250,12 @@ def test_cells_stay_in_their_row(spark):
 
 def test_preview_text(spark):
     assert spark.range(1).select(txt.preview(F.lit(" a \n b "), 3).alias("x")).first()["x"] == "a b"
+
+
+def test_evidence_stays_with_its_file(spark, sf):
+    """Only texts are shuffled, never the rows made of their words."""
+    for name in ("chunk_evidence", "layout_regions", "table_elements", "table_row_text"):
+        made = contract.queries()[name](spark, sf)
+        plan = made._jdf.queryExecution().executedPlan().toString()
+        assert "hashpartitioning(file_hash" in plan and not re.search(r"hashpartitioning\(file_hash#\d+L?, (?!\d+\))", plan), name
+    assert made.count() > 0
