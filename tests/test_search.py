@@ -166,3 +166,12 @@ def test_scores_are_added_up_where_the_text_is(spark):
     scores = search.bm25_scores(docs, asked)
     assert "hashpartitioning(query_id" not in scores._jdf.queryExecution().executedPlan().toString()
     assert sorted((row["query_id"], row["chunk_id"]) for row in scores.collect()) == [("q", "a"), ("q", "b"), ("r", "b")]
+
+
+def test_candidates_are_checked_where_the_text_is(spark):
+    """Rows of a query and a text are not shuffled, whatever their number."""
+    texts = spark.createDataFrame([(1, "Alpha beta gamma"), (2, "alpha gamma"), (3, None)], "key long, text string")
+    asked = spark.createDataFrame([("q", "alpha"), ("r", "b_ta g"), ("s", "a")], "query_id string, query string")
+    found = search.match_queries(texts, asked, "key", "text")
+    assert "hashpartitioning(query_id" not in found._jdf.queryExecution().executedPlan().toString()
+    assert sorted(map(tuple, found.collect())) == [("q", 1), ("q", 2), ("r", 1), ("s", 1), ("s", 2)]
