@@ -57,6 +57,17 @@ def test_block_index_finds_the_best_and_leaves_blocks_closed(spark, tmp_path, co
     assert postings > 600 and (rest.agg(F.sum("df")).first()[0] or 0) < postings / 10
 
 
+def test_block_index_keeps_each_id_once(spark, tmp_path, corpus):
+    """Lists hold numbers, so what is dealt out for them doesn't grow with the ids."""
+    docs = spark.createDataFrame(list(corpus.items()), "chunk_id string, text string")
+    path = str(tmp_path / "index")
+    block_index.write_block_index(docs, path, block_docs=16)
+    lists = spark.read.parquet(f"{path}/blocks")
+    assert [f.name for f in lists.schema if "string" in f.dataType.simpleString()] == ["token"]
+    assert sorted(r["doc"] for r in spark.read.parquet(f"{path}/docs").collect()) == sorted(corpus)
+    assert lists.select("token", "block", F.explode("places")).distinct().count() == sum(len(set(t.split())) for t in corpus.values())
+
+
 def test_gram_index_finds_what_a_scan_finds(spark, tmp_path, corpus):
     texts = {**dict(list(corpus.items())[:150]), "x1": "a", "x2": "ab", "x3": "Größe der ÄRZTE", "x4": "100% sure_thing", "x5": "", "x6": None}
     docs = spark.createDataFrame(list(texts.items()), "chunk_id string, text string")
