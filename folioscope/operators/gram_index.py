@@ -6,16 +6,20 @@ of keys, dealt into buckets by group.  A query is looked up by the rarest groups
 of its literal pieces; their lists are intersected and the few texts left are
 checked.  A query whose pieces are shorter than a group opens the groups that
 begin with its longest piece.
+
+Keys are numbered within their block.  Texts are dealt out by block of keys, so
+lists are made and intersected where the block is, as numbers; keys are stored
+once and looked up for the texts that are left.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from folioscope.functions import text as txt
 from folioscope.functions.binding import bind
-from folioscope.functions.grouping import lookup_join, top_per_group
+from folioscope.functions.grouping import broadcast_if_small, lookup_join, top_per_group
 from folioscope.functions.rows import explode_rows
 from folioscope.operators.search import wildcards_only
 from folioscope.session import cut_lineage
@@ -47,15 +51,22 @@ def write_gram_index(texts: DataFrame, path: str, key: str, haystack: str, bucke
     """
     spark = texts.sparkSession
     blocks = max(1, -(-texts.count() // block))
-    lowered = texts.select(F.col(key).alias("key"), F.lower(F.col(haystack)).alias("hay")).filter(F.col("hay").isNotNull())
-    rows = explode_rows(lowered, ["key"], groups_of(F.col("hay")), "gram")
     part = F.pmod(F.xxhash64("key"), F.lit(blocks)).cast("int").alias("part")
-    lists = rows.groupBy("gram", part).agg(F.collect_list("key").alias("keys")).withColumn("bucket", _bucket(buckets))
+    lowered = texts.select(F.col(key).alias("key"), F.lower(F.col(haystack)).alias("hay")).filter(F.col("hay").isNotNull())
+
+    def numbered(*columns: str) -> DataFrame:
+        """The texts dealt out by block, with the place of each among its keys."""
+        dealt = lowered.select("key", part, *columns).repartition(blocks, "part")
+        return dealt.withColumn("place", F.row_number().over(Window.partitionBy("part").orderBy("key")))
+
+    numbered().write.mode("overwrite").parquet(f"{path}/keys")
+    rows = explode_rows(numbered("hay"), ["part", "place"], groups_of(F.col("hay")), "gram")
+    lists = rows.groupBy("part", "gram").agg(F.collect_list("place").alias("places")).withColumn("bucket", _bucket(buckets))
     laid = lists.repartition("bucket", F.pmod(F.col("part"), F.lit(4))).sortWithinPartitions("bucket", "gram", "part")
     laid.write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/lists")
     stored = spark.read.parquet(f"{path}/lists")
-    stored.groupBy("gram").agg(F.sum(F.size("keys")).alias("texts")).write.mode("overwrite").parquet(f"{path}/vocabulary")
-    spark.range(1).select(F.lit(buckets).alias("buckets")).write.mode("overwrite").parquet(f"{path}/layout")
+    stored.groupBy("gram").agg(F.sum(F.size("places")).alias("texts")).write.mode("overwrite").parquet(f"{path}/vocabulary")
+    spark.range(1).select(F.lit(buckets).alias("buckets"), F.lit(blocks).alias("blocks")).write.mode("overwrite").parquet(f"{path}/layout")
 
 
 def asked_groups(queries: DataFrame, path: str) -> DataFrame:
@@ -82,14 +93,18 @@ def asked_groups(queries: DataFrame, path: str) -> DataFrame:
 def candidates(queries: DataFrame, path: str) -> DataFrame:
     """(query_id, key) of the texts that hold what every need of the query asks for."""
     spark = queries.sparkSession
-    buckets = spark.read.parquet(f"{path}/layout").first()["buckets"]
-    asked = cut_lineage(asked_groups(queries, path).withColumn("bucket", _bucket(buckets)))
-    needs = cut_lineage(asked.groupBy("query_id").agg(F.max("need").alias("_needs")))
-    opened = lookup_join(spark.read.parquet(f"{path}/lists"), asked, ["bucket", "gram"], ["part"])
-    met = opened.select("query_id", "need", F.explode("keys").alias("key"))
+    layout = spark.read.parquet(f"{path}/layout").first()
+    asked = cut_lineage(asked_groups(queries, path).withColumn("bucket", _bucket(layout["buckets"])))
+    needs = asked.groupBy("query_id").agg(F.max("need").alias("_needs"))
+    wanted = cut_lineage(asked.join(needs, "query_id"))
+    known = broadcast_if_small(asked.select("bucket", "gram").distinct())
+    width = max(int(spark.conf.get("spark.sql.shuffle.partitions")), layout["blocks"])
+    lists = spark.read.parquet(f"{path}/lists").join(known, ["bucket", "gram"]).drop("bucket").repartition(width, "part")
+    met = lookup_join(lists, wanted.drop("bucket"), ["gram"], ["part"]).select("query_id", "_needs", "need", "part", F.explode("places").alias("place"))
     # several groups of one need may hold a key, so needs are counted as bits
-    held = met.groupBy("query_id", "key").agg(F.bit_or(F.expr("shiftleft(1, need - 1)")).alias("_held"))
-    return lookup_join(held, needs, ["query_id"], ["key"]).filter(F.col("_held") == F.expr("shiftleft(1, _needs) - 1")).select("query_id", "key")
+    held = met.groupBy("query_id", "_needs", "part", "place").agg(F.bit_or(F.expr("shiftleft(1, need - 1)")).alias("_held"))
+    left = held.filter(F.col("_held") == F.expr("shiftleft(1, _needs) - 1")).select("query_id", "part", "place")
+    return lookup_join(spark.read.parquet(f"{path}/keys"), cut_lineage(left), ["part", "place"]).select("query_id", "key")
 
 
 def match_indexed(texts: DataFrame, queries: DataFrame, path: str, key: str, haystack: str) -> DataFrame:

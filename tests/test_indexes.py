@@ -82,6 +82,18 @@ def test_gram_index_finds_what_a_scan_finds(spark, tmp_path, corpus):
     assert len(opened) == gram_index.INTERSECTED
 
 
+def test_gram_index_keeps_each_key_once(spark, tmp_path, corpus):
+    """Lists hold numbers, so what is dealt out for them doesn't grow with the keys."""
+    texts = dict(list(corpus.items())[:150])
+    path = str(tmp_path / "grams")
+    gram_index.write_gram_index(spark.createDataFrame(list(texts.items()), "chunk_id string, text string"), path, "chunk_id", "text", buckets=8, block=32)
+    lists = spark.read.parquet(f"{path}/lists")
+    assert [f.name for f in lists.schema if "string" in f.dataType.simpleString()] == ["gram"]
+    assert sorted(r["key"] for r in spark.read.parquet(f"{path}/keys").collect()) == sorted(texts)
+    groups = lambda t: {t[i : i + gram_index.SIZE] for i in range(len(t))}
+    assert lists.select("gram", "part", F.explode("places")).distinct().count() == sum(len(groups(t)) for t in texts.values())
+
+
 def test_packs_are_filled_greedily(spark):
     rng = random.Random(4)
     rows, want = [], []
