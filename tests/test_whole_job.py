@@ -44,6 +44,26 @@ def test_whole_texts_are_asked(spark, tmp_path):
     assert sorted(map(tuple, rows)) == [("1000001:whole", "four five"), ("1:short", "one two"), ("1:whole", "one two three")]
 
 
+def test_texts_stay_where_they_are_read(spark, tmp_path, monkeypatch):
+    """Whatever Spark takes for small, no text is shuffled to find first sightings or failed reads."""
+    texts = ["a", "b", "a", None, "c", "b", "a", "", None]
+    rows = [{"doc_id": n, "text": t, "lang": "en", "source": "web", "n_chars": 1} for n, t in enumerate(texts)]
+    write(tmp_path, "documents", rows)
+    write(tmp_path, "labels", [{"doc_id": n, "quality": n % 2, "toxic": 0} for n in range(4)])
+    monkeypatch.setattr(roles, "stored", lambda spark, sf, name, make: make())
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        made = roles.texts(spark, str(tmp_path))
+        failed = corpus.reader_results(spark, str(tmp_path)).filter("status = 'error'")
+        plans = [df._jdf.queryExecution().executedPlan().toString() for df in (made, failed)]
+        assert all("BroadcastHashJoin" in p and "SortMergeJoin" not in p for p in plans)
+        assert {(r["text"], r["created_at"].timestamp() - roles.EPOCH) for r in made.filter("text IS NOT NULL").collect()} == {("a", 0), ("b", 1), ("c", 4), ("", 7)}
+        assert made.count() == 5 and failed.count() == 2
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+
+
 WHOLE = ("full_text_scores", "block_top_ten", "wildcard_matches", "scan_collectors", "chunk_best_term", "phrase_highlights", "word_lookup", "table_elements", "table_row_text", "chunk_evidence", "document_summaries")
 
 
