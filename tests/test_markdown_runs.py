@@ -304,3 +304,17 @@ def test_limit_clamp(limit, cap, want):
     from folioscope.functions.casts import clamp_limit
 
     assert clamp_limit(limit, cap) == want
+
+
+def test_units_are_added_up_without_their_names(spark):
+    """Units meet in sums of numbers, which need no sort; names are told for the rows that are shown, also where ids are missing."""
+    rows = [(1, n, "annotation" if n % 3 else None, "e", "p", "m", f"f{n % 7}" if n % 5 else None, n % 4, "ok", float(n), None, f"/in/{n % 2}/f{n % 7}.pdf", f"name {n % 7}") for n in range(140)]
+    schema = "ingest_run_id long, work_unit_id long, phase string, engine string, provider string, model string, file_hash string, page_no int, status string, duration_ms double, metadata_json string, source_path string, filename string"
+    named = spark.createDataFrame(rows, schema)
+    whole = {(r["kind"], r["id"]): r for r in runs.five_breakdowns(named).collect()}
+    assert whole["phase", None]["unit_count"] == 47 and whole["phase", None]["duration_ms"] == sum(range(0, 140, 3))
+    assert whole["file", "f1"]["label"] == "name 1" and whole["file", "f1"]["metadata"] == {"file_hash": "f1", "filename": "name 1", "source_path": "/in/0/f1.pdf", "phase_count": "1"}
+    assert whole["page", "f1:2"]["metadata"]["page_no"] == "2" and whole["model", "p:m"]["page_count"] == 28
+    few = runs.five_breakdowns(named, 2)
+    assert all(r["label"] == whole[r["kind"], r["id"]]["label"] and r["metadata"] == whole[r["kind"], r["id"]]["metadata"] for r in few.collect())
+    assert "SortAggregate" not in runs._summed_entries(named)._jdf.queryExecution().executedPlan().toString()
