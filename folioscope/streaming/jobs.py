@@ -135,10 +135,11 @@ def _unit_updater(idle: timedelta, linger: timedelta) -> Callable:
         if state.hasTimedOut:
             state.remove()
             return
-        news = pd.concat(list(batches)).sort_values(["ts", "seq"])
+        # a unit has few rows in a batch, for which a sort of tuples takes a small part of the time of one in pandas
+        news = sorted((row for batch in batches for row in zip(batch["ts"], batch["seq"], batch["status"], strict=True)), key=lambda row: row[:2])
         known = tuple(state.get) if state.exists else None
         shown = []
-        for ts, seq, status in zip(news["ts"], news["seq"], news["status"], strict=True):
+        for ts, seq, status in news:
             at = ts.to_pydatetime()
             if known is not None and at > lives_on(known):
                 shown.append(known)

@@ -5,6 +5,7 @@ import hashlib
 import os
 
 import duckdb
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -99,3 +100,27 @@ def test_files_are_put_and_removed_by_tasks(spark, tmp_path):
     listing.put_files(rows.repartition(3))
     listing.put_files(rows.limit(1).select("path", F.lit(None).cast("binary").alias("body")))
     assert len(os.listdir(tmp_path / "x")) == 4
+
+
+def test_news_of_a_unit_are_ordered_without_pandas(monkeypatch):
+    """One call for each unit and batch: rows of several frames, out of order, are told in the order of their time."""
+    class State:
+        hasTimedOut, exists, kept = False, False, None
+
+        def update(self, value):
+            self.kept = value
+
+        def setTimeoutTimestamp(self, at):
+            self.at = at
+
+    def refuse(*args, **options):
+        raise AssertionError("a frame was joined or sorted for one unit")
+
+    monkeypatch.setattr(pd, "concat", refuse)
+    monkeypatch.setattr(pd.DataFrame, "sort_values", refuse)
+    at = lambda hour: pd.Timestamp(2024, 1, 1, hour)
+    frames = [pd.DataFrame({"ts": [at(t) for t, _, _ in rows], "seq": [n for _, n, _ in rows], "status": [s for *_, s in rows]}) for rows in ([(3, 2, "ok"), (1, 0, "running")], [(3, 1, "running"), (9, 3, "running")])]
+    state = State()
+    shown = pd.DataFrame(next(jobs._unit_updater(dt.timedelta(hours=12), dt.timedelta(hours=1))((1, "u"), iter(frames), state)))
+    assert [tuple(r) for r in shown[["status", "attempt_count"]].itertuples(index=False)] == [("ok", 2), ("running", 1)]
+    assert shown["finished_at"].iloc[0] == at(3) and state.kept[0] == at(9)
