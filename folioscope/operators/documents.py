@@ -170,10 +170,15 @@ def comparison_report(raw: DataFrame, regions: DataFrame) -> DataFrame:
         F.coalesce(filled("$.prompt_profile"), filled("$.profile.name")).alias("profile_name"),
         F.when(has_summary, agreement).alias("agreement"),
     )
-    joined = readers.join(region_stats(regions), ["file_hash", "annotation_engine"], "full")
+    # One value as the key: if each side holds a single reader, two keys would be folded to a comparison of constants,
+    # and a full join without any key compares every row with every other.
+    key = F.struct("file_hash", "annotation_engine")
+    match = (F.col("r._key") == F.col("s._key")) & F.col("r.file_hash").isNotNull()
+    sides = readers.withColumn("_key", key).alias("r"), region_stats(regions).withColumn("_key", key).alias("s")
+    joined = sides[0].join(sides[1], match, "full")
     return joined.select(
-        "file_hash",
-        "annotation_engine",
+        F.coalesce("r.file_hash", "s.file_hash").alias("file_hash"),
+        F.coalesce("r.annotation_engine", "s.annotation_engine").alias("annotation_engine"),
         "status",
         F.coalesce("region_count", F.lit(0)).alias("region_count"),
         F.coalesce(F.when(F.col("_json_pages") > 0, F.col("_json_pages")), "region_pages", F.lit(0)).alias("page_count"),
