@@ -7,6 +7,7 @@ every window: a window good enough must contain one of a text's seed words.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -15,7 +16,7 @@ from pyspark.sql import types as T
 
 from folioscope.functions import boxes
 from folioscope.functions import text as txt
-from folioscope.functions.grouping import blocked_row_number, first_per_group
+from folioscope.functions.grouping import first_per_group, lookup_join
 from folioscope.functions.rows import explode_rows
 from folioscope.session import cut_lineage
 
@@ -34,48 +35,55 @@ TABLE_LABEL = "mistral_ocr_table"
 
 SCOPE = ["file_hash", "page_no", "scope"]
 ELEMENT = [*SCOPE, "source_ref"]
+TARGET = [*SCOPE, "target"]
 
 
-def _prefix_overlaps(target: list[str], window: list[str]) -> list[int]:
-    """Longest common subsequence of the text with every prefix of the window.
+def _best_of(hits: list[int], n: int, starts: list[int], every: bool) -> list[dict]:
+    """Windows of the best score, if that is good enough: all of them, or the first of the smallest size.
 
-    Bit-parallel: one machine-integer step per window word.
+    ``hits`` has, for each word of the stretch, the places of the text that hold
+    it as bits.  The longest common subsequence with every prefix of a window is
+    bit-parallel: one step of a machine integer per window word.
     """
-    masks: dict[str, int] = {}
-    for i, word in enumerate(target):
-        masks[word] = masks.get(word, 0) | (1 << i)
-    full = (1 << len(target)) - 1
-    row, found = full, []
-    for word in window:
-        hit = row & masks.get(word, 0)
-        row = ((row + hit) | (row - hit)) & full
-        found.append(len(target) - row.bit_count())
-    return found
-
-
-_GOOD_WINDOWS = T.ArrayType(
+    full, sizes = (1 << n) - 1, sorted({max(1, n - 1), n, n + 1, n + 2})
+    best, found = LEAST_SHORT if n <= SHORT_TARGET else LEAST_LONG, []
+    known = [0, *accumulate(1 if places else 0 for places in hits)]
+    for at in starts:
+        # No window has more words in common than it has words of the text.
+        if (known[min(at + n + 2, len(hits))] - known[min(at, len(hits))]) / n < best:
+            continue
+        row, shared = full, []
+        for places in hits[at : at + n + 2]:
+            if places:
+                hit = row & places
+                row = ((row + hit) | (row - hit)) & full
+            shared.append(n - row.bit_count())
+        for size in sizes:
+            if size <= len(shared):
+                score = max(0.0, shared[size - 1] / n - abs(size - n) / n * LENGTH_PENALTY)
+                if score > best:
+                    best, found = score, []
+                if score >= best:
+                    found.append((size, at))
+    shown = found if every else [min(found)] if found else []
+    return [{"at": at, "size": size, "score": best} for size, at in shown]
+
+
+_BEST_WINDOWS = T.ArrayType(
     T.StructType().add("at", T.IntegerType()).add("size", T.IntegerType()).add("score", T.DoubleType())
 )
 
 
-@F.pandas_udf(_GOOD_WINDOWS)
-def _good_windows(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-    """Windows of a stretch of words that are good enough, from the given starts."""
-    for targets, stretches, starts in batches:
+@F.pandas_udf(_BEST_WINDOWS)
+def _best_windows(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+    """Windows of a stretch of words that can be the best of a text, from the given starts."""
+    for targets, stretches, starts, every in batches:
         rows = []
-        for target, words, offsets in zip(targets, stretches, starts):
-            n, target, words = len(target), list(target), list(words)
-            sizes = sorted({max(1, n - 1), n, n + 1, n + 2})
-            least = LEAST_SHORT if n <= SHORT_TARGET else LEAST_LONG
-            found = []
-            for at in offsets:
-                shared = _prefix_overlaps(target, words[at : at + n + 2])
-                for size in sizes:
-                    if size <= len(shared):
-                        score = max(0.0, shared[size - 1] / n - abs(size - n) / n * LENGTH_PENALTY)
-                        if score >= least:
-                            found.append({"at": at, "size": size, "score": score})
-            rows.append(found)
+        for target, words, offsets, ties in zip(targets, stretches, starts, every):
+            places: dict[str, int] = {}
+            for i, word in enumerate(target):
+                places[word] = places.get(word, 0) | (1 << i)
+            rows.append(_best_of([places.get(word, 0) for word in words], len(target), list(offsets), ties))
         yield pd.Series(rows)
 
 
@@ -95,11 +103,11 @@ def _seeds(targets: DataFrame, words: DataFrame) -> DataFrame:
     words may be missing, and one more than that cannot all be missing.
     """
     counts = words.groupBy(*SCOPE, "word").agg(F.count("*").alias("_df"))
-    spread = targets.select(*ELEMENT, "n", F.posexplode("tokens").alias("at", "word"))
+    spread = targets.select(*TARGET, "n", F.posexplode("tokens").alias("at", "word"))
     rated = spread.join(counts, [*SCOPE, "word"], "left").withColumn("_df", F.coalesce("_df", F.lit(0)))
-    rarest = Window.partitionBy(*ELEMENT).orderBy("_df", "at")
+    rarest = Window.partitionBy(*TARGET).orderBy("_df", "at")
     ranked = rated.withColumn("_rank", F.row_number().over(rarest))
-    return ranked.filter((F.col("_rank") <= _may_miss() + 1) & (F.col("_df") > 0)).select(*ELEMENT, "n", "at", "word")
+    return ranked.filter((F.col("_rank") <= _may_miss() + 1) & (F.col("_df") > 0)).select(*TARGET, "n", "at", "word")
 
 
 def align(targets: DataFrame, words: DataFrame) -> DataFrame:
@@ -107,46 +115,54 @@ def align(targets: DataFrame, words: DataFrame) -> DataFrame:
 
     ``targets``: file_hash, page_no, scope, source_ref, tokens, estimate (box or NULL).
     ``words``: file_hash, page_no, scope, word_no (1-based in the scope), word, box.
+
+    Every join and group is by page and something else, so nothing but the
+    input is shuffled where both sides are dealt out by page (``roles.dealt_turns``).
     """
-    sized = targets.withColumn("n", F.size("tokens")).filter(F.col("n") > 0)
+    # Equal texts of a page with an equal estimate have one window.
+    content = F.md5(F.to_json(F.struct("tokens", "estimate")))
+    first = lambda name: F.any_value(name).alias(name)
+    alike = targets.filter(F.size("tokens") > 0).groupBy(*SCOPE, content.alias("target"))
+    sized = alike.agg(first("tokens"), first("estimate"), F.collect_set("source_ref").alias("_refs")).withColumn("n", F.size("tokens"))
     seeds = _seeds(sized, words)
     hits = seeds.join(words.select(*SCOPE, "word", "word_no"), [*SCOPE, "word"])
     # In a good window the seed keeps its place in the text up to the words
     # that may be missing and the two words a window may be longer.
-    first = F.col("word_no") - F.col("at")
-    earliest = F.greatest(F.lit(1), first - _may_miss() - 2)
-    latest = first + _may_miss()
+    nearest = F.col("word_no") - F.col("at")
+    earliest = F.greatest(F.lit(1), nearest - _may_miss() - 2)
+    latest = nearest + _may_miss()
     # Starts are taken in blocks, so that a word is read once per block and
     # text instead of once per window.  A hit stays one interval in each of the
     # few blocks it reaches; single starts are made inside the row.
     numbers = F.sequence(F.floor(earliest / START_BLOCK).cast("int"), F.floor(latest / START_BLOCK).cast("int"))
-    reached = hits.filter(latest >= 1).select(*ELEMENT, "n", earliest.alias("_from"), latest.alias("_to"), F.explode(numbers).alias("_block"))
+    reached = hits.filter(latest >= 1).select(*TARGET, "n", earliest.alias("_from"), latest.alias("_to"), F.explode(numbers).alias("_block"))
     opening = F.col("_block") * START_BLOCK
     within = F.struct(F.greatest(F.col("_from"), opening).cast("int").alias("low"), F.least(F.col("_to"), opening + START_BLOCK - 1).cast("int").alias("high"))
-    intervals = reached.groupBy(*ELEMENT, "n", "_block").agg(F.collect_set(within).alias("_intervals"))
-    each_start = F.array_distinct(F.flatten(F.transform("_intervals", lambda x: F.sequence(x["low"], x["high"]))))
-    blocks = intervals.select(*ELEMENT, "n", "_block", each_start.alias("_starts"))
-    low = F.greatest(opening, F.lit(1))
-    reach = F.sequence(low, F.col("_block") * START_BLOCK + START_BLOCK + F.col("n") + 1)
-    covered = explode_rows(blocks, [*ELEMENT, "_block"], reach, "word_no").join(words, [*SCOPE, "word_no"])
-    items = F.array_sort(F.collect_list(F.struct("word_no", "word", "box")))
-    stretches = covered.groupBy(*ELEMENT, "_block").agg(items.alias("_items"))
-    joined = stretches.join(blocks, [*ELEMENT, "_block"]).join(sized.select(*ELEMENT, "tokens", "estimate"), ELEMENT)
-    first_no = F.element_at("_items", 1)["word_no"]
-    offsets = F.transform("_starts", lambda start: (start - first_no).cast("int"))
-    scored = joined.withColumn("_good", _good_windows(F.col("tokens"), F.transform("_items", lambda i: i["word"]), offsets))
-    each = explode_rows(scored, [*ELEMENT, "estimate", "_items"], "_good", "_g")
-    used = F.slice("_items", F.col("_g.at") + 1, F.col("_g.size"))
-    side = lambda name: F.transform(used, lambda item: item["box"][name])
-    box = boxes.make_box(
-        F.array_min(side("left")), F.array_min(side("top")), F.array_max(side("right")), F.array_max(side("bottom"))
-    )
-    boxed = each.select(
-        *ELEMENT, "estimate", (first_no + F.col("_g.at")).alias("start"), F.col("_g.size").alias("size"),
-        F.col("_g.score").alias("score"), box.alias("raw_bbox"),
-    )
+    intervals = reached.groupBy(*TARGET, "_block").agg(F.collect_set(within).alias("_intervals"))
+    each_start = F.array_sort(F.array_distinct(F.flatten(F.transform("_intervals", lambda x: F.sequence(x["low"], x["high"])))))
+    blocks = intervals.select(*TARGET, "_block", each_start.alias("_starts")).join(sized.drop("_refs"), TARGET)
+    # Words are laid in blocks of the same width; the last window of a block ends a few words into a later one.
+    laid = words.groupBy(*SCOPE, F.floor(F.col("word_no") / START_BLOCK).cast("int").alias("_part")).agg(_in_order("word_no", "word").alias("_words"))
+    reach = F.sequence(F.col("_block"), F.floor((opening + START_BLOCK + F.col("n")) / START_BLOCK).cast("int"))
+    every = F.col("estimate").isNotNull().alias("_every")
+    parts = explode_rows(blocks, [*TARGET, "tokens", every, "_block", "_starts"], reach, "_part").join(laid, [*SCOPE, "_part"])
+    stretches = parts.groupBy(*TARGET, "_block").agg(first("tokens"), first("_every"), first("_starts"), F.flatten(_in_order("_part", "_words")).alias("_words"))
+    low, high = F.element_at("_starts", 1), F.element_at("_starts", -1)
+    needed = F.slice("_words", low - F.greatest(opening, F.lit(1)) + 1, high - low + F.size("tokens") + 2)
+    best = _best_windows(F.col("tokens"), needed, F.transform("_starts", lambda start: start - low), F.col("_every"))
+    each = explode_rows(stretches.select(*TARGET, low.alias("_low"), best.alias("_best")), [*TARGET, "_low"], "_best", "_w")
+    found = each.select(*TARGET, (F.col("_low") + F.col("_w.at")).alias("start"), F.col("_w.size").alias("size"), F.col("_w.score").alias("score"))
+    # What comes from Python no longer counts as dealt out; the join sends these few narrow rows to their page.
+    windows = found.join(sized.select(*TARGET, every), TARGET)
+    # Without an estimate the first window of the smallest size wins among equals; with one the box decides.
+    whole = Window.partitionBy(*TARGET)
+    ranked = windows.withColumn("_rank", F.row_number().over(whole.orderBy(F.col("score").desc(), "size", "start"))).withColumn("_top", F.max("score").over(whole))
+    kept = ranked.filter((F.col("_rank") == 1) | (F.col("_every") & (F.col("score") == F.col("_top"))))
+    numbered = explode_rows(kept, [*TARGET, "start", "size", "score"], F.sequence(F.col("start"), F.col("start") + F.col("size") - 1).cast("array<bigint>"), "word_no")
+    placed = numbered.join(words.select(*SCOPE, "word_no", "box"), [*SCOPE, "word_no"]).groupBy(*TARGET, "start", "size", "score")
+    box = boxes.make_box(F.min("box.left"), F.min("box.top"), F.max("box.right"), F.max("box.bottom"))
+    boxed = placed.agg(box.alias("raw_bbox")).join(sized.select(*TARGET, "estimate", "_refs"), TARGET)
     guess = F.col("estimate").isNotNull()
-    # Without an estimate the first window of the smallest size wins among equals.
     order = [
         F.col("score").desc(),
         F.when(guess, boxes.center_distance(F.col("raw_bbox"), F.col("estimate"))),
@@ -155,11 +171,17 @@ def align(targets: DataFrame, words: DataFrame) -> DataFrame:
         F.col("size"),
         F.col("start"),
     ]
-    return first_per_group(boxed, ELEMENT, order).drop("estimate", "start", "size")
+    rows = boxed.withColumn("source_ref", F.explode("_refs"))
+    return first_per_group(rows, ELEMENT, order).select(*ELEMENT, "score", "raw_bbox")
+
+
+def _in_order(order: str, value: str) -> Column:
+    rows = F.array_sort(F.collect_list(F.struct(order, value)))
+    return F.transform(rows, lambda row: row[value])
 
 
 def _numbered(words: DataFrame, order: list[Column]) -> DataFrame:
-    return blocked_row_number(words, SCOPE, F.floor(F.col("place") / 512), order, "word_no")
+    return words.withColumn("word_no", F.row_number().over(Window.partitionBy(*SCOPE).orderBy(*order)).cast("long"))
 
 
 def page_words(tokens: DataFrame) -> DataFrame:
@@ -198,8 +220,8 @@ def align_elements(elements: DataFrame, tokens: DataFrame) -> DataFrame:
     ``elements``: file_hash, page_no, source_ref, parent_ref, label, text, estimate.
     ``tokens``: file_hash, page_no, place, text, box.
     """
-    # Page words and placed texts are used several times each and are cut off.
-    words = cut_lineage(page_words(tokens))
+    # Page words are made anew wherever they are used, in place; stored they would take many times the text.
+    words = page_words(tokens)
     tokenized = elements.withColumn("tokens", txt.evidence_tokens(F.col("text")))
     on_page = tokenized.filter(~F.col("label").isin(CELL_LABEL, TABLE_LABEL)).withColumn("scope", F.lit(""))
     found = align(on_page, words)
@@ -212,10 +234,10 @@ def align_elements(elements: DataFrame, tokens: DataFrame) -> DataFrame:
         rows = placed.join(is_row, keys, "left_semi")
         parts = cut_lineage(placed.unionByName(_align_cells(cells, rows, words).select(*keys, "score", "raw_bbox")))
     owners = F.split("source_ref", "/")
-    tables = elements.filter(F.col("label") == TABLE_LABEL).select("file_hash", "source_ref").distinct()
+    tables = cut_lineage(elements.filter(F.col("label") == TABLE_LABEL).select("file_hash", "source_ref").distinct())
     prefixes = F.transform(F.sequence(F.lit(1), F.size(owners) - 1), lambda n: F.array_join(F.slice(owners, F.lit(1), n), "/"))
     under = parts.filter(F.size(owners) > 1).select("file_hash", "page_no", "raw_bbox", F.explode(prefixes).alias("source_ref"))
-    around = under.join(tables, ["file_hash", "source_ref"]).groupBy("file_hash", "source_ref").agg(
+    around = lookup_join(under, tables, ["file_hash", "source_ref"], ["page_no", "raw_bbox"]).groupBy("file_hash", "source_ref").agg(
         F.min("page_no").alias("page_no"), boxes.union_box(F.col("raw_bbox")).alias("raw_bbox")
     )
     return parts.unionByName(around.select(*keys, F.lit(None).cast("double").alias("score"), "raw_bbox"))

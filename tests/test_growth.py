@@ -1,7 +1,16 @@
 """Work that grows no faster than the input."""
 
+import random
+import re
+
+from pyspark.sql import functions as F
+from test_structure import best_by_hand
+
 import __spark_entry__ as contract
-from folioscope.operators import documents
+from folioscope.functions import boxes
+from folioscope.functions import text as txt
+from folioscope.operators import alignment, documents
+from folioscope.plans import roles
 
 
 def plan_of(df):
@@ -20,3 +29,38 @@ def test_report_keeps_rows_of_either_side(spark):
     regions = spark.createDataFrame([("a", "mineru", 1), ("a", "mineru", 2), ("c", None, 1), (None, "mineru", 1)], "file_hash string, annotation_engine string, page_no int")
     got = sorted((r["file_hash"] or "", r["annotation_engine"], r["status"] or "", r["region_count"], r["text_chars"]) for r in documents.comparison_report(raw, regions).collect())
     assert got == [("", "mineru", "", 1, 0), ("", "mineru", "ok", 0, 3), ("a", "mineru", "ok", 2, 3), ("a", "mineru", "ok", 2, 3), ("b", "infinity", "ok", 0, 3), ("c", "docling", "", 1, 0)]
+
+
+def test_alignment_shuffles_rows_by_page_only(spark, sf):
+    """What is made of words is joined and grouped where the page is."""
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        pages = roles.dealt_turns(spark, sf)
+        words = pages.select("file_hash", "page_no", F.posexplode(F.split("text", " ")).alias("place", "text"))
+        words = alignment.page_words(words.withColumn("box", boxes.make_box(F.lit(0.0), F.lit(0.0), F.lit(1.0), F.lit(1.0))))
+        texts = roles.regions(spark, sf, pages).select("file_hash", "page_no", "source_ref", txt.evidence_tokens(F.col("text")).alias("tokens"), F.lit("").alias("scope"), F.lit(None).cast(boxes.BOX_TYPE).alias("estimate"))
+        dealt = re.findall(r"hashpartitioning\(([^)]*)\)", plan_of(alignment.align(texts, words)))
+        assert dealt and all(re.fullmatch(r"file_hash#\d+, page_no#\d+, \d+", keys) for keys in dealt), dealt
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+
+
+def test_alignment_over_many_blocks_of_words(spark):
+    """Long pages and texts, equal texts and texts as long as the page, against every window."""
+    rng = random.Random(5)
+    words = [(rng.choice([f"w{i}" for i in range(40)]), (float(i % 10 * 20), float(i // 10 * 12), float(i % 10 * 20 + 15), float(i // 10 * 12 + 9))) for i in range(230)]
+    elements, want = [], {}
+    for e, (at, n) in enumerate([(0, 230), (0, 70), (60, 100), (63, 1), (64, 9), (127, 66), (200, 30), (226, 4), (64, 9), (40, 25)]):
+        target = [w for w, _b in words[at : at + n]]
+        for _ in range(n // 9):
+            target[rng.randrange(len(target))] = "other"
+        for estimate in (None, (100.0, 130.0)):
+            for copy in range(2):
+                ref = f"e{e}{estimate is None}{copy}"
+                elements.append(("f", 1, ref, None, "text", " ".join(target), (95.0, 125.0, 105.0, 135.0, "TOPLEFT") if estimate else None))
+                want[ref] = best_by_hand(words, target, estimate)
+    token_df = spark.createDataFrame([("f", 1, i, w, (*b, "TOPLEFT")) for i, (w, b) in enumerate(words)], f"file_hash string, page_no int, place int, text string, box {boxes.BOX_TYPE}")
+    element_df = spark.createDataFrame(elements, f"file_hash string, page_no int, source_ref string, parent_ref string, label string, text string, estimate {boxes.BOX_TYPE}")
+    got = {r["source_ref"]: (round(r["score"], 9), tuple(r["raw_bbox"])[:4]) for r in alignment.align_elements(element_df, token_df).collect()}
+    assert got == {ref: (round(best[0], 9), best[1]) for ref, best in want.items() if best} and len(got) >= 36
