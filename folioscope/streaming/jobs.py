@@ -275,6 +275,78 @@ def complete_spans(starts: DataFrame, ends: DataFrame, delay: str = "10 minutes"
     )
 
 
+_SPAN_RECORD = "kind string, ingest_run_id long, span_id string, category string, started_at timestamp, ended_at timestamp, status string"
+_SPAN_ROW = "ingest_run_id long, span_id string, category string, started_at timestamp, ended_at timestamp, status string, duration_ms double"
+_SPAN_MARK = "started_us long, ended_us long"
+
+
+def complete_spans_by_batch(
+    starts: DataFrame, ends: DataFrame, checkpoint: str, target: str, delay: timedelta = timedelta(minutes=10), longest: timedelta = timedelta(hours=1), unfinished: bool = False
+) -> DataFrame:
+    """The rows of ``complete_spans`` as a table, each batch by a join of its own.
+
+    Most spans start and end in one batch.  They are joined there and never
+    become state; only records that can still meet a later one are carried to
+    the next batch: starts not ``longest`` and ends not at all behind the
+    watermark, which is the older of the newest start and the newest end less
+    ``delay``.  A batch leaves out records behind the watermark of those before
+    it, and records without a time.  It writes ``target/out``, ``target/waiting``
+    and ``target/marks`` under its number; a repeated batch overwrites them.
+    """
+    null = lambda kind: F.lit(None).cast(kind)
+    opened = starts.select(F.lit("start").alias("kind"), "ingest_run_id", "span_id", "category", "started_at", null("timestamp").alias("ended_at"), null("string").alias("status"))
+    closed = ends.select(F.lit("end").alias("kind"), "ingest_run_id", "span_id", null("string").alias("category"), null("timestamp").alias("started_at"), "ended_at", "status")
+    span, lag = longest // timedelta(microseconds=1), delay // timedelta(microseconds=1)
+    at = F.unix_micros(F.coalesce("started_at", "ended_at"))
+    same = (F.col("s.span_id") == F.col("e.span_id")) & (F.col("s.ingest_run_id") == F.col("e.ingest_run_id"))
+    took = F.unix_micros("e.ended_at") - F.unix_micros("s.started_at")
+    meets = same & took.between(0, span)
+
+    def watermark(mark: tuple) -> int | None:
+        return None if None in mark else min(mark) - lag
+
+    def store(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        place = lambda name, number: f"{target}/{name}/batch_id={number}"
+        if batch_id:
+            past = tuple(spark.read.schema(_SPAN_MARK).parquet(place("marks", batch_id - 1)).first())
+            carried = spark.read.schema(f"{_SPAN_RECORD}, met boolean").parquet(place("waiting", batch_id - 1))
+        else:
+            past, carried = (None, None), spark.createDataFrame([], f"{_SPAN_RECORD}, met boolean")
+        behind = watermark(past)
+        news = batch.filter(at.isNotNull() if behind is None else at > behind).persist()
+        try:
+            newest = news.agg(F.max(F.unix_micros("started_at")), F.max(F.unix_micros("ended_at"))).first()
+            mark = tuple(max((x for x in pair if x is not None), default=None) for pair in zip(past, newest, strict=True))
+            now = watermark(mark)
+            rows = news.withColumns({"met": F.lit(False), "new": F.lit(True)}).unionByName(carried.withColumn("new", F.lit(False)))
+            left, right = rows.filter("kind = 'start'").alias("s"), rows.filter("kind = 'end'").alias("e")
+            over = F.lit(False) if now is None else F.unix_micros("s.started_at") + span < now
+            first_told = F.col("s.new") | F.col("e.new")
+            if unfinished:
+                first_told = F.when(F.col("e.span_id").isNull(), ~F.col("s.met") & over).otherwise(first_told)
+            told = left.join(right, meets, "leftOuter" if unfinished else "inner").filter(first_told)
+            told.select("s.ingest_run_id", "s.span_id", "s.category", "s.started_at", "e.ended_at", "e.status", (took / 1000.0).alias("duration_ms")).write.mode("overwrite").parquet(place("out", batch_id))
+            waiting, near, later = left.filter(~over), right, right
+            if now is not None:
+                near, later = right.filter(F.unix_micros("e.ended_at") >= now - span), right.filter(F.unix_micros("e.ended_at") >= now)
+            if unfinished:
+                waiting = waiting.join(near, meets, "left_semi").withColumn("met", F.lit(True)).unionByName(waiting.join(near, meets, "left_anti"))
+            waiting.unionByName(later).drop("new").write.mode("overwrite").parquet(place("waiting", batch_id))
+            spark.createDataFrame([mark], _SPAN_MARK).coalesce(1).write.mode("overwrite").parquet(place("marks", batch_id))
+        finally:
+            news.unpersist()
+
+    _drive(opened.unionByName(closed).writeStream.foreachBatch(store), checkpoint)
+    spark = starts.sparkSession
+    try:
+        return spark.read.schema(f"{_SPAN_ROW}, batch_id bigint").option("basePath", f"{target}/out").parquet(f"{target}/out").drop("batch_id")
+    except AnalysisException as missing:
+        if missing.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], _SPAN_ROW)  # there was no input, so no batch
+
+
 def still_waiting(starts: DataFrame, came_out: DataFrame) -> DataFrame:
     """Starts (as a batch) that a stream with ``unfinished`` has neither joined nor given up."""
     waiting = starts.join(came_out, ["ingest_run_id", "span_id"], "left_anti")

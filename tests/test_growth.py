@@ -1,5 +1,6 @@
 """Work that grows no faster than the input."""
 
+import datetime as dt
 import random
 import re
 
@@ -11,6 +12,7 @@ from folioscope.functions import boxes
 from folioscope.functions import text as txt
 from folioscope.operators import alignment, documents
 from folioscope.plans import roles
+from folioscope.streaming import jobs
 
 
 def plan_of(df):
@@ -64,3 +66,49 @@ def test_alignment_over_many_blocks_of_words(spark):
     element_df = spark.createDataFrame(elements, f"file_hash string, page_no int, source_ref string, parent_ref string, label string, text string, estimate {boxes.BOX_TYPE}")
     got = {r["source_ref"]: (round(r["score"], 9), tuple(r["raw_bbox"])[:4]) for r in alignment.align_elements(element_df, token_df).collect()}
     assert got == {ref: (round(best[0], 9), best[1]) for ref, best in want.items() if best} and len(got) >= 36
+
+
+T0 = dt.datetime(2024, 5, 1)
+
+
+def test_spans_of_one_batch_never_become_state(spark, tmp_path):
+    """Only records that can meet a later one are carried on; pairs, unfinished starts and late rows come out as in a stream join."""
+    at = lambda minutes: T0 + dt.timedelta(minutes=minutes)
+    rows = []
+    for day in range(3):  # 50 spans within a batch
+        for k in range(50):
+            name, t = f"s{day}-{k}", day * 1440 + 20 * k
+            rows += [(day, "start", name, at(t), None), (day, "end", name, None, at(t + 2))]
+    rows += [(0, "start", "over", at(1430), None), (1, "end", "over", None, at(1450))]  # starts in one batch, ends in the next
+    rows += [(1, "end", "over", None, at(1460)), (2, "end", "over", None, at(2890))]  # ends twice, and once after more than the longest time
+    rows += [(0, "end", "turned", None, at(1435)), (1, "start", "turned", at(1434), None)]  # the end arrives first
+    rows += [(0, "start", "open", at(5), None), (2, "start", "waits", at(3855), None), (0, "start", "wrong run", at(6), None)]
+    rows += [(2, "start", "late", at(60), None), (2, "end", "open", None, at(30)), (1, "start", "no time", None, None)]
+    rows += [(day, kind, "twice", *times) for day, kind, times in ((0, "start", (at(7), None)), (0, "start", (at(7), None)), (0, "end", (None, at(9))))]
+    given = spark.createDataFrame(rows, "arrival int, kind string, span_id string, started_at timestamp, ended_at timestamp")
+    state, target, tables = str(tmp_path / "state"), str(tmp_path / "out"), []
+
+    def run(stream):
+        run_id = F.when(F.col("span_id") == "wrong run", F.when(F.col("kind") == "start", 2).otherwise(3)).otherwise(1).cast("long").alias("ingest_run_id")
+        starts = stream.filter("kind = 'start'").select(run_id, "span_id", F.lit("c").alias("category"), "started_at")
+        ends = stream.filter("kind = 'end'").select(run_id, "span_id", "ended_at", F.lit("ok").alias("status"))
+        tables.append(jobs.complete_spans_by_batch(starts, ends, state, target, unfinished=True))
+
+    jobs.replay(given, "arrival", "spans", run)
+    got = sorted((r["span_id"], r["status"] or "", r["duration_ms"] or 0) for r in tables[-1].collect())
+    minute = 60_000.0
+    want = [(f"s{day}-{k}", "ok", 2 * minute) for day in range(3) for k in range(50)]
+    want += [("over", "ok", 20 * minute), ("over", "ok", 30 * minute), ("turned", "ok", minute), ("open", "", 0), ("wrong run", "", 0), ("twice", "ok", 2 * minute), ("twice", "ok", 2 * minute)]
+    assert got == sorted(want)
+    waiting = {n: sorted((r["kind"], r["span_id"]) for r in spark.read.parquet(f"{target}/waiting/batch_id={n}").collect()) for n in range(3)}
+    assert waiting[0] == [("end", "turned"), ("start", "over")]
+    assert ("start", "waits") in waiting[2] and max(map(len, waiting.values())) <= 6
+
+
+def test_span_queries_put_no_record_into_a_state_store(spark, sf, monkeypatch):
+    def refuse(*args, **options):
+        raise AssertionError("a join of two streams stores every record")
+
+    monkeypatch.setattr(jobs, "complete_spans", refuse)
+    for name in ("stream_unfinished_spans", "stream_completed_spans"):
+        assert contract.queries()[name](spark, sf).count() == spark.read.parquet(f"{sf}/events.parquet").count()
