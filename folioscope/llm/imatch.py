@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -30,8 +31,12 @@ from folioscope.session import cut_lineage
 #: Band of the inverse document frequency, ln(documents / documents with the term).
 BAND = (3.0, 7.0)
 LEXICONS = 16
-WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-_DIGITS = "0123456789abcdef"
+#: Runs of letters, digits and characters outside ASCII, for texts in lower case.  What
+#: separates them is named one by one: Java looks such a class up in a table, and
+#: tries one range after the other for each character of a class of ranges.
+WORD = "[^" + "".join(f"\\x{code:02X}" for code in range(128) if not (48 <= code <= 57 or 97 <= code <= 122)) + "]+"
+#: Longs that hold the halvings of a term, 16 bits for each of four lexicons.
+PARTS = ["p0", "p1", "p2", "p3"]
 
 
 def shares(band: tuple[float, float] = BAND) -> tuple[float, float]:
@@ -45,17 +50,26 @@ def distinct_words(text: Column) -> Column:
 
 
 def halvings(term: Column) -> Column:
-    """One hexadecimal digit for each lexicon: how often it can be halved before the term drops out."""
+    """How often each lexicon can be halved before the term drops out, as so many ones.
 
-    def digits(hashed: Column) -> Column:
-        rank = lambda j: F.conv(F.substring(hashed, 4 * j + 1, 4), 16, 10).cast("long")
-        return F.concat(*[F.substring(F.lit(_DIGITS), F.lit(17) - F.length(F.bin(rank(j))), F.lit(1)) for j in range(LEXICONS)])
+    Up to 15 ones of lexicon j stand in the long j // 4 from bit 16 * (j % 4) on, so
+    that the longs of several terms, OR-ed, hold the greatest number of halvings.
+    """
+
+    def ones(hashed: Column, j: int) -> Column:
+        rank = F.conv(F.substring(hashed, 4 * j + 1, 4), 16, 10).cast("long")
+        power = F.call_function("shiftleft", F.lit(1).cast("long"), F.lit(16) - F.length(F.bin(rank)))
+        return F.shiftleft(power - 1, 16 * (j % 4))
+
+    def longs(hashed: Column) -> Column:
+        one = lambda k: reduce(Column.bitwiseOR, [ones(hashed, 4 * k + n) for n in range(4)])
+        return F.struct(*[one(k).alias(name) for k, name in enumerate(PARTS)])
 
-    return bind(F.sha2(term.cast("binary"), 256), digits)
+    return bind(F.sha2(term.cast("binary"), 256), longs)
 
 
 def lexicon(docs: DataFrame, text: Column, band: tuple[float, float] = BAND) -> DataFrame:
-    """(term, parts): the terms of the band with their place in the randomised lexicons.
+    """(term, p0, ..., p3): the terms of the band with their places in the randomised lexicons.
 
     Every row of ``docs`` counts as a document, repeated ones and those without
     text too.
@@ -64,27 +78,31 @@ def lexicon(docs: DataFrame, text: Column, band: tuple[float, float] = BAND) ->
     count = docs.count()
     found = docs.select(F.explode(distinct_words(text)).alias("term")).groupBy("term").agg(F.count("*").alias("docs"))
     inside = found.filter((F.col("docs") >= low * count) & (F.col("docs") <= high * count))
-    return inside.select("term", halvings(F.col("term")).alias("parts"))
+    return inside.select("term", halvings(F.col("term")).alias("parts")).select("term", "parts.*")
 
 
-def _one_hash(terms: Column, j: int) -> Column:
+def _one_hash(terms: Column, greatest: Column, j: int) -> Column:
     """Hash of the sorted terms in the smallest part of lexicon j that holds any."""
-    place = lambda x: F.substring(x["parts"], j + 1, 1)
-    deepest = F.array_max(F.transform(terms, place))
+    place = lambda x: x[PARTS[j // 4]].bitwiseAND(F.lit(0x7FFF << 16 * (j % 4)))
     chosen = lambda best: F.transform(F.filter(terms, lambda x: place(x) == best), lambda x: x["term"])
-    return bind(deepest, lambda best: F.substring(F.md5(F.array_join(F.sort_array(chosen(best)), " ").cast("binary")), 1, 8))
+    return bind(place(greatest), lambda best: F.substring(F.md5(F.array_join(F.sort_array(chosen(best)), " ").cast("binary")), 1, 8))
+
+
+def _hashes(terms: Column) -> Column:
+    together = lambda name: F.aggregate(terms, F.lit(0).cast("long"), lambda bits, x: bits.bitwiseOR(x[name])).alias(name)
+    every = lambda greatest: F.array(*[_one_hash(terms, greatest, j) for j in range(LEXICONS)])
+    return F.array_join(bind(F.struct(*[together(name) for name in PARTS]), every), "-")
 
 
 def fingerprint(terms: Column, text: Column) -> Column:
-    """The hashes of all lexicons, for terms given as (term, parts).
+    """The hashes of all lexicons, for terms given as (term, p0, ..., p3).
 
     A text without a term of the band is hashed by all its words, one without
     words as it is.
     """
-    hashes = lambda listed: F.array_join(F.array(*[_one_hash(listed, j) for j in range(LEXICONS)]), "-")
-    own = F.transform(distinct_words(text), lambda w: F.struct(w.alias("term"), halvings(w).alias("parts")))
-    without = bind(own, lambda listed: F.when(F.size(listed) > 0, hashes(listed)).otherwise(F.concat(F.lit("="), F.md5(text.cast("binary")))))
-    return F.when(F.size(F.coalesce(terms, F.array())) > 0, hashes(terms)).otherwise(without)
+    placed = lambda w: bind(halvings(w), lambda p: F.struct(w.alias("term"), *[p[name].alias(name) for name in PARTS]))
+    without = bind(F.transform(distinct_words(text), placed), lambda own: F.when(F.size(own) > 0, _hashes(own)).otherwise(F.concat(F.lit("="), F.md5(text.cast("binary")))))
+    return F.when(F.size(F.coalesce(terms, F.array())) > 0, _hashes(terms)).otherwise(without)
 
 
 def likeness(a: Column, b: Column) -> Column:
@@ -94,21 +112,31 @@ def likeness(a: Column, b: Column) -> Column:
     return F.when(a == b, 1.0).otherwise(share)
 
 
+def _words_once(lists: Sequence[Column]) -> Column:
+    """(texts, term) of each word of the lists, which hold it once, once; bit n of ``texts`` stands for list n."""
+    groups = [(1, lists[0])]
+    for n, own in enumerate(lists[1:], 1):
+        new = reduce(F.array_except, [words for _, words in groups], own)
+        groups = [group for bits, words in groups for group in ((bits | 1 << n, F.array_intersect(words, own)), (bits, F.array_except(words, own)))]
+        groups.append((1 << n, new))
+    marked = lambda bits: lambda w: F.struct(F.lit(bits).alias("texts"), w.alias("term"))
+    return F.concat(*[F.transform(words, marked(bits)) for bits, words in groups])
+
+
 def fingerprints(rows: DataFrame, keys: Sequence[str], texts: Sequence[str], terms: DataFrame) -> DataFrame:
     """``rows`` with the fingerprint of each of the text columns, as ``<name>_print``.
 
     ``keys`` name each row; where rows are partitioned by them already, nothing
-    but a lexicon too large to be broadcast moves them.  Texts may not be NULL.
+    but a lexicon too large to be broadcast moves them.  Texts may not be NULL;
+    a word that several texts of a row share is looked up once.
     """
-
-    def of_text(n: int) -> Column:
-        return F.transform(distinct_words(F.col(texts[n])), lambda w: F.struct(F.lit(n).alias("text"), w.alias("term")))
-
-    words = rows.select(*keys, F.explode(F.concat(*[of_text(n) for n in range(len(texts))])).alias("w")).select(*keys, F.col("w.text").alias("text"), F.col("w.term").alias("term"))
+    lists = F.struct(*[distinct_words(F.col(t)).alias(f"t{n}") for n, t in enumerate(texts)])
+    once = bind(lists, lambda found: _words_once([found[f"t{n}"] for n in range(len(texts))]))
+    words = rows.select(*keys, F.explode(once).alias("w")).select(*keys, F.col("w.texts").alias("texts"), F.col("w.term").alias("term"))
     known = lookup_join(words, terms, ["term"], list(keys))
-    listed = known.groupBy(*keys).agg(F.collect_list(F.struct("text", "term", "parts")).alias("_terms"))
-    own = lambda n: F.filter("_terms", lambda x: x["text"] == n)
-    made = [bind(own(n), lambda found, t=t: fingerprint(found, F.col(t))).alias(f"{t}_print") for n, t in enumerate(texts)]
+    of_text = lambda n: F.collect_list(F.when(F.col("texts").bitwiseAND(1 << n) > 0, F.struct("term", *PARTS)))
+    listed = known.groupBy(*keys).agg(*[of_text(n).alias(f"_terms{n}") for n in range(len(texts))])
+    made = [fingerprint(F.col(f"_terms{n}"), F.col(t)).alias(f"{t}_print") for n, t in enumerate(texts)]
     return rows.join(listed, list(keys), "left").select(*[F.col(c) for c in rows.columns], *made)
 
 

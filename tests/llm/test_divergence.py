@@ -209,3 +209,36 @@ def test_unused_columns_may_clash(spark):
     assert imatch.audit_edits(df).count() == segment_trees.np.int64(len(rows()))
     assert got(segment_trees.audit(df)) == divergence(rows(), 10, 10)
     assert SCHEMA
+
+
+def test_words_of_fingerprints_are_found_by_a_table(spark):
+    """A class of ranges costs ten times the time; the one of single characters takes the same words."""
+    assert "-" not in imatch.WORD
+    every = "".join(f"{chr(c)}|a" for c in range(0x10000) if not 0xD800 <= c < 0xE000)
+    ranges = F.regexp_extract_all(F.lower("text"), F.lit(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"), F.lit(0))
+    found, want = spark.createDataFrame([(every,)], "text string").select(imatch.distinct_words(F.col("text")), F.array_distinct(ranges)).first()
+    assert len(found) > 50000 and found == want
+
+
+def test_places_in_lexicons_are_ones_of_longs(spark):
+    """Terms are compared by numbers; the greatest numbers of halvings of several terms are their bits together."""
+    terms = ["alpha", "dé", "x"] + [f"term {k}" for k in range(300)]
+    for r in spark.createDataFrame([(t,) for t in terms], "t string").select("t", imatch.halvings(F.col("t")).alias("p")).select("t", "p.*").collect():
+        hashed = hashlib.sha256(r["t"].encode()).hexdigest()
+        for j in range(imatch.LEXICONS):
+            times = 16 - max(int(hashed[4 * j : 4 * j + 4], 16).bit_length(), 1)
+            assert r[imatch.PARTS[j // 4]] >> 16 * (j % 4) & 0xFFFF == (1 << times) - 1
+
+
+def test_words_that_texts_share_are_looked_up_once(spark):
+    """Three texts of a row: each word of any stands once, and each text has the fingerprint of its own words."""
+    given = [(1, "a b b c", "B c d", "c e a"), (2, "", "a", "a"), (3, "x y", "x y", "Y!X"), (4, "?", "!", ""), (5, "only here", "b", "here")]
+    texts = ["t", "u", "v"]
+    df = spark.createDataFrame(given, "id long, t string, u string, v string")
+    once = df.select("id", F.explode(imatch._words_once([imatch.distinct_words(F.col(t)) for t in texts])).alias("w")).select("id", "w.*")
+    want = {(r[0], w, sum(1 << n for n in range(3) if w in set(re.findall("[a-z]+", r[1 + n].lower())))) for r in given for w in set(re.findall("[a-z]+", " ".join(r[1:]).lower()))}
+    assert sorted((r["id"], r["term"], r["texts"]) for r in once.collect()) == sorted(want)
+    terms = spark.createDataFrame([(w,) for w in "abcdexy"], "term string").select("term", imatch.halvings(F.col("term")).alias("p")).select("term", "p.*")
+    one = prints([(0, w) for w in "abcdexy"], 0, 1)
+    found = {r["id"]: [r[f"{t}_print"] for t in texts] for r in imatch.fingerprints(df, ["id"], texts, terms).collect()}
+    assert found == {i: [one(t) for t in three] for i, *three in given}
