@@ -17,11 +17,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from folioscope.functions import text as txt
-from folioscope.functions.binding import bind
 from folioscope.functions.grouping import broadcast_if_small, lookup_join, top_per_group
 from folioscope.functions.rows import explode_rows
-from folioscope.operators.search import wildcards_only
+from folioscope.operators.search import holds, wildcards_only
 from folioscope.session import cut_lineage
 
 SIZE = 3
@@ -31,12 +29,7 @@ INTERSECTED = 3
 
 def groups_of(text: Column) -> Column:
     """The distinct groups of a text; those of its last positions are shorter."""
-
-    def from_each(chars: Column) -> Column:
-        rest = lambda i: [F.coalesce(F.get(chars, i + step), F.lit("")) for step in range(1, SIZE)]
-        return F.transform(chars, lambda c, i: F.concat(c, *rest(i)))
-
-    return F.array_distinct(bind(F.filter(F.split(text, ""), lambda c: c != ""), from_each))
+    return F.array_distinct(F.regexp_extract_all(text, F.lit(rf"(?s)(?=(.{{1,{SIZE}}}))."), F.lit(1)))
 
 
 def _bucket(buckets: int) -> Column:
@@ -61,7 +54,8 @@ def write_gram_index(texts: DataFrame, path: str, key: str, haystack: str, bucke
 
     numbered().write.mode("overwrite").parquet(f"{path}/keys")
     rows = explode_rows(numbered("hay"), ["part", "place"], groups_of(F.col("hay")), "gram")
-    lists = rows.groupBy("part", "gram").agg(F.collect_list("place").alias("places")).withColumn("bucket", _bucket(buckets))
+    # The group comes first: a sort compares its first key by eight bytes, which would be the same for all rows of a block.
+    lists = rows.groupBy("gram", "part").agg(F.collect_list("place").alias("places")).withColumn("bucket", _bucket(buckets))
     laid = lists.repartition("bucket", F.pmod(F.col("part"), F.lit(4))).sortWithinPartitions("bucket", "gram", "part")
     laid.write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/lists")
     stored = spark.read.parquet(f"{path}/lists")
@@ -117,7 +111,5 @@ def match_indexed(texts: DataFrame, queries: DataFrame, path: str, key: str, hay
     lowered = texts.select(key, F.lower(F.col(haystack)).alias("_hay"))
     bare = asked.filter(F.regexp_replace("query", "[%_]", "") == "")
     found = cut_lineage(candidates(asked.join(bare.select("query_id"), "query_id", "left_anti"), path).withColumnRenamed("key", key))
-    pattern = F.concat(F.lit("%"), F.col("query"), F.lit("%"))
-    holds = F.when(F.col("query").rlike("[%_]"), txt.like_literal(F.col("_hay"), pattern)).otherwise(F.contains("_hay", "query"))
-    matched = lookup_join(lowered, found, [key]).join(asked, "query_id").filter(holds).select("query_id", key)
+    matched = lookup_join(lowered, found, [key]).join(asked, "query_id").filter(holds(F.col("_hay"), F.col("query"))).select("query_id", key)
     return matched.unionByName(wildcards_only(lowered, bare, key))
