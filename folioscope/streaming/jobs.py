@@ -6,9 +6,11 @@ it to the end of the available input and returns the written table.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Iterator, Sequence
-from datetime import datetime, timedelta, timezone
+from datetime import timedelta, timezone
 
+import numpy as np
 import pandas as pd
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
@@ -123,24 +125,22 @@ def live_units(log: DataFrame) -> DataFrame:
 
 _UNIT_STATE = "opened_at timestamp, started_at timestamp, finished_at timestamp, status string, attempts long, newest timestamp, seq long"
 _UNIT_ROW = "ingest_run_id long, work_key string, opened_at timestamp, status string, attempt_count long, started_at timestamp, finished_at timestamp, seen_at timestamp"
+_UNIT_COLUMNS = [field.split()[0] for field in _UNIT_ROW.split(", ")]
 
+#: Units share so many groups of a stream; a checkpoint depends on it.
+UNIT_GROUPS = 512
 
-def _unit_updater(idle: timedelta, linger: timedelta) -> Callable:
-    """One call for each unit with news, or whose time is up; the state is one small tuple a unit."""
 
-    def lives_on(state: tuple) -> datetime:
-        return state[5] + (linger if state[3] in TERMINAL else idle)
+def _lives(idle: object, linger: object) -> tuple[Callable, Callable]:
+    """Until when a unit is known, and the lives that its rows belong to; times are numbers or datetimes, like ``idle`` and ``linger``."""
 
-    def update(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        # a unit has few rows in a batch, for which a sort of tuples takes a small part of the time of one in pandas
-        news = sorted((row for batch in batches for row in zip(batch["ts"], batch["seq"], batch["status"], strict=True)), key=lambda row: row[:2])
-        known = tuple(state.get) if state.exists else None
+    def lives_on(unit: tuple):  # noqa: ANN202
+        return unit[5] + (linger if unit[3] in TERMINAL else idle)
+
+    def told(known: tuple | None, news: list[tuple]) -> list[tuple]:
+        """The last life goes on."""
         shown = []
-        for ts, seq, status in news:
-            at = ts.to_pydatetime()
+        for at, seq, status in sorted(news, key=lambda row: row[:2]):
             if known is not None and at > lives_on(known):
                 shown.append(known)
                 known = None
@@ -151,16 +151,70 @@ def _unit_updater(idle: timedelta, linger: timedelta) -> Callable:
                 last, newest, number = status, at, int(seq)
                 finished = at if status in TERMINAL else None
             known = (min(opened, at), started, finished, last, attempts, newest, number)
-        state.update(known)
-        state.setTimeoutTimestamp(int(lives_on(known).replace(tzinfo=timezone.utc).timestamp() * 1000) + 1)
-        shown.append(known)
+        return [*shown, known]
+
+    return lives_on, told
+
+
+def _unit_updater(idle: timedelta, linger: timedelta) -> Callable:
+    """One call for each unit with news, or whose time is up; the state is one small tuple a unit."""
+    lives_on, told = _lives(idle, linger)
+
+    def update(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        # a unit has few rows in a batch, for which a sort of tuples takes a small part of the time of one in pandas
+        news = [(ts.to_pydatetime(), seq, status) for batch in batches for ts, seq, status in zip(batch["ts"], batch["seq"], batch["status"], strict=True)]
+        shown = told(tuple(state.get) if state.exists else None, news)
+        state.update(shown[-1])
+        state.setTimeoutTimestamp(int(lives_on(shown[-1]).replace(tzinfo=timezone.utc).timestamp() * 1000) + 1)
         rows = [(*key, opened, status, attempts, started, finished, newest) for opened, started, finished, status, attempts, newest, _ in shown]
-        yield pd.DataFrame(rows, columns=["ingest_run_id", "work_key", "opened_at", "status", "attempt_count", "started_at", "finished_at", "seen_at"])
+        yield pd.DataFrame(rows, columns=_UNIT_COLUMNS)
 
     return update
 
 
-def live_units_with_end(log: DataFrame, idle: timedelta, linger: timedelta, delay: str = "10 minutes") -> DataFrame:
+def _group_updater(idle: timedelta, linger: timedelta) -> Callable:
+    """As ``_unit_updater``, with one call for each group of units.
+
+    The state of a group is one JSON list: a few numbers for each unit at work.
+    Times are microseconds.
+    """
+    lives_on, told = _lives(idle // timedelta(microseconds=1), linger // timedelta(microseconds=1))
+
+    def update(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        units = {(run, name): tuple(rest) for run, name, *rest in json.loads(state.get[0])} if state.exists else {}
+        news: dict[tuple, list[tuple]] = {}
+        if not state.hasTimedOut:
+            for batch in batches:
+                times = batch["ts"].astype("datetime64[us]").astype("int64").tolist()
+                for run, name, at, seq, status in zip(batch["ingest_run_id"], batch["work_key"], times, batch["seq"], batch["status"], strict=True):
+                    news.setdefault((run, name), []).append((at, int(seq), status))
+        rows = []
+        for unit, found in news.items():
+            shown = told(units.get(unit), found)
+            units[unit] = shown[-1]
+            rows += [(*unit, opened, status, attempts, started, finished, newest) for opened, started, finished, status, attempts, newest, _ in shown]
+        passed = state.getCurrentWatermarkMs()
+        ends = {unit: lives_on(known) // 1000 + 1 for unit, known in units.items()}
+        kept = [(*unit, *known) for unit, known in units.items() if ends[unit] >= passed]
+        if kept:
+            state.update((json.dumps(kept),))
+            state.setTimeoutTimestamp(max(min(end for end in ends.values() if end >= passed), passed + 1))
+        elif state.exists:
+            state.remove()
+        if rows:
+            table = pd.DataFrame(rows, columns=_UNIT_COLUMNS)
+            table["ingest_run_id"] = pd.array([None if run is None else int(run) for run in table["ingest_run_id"]], dtype="Int64")
+            for name in ("opened_at", "started_at", "finished_at", "seen_at"):
+                table[name] = pd.array(table[name], dtype="Int64").to_numpy("datetime64[us]", na_value=np.datetime64("NaT"))
+            yield table
+
+    return update
+
+
+def live_units_with_end(log: DataFrame, idle: timedelta, linger: timedelta, delay: str = "10 minutes", groups: int | None = UNIT_GROUPS) -> DataFrame:
     """Current state of each unit, forgotten some time after it ended; run in update mode.
 
     A unit is forgotten ``linger`` after a terminal status and ``idle`` after
@@ -169,11 +223,20 @@ def live_units_with_end(log: DataFrame, idle: timedelta, linger: timedelta, dela
     units kept follows what is at work, not what was ever seen.  Rows older than
     the watermark (the newest time less ``delay``) are left out.  Rows without a
     time have no place in the log and are left out too.
+
+    Units are dealt into ``groups`` by their key: a call of Python for each unit
+    and batch takes hundreds of times as long as its few rows do.  Without it each
+    unit has a state of its own.
     """
-    known = log.select("ingest_run_id", "work_key", "ts", "seq", "status").filter(F.col("ts").isNotNull()).withWatermark("ts", delay)
-    return known.groupBy("ingest_run_id", "work_key").applyInPandasWithState(
-        _unit_updater(idle, linger), _UNIT_ROW, _UNIT_STATE, "update", GroupStateTimeout.EventTimeTimeout
-    )
+    timed = log.select("ingest_run_id", "work_key", "ts", "seq", "status").filter(F.col("ts").isNotNull()).withWatermark("ts", delay)
+    if groups is None:
+        return timed.groupBy("ingest_run_id", "work_key").applyInPandasWithState(
+            _unit_updater(idle, linger), _UNIT_ROW, _UNIT_STATE, "update", GroupStateTimeout.EventTimeTimeout
+        )
+    # runs as text, since pandas holds whole numbers beside NULL as floats
+    group = F.pmod(F.xxhash64("ingest_run_id", "work_key"), F.lit(groups)).alias("unit_group")
+    dealt = timed.select(group, F.col("ingest_run_id").cast("string").alias("ingest_run_id"), "work_key", "ts", "seq", "status")
+    return dealt.groupBy("unit_group").applyInPandasWithState(_group_updater(idle, linger), _UNIT_ROW, "units string", "update", GroupStateTimeout.EventTimeTimeout)
 
 
 # S3 -------------------------------------------------------------------------

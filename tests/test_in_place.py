@@ -1,14 +1,18 @@
 """Plans that keep rows where their file is, and helpers that do less for each row."""
 
+import datetime as dt
 import io
+import json
 from contextlib import redirect_stdout
 
+import pandas as pd
 from pyspark.sql import functions as F
 
 from __spark_entry__ import queries
 from folioscope.functions import ids
 from folioscope.functions import text as txt
 from folioscope.operators import gram_index, search
+from folioscope.streaming import jobs
 
 SF = "/root/testdata/sf0.001"
 
@@ -63,3 +67,38 @@ def test_few_and_many_anchors_find_the_same(spark, monkeypatch):
 def test_groups_keep_characters_whole(spark):
     row = spark.createDataFrame([("a\U0001F600\nb", "")], "t string, e string").select(gram_index.groups_of(F.col("t")).alias("t"), gram_index.groups_of(F.col("e")).alias("e")).first()
     assert row["t"] == ["a\U0001F600\n", "\U0001F600\nb", "\nb", "b"] and row["e"] == []
+
+
+def test_units_of_a_group_are_told_by_one_call():
+    """A group's state holds its units at work; those whose time is up are dropped, also where a batch brings news of others."""
+
+    class State:
+        def __init__(self, kept=None, mark=0, over=False):
+            self.get, self.exists, self.mark, self.hasTimedOut = kept, kept is not None, mark, over
+
+        def update(self, value):
+            self.get = value
+
+        def setTimeoutTimestamp(self, at):
+            self.at = at
+
+        def remove(self):
+            self.get = None
+
+        def getCurrentWatermarkMs(self):
+            return self.mark
+
+    at = lambda hour: pd.Timestamp(2024, 1, 1, hour)
+    frame = lambda rows: pd.DataFrame(rows, columns=["ingest_run_id", "work_key", "ts", "seq", "status"])
+    update = jobs._group_updater(dt.timedelta(hours=12), dt.timedelta(hours=1))
+    state = State()
+    rows = [("1", "b", at(3), 5, "ok"), (None, "a", at(2), 3, "running"), ("1", "b", at(1), 1, "running"), ("9007199254740993", None, at(1), 2, "error")]
+    shown = pd.concat(update((0,), iter([frame(rows[:2]), frame(rows[2:])]), state))
+    told = {(None if pd.isna(r[0]) else int(r[0]), r[1]): (r[3], r[4]) for r in shown.itertuples(index=False)}
+    assert told == {(None, "a"): ("running", 1), (1, "b"): ("ok", 1), (9007199254740993, None): ("error", 0)} and len(shown) == 3
+    later = State(state.get, mark=int(at(5).timestamp() * 1000))
+    again = pd.concat(update((0,), iter([frame([("1", "b", at(6), 6, "running")])]), later))
+    assert again["opened_at"].tolist() == [at(3) - dt.timedelta(hours=2), at(6)] and again["attempt_count"].tolist() == [1, 1]
+    assert sorted(x[1] for x in json.loads(later.get[0])) == ["a", "b"]
+    over = State(later.get, mark=int(at(23).timestamp() * 1000), over=True)
+    assert list(update((0,), iter([]), over)) == [] and over.get is None
