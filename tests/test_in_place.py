@@ -102,3 +102,15 @@ def test_units_of_a_group_are_told_by_one_call():
     assert sorted(x[1] for x in json.loads(later.get[0])) == ["a", "b"]
     over = State(later.get, mark=int(at(23).timestamp() * 1000), over=True)
     assert list(update((0,), iter([]), over)) == [] and over.get is None
+
+
+def test_preview_stops_early_and_gives_the_same(spark):
+    texts = ["a " * 4000, " \n" * 3000 + "late word", "x" * 259, "x" * 261 + " y", "w  \t" * 900, "", "é\x1f" * 700, None]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string")
+    whole = F.substring(txt.collapse_spaces(F.col("t")), 1, txt.PREVIEW_CHARS)
+    assert all(r["new"] == r["old"] for r in rows.select(txt.preview(F.col("t")).alias("new"), whole.alias("old")).collect())
+
+
+def test_fallback_joins_no_preview_by_chunk(spark):
+    """What is left is the step of the older provider."""
+    assert plan(spark, "chunk_evidence_fallback").count("hashpartitioning(chunk_id") <= 2
